@@ -1,0 +1 @@
+"""Operators on point-cloud DataFrames."""

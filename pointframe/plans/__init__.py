@@ -1,0 +1 @@
+"""Whole pipelines made of operators."""

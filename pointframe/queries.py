@@ -1,15 +1,511 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: every operator over clouds made of the driver's tables.
+
+Floating results are rounded to six decimals (and -0.0 becomes 0.0), so engines
+that add in another order agree.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointframe import oracle
+from pointframe.cloud import pc_emb, pc_emb_kd, pc_evt, pc_part, store, table
+from pointframe.functions import geometry as g
+from pointframe.functions.geometry import Grid
+from pointframe.operators import filters, graphs, index, isosurface, neighbors, normals, resample, stats
+from pointframe.plans import pipelines
+from pointframe.sources import obj, ply
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+LOW, HIGH = (-0.1, -0.1, -0.1), (0.15, 0.15, 0.15)
+HALF = (-0.5, -0.5, -0.5), (0.5, 0.5, 0.5)
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*(r6(n).alias(n) if n in names else F.col(n) for n in df.columns))
+
+
+def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return store(neighbors.knn(pc_emb(spark, sf_dir), k), "near")
+
+
+def _ball(x, y, z) -> Column:
+    return F.sqrt(x * x + y * y + z * z) - 1.0
+
+
+def _two_balls(x, y, z) -> Column:
+    d = lambda cx: F.sqrt((x - cx) * (x - cx) + y * y + z * z) - 1.0
+    return F.least(d(-1.6), d(1.6))
+
+
+BALL_GRID = Grid.containing((-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), (10, 10, 10))
+PAIR_GRID = Grid.containing((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8))
+
+
+# --- scalar functions and predicates
+
+
+@query
+def vector_math(spark, sf_dir):
+    e = pc_emb(spark, sf_dir)
+    n = e.select((F.col("id") - 1).alias("id"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
+    a, b = g.vec(), g.vec("b")
+    cross, mid = g.cross_product(a, b), g.divide(g.add(a, b), 2)
+    return e.join(n, "id").select("id", r6(g.inner_product(a, b)).alias("dot"), r6(g.norm(a)).alias("len"), r6(g.norm(g.sub(a, b))).alias("dist"), r6(g.norm(g.scale(3.0, g.negate(a)))).alias("scaled"), r6(g.norm(cross)).alias("area"), r6(mid[0]).alias("mid_x"), r6(g.squared_distance(a, b)).alias("d2"))
+
+
+@query
+def kernel_functions(spark, sf_dir):
+    e = pc_emb(spark, sf_dir)
+    length = g.norm(g.vec())
+    to = g.projection(g.lit(0.1, 0.0, -0.1), g.vec("n"), g.vec())
+    return e.select("id", r6(g.gaussian(0.3, length)).alias("gauss"), r6(g.dgaussian(0.3, length)).alias("dgauss"), r6(g.theta(0.8, length * length)).alias("theta"), *(r6(c).alias(f"t{n}") for c, n in zip(to, "xyz", strict=True)))
+
+
+@query
+def eps_equality_pairs(spark, sf_dir):
+    return neighbors.coincident_pairs(pc_part(spark, sf_dir, flat=True))
+
+
+@query
+def plane_signed_distance(spark, sf_dir):
+    o, n = g.lit(0.05, 0.0, 0.0), g.lit(0.6, 0.0, 0.8)
+    d = g.signed_distance(g.vec(), o, n)
+    return pc_emb(spark, sf_dir).select("id", r6(d).alias("distance"), g.plane_contains(g.vec(), o, n, 0.01).alias("near"))
+
+
+@query
+def sphere_search(spark, sf_dir):
+    return neighbors.sphere_search(pc_evt(spark, sf_dir), (0.05, 0.5, 0.1), 0.2).select("id", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
+
+
+@query
+def box_search(spark, sf_dir):
+    return neighbors.box_search(pc_evt(spark, sf_dir), (0.0, 0.25, 0.05), (0.08, 0.5, 0.2)).select("id", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
+
+
+@query
+def box_join(spark, sf_dir):
+    boxes = spark.range(8).select(F.col("id").alias("qid"), *(F.lit(v).alias(f"{n}min") for n, v in (("x", 0.0), ("z", 0.02))), (F.col("id") * 0.125).alias("ymin"), *(F.lit(v).alias(f"{n}max") for n, v in (("x", 0.05), ("z", 0.09))), (F.col("id") * 0.125 + 0.2).alias("ymax"))
+    return neighbors.box_join(boxes, pc_evt(spark, sf_dir), 0.1).groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query
+def kd_box_search(spark, sf_dir):
+    return neighbors.box_search_kd(pc_emb_kd(spark, sf_dir), [-0.3] * 64, [0.35] * 64).select("id")
+
+
+@query
+def box_center_nearest_point(spark, sf_dir):
+    low, high = g.lit(*LOW), g.lit(*HIGH)
+    near, center = g.nearest_in_box(g.vec(), low, high), g.box_center(low, high)
+    return pc_emb(spark, sf_dir).select("id", *(r6(c).alias(f"p{n}") for c, n in zip(near, "xyz", strict=True)), r6(g.squared_distance(g.vec(), center)).alias("center_d2"), g.in_box(g.vec(), low, high).alias("inside"))
+
+
+@query
+def kd_nearest_point(spark, sf_dir):
+    low, high = F.array_repeat(F.lit(-0.05), 64), F.array_repeat(F.lit(0.05), 64)
+    near = g.nearest_in_box_kd(F.col("coords"), low, high)
+    return pc_emb_kd(spark, sf_dir).select("id", r6(g.squared_distance_kd(F.col("coords"), near)).alias("d2"), g.boxes_intersect_kd(F.col("coords"), F.col("coords"), low, high).alias("touches"))
+
+
+@query
+def intersections(spark, sf_dir):
+    p = pc_emb(spark, sf_dir)
+    a = p.where("id < 60").select("id", "x", "y", "z", (0.02 + F.pmod("id", F.lit(5)) * 0.03).alias("r"))
+    b = a.select(F.col("id").alias("nid"), *(F.col(c).alias(f"b{c}") for c in ("x", "y", "z", "r")))
+    low1, high1 = tuple(c - F.col("r") for c in g.vec()), tuple(c + F.col("r") for c in g.vec())
+    low2, high2 = tuple(c - F.col("br") for c in g.vec("b")), tuple(c + F.col("br") for c in g.vec("b"))
+    pairs = a.join(F.broadcast(b), F.col("id") < F.col("nid"))  # sixty figures on either side
+    return pairs.select("id", "nid", g.boxes_intersect(low1, high1, low2, high2).alias("boxes"), g.balls_intersect(g.vec(), F.col("r"), g.vec("b"), F.col("br")).alias("balls"), g.box_ball_intersect(low1, high1, g.vec("b"), F.col("br")).alias("box_ball"))
+
+
+@query
+def grid_containing(spark, sf_dir):
+    b = stats.bounding_box(pc_emb(spark, sf_dir)).first()
+    gr = Grid.containing((b.xmin, b.ymin, b.zmin), (b.xmax, b.ymax, b.zmax), (10, 8, 6))
+    return spark.createDataFrame([(gr.x, gr.y, gr.z, gr.dx, gr.dy, gr.dz, gr.sx, gr.sy, gr.sz)], "x double, y double, z double, dx double, dy double, dz double, sx long, sy long, sz long").select(*(r6(c).alias(c) for c in ("x", "y", "z", "dx", "dy", "dz")), "sx", "sy", "sz")
+
+
+@query
+def voxel_index(spark, sf_dir):
+    gr = Grid.containing(*HALF, (10, 8, 6))
+    df = pc_emb(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(gr.cell_of(g.vec()), "ijk", strict=True)))
+    df = df.withColumn("cell", gr.linear(*(F.col(n) for n in "ijk")))
+    back = gr.unlinear(F.col("cell"))
+    world = gr.world(*(F.col(n) for n in "ijk"))
+    return df.select("id", "i", "j", "k", "cell", *(c.cast("long").alias(f"{n}2") for c, n in zip(back, "ijk", strict=True)), *(r6(c).alias(f"w{n}") for c, n in zip(world, "xyz", strict=True)))
+
+
+# --- aggregates
+
+
+@query
+def bounding_box(spark, sf_dir):
+    return rounded(stats.bounding_box(pc_evt(spark, sf_dir)), "xmin", "ymin", "zmin", "xmax", "ymax", "zmax")
+
+
+@query
+def kd_bounding_box(spark, sf_dir):
+    return rounded(stats.kd_bounding_box(pc_emb_kd(spark, sf_dir)), "low", "high")
+
+
+@query
+def center_of_geometry(spark, sf_dir):
+    return rounded(stats.center_of_geometry(pc_emb(spark, sf_dir), "label"), "cx", "cy", "cz")
+
+
+@query
+def scatter_matrix(spark, sf_dir):
+    return rounded(stats.scatter_matrix(pc_emb(spark, sf_dir), "label").drop("mx", "my", "mz"), "cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+
+
+@query
+def pca(spark, sf_dir):
+    p = stats.pca(pc_emb(spark, sf_dir), "label")
+    return p.select("label", "n", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)), *(r6(F.abs(g.inner_product(g.vec("v0"), g.vec(v)))).alias(f"dot_{v}") for v in ("v1", "v2")))
+
+
+@query
+def mean_knn_distance(spark, sf_dir):
+    return rounded(stats.mean_knn_distance(neighbors.knn(pc_emb(spark, sf_dir), 5)), "m")
+
+
+@query
+def avg_knn_distance(spark, sf_dir):
+    return rounded(stats.average_knn_distance(neighbors.knn(pc_emb(spark, sf_dir), 5)), "m")
+
+
+@query
+def knn_distance_spread(spark, sf_dir):
+    return rounded(stats.knn_distance_spread(neighbors.knn(pc_emb(spark, sf_dir), 5)), "mean", "sum_sq_dev", "var_pop")
+
+
+@query
+def density(spark, sf_dir):
+    return stats.density(pc_part(spark, sf_dir), 0.1).select("id", "n", (F.round("density", 3) + 0.0).alias("density"))
+
+
+@query
+def max_density_point(spark, sf_dir):
+    return rounded(stats.densest_point(neighbors.knn(pc_emb(spark, sf_dir), 5)), "m")
+
+
+@query
+def cloud_folds(spark, sf_dir):
+    c = pc_evt(spark, sf_dir)
+    return c.agg(F.count("*").alias("n"), r6(F.sum("x")).alias("sum_x"), F.count_if(F.col("z") > 0.1).alias("n_high"), F.bool_and(F.col("z") >= 0).alias("all_high"), F.bool_and(F.col("y") <= 2).alias("none_far"), F.min_by("id", F.struct("z", "id")).alias("lowest"), F.max_by("id", F.struct("z", "id")).alias("highest"))
+
+
+@query
+def kernel_weighted_mean(spark, sf_dir):
+    c = pc_part(spark, sf_dir)
+    near = neighbors.range_join(c, c, 0.08)
+    return rounded(stats.weighted_mean(near, "id", g.gaussian(0.04, F.sqrt("d2")), g.vec()), "x", "y", "z")
+
+
+# --- searches
+
+
+@query
+def knn_self(spark, sf_dir):
+    return neighbors.knn(pc_emb(spark, sf_dir), 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
+@query
+def knn_foreign(spark, sf_dir):
+    c = pc_emb(spark, sf_dir)
+    return neighbors.knn_join(c.where("id % 2 = 1"), c.where("id % 2 = 0"), 4).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
+@query
+def knn_coincident(spark, sf_dir):
+    return neighbors.knn(pc_part(spark, sf_dir, flat=True), 3).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
+@query
+def knn_kd(spark, sf_dir):
+    c = pc_emb_kd(spark, sf_dir)
+    return neighbors.knn_kd(c, c, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
+@query
+def knn_one_point(spark, sf_dir):
+    return neighbors.nearest_first(pc_evt(spark, sf_dir), (0.05, 0.5, 0.1), 10).select("id", r6("d2").alias("d2"))
+
+
+@query
+def range_join_count(spark, sf_dir):
+    c = pc_evt(spark, sf_dir)
+    return stats.ball_counts(c, c, 0.05)
+
+
+@query
+def find_point(spark, sf_dir):
+    c = pc_part(spark, sf_dir, flat=True)
+    targets = c.where("id % 7 = 0").select("id", (F.col("x") + 4e-6).alias("x"), "y", (F.col("z") + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.5)).alias("z"))
+    return neighbors.find(c, targets)
+
+
+@query
+def insert_reject_outside(spark, sf_dir):
+    c = pc_emb(spark, sf_dir)
+    new = c.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), *((F.col(n) * 2).alias(n) for n in "xyz"))
+    return rounded(index.insert(c.select("id", "x", "y", "z"), new, LOW, HIGH), "x", "y", "z")
+
+
+@query
+def insert_counts(spark, sf_dir):
+    return index.inserted_count(pc_emb(spark, sf_dir), LOW, HIGH)
+
+
+@query
+def erase_points(spark, sf_dir):
+    c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    return rounded(index.erase(c, c.where("id % 5 = 2")), "x", "y", "z")
+
+
+@query
+def clear_points(spark, sf_dir):
+    c = index.clear(pc_emb(spark, sf_dir))
+    return c.agg(F.count("*").alias("size"), (F.count("*") == 0).alias("empty"))
+
+
+@query
+def octant_path(spark, sf_dir):
+    return index.octant_path(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), *HALF, 3).select("id", "path")
+
+
+@query
+def kd_median_levels(spark, sf_dir):
+    return index.kd_median_levels(pc_emb(spark, sf_dir), 3)
+
+
+# --- graphs
+
+
+@query
+def knn_graph_directed(spark, sf_dir):
+    return graphs.directed_knn_graph(neighbors.knn(pc_emb(spark, sf_dir), 5))
+
+
+@query
+def knn_graph_undirected(spark, sf_dir):
+    return graphs.undirected_knn_graph(_near(spark, sf_dir, 5))
+
+
+@query
+def out_degree(spark, sf_dir):
+    return graphs.out_degree(graphs.undirected_knn_graph(_near(spark, sf_dir, 5)))
+
+
+@query
+def graph_counts(spark, sf_dir):
+    return graphs.counts(pc_emb(spark, sf_dir), graphs.undirected_knn_graph(_near(spark, sf_dir, 5)))
+
+
+@query
+def graph_edit(spark, sf_dir):
+    e = graphs.directed_knn_graph(_near(spark, sf_dir, 3))
+    more = graphs.add_edges(e, e.where("src % 2 = 0"))
+    return graphs.remove_edges(more, e.where("src % 3 = 0")).groupBy("src").agg(F.count("*").alias("edges"))
+
+
+@query
+def bfs_levels(spark, sf_dir):
+    c = pc_emb(spark, sf_dir)
+    root = c.orderBy(F.desc("z"), "id").first()["id"]
+    return graphs.breadth_first_search(graphs.directed_knn_graph(_near(spark, sf_dir, 5)), root)
+
+
+@query
+def dfs_order(spark, sf_dir):
+    c = pc_emb(spark, sf_dir)
+    root = c.orderBy(F.desc("z"), "id").first()["id"]
+    return graphs.depth_first_search(graphs.directed_knn_graph(_near(spark, sf_dir, 5)), root)
+
+
+@query
+def mst_edges(spark, sf_dir):
+    near = _near(spark, sf_dir, 5)
+    return rounded(graphs.minimum_spanning_forest(near.select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("w"))), "w")
+
+
+# --- point-cloud algorithms
+
+
+@query
+def normals_knn(spark, sf_dir):
+    n = normals.estimate_normals(pc_emb(spark, sf_dir), 10)
+    return n.select("id", r6("l0").alias("l0"), r6(F.abs("nz")).alias("abs_nz"), r6("variation").alias("variation"))
+
+
+@query
+def tangent_planes(spark, sf_dir):
+    t = normals.tangent_planes(pc_emb(spark, sf_dir), 10)
+    return t.select("id", "n", *(r6(c).alias(c) for c in ("ox", "oy", "oz")), *(r6(F.abs(c)).alias(f"abs_{c}") for c in ("nx", "ny", "nz")))
+
+
+@query
+def orient_normals(spark, sf_dir):
+    return rounded(pipelines.oriented_normals(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 10).select("id", "nx", "ny", "nz"), "nx", "ny", "nz")
+
+
+@query
+def bilateral_points(spark, sf_dir):
+    return rounded(filters.bilateral_points(pc_emb(spark, sf_dir), 0.05, 0.02, 1).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+@query
+def bilateral_points_twice(spark, sf_dir):
+    return rounded(filters.bilateral_points(pc_emb(spark, sf_dir), 0.05, 0.02, 2).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+@query
+def bilateral_normals(spark, sf_dir):
+    return rounded(filters.bilateral_normals(pc_emb(spark, sf_dir), 0.05, 0.02, 1).select("id", "nx", "ny", "nz"), "nx", "ny", "nz")
+
+
+@query
+def random_sample(spark, sf_dir):
+    return resample.random_sample(pc_emb(spark, sf_dir), 100, seed=7).select("id")
+
+
+@query
+def hierarchy_sample(spark, sf_dir):
+    return rounded(resample.hierarchy_sample(pc_emb(spark, sf_dir), 20, 1 / 3), "x", "y", "z")
+
+
+@query
+def wlop(spark, sf_dir):
+    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, rounds=1, seed=7), "x", "y", "z")
+
+
+@query
+def lop(spark, sf_dir):
+    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, rounds=1, uniform=False, seed=7), "x", "y", "z")
+
+
+@query
+def surface_nets_sphere_vertices(spark, sf_dir):
+    return rounded(isosurface.surface_nets(spark, _ball, BALL_GRID)[0], "x", "y", "z")
+
+
+@query
+def surface_nets_sphere_triangles(spark, sf_dir):
+    return isosurface.surface_nets(spark, _ball, BALL_GRID)[1]
+
+
+@query
+def surface_nets_hint(spark, sf_dir):
+    return rounded(isosurface.surface_nets(spark, _two_balls, PAIR_GRID, hint=(-1.6, 0.0, 0.9))[0], "x", "y", "z")
+
+
+# --- pipelines, files
+
+
+@query
+def density_filter(spark, sf_dir):
+    return filters.density_filter(pc_emb(spark, sf_dir), 5, 1.0, 5).select("id", "n")
+
+
+@query
+def add_noise(spark, sf_dir):
+    return rounded(filters.add_noise(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 5, 0.01, seed=3), "x", "y", "z")
+
+
+@query
+def density_and_normals(spark, sf_dir):
+    d = pipelines.density_and_normals(pc_emb(spark, sf_dir), 0.1, 15)
+    return d.select("id", (F.round("density", 3) + 0.0).alias("density"), r6(F.abs("nz")).alias("abs_nz"))
+
+
+@query
+def reconstruct_distances(spark, sf_dir):
+    values, _ = pipelines.surface_distances(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (8, 8, 8))
+    return values.select("p", r6(F.abs("v")).alias("distance"))
+
+
+@query
+def reconstruct_surface(spark, sf_dir):
+    return pipelines.reconstruct(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (8, 8, 8))[1]
+
+
+@query
+def smoothed_normals(spark, sf_dir):
+    return rounded(pipelines.oriented_normals(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 10, smooth=1.0).select("id", "nx", "ny", "nz"), "nx", "ny", "nz")
+
+
+@query
+def downsample_spread(spark, sf_dir):
+    c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    return rounded(pipelines.spread_before_after(c, pipelines.downsample(c, "random", 200, seed=7), 5), "mean", "sum_sq_dev", "var_pop")
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    """A path for one file where driver and executors see it, if the shared folder is a mounted one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{folder.removeprefix('file://').rstrip('/')}/pointframe/{uuid.uuid4().hex}-{name}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+@query
+def ply_roundtrip(spark, sf_dir):
+    path = _file(spark, "cloud.ply")
+    source = pc_emb(spark, sf_dir)
+    ply.write_ply(source, path, "binary_little_endian")
+    return rounded(ply.read_ply(spark, path), "x", "y", "z", "nx", "ny", "nz")
+
+
+@query
+def ply_ascii_roundtrip(spark, sf_dir):
+    first, second = _file(spark, "cloud.ply"), _file(spark, "ascii.ply")
+    ply.write_ply(pc_part(spark, sf_dir), first, "binary_big_endian", "double")
+    pipelines.convert_ply(spark, first, second, "ascii")
+    return ply.read_ply(spark, second).select("id", *(r6(n).alias(n) for n in "xyz"), F.col("nx").isNull().alias("bare"))
+
+
+@query
+def obj_roundtrip(spark, sf_dir):
+    path = _file(spark, "cloud.obj")
+    obj.write_obj(pc_emb(spark, sf_dir), path)
+    return rounded(obj.read_obj(spark, path), "x", "y", "z", "nx", "ny", "nz")
+
+
+@query
+def mesh_ply_roundtrip(spark, sf_dir):
+    path = _file(spark, "mesh.ply")
+    ply.write_mesh_ply(*isosurface.surface_nets(spark, _ball, BALL_GRID), path, "binary_little_endian")
+    return ply.read_mesh_ply(spark, path)[1]
+
+
+@query
+def tokenize_words(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(g.tokenize(F.concat(F.lit("  "), F.regexp_replace("p_name", " ", "  \t")))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}

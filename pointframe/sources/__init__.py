@@ -1,0 +1 @@
+"""PLY and OBJ sources and sinks."""
