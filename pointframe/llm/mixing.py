@@ -188,6 +188,6 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     """The rows of ``docs``, each as often as the mix takes it (rows without words: never)."""
     wide = store(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
     sizes = store(wide.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "sizes")
-    taken = copies(sizes, store(source_targets(sizes, weights, share, most), "targets")).where("copies > 0").withColumnRenamed("row", "_row")
-    many = wide.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    taken = copies(sizes, store(source_targets(sizes, weights, share, most), "targets")).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    many = wide.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     return many.select(*docs.columns)

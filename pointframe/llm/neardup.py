@@ -217,7 +217,8 @@ def _forest(percent: int, flips: int):
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """node, component (smallest node reachable) of an edge list (u, v), by alternating large and small stars.
+    """node, component (smallest node reachable) of an edge list (u, v), by alternating large and small stars; the
+    smallest nodes themselves have no row.
 
     Every round is written to the shared folder; minima are pre-aggregated, so a
     node with very many edges costs no more than its rows.
