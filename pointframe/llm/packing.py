@@ -11,17 +11,15 @@ descending length. Only piece lengths are shuffled, never texts or ids.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointframe.llm.common import store
-from pointframe.llm.tokens import encoder
+from pointframe.llm.tokens import crc32, encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,19 +69,17 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of every document: ids of the whole text (null: empty), then ``end_id``."""
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text")
-            out: list[tuple] = []
-            for lo in range(0, len(keys), 512):
-                for key, ids in zip(keys[lo : lo + 512], encoder(tokenizer).encode(texts.slice(lo, 512).to_pylist()), strict=True):
-                    ids += tail
-                    for k, (i, n) in enumerate(cut(len(ids) // 4, size)):
-                        out.append((key, k, i, n, zlib.crc32(ids[4 * i : 4 * (i + n)])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo in range(0, b.num_rows, 1024):
+                ids, lengths = with_end(*encoder(tokenizer).encode(b.column("text").slice(lo, 1024)), end_id)
+                out: list[tuple] = []
+                at = 0
+                for key, total in zip(b.column("doc_id").slice(lo, 1024).to_pylist(), lengths.tolist(), strict=True):
+                    out += [(key, k, i, n, crc32(ids[at + i : at + i + n])) for k, (i, n) in enumerate(cut(total, size))]
+                    at += total
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -16,7 +16,6 @@ the loss of an executor are both covered.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointframe.llm.common import shared_dir
-from pointframe.llm.tokens import encoder
+from pointframe.llm.tokens import crc32, encoder, with_end
 
 BLOCK = 1024
 CHUNK = 1 << 20
@@ -128,34 +127,31 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def _shards(path: str, end_id: int):
-    tail = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("offsets", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, done, chunk = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
-        docs: list[int | None] = []
+        shard, done, chunk, held = TaskContext.get().partitionId(), 0, 0, 0
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        docs: list[pa.Array] = []
 
         def row() -> pa.RecordBatch:
-            nonlocal done, chunk
-            lengths = [len(x) // 4 for x in ids]
-            words, offsets = encode(np.frombuffer(b"".join(ids), "<u4"))
-            out = pa.RecordBatch.from_pylist([{"shard": shard, "chunk": chunk, "first": done, "doc_ids": docs, "lengths": lengths, "words": words.astype("<u8").tobytes(), "offsets": offsets.astype("<u4").tobytes()}], schema=pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("offsets", pa.binary())]))
-            done += sum(lengths)
-            chunk += 1
-            return out
-
-        size = 0
+            words, offsets = encode(np.concatenate(ids))
+            keys = pa.concat_arrays(docs)
+            values = {"shard": [shard], "chunk": [chunk], "first": [done], "doc_ids": pa.ListArray.from_arrays([0, len(keys)], keys), "lengths": [np.concatenate(lengths)], "words": [words.astype("<u8").tobytes()], "offsets": [offsets.astype("<u4").tobytes()]}
+            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values.values(), schema, strict=True)], schema=schema)
+
         for b in batches:
-            keys = b.column("doc_id").to_pylist()
-            texts = b.column("text")
-            for lo in range(0, len(keys), 512):
-                for key, x in zip(keys[lo : lo + 512], encoder(path).encode(texts.slice(lo, 512).to_pylist()), strict=True):
-                    ids.append(x + tail)
-                    docs.append(key)
-                    size += len(x) // 4 + 1
-                    if size >= CHUNK:
-                        yield row()
-                        ids, docs, size = [], [], 0
+            for lo in range(0, b.num_rows, 1024):
+                some, n = with_end(*encoder(path).encode(b.column("text").slice(lo, 1024)), end_id)
+                ids.append(some)
+                lengths.append(n)
+                docs.append(b.column("doc_id").slice(lo, 1024))
+                held += len(some)
+                if held >= CHUNK:
+                    yield row()
+                    done, chunk, held = done + held, chunk + 1, 0
+                    ids, lengths, docs = [], [], []
         if ids:
             yield row()
 
@@ -180,7 +176,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(r["lengths"])
             starts = ends - r["lengths"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array([r["shard"]] * len(ends), pa.int32()), pa.array(starts + r["first"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([zlib.crc32(ids[i:j]) for i, j in zip(starts, ends, strict=True)], pa.int64())],
+                [pa.array(r["doc_ids"], pa.int64()), pa.array([r["shard"]] * len(ends), pa.int32()), pa.array(starts + r["first"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([crc32(ids[i:j]) for i, j in zip(starts, ends, strict=True)], pa.int64())],
                 names=["doc_id", "shard", "at", "n_tokens", "ids_crc32"],
             )
 

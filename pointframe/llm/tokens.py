@@ -1,72 +1,145 @@
-"""Token ids of whole texts from a tokenizers file, with remembered words.
+"""Token ids of whole texts from a byte-level tokenizers file, with remembered words.
 
 A byte-level pre-tokenizer cuts a text at every single space between two words,
-so " word" pieces can be encoded once and looked up afterwards. Texts with runs
-of white space or other blanks are encoded whole, which is always exact.
+so each distinct " word" of a batch is looked up once, and its ids are gathered
+for all its places. A word that is not remembered is cut by the pre-tokenizer's
+own pattern and its parts go to the file's BPE model. Texts with runs of white
+space or other blanks are encoded whole by the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
+import zlib
 from array import array
 
-_ODD = re.compile(r"[^\S \n]")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
+# The byte-level pre-tokenizer's pattern; white space other than space and line feed.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class _Parts(dict):
+    """Ids of pre-tokenized parts, made on demand by the BPE model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+    def of(self, part: str) -> bytes:
+        raw = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self.of(part)
+        return found
+
+
+class _Words(dict):
+    """Ids of words after a space."""
+
+    def __init__(self, parts: _Parts):
+        super().__init__()
+        self.parts = parts
+        self.cut = regex.compile(PATTERN).findall
+        self.space = _byte_letters()[32]
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one part
+            found = array("I", [t.id for t in self.parts.tokenize(self.space + word)]).tobytes()
+        else:
+            found = b"".join(map(self.parts.__getitem__, self.cut(" " + word)))
+        self[word] = found
+        return found
+
+
 class Encoder:
-    """Ids as little-endian uint32 bytes. Special-token strings in a text are ordinary text."""
+    """Ids of texts. Special-token strings in a text are ordinary text. Needs a little-endian machine."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
-        self.inner: dict[str, bytes] = {"": self._plain([" "])[0]}
-        self.outer: dict[str, bytes] = {"": b""}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in ids:
-                x.byteswap()
-        return [x.tobytes() for x in ids]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text (null: none)."""
-        if len(self.inner) > self.limit:
-            self.inner = {"": self.inner[""]}
-        if len(self.outer) > self.limit:
-            self.outer = {"": b""}
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, str, list[str]]] = []
-        need: set[str] = set()
-        first: set[str] = set()
-        whole: list[int] = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "  " in t or " \n" in t or "\n " in t or _ODD.search(t):
-                whole.append(i)
-                continue
-            head, *rest = t.split(" ")
-            first.add(head)
-            need.update(rest)
-            cut.append((i, head, rest))
-        if new := list(first - self.outer.keys()):
-            self.outer.update(zip(new, self._plain(new), strict=True))
-        if new := list(need - self.inner.keys()):
-            self.inner.update(zip(new, self._plain([" " + w for w in new]), strict=True))
-        get = self.inner.__getitem__
-        for i, head, rest in cut:
-            out[i] = self.outer[head] + b"".join(map(get, rest))
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        self.parts = _Parts(self.tokenizer.model)
+        self.words = _Words(self.parts)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of one text by the tokenizer itself."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece of text that begins and ends where the pre-tokenizer cuts."""
+        return b"".join(map(self.parts.__getitem__, self.words.cut(text)))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text (null: none)."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if len(self.words) > self.limit:
+            self.words.clear()
+        if len(self.parts) > self.limit // 2:
+            self.parts.clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, BLANKS)
+        for pattern in ("  ", " \n", "\n "):
+            odd = pc.or_(odd, pc.match_substring(texts, pattern))
+        odd = odd.to_numpy(zero_copy_only=False)
+        ids, lengths = self._spaced(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        if not odd.any():
+            return ids, lengths
+        alone = [np.frombuffer(self.whole(t), "<u4") for t in texts.filter(pa.array(odd)).to_pylist()]
+        every = np.zeros(len(odd), np.int64)
+        every[~odd], every[odd] = lengths, [len(x) for x in alone]
+        out = np.empty(every.sum(), "<u4")
+        mine = np.repeat(odd, every)
+        out[~mine] = ids
+        out[mine] = np.concatenate(alone)
+        return out, every
+
+    def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        which = coded.indices.to_numpy().astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        known = list(map(self.words.__getitem__, names))
+        # The first word of a text has no space before it.
+        heads = bounds[:-1]
+        first: dict[int, int] = {}
+        for w in np.unique(which[heads]).tolist():
+            first[w] = len(known)
+            known.append(self.piece(names[w]))
+        which[heads] = [first[w] for w in which[heads].tolist()]
+        table = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        ids = table[np.repeat(start[which] - (ends - n), n) + np.arange(total)]
+        at = np.concatenate([[0], ends])
+        return ids, at[bounds[1:]] - at[bounds[:-1]]
 
 
 def encoder(path: str) -> Encoder:
@@ -74,3 +147,13 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one more id after every text."""
+    return np.insert(ids, np.cumsum(lengths), end_id).astype("<u4"), lengths + 1
+
+
+def crc32(ids: np.ndarray) -> int:
+    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4", copy=False))
