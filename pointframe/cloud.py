@@ -25,15 +25,25 @@ def points(df: DataFrame, id_: str = "id", x="x", y="y", z="z") -> DataFrame:
     return df.select(col(id_).cast("long").alias("id"), *(col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/pointframe"
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: written to the session's shared folder and read again, so lost executors cost nothing."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/pointframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> bool:
+    """Delete everything stored in the shared folder; call it when no result is read any more."""
+    jvm, path = spark.sparkContext._jvm, _folder(spark)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
