@@ -56,16 +56,21 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width[:, :BLOCK] = np.array([int(x).bit_length() for x in flat], np.uint8).reshape(lanes, BLOCK)
     pick = np.full((lanes, BLOCK), ESCAPE, np.int8)
     widest = {1: width}  # count -> the widest of that many values from each place on
-    for s in range(ESCAPE - 1, -1, -1):  # small counts first; larger ones override
-        c = int(COUNTS[s])
-        if c > 1:
-            half = max(k for k in widest if 2 * k >= c or k == max(widest))
-            other = c - half
-            while other not in widest:
-                other = max(k for k in widest if k >= other) if other < half else half
+    narrow = {1: int(width.min())}
+
+    def window(c: int) -> np.ndarray:
+        if c not in widest:
+            half = c // 2
+            a, b = window(c - half), window(half)
             span = grid.shape[1] - c + 1
-            widest[c] = np.maximum(widest[half][:, :span], widest[other][:, c - other : c - other + span])
-        np.copyto(pick, np.int8(s), where=widest[c][:, :BLOCK] <= WIDTHS[s])
+            widest[c] = np.maximum(a[:, :span], b[:, c - half : c - half + span])
+            narrow[c] = int(widest[c][:, :BLOCK].min())
+        return widest[c]
+
+    for s in range(ESCAPE - 1, -1, -1):  # small counts first; larger ones override
+        c, w = int(COUNTS[s]), WIDTHS[s]
+        if all(n <= w for k, n in narrow.items() if k <= c):
+            np.copyto(pick, np.int8(s), where=window(c)[:, :BLOCK] <= w)
     at, live, steps = np.zeros(lanes, np.int64), np.arange(lanes), []
     rank = np.zeros(lanes, np.int64)
     while len(live):
@@ -80,17 +85,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(rank)[:-1]])
     lane, pos, sel, place = (np.concatenate(x) for x in zip(*steps, strict=True))
     place = place + offsets[lane]
-    words = np.zeros(int(rank.sum()), np.uint64)
-    for s in np.unique(sel):
-        m = sel == s
-        a, p = lane[m], pos[m]
-        word = np.full(len(a), np.uint64(s) << np.uint64(60))
-        if s == ESCAPE:
-            words[place[m] + 1] = grid[a, p]
-        elif s:
-            for j in range(COUNTS[s]):
-                word |= grid[a, p + j] << np.uint64(j * WIDTHS[s])
-        words[place[m]] = word
+    total = int(rank.sum())
+    words = np.zeros(total, np.uint64)
+    code, begin = np.full(total, -1), np.zeros(total, np.int64)
+    code[place], begin[place] = sel, lane * BLOCK + pos
+    real = np.flatnonzero(code >= 0)  # the others are raw words after an escape
+    code, begin = code[real], begin[real]
+    count = np.diff(np.append(begin, lanes * BLOCK))  # of the ids that a word holds, padding included
+    shift = (np.arange(lanes * BLOCK) - np.repeat(begin, count)) * np.repeat(np.where(code == ESCAPE, 0, WIDTHS[code]), count)
+    put = flat << shift.astype(np.uint64)
+    put[begin[code == ESCAPE]] = 0
+    np.copyto(put, 0, where=shift >= 60)
+    words[real] = np.bitwise_or.reduceat(put, begin) | (code.astype(np.uint64) << np.uint64(60))
+    raw = real[code == ESCAPE]
+    words[raw + 1] = flat[begin[code == ESCAPE]]
     return words, offsets.astype(np.uint32)
 
 

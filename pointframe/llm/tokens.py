@@ -19,6 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+#: ASCII marks: neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 # The byte-level pre-tokenizer's pattern; white space other than space and line feed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANKS = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -33,54 +36,58 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class _Parts(dict):
-    """Ids of pre-tokenized parts, made on demand by the BPE model."""
+class _Memory(dict):
+    """Ids of pieces of text, made on demand and remembered for two generations of ``limit`` pieces."""
 
-    def __init__(self, model):
+    def __init__(self, limit: int, make):
         super().__init__()
-        self.tokenize = model.tokenize
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-
-    def of(self, part: str) -> bytes:
-        raw = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        found = self[part] = self.of(part)
+        self.limit, self.make = limit, make
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        self[piece] = found
         return found
 
-
-class _Words(dict):
-    """Ids of words after a space."""
-
-    def __init__(self, parts: _Parts):
-        super().__init__()
-        self.parts = parts
-        self.cut = regex.compile(PATTERN).findall
-        self.space = _byte_letters()[32]
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():  # one part
-            found = array("I", [t.id for t in self.parts.tokenize(self.space + word)]).tobytes()
-        else:
-            found = b"".join(map(self.parts.__getitem__, self.cut(" " + word)))
-        self[word] = found
-        return found
+    def age(self) -> None:
+        """Forget what was not used since the generation before, if this one is full."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
     """Ids of texts. Special-token strings in a text are ordinary text. Needs a little-endian machine."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self.parts = _Parts(self.tokenizer.model)
-        self.words = _Words(self.parts)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.space = _byte_letters()[32]
+        self.words = _Memory(limit, self._word)
+        self.parts = _Memory(limit // 4, self._part)
+        self.cut = regex.compile(PATTERN).findall
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word."""
+        stem = word.rstrip(MARKS)
+        if stem.isalpha() and max(stem) < "\u0250":  # letters, then marks: the pre-tokenizer cuts between them
+            if len(stem) < len(word):
+                return self.words[stem] + self.parts[word[len(stem) :]]
+            raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.tokenize(self.space + raw)]).tobytes()
+        return b"".join(map(self.parts.__getitem__, self.cut(" " + word)))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-tokenized part."""
+        return array("I", [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def whole(self, text: str) -> bytes:
         """Ids of one text by the tokenizer itself."""
@@ -88,15 +95,13 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         """Ids of a piece of text that begins and ends where the pre-tokenizer cuts."""
-        return b"".join(map(self.parts.__getitem__, self.words.cut(text)))
+        return b"".join(map(self.parts.__getitem__, self.cut(text)))
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text (null: none)."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.parts) > self.limit // 2:
-            self.parts.clear()
+        self.words.age()
+        self.parts.age()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, BLANKS)
         for pattern in ("  ", " \n", "\n "):
