@@ -21,8 +21,8 @@ Implicit = Callable[[Column, Column, Column], Column]
 
 #: Corners of a cell, in axis steps.
 CORNERS = [(a, b, c) for c in (0, 1) for b in (0, 1) for a in (0, 1)]
-#: Edges of a cell: a corner and the axis along which the other end lies.
-EDGES = [(corner, axis) for axis in range(3) for corner in CORNERS if corner[axis] == 0]
+#: Edges of a cell: numbers of the corners at their ends.
+EDGES = [(CORNERS.index(p), CORNERS.index(tuple(v + (n == axis) for n, v in enumerate(p)))) for axis in range(3) for p in CORNERS if p[axis] == 0]
 
 
 def lattice(spark: SparkSession, grid: Grid) -> DataFrame:
@@ -42,6 +42,31 @@ def _steps(grid: Grid) -> tuple[int, int, int]:
     return 1, grid.sx + 1, (grid.sx + 1) * (grid.sy + 1)
 
 
+def voxel_corners(cells: DataFrame, grid: Grid) -> DataFrame:
+    """i, j, k, corner, p (lattice key) and x, y, z of the eight corners of each cell (i, j, k)."""
+    table = F.array(*(F.struct(F.lit(n).alias("corner"), *(F.lit(v).alias(f"o{a}") for v, a in zip(c, "ijk", strict=True))) for n, c in enumerate(CORNERS)))
+    rows = cells.select("i", "j", "k", F.explode(table).alias("t"))
+    at = [F.col(n) + F.col(f"t.o{n}") for n in "ijk"]
+    key = sum((a * s for a, s in zip(at, _steps(grid), strict=True)), F.lit(0)).cast("long").alias("p")
+    return rows.select("i", "j", "k", F.col("t.corner").cast("long").alias("corner"), key, *(e.alias(n) for e, n in zip(grid.world(*at), "xyz", strict=True)))
+
+
+def corner_values(cells: DataFrame, values: DataFrame, grid: Grid) -> DataFrame:
+    """i, j, k and v, the values at the cell's corners in order; each lattice value is computed once and joined."""
+    rows = voxel_corners(cells, grid).join(values.select("p", "v"), "p")
+    return rows.groupBy("i", "j", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "v"))), lambda t: t["v"]).alias("v"))
+
+
+def edge_bipolarity(v: Column, iso: float = 0.0) -> Column:
+    """Of an array of eight corner values: for each edge, whether exactly one end is at or above ``iso``."""
+    return F.array(*((F.get(v, F.lit(a)) >= iso) != (F.get(v, F.lit(b)) >= iso) for a, b in EDGES))
+
+
+def is_active(v: Column, iso: float = 0.0) -> Column:
+    """Whether any edge is crossed: corners on both sides, as a cell's edges connect all its corners."""
+    return (F.array_min(v) < iso) & (F.array_max(v) >= iso)
+
+
 def _edge_table(values: DataFrame, grid: Grid) -> DataFrame:
     """p, axis, a, b, t of the lattice edges that cross the isovalue; a and b are the values at their ends."""
     steps = _steps(grid)
@@ -79,7 +104,7 @@ def component_of_hint(cells: DataFrame, crossed: DataFrame, grid: Grid, hint: tu
     """The active cells that share crossed edges, in chains, with the one nearest to the hint (by steps, then key)."""
     home = [int((h - o) // s) for h, o, s in zip(hint, (grid.x, grid.y, grid.z), (grid.dx, grid.dy, grid.dz), strict=True)]
     steps = sum((F.abs(F.col(n) - h) for n, h in zip("ijk", home, strict=True)), F.lit(0))
-    links = store(_cell_links(crossed, grid), "cells")
+    links = store(adjacent_cells(crossed, grid), "cells")
     front = done = store(cells.orderBy(steps, "c").limit(1).select("c"), "flood")
     while True:
         step = links.join(front.withColumnRenamed("c", "a"), "a").select(F.col("b").alias("c")).distinct()
@@ -89,8 +114,8 @@ def component_of_hint(cells: DataFrame, crossed: DataFrame, grid: Grid, hint: tu
         done = done.unionByName(front)
 
 
-def _cell_links(crossed: DataFrame, grid: Grid) -> DataFrame:
-    """Pairs a, b of cells around a crossed edge."""
+def adjacent_cells(crossed: DataFrame, grid: Grid) -> DataFrame:
+    """Pairs a, b (linear lattice keys) of cells around a crossed edge; some may lie beyond the grid."""
     s = _steps(grid)
     around = F.element_at(F.array(*(F.array(*(F.lit(-(u * s[m] + v * s[n])) for u in (0, 1) for v in (0, 1))) for m, n in ((1, 2), (0, 2), (0, 1)))), F.col("axis") + 1)
     e = crossed.select("p", "axis", F.col("p").alias("e"), F.explode(around).alias("oa"), around.alias("all"))

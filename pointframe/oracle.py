@@ -84,8 +84,8 @@ select id, {r6("exp(-r*r/(2*0.3::double*0.3::double))/(0.3::double*sqrt(2*pi()))
 {r6("exp(-r*r/(0.8::double*0.8::double/16))", "theta")}, {r6("x+t*nx", "tx")}, {r6("y+t*ny", "ty")}, {r6("z+t*nz", "tz")} from p"""
 SQL["eps_equality_pairs"] = f"with {FLAT} select a.id, b.id as nid from cloud a join cloud b on a.id < b.id and not ({apart('a', 'b')})"
 SQL["plane_signed_distance"] = f"with {EMB}, p as (select id, (x-0.05::double)*0.6::double+z*0.8::double as d from cloud) select id, {r6('d', 'distance')}, abs(d) < 0.01 as near from p"
-SQL["sphere_search"] = f"with {EVT} select id, {r6s('x', 'y', 'z')} from cloud where (x-0.05::double)*(x-0.05::double)+(y-0.5::double)*(y-0.5::double)+(z-0.1::double)*(z-0.1::double) <= 0.2::double*0.2::double"
-SQL["box_search"] = f"with {EVT} select id, {r6s('x', 'y', 'z')} from cloud where x between 0.0::double and 0.08::double and y between 0.25::double and 0.5::double and z between 0.05::double and 0.2::double"
+SQL["sphere_search"] = f"with {EVT} select id, x, y, z from cloud where (x-0.05::double)*(x-0.05::double)+(y-0.5::double)*(y-0.5::double)+(z-0.1::double)*(z-0.1::double) <= 0.2::double*0.2::double"
+SQL["box_search"] = f"with {EVT} select id, x, y, z from cloud where x between 0.0::double and 0.08::double and y between 0.25::double and 0.5::double and z between 0.05::double and 0.2::double"
 SQL["box_join"] = f"""with {EVT}, b as (select range as qid, range*0.125::double as lo, range*0.125::double+0.2::double as hi from range(8))
 select qid, count(*) as n, min(id) as first_id from b join cloud on y between lo and hi and x between 0 and 0.05::double and z between 0.02::double and 0.09::double group by qid"""
 SQL["kd_box_search"] = "select vec_id as id from embeddings where list_min(embedding)::double >= -0.3::double and list_max(embedding)::double <= 0.35::double"
@@ -109,7 +109,7 @@ select {r6("x0-dx", "x")}, {r6("y0-dy", "y")}, {r6("z0-dz", "z")}, {r6s("dx", "d
 SQL["voxel_index"] = f"""with {EMB}, g as (select id, floor((x-(-0.5::double-0.1::double))/0.1::double)::bigint as i, floor((y-(-0.5::double-0.125::double))/0.125::double)::bigint as j,
   floor((z-(-0.5::double-1.0::double/6))/(1.0::double/6))::bigint as k from cloud)
 select id, i, j, k, i+j*12+k*120 as cell, i as i2, j as j2, k as k2, {r6("-0.5::double-0.1::double+i*0.1::double", "wx")}, {r6("-0.5::double-0.125::double+j*0.125::double", "wy")}, {r6("-0.5::double-1.0::double/6+k*(1.0::double/6)", "wz")} from g"""
-SQL["bounding_box"] = f"with {EVT} select {', '.join(r6(f'{f}({n})', f'{n}{f}') for f in ('min', 'max') for n in 'xyz')} from cloud"
+SQL["bounding_box"] = f"with {EVT} select {', '.join(f'{f}({n}) as {n}{f}' for f in ('min', 'max') for n in 'xyz')} from cloud"
 SQL["kd_bounding_box"] = f"with {KD}, u as (select unnest(coords) as v, generate_subscripts(coords, 1)-1 as axis from kd) select axis::bigint as axis, {r6('min(v)', 'low')}, {r6('max(v)', 'high')} from u group by axis"
 SQL["center_of_geometry"] = f"with {EMB} select label, count(*) as n, {', '.join(r6(f'avg({n})', f'c{n}') for n in 'xyz')} from cloud group by label"
 _COV = f"""{EMB}, mu as materialized (select label as id, avg(x) as mx, avg(y) as my, avg(z) as mz from cloud group by label),
@@ -275,6 +275,14 @@ _PAIR = "least(sqrt(({x}+1.6::double)*({x}+1.6::double)+{y}*{y}+{z}*{z})-1, sqrt
 _PAIR_NETS = _nets((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8), _PAIR).replace("vert as materialized (select row_number() over (order by c)-1 as vid, * from cell)", "vert as materialized (select row_number() over (order by c)-1 as vid, * from cell where x < 0)")
 SQL["surface_nets_hint"] = f"with {_PAIR_NETS} select vid::bigint as vid, {r6s('x', 'y', 'z')} from vert"
 
+_SMALL = _nets((-1.0,) * 3, (1.0,) * 3, (5, 5, 5), "sqrt({x}*{x}+{y}*{y}+{z}*{z})-1")
+_CORNER = "(select range%2 as oi, (range//2)%2 as oj, range//4 as ok from range(8))"
+SQL["voxel_activity"] = f"""with {_SMALL}, box as materialized (select p, i, j, k from lat where i < 7 and j < 7 and k < 7),
+corner as materialized (select b.p as c, b.i, b.j, b.k, o.oi, o.oj, o.ok, b.p+o.oi+o.oj*8+o.ok*64 as q from box b, {_CORNER} o), cv as materialized (select c.*, l.v from corner c join lat l on l.p = c.q),
+n as materialized (select a.c, count(*) filter ((a.v >= 0) <> (b.v >= 0)) as crossed from cv a join cv b on b.c = a.c and b.oi+b.oj+b.ok = a.oi+a.oj+a.ok+1 and abs(b.oi-a.oi)+abs(b.oj-a.oj)+abs(b.ok-a.ok) = 1 group by a.c),
+m as (select c, i, j, k, min(v) as lo, max(v) as hi from cv group by c, i, j, k)
+select m.i::bigint as i, m.j::bigint as j, m.k::bigint as k, n.crossed::bigint as crossed, n.crossed > 0 as active, {r6("lo", "least")}, {r6("hi", "most")} from m join n on n.c = m.c"""
+
 SQL["density_filter"] = f"with {MEANS}, r as materialized (select avg(m) as r from m), n as (select q.id, count(*) as n from cloud q, cloud c, r where {d2('q', 'c')} <= r.r*r.r group by q.id) select id, n from n where n >= 5"
 SQL["density_and_normals"] = f"""with {EMB}, {knn(15)}, {PLANES}, {near("0.1::double", name="ball")}, den as (select id, count(*)/{4 / 3 * math.pi * 0.1**3!r}::double as d from ball group by id)
 select den.id, round(d, 3)+0.0 as density, {r6("abs(vz)", "abs_nz")} from den left join nrm on nrm.id = den.id"""

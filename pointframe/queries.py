@@ -93,12 +93,12 @@ def plane_signed_distance(spark, sf_dir):
 
 @query
 def sphere_search(spark, sf_dir):
-    return neighbors.sphere_search(pc_evt(spark, sf_dir), (0.05, 0.5, 0.1), 0.2).select("id", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
+    return neighbors.sphere_search(pc_evt(spark, sf_dir), (0.05, 0.5, 0.1), 0.2).select("id", "x", "y", "z")
 
 
 @query
 def box_search(spark, sf_dir):
-    return neighbors.box_search(pc_evt(spark, sf_dir), (0.0, 0.25, 0.05), (0.08, 0.5, 0.2)).select("id", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
+    return neighbors.box_search(pc_evt(spark, sf_dir), (0.0, 0.25, 0.05), (0.08, 0.5, 0.2)).select("id", "x", "y", "z")
 
 
 @query
@@ -159,7 +159,7 @@ def voxel_index(spark, sf_dir):
 
 @query
 def bounding_box(spark, sf_dir):
-    return rounded(stats.bounding_box(pc_evt(spark, sf_dir)), "xmin", "ymin", "zmin", "xmax", "ymax", "zmax")
+    return stats.bounding_box(pc_evt(spark, sf_dir))
 
 
 @query
@@ -418,6 +418,16 @@ def surface_nets_hint(spark, sf_dir):
     return rounded(isosurface.surface_nets(spark, _two_balls, PAIR_GRID, hint=(-1.6, 0.0, 0.9))[0], "x", "y", "z")
 
 
+@query
+def voxel_activity(spark, sf_dir):
+    grid = Grid.containing((-1.0,) * 3, (1.0,) * 3, (5,) * 3)
+    values = isosurface.sampled(spark, grid, _ball)
+    cells = values.where((F.col("i") < grid.sx) & (F.col("j") < grid.sy) & (F.col("k") < grid.sz)).select("i", "j", "k")
+    v = isosurface.corner_values(cells, values, grid)
+    crossed = F.size(F.filter(isosurface.edge_bipolarity(F.col("v")), lambda b: b)).cast("long")
+    return v.select("i", "j", "k", crossed.alias("crossed"), isosurface.is_active(F.col("v")).alias("active"), r6(F.array_min("v")).alias("least"), r6(F.array_max("v")).alias("most"))
+
+
 # --- pipelines, files
 
 

@@ -102,3 +102,13 @@ def test_duplicates_are_counted(cloud_of):
     pts = [(1, 1, 1)] * 13 + [(0, 0, 0), (2, 3, 4)]
     c = stats.center_of_geometry(cloud_of(pts)).first()
     assert c.n == 15 and math.isclose(c.cx, 15 / 15)
+
+
+def test_timer():
+    from pointframe.functions.timing import Timer
+
+    t = Timer()
+    for _ in range(2):
+        with t("a"):
+            pass
+    assert list(t.seconds) == ["a"] and t.seconds["a"] >= 0
