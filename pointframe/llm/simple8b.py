@@ -38,23 +38,36 @@ SCHEMA = "shard int, chunk long, first long, doc_ids array<long>, lengths array<
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and block offsets of an array of unsigned integers."""
+    """Words and block offsets of an array of unsigned integers; some blocks at a time, to stay in the cache."""
+    words, offsets, base = [np.empty(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+    for lo in range(0, len(values), 256 * BLOCK):
+        some, at = _encode(values[lo : lo + 256 * BLOCK])
+        words.append(some)
+        offsets.append(at + np.uint32(base))
+        base += len(some)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+#: Bits of the numbers below 2^16.
+_BITS = np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.uint8)
+
+
+def _encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = np.asarray(values, np.uint64)
     lanes = -(-len(v) // BLOCK)
-    if not lanes:
-        return np.empty(0, np.uint64), np.zeros(0, np.uint32)
-    grid = np.zeros((lanes, BLOCK + 120), np.uint64)
     flat = np.zeros(lanes * BLOCK, np.uint64)
     flat[: len(v)] = v
-    grid[:, :BLOCK] = flat.reshape(lanes, BLOCK)
     size = np.full(lanes, BLOCK)
     size[-1] = len(v) - (lanes - 1) * BLOCK
-    width = np.zeros(grid.shape, np.uint8)  # bits of each value; the padding is zeros
-    if int(v.max()) < 1 << 52:  # the exponent of an exact float
-        width[:, :BLOCK] = (((2 * flat + 1).astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)).astype(np.uint8).reshape(lanes, BLOCK)
+    width = np.zeros((lanes, BLOCK + 120), np.uint8)  # bits of each value; the padding is zeros
+    top = int(v.max())
+    if top < 1 << 16:
+        bits = _BITS[flat]
+    elif top < 1 << 52:  # the exponent of an exact float
+        bits = (((2 * flat + 1).astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)).astype(np.uint8)
     else:
-        width[:, :BLOCK] = np.array([int(x).bit_length() for x in flat], np.uint8).reshape(lanes, BLOCK)
-    pick = np.full((lanes, BLOCK), ESCAPE, np.int8)
+        bits = np.array([int(x).bit_length() for x in flat], np.uint8)
+    width[:, :BLOCK] = bits.reshape(lanes, BLOCK)
     widest = {1: width}  # count -> the widest of that many values from each place on
     narrow = {1: int(width.min())}
 
@@ -62,15 +75,17 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if c not in widest:
             half = c // 2
             a, b = window(c - half), window(half)
-            span = grid.shape[1] - c + 1
+            span = width.shape[1] - c + 1
             widest[c] = np.maximum(a[:, :span], b[:, c - half : c - half + span])
             narrow[c] = int(widest[c][:, :BLOCK].min())
         return widest[c]
 
-    for s in range(ESCAPE - 1, -1, -1):  # small counts first; larger ones override
+    # A selector that fits implies all of smaller counts, so the number that fit names the best.
+    pick = np.full((lanes, BLOCK), ESCAPE, np.uint8)
+    for s in range(ESCAPE - 1, -1, -1):
         c, w = int(COUNTS[s]), WIDTHS[s]
         if all(n <= w for k, n in narrow.items() if k <= c):
-            np.copyto(pick, np.int8(s), where=window(c)[:, :BLOCK] <= w)
+            pick -= window(c)[:, :BLOCK] <= w
     at, live, steps = np.zeros(lanes, np.int64), np.arange(lanes), []
     rank = np.zeros(lanes, np.int64)
     while len(live):
@@ -92,10 +107,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     real = np.flatnonzero(code >= 0)  # the others are raw words after an escape
     code, begin = code[real], begin[real]
     count = np.diff(np.append(begin, lanes * BLOCK))  # of the ids that a word holds, padding included
-    shift = (np.arange(lanes * BLOCK) - np.repeat(begin, count)) * np.repeat(np.where(code == ESCAPE, 0, WIDTHS[code]), count)
-    put = flat << shift.astype(np.uint64)
+    bits = np.where(code == ESCAPE, 0, WIDTHS[code]).astype(np.uint8)
+    shift = (np.arange(lanes * BLOCK, dtype=np.int32) - np.repeat(begin.astype(np.int32), count)).astype(np.uint8) * np.repeat(bits, count)
+    put = flat << shift
     put[begin[code == ESCAPE]] = 0
-    np.copyto(put, 0, where=shift >= 60)
     words[real] = np.bitwise_or.reduceat(put, begin) | (code.astype(np.uint64) << np.uint64(60))
     raw = real[code == ESCAPE]
     words[raw + 1] = flat[begin[code == ESCAPE]]
@@ -117,21 +132,21 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     at = np.flatnonzero(head)
     sel = sel[at]
     lane = np.searchsorted(offsets.astype(np.int64), at, "right") - 1
-    cnt = COUNTS[sel]
-    before = np.cumsum(cnt) - cnt
+    count = COUNTS[sel]
+    before = np.cumsum(count) - count
     first = np.searchsorted(lane, np.arange(lanes))
     pos = before - before[first][lane]
-    grid = np.zeros((lanes, BLOCK + 120), np.uint64)
-    for s in np.unique(sel):
-        m = sel == s
-        a, p, w = lane[m], pos[m], words[at[m]]
-        if s == ESCAPE:
-            grid[a, p] = words[at[m] + 1]
-        elif s:
-            mask = np.uint64((1 << int(WIDTHS[s])) - 1)
-            for j in range(COUNTS[s]):
-                grid[a, p + j] = (w >> np.uint64(j * WIDTHS[s])) & mask
-    return grid[:, :BLOCK].ravel()[:n]
+    count = np.minimum(count, np.minimum(BLOCK, n - lane * BLOCK) - pos)  # without the padding
+    kind = sel.astype(np.uint8)
+    width = WIDTHS.astype(np.uint8)
+    width[ESCAPE] = 0
+    mask = np.array([(1 << int(w)) - 1 for w in width], np.uint64)
+    start = np.cumsum(count) - count
+    shift = (np.arange(n, dtype=np.int32) - np.repeat(start.astype(np.int32), count)).astype(np.uint8) * np.repeat(width[kind], count)
+    out = (np.repeat(words[at], count) >> shift) & np.repeat(mask[kind], count)
+    raw = sel == ESCAPE
+    out[start[raw]] = words[at[raw] + 1]
+    return out
 
 
 def _shards(path: str, end_id: int):

@@ -61,7 +61,7 @@ class _Memory(dict):
 class Encoder:
     """Ids of texts. Special-token strings in a text are ordinary text. Needs a little-endian machine."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,7 +78,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a space and a word."""
         stem = word.rstrip(MARKS)
-        if stem.isalpha() and max(stem) < "\u0250":  # letters, then marks: the pre-tokenizer cuts between them
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):  # letters, then marks: the pre-tokenizer cuts between them
             if len(stem) < len(word):
                 return self.words[stem] + self.parts[word[len(stem) :]]
             raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
@@ -126,8 +126,8 @@ class Encoder:
         bounds = cut.offsets.to_numpy()
         coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        which = coded.indices.to_numpy().astype(np.int64)
-        names = coded.dictionary.to_pylist()
+        which = coded.indices.to_numpy().copy()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = list(map(self.words.__getitem__, names))
         # The first word of a text has no space before it.
         heads = bounds[:-1]
@@ -142,7 +142,10 @@ class Encoder:
         n = size[which]
         ends = np.cumsum(n)
         total = int(ends[-1])
-        ids = table[np.repeat(start[which] - (ends - n), n) + np.arange(total)]
+        kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+        at = np.repeat((start[which] - (ends - n)).astype(kind), n)
+        at += np.arange(total, dtype=kind)
+        ids = table[at]
         at = np.concatenate([[0], ends])
         return ids, at[bounds[1:]] - at[bounds[:-1]]
 
