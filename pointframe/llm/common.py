@@ -49,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` distinct words at a time."""
 
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 

@@ -33,7 +33,7 @@ from pointframe.llm.common import WordHashes, mix64, shingle_set, small, store
 ROWS = 5
 SKETCH_BITS = 1024
 BLOCK_ROWS = 384
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def bands_for(percent: int) -> int:
@@ -122,14 +122,16 @@ def _sets(width: int, name: str = "set"):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, made = WordHashes(), None, b""
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            out = []
-            for text in b.column(at).to_pylist():
-                if text != last:
-                    last, made = text, shingle_set(text, width, hashes).tobytes()
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.binary()), *b.columns[at + 1 :]], names=[*b.schema.names[:at], name, *b.schema.names[at + 1 :]])
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for lo in range(0, whole.num_rows, 512):  # small batches out: sets are larger than texts
+                b = whole.slice(lo, 512)
+                out = []
+                for text in b.column(at).to_pylist():
+                    if text != last:
+                        last, made = text, shingle_set(text, width, hashes).tobytes()
+                    out.append(made)
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.binary()), *b.columns[at + 1 :]], names=[*b.schema.names[:at], name, *b.schema.names[at + 1 :]])
 
     return run
 
@@ -265,8 +267,10 @@ def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, width: int,
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rest.select("key", "rep", "comp", "sketch", "own", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sketch")
     dealt = store(dealt, "rest")
-    sets = texts.join(small(dealt, dealt.count()), F.col("doc_id") == F.col("rep")).select("key", "i", "j", "side", "rep", "comp", "sketch", "text")
-    sets = sets.mapInArrow(_sets(width), "key long, i int, j int, side int, rep long, comp long, sketch binary, set binary")
+    ids = store(dealt.select("rep").distinct(), "rest-ids")
+    held = texts.join(small(ids, ids.count()), F.col("doc_id") == F.col("rep"), "left_semi")  # ids only: rows with sketches are shuffled
+    held = held.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets(width), "rep long, set binary")  # once a text, before it is repeated
+    sets = dealt.join(held, "rep").select("key", "i", "j", "side", "rep", "comp", "sketch", "set")
     return star.unionByName(sets.groupBy("key", "i", "j").applyInArrow(_forest(percent, flips), "u long, v long"))
 
 
