@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import WordHashes, mix64, shingle_set, small, store
+from pointframe.llm.common import WordHashes, mix64, shingle_set, small, store, trim
 
 ROWS = 5
 SKETCH_BITS = 1024
@@ -79,8 +79,9 @@ def _signatures(width: int, bands: int):
     salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         hashes = WordHashes()
-        for b in batches:
+        for b in (w.slice(at, 1024) for w in batches for at in range(0, w.num_rows, 1024)):
             n, hi, lo, keys, sketch = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width, hashes)
@@ -121,6 +122,7 @@ def _sets(width: int, name: str = "set"):
     """Replaces text by its shingle set; rows of one document that follow each other are hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         hashes, last, made = WordHashes(), None, b""
         for whole in batches:
             at = whole.schema.get_field_index("text")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import store
+from pointframe.llm.common import store, trim
 from pointframe.llm.tokens import crc32, encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,6 +70,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
     """One row per piece of every document: ids of the whole text (null: empty), then ``end_id``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 ids, lengths = with_end(*encoder(tokenizer).encode(b.column("text").slice(lo, 1024)), end_id)

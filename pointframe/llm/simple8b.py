@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import shared_dir
+from pointframe.llm.common import shared_dir, trim
 from pointframe.llm.tokens import crc32, encoder, with_end
 
 BLOCK = 1024
@@ -153,6 +153,7 @@ def _shards(path: str, end_id: int):
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("offsets", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         shard, done, chunk, held = TaskContext.get().partitionId(), 0, 0, 0
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []

@@ -61,7 +61,7 @@ class _Memory(dict):
 class Encoder:
     """Ids of texts. Special-token strings in a text are ordinary text. Needs a little-endian machine."""
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
