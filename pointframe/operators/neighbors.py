@@ -183,6 +183,32 @@ def box_join(boxes: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     return boxes.join(_with_cells(cloud, cell), ["cx", "cy", "cz"]).where(hit).select("qid", "id")
 
 
+def figure_intersections(figures: DataFrame) -> DataFrame:
+    """id, boxes, balls, box_ball for each figure (id, x, y, z, r): how many others touch it, both as boxes of half-width
+    r, both as balls, and the other's ball with its box.
+
+    Boxes, widened by the largest r, are spread over cells of that size; each centre has one cell, so a pair meets once.
+    """
+    require_columns(figures, "id", "x", "y", "z", "r")
+    names = ("boxes", "balls", "box_ball")
+    top = figures.agg(F.max("r")).first()[0]
+    if top is None:
+        return figures.select("id", *(F.lit(0).cast("long").alias(n) for n in names))
+    cell = float(top) * (1 + 1e-9) if top > 0 else 1.0
+    reach = F.col("r") + F.lit(float(top))
+    wide = figures.select("id", "x", "y", "z", "r")
+    for n in "xyz":
+        pad = reach + (F.abs(n) + reach) * 1e-12  # rounding of the exact predicates
+        wide = wide.withColumn(f"c{n}", F.explode(F.sequence(F.floor((F.col(n) - pad) / cell), F.floor((F.col(n) + pad) / cell))))
+    other = _with_cells(figures.select(F.col("id").alias("nid"), *(F.col(n).alias(f"b{n}") for n in ("x", "y", "z", "r"))), cell, "b")
+    a, b, r, s = g.vec(), g.vec("b"), F.col("r"), F.col("br")
+    low, high = tuple(c - r for c in a), tuple(c + r for c in a)
+    hits = (g.boxes_intersect(low, high, tuple(c - s for c in b), tuple(c + s for c in b)), g.balls_intersect(a, r, b, s), g.box_ball_intersect(low, high, b, s))
+    pairs = wide.join(other, ["cx", "cy", "cz"]).where("id <> nid")
+    counts = pairs.groupBy("id").agg(*(F.count_if(h).alias(n) for h, n in zip(hits, names, strict=True)))
+    return figures.select("id").join(counts, "id", "left").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+
+
 def find(cloud: DataFrame, targets: DataFrame, eps: float = g.EPS) -> DataFrame:
     """id, nid: for each target the smallest id of a point equal to it on every axis within ``eps``."""
     q, c = _sides(targets, cloud)

@@ -104,6 +104,9 @@ def _box_gap(n: str) -> str:
 SQL["intersections"] = f"""with {EMB}, s as materialized (select id, x, y, z, 0.02::double+(id%5)*0.03::double as r from cloud where id < 60)
 select a.id, b.id as nid, {" and ".join(f"(a.{n}-a.r <= b.{n}+b.r and b.{n}-b.r <= a.{n}+a.r)" for n in "xyz")} as boxes, {d2("a", "b")} <= (a.r+b.r)*(a.r+b.r) as balls,
 {"+".join(f"({_box_gap(n)})*({_box_gap(n)})" for n in "xyz")} <= b.r*b.r as box_ball from s a join s b on a.id < b.id"""
+SQL["intersections_all"] = f"""with {EMB}, s as materialized (select id, x, y, z, 0.02::double+(id%5)*0.03::double as r from cloud)
+select a.id, count(*) filter ({" and ".join(f"(a.{n}-a.r <= b.{n}+b.r and b.{n}-b.r <= a.{n}+a.r)" for n in "xyz")}) as boxes, count(*) filter ({d2("a", "b")} <= (a.r+b.r)*(a.r+b.r)) as balls,
+count(*) filter ({"+".join(f"({_box_gap(n)})*({_box_gap(n)})" for n in "xyz")} <= b.r*b.r) as box_ball from s a join s b on a.id <> b.id group by a.id"""
 SQL["grid_containing"] = f"""with {EMB}, b as (select min(x) as x0, min(y) as y0, min(z) as z0, (max(x)-min(x))/10 as dx, (max(y)-min(y))/8 as dy, (max(z)-min(z))/6 as dz from cloud)
 select {r6("x0-dx", "x")}, {r6("y0-dy", "y")}, {r6("z0-dz", "z")}, {r6s("dx", "dy", "dz")}, 12::bigint as sx, 10::bigint as sy, 8::bigint as sz from b"""
 SQL["voxel_index"] = f"""with {EMB}, g as (select id, floor((x-(-0.5::double-0.1::double))/0.1::double)::bigint as i, floor((y-(-0.5::double-0.125::double))/0.125::double)::bigint as j,

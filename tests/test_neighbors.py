@@ -149,3 +149,19 @@ def test_missing_columns(spark):
     with pytest.raises(ValueError):
         neighbors.range_join(spark.range(1), spark.range(1), 1.0)
     assert F is not None
+
+
+def test_figure_intersections_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, *p, float(r)) for i, (p, r) in enumerate(zip(rng.uniform(-2, 2, (300, 3)).tolist(), rng.choice([0.0, 0.05, 0.2, 0.6], 300), strict=True))]
+    rows += [(300, 50.0, 0.0, 0.0, 0.5), (301, 51.0, 0.0, 0.0, 0.5), (302, 90.0, 0.0, 0.0, 0.1)]  # two that touch, one alone
+    got = {r.id: (r.boxes, r.balls, r.box_ball) for r in neighbors.figure_intersections(spark.createDataFrame(rows, "id long, x double, y double, z double, r double")).collect()}
+
+    def touch(a, b):
+        p, r, q, s = np.array(a[1:4]), a[4], np.array(b[1:4]), b[4]
+        gap = np.clip(q, p - r, p + r) - q
+        return bool(((p - r <= q + s) & (q - s <= p + r)).all()), ((q - p) ** 2).sum() <= (r + s) ** 2, (gap**2).sum() <= s * s
+
+    for a in rows:
+        assert got[a[0]] == tuple(sum(t) for t in zip(*(touch(a, b) for b in rows if b is not a), strict=True)), a
+    assert got[300] == got[301] == (1, 1, 1) and got[302] == (0, 0, 0)
