@@ -1,15 +1,18 @@
 """Main text of web pages by consensus paths of their host.
 
 Each page scores its containers: the text of a block goes to the element around
-it and, halved, to the one above, less what lies in links. The best container's
+it and, halved, to the one above, less what lies in links. From the best container
+it climbs to the outermost article or main around it, or else to the body, so that
+titles, leads and smaller sections beside the best container stay. That element's
 generalised path (tags with their classes, digits removed) is a vote weighted by
-its characters. Votes are summed per host in Spark, and every page of the host is
-extracted again from the winning path; a page that lacks it uses its own best
-container, and a page without any container its whole body.
+the container's characters. Votes are summed per host in Spark, and every page of
+the host is extracted again from the winning path and from its own choice; a page
+without any container gives its whole body.
 
-Inside the chosen container everything is kept except elements that are not
+Inside the chosen elements everything is kept except elements that are not
 article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments), found by tag, role, or a word of class or id.
+comments), found by tag, role, or a word of class or id, and, where there is no
+article or main, blocks of links outside the best container.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg math object select canvas audio video".split())
+MAIN = ("article", "main")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav aside footer form button input label menu dialog head search".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -139,7 +143,7 @@ class Page:
         marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         return len(marks) > 1 and not BOILERPLATE.isdisjoint(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks).lower()))
 
-    def best(self) -> tuple[str, int] | None:
+    def container(self) -> tuple[str, int] | None:
         """Path and score of the best container."""
         score: dict[int, int] = {}
         for element, text, links, dropped in self.blocks:
@@ -153,7 +157,7 @@ class Page:
             if up := self.above[box]:
                 score[up] = score.get(up, 0) + worth // 2
         for box in score:
-            if self.tag[box] in ("article", "main"):
+            if self.tag[box] in MAIN:
                 score[box] = score[box] * 3 // 2
         by_path: dict[str, int] = {}
         for box, n in score.items():
@@ -161,13 +165,36 @@ class Page:
                 by_path[self.path[box]] = by_path.get(self.path[box], 0) + n
         return min(by_path.items(), key=lambda x: (-x[1], x[0])) if by_path else None
 
-    def text(self, path: str | None) -> str:
-        """Blocks under the elements with this path (None: all), in page order."""
-        if path is not None:
-            under = [False] * len(self.path)
-            for i in range(1, len(self.path)):
-                under[i] = self.path[i] == path or under[self.above[i]]
-        return "\n\n".join(t for e, t, _, dropped in self.blocks if not dropped and (path is None or under[e]))
+    def best(self) -> tuple[str, int] | None:
+        """Path of the element that holds the whole main text, and the score of the best container."""
+        if not (won := self.container()):
+            return None
+        box, around = self.path.index(won[0]), []
+        while box:
+            around.append(box)
+            box = self.above[box]
+        tops = [e for e in around if self.tag[e] in MAIN] or [e for e in around if self.tag[e] == "body"] or [0]
+        return self.path[tops[-1]], won[1]
+
+    def _under(self, roots: set[int]) -> list[bool]:
+        under = [e in roots for e in range(len(self.path))]
+        for e in range(1, len(under)):
+            under[e] = under[e] or under[self.above[e]]
+        return under
+
+    def text(self, *paths: str) -> str:
+        """Blocks under the elements with these paths (none: all), in page order."""
+        kept = [b for b in self.blocks if not b[3]]
+        if paths:
+            roots = {e for e, p in enumerate(self.path) if p in paths}
+            if any(self.tag[e] in MAIN for e in roots):  # beside it there may be others
+                roots |= {e for e, t in enumerate(self.tag) if t in MAIN}
+            loose = self._under({e for e in roots if self.tag[e] in ("", "html", "body")})
+            won = self.container()
+            sure = self._under({e for e, p in enumerate(self.path) if won and p == won[0] or self.tag[e] in MAIN})
+            under = self._under(roots)
+            kept = [b for b in kept if under[b[0]] and not (loose[b[0]] and not sure[b[0]] and len(b[1]) <= 2 * b[2])]
+        return "\n\n".join(b[1] for b in kept)
 
 
 def host_of(url: str = "url"):
@@ -185,14 +212,13 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(source: str | None, path: str | None) -> str:
-    """Text of one page, from the host's path if the page has it."""
+    """Text of one page, from the host's path if the page has it, and from the page's own choice."""
     if not source:
         return ""
     page = Page(source)
-    if path and (found := page.text(path)):
-        return found
-    own = page.best()
-    return page.text(own[0] if own else None)
+    if own := page.best():
+        return page.text(own[0], *(() if path is None else (path,)))
+    return path and page.text(path) or page.text()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,27 @@ def test_page_text():
     assert htmltext.main_text(PAGE, ">no>such>path") == want
 
 
+def test_text_around_the_best_container():
+    long, short = "Long text of the body. " * 30, "A lead or a smaller section."
+    nested = f"<html><body><nav>menu</nav><article><h1>Title</h1><p>{short}</p><div class=entry><p>{long}</p></div></article><footer>end</footer></body></html>"
+    headed = f"<html><body><main><article><header><h1>Title</h1></header><p>{short}</p><div class=entry><p>{long}</p></div></article></main></body></html>"
+    plain = f"<html><body><div id=wrap><h1>Title</h1><ul><li><a href=/>Home of links</a></ul><p>{short}</p><div class=entry><p>{long}</p></div></div></body></html>"
+    loose = f"<h1>Title</h1><div class=lead><p>{short}</p></div><div class=entry><p>{long}</p></div>"
+    for source in (nested, headed, plain, loose):
+        assert htmltext.main_text(source, None) == f"Title\n\n{short}\n\n{long.strip()}", source
+    for around in ("article", "main", "div"):
+        source = f"<html><body><{around}><section class=a><p>{long}</p></section><section class=b><p>{short}</p></section></{around}></body></html>"
+        assert htmltext.main_text(source, None) == f"{long.strip()}\n\n{short}"
+    two = f"<html><body><article class=a><p>{long}</p></article><article class=b><p>{short}</p></article></body></html>"
+    assert htmltext.main_text(two, None) == f"{long.strip()}\n\n{short}"
+
+
+def test_host_path_with_little_text():
+    long = "Long text of the body. " * 30
+    source = f"<html><body><article class=teaser><p>Tiny.</p></article><div class=entry><p>{long}</p></div></body></html>"
+    assert htmltext.main_text(source, ">html>body>article.teaser") == f"Tiny.\n\n{long.strip()}"
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "a<b", "<script>never ends", "<!-- open", "<p class='x>text</p>", "</p></div>x", "<div " * 50, "&", "<a b=\"c>d\">e</a>", "<p>" * 3000 + "x"])
 def test_broken_markup(html):
     assert isinstance(htmltext.main_text(html, None), str)
