@@ -292,6 +292,9 @@ select den.id, round(d, 3)+0.0 as density, {r6("abs(vz)", "abs_nz")} from den le
 SQL["reconstruct_distances"] = f"""with {EMB}, {knn(15)}, {PLANES}, box as materialized (select {", ".join(f"min({n})-(max({n})-min({n}))/8 as {n}0, (max({n})-min({n}))/8 as d{n}" for n in "xyz")} from cloud),
 lat as materialized (select range as id, x0+(range%11)*dx as x, y0+((range//11)%11)*dy as y, z0+(range//121)*dz as z from range(1331), box), {knn(1, "lat", "cloud", "one")}
 select one.id as p, {r6("case when nid = (select id from cloud order by z desc, id limit 1) then abs(l.z-oz) else abs((l.x-ox)*vx+(l.y-oy)*vy+(l.z-oz)*vz) end", "distance")} from one join lat l on l.id = one.id join nrm on nrm.id = one.nid"""
+SQL["reconstruct_distances_fine"] = f"""with {EMB}, {knn(15)}, {PLANES}, box as materialized (select {", ".join(f"min({n})-(max({n})-min({n}))/20 as {n}0, (max({n})-min({n}))/20 as d{n}" for n in "xyz")} from cloud),
+lat as materialized (select range as id, x0+(range%23)*dx as x, y0+((range//23)%23)*dy as y, z0+(range//529)*dz as z from range(12167), box), {knn(1, "lat", "cloud", "one")}
+select one.id as p, {r6("case when nid = (select id from cloud order by z desc, id limit 1) then abs(l.z-oz) else abs((l.x-ox)*vx+(l.y-oy)*vy+(l.z-oz)*vz) end", "distance")} from one join lat l on l.id = one.id join nrm on nrm.id = one.nid"""
 _SPREAD = "count(*) as n, avg(m) as mean, var_pop(m)*count(*) as sum_sq_dev, var_pop(m) as var_pop"
 SQL["downsample_spread"] = f"""with {EMB}, {knn(5)}, part2 as materialized (select * from cloud order by md5(concat(id, '-7')), id limit 200), {knn(5, "part2", "part2", "nbr2")},
 m1 as (select avg(sqrt(d2)) as m from nbr group by id), m2 as (select avg(sqrt(d2)) as m from nbr2 group by id), s as (select 'before' as stage, {_SPREAD} from m1 union all select 'after', {_SPREAD} from m2)

@@ -461,7 +461,14 @@ def reconstruct_distances(spark, sf_dir):
 
 @query
 def reconstruct_surface(spark, sf_dir):
-    return pipelines.reconstruct(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (8, 8, 8))[1]
+    return pipelines.reconstruct(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (20, 20, 20))[1]
+
+
+@query
+def reconstruct_distances_fine(spark, sf_dir):
+    """The lattice of reconstruct_surface, while the SQL of ``reconstruct_distances`` has 8 cells a side."""
+    values, _ = pipelines.surface_distances(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (20, 20, 20))
+    return values.select("p", r6(F.abs("v")).alias("distance"))
 
 
 @query

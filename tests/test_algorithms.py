@@ -182,6 +182,18 @@ def test_reconstruction(spark, cloud_of):
     assert triangles.count() > 100 and 0.8 < np.median(r) < 1.2
 
 
+def test_registered_reconstruction_has_the_whole_lattice(spark, monkeypatch):
+    from pointframe import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "pc_emb", lambda *_: spark.range(1).selectExpr("id", "0D x", "0D y", "0D z"))
+    monkeypatch.setattr(pipelines, "reconstruct", lambda c, k, cells: seen.append(cells) or (c, c))
+    monkeypatch.setattr(pipelines, "surface_distances", lambda c, k, cells: (seen.append(cells), (c.selectExpr("id p", "x v"), None))[1])
+    for name in ("reconstruct_surface", "reconstruct_distances_fine"):
+        queries.queries()[name](spark, "")
+    assert seen == [(20, 20, 20)] * 2
+
+
 def test_downsample_choices(cloud_of, random_rows):
     c = cloud_of(random_rows[:200])
     assert pipelines.downsample(c, "random", 50).count() == 50
