@@ -4,7 +4,8 @@ A byte-level pre-tokenizer cuts a text at every single space between two words,
 so each distinct " word" of a batch is looked up once, and its ids are gathered
 for all its places. A word that is not remembered is cut by the pre-tokenizer's
 own pattern and its parts go to the file's BPE model. Texts with runs of white
-space or other blanks are encoded whole by the tokenizer.
+space or other blanks, or with the content of an added token, are encoded whole
+by the tokenizer.
 """
 
 from __future__ import annotations
@@ -59,15 +60,17 @@ class _Memory(dict):
 
 
 class Encoder:
-    """Ids of texts. Special-token strings in a text are ordinary text. Needs a little-endian machine."""
+    """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them; with ``plain``, special-token strings in a
+    text are ordinary text. Needs a little-endian machine."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 200_000, plain: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.space = _byte_letters()[32]
@@ -106,6 +109,8 @@ class Encoder:
         odd = pc.match_substring_regex(texts, BLANKS)
         for pattern in ("  ", " \n", "\n "):
             odd = pc.or_(odd, pc.match_substring(texts, pattern))
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
         odd = odd.to_numpy(zero_copy_only=False)
         ids, lengths = self._spaced(texts.filter(pa.array(~odd)) if odd.any() else texts)
         if not odd.any():
@@ -151,9 +156,9 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
+    """This process's encoder for a tokenizer file, with the library's default for special tokens."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, plain=False)
     return _ENCODERS[path]
 
 

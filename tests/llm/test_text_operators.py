@@ -119,6 +119,17 @@ def test_ids_equal_the_tokenizer():
     assert e.encode([])[0].size == 0 and e.encode(["", None])[1].tolist() == [0, 0]
 
 
+def test_queries_encode_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokenizer_path()), tokens.encoder(tokenizer_path())
+    for texts in (ODD, ["<|endoftext|>", "a b<|endoftext|>", "x <|endoftext|>y z", "plain text"]):
+        ids, n = e.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    row = simple8b.encode_documents(spark.createDataFrame([(1, "x<|endoftext|> c")], "doc_id long, text string"), tokenizer_path(), 2).first()
+    assert row.ids_crc32 == zlib.crc32(np.array([87, 50256, 269, 2], "<u4").tobytes())
+
+
 def test_token_files(spark, odd_docs, no_docs, tmp_path):
     folder = f"file://{tmp_path}/shards"
     rows = simple8b.encode_documents(odd_docs, tokenizer_path(), 2, folder).orderBy("start").collect()
