@@ -276,13 +276,47 @@ def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, width: int,
     return star.unionByName(sets.groupBy("key", "i", "j").applyInArrow(_forest(percent, flips), "u long, v long"))
 
 
+def _own_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose doc_id is theirs alone, and the stored others with a new ``_key`` each (None: there are no others)."""
+    own = F.col("doc_id").cast("long")
+    ids = docs.select(own.alias("_id"))
+    shared = store(ids.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select("_id"), "shared-ids")
+    n = shared.count()
+    if not n:
+        return docs, None
+    low, high = ids.agg(F.min("_id"), F.max("_id")).first()
+    room = 1 << 60
+    base = 0 if high is None else high + 1 if high < (1 << 63) - 1 - room else low - room
+    plain = docs.where(own.isNotNull()).join(small(shared, n), own == F.col("_id"), "left_anti")
+    rest = docs.where(own.isNull()).unionByName(docs.join(small(shared, n), own == F.col("_id"), "left_semi"))
+    return plain, store(rest.withColumn("_key", F.monotonically_increasing_id() + F.lit(base).cast("long")), "own-keys")
+
+
+def _keyed(plain: DataFrame, others: DataFrame) -> DataFrame:
+    return plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(others.select(F.col("_key").alias("doc_id"), "text"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     A text without words has no shingles and is linked with nothing. The smallest
     doc_id of a component is kept. A null doc_id is passed through as its own
-    component (null, kept). Repeated rows of one doc_id share their component.
+    component (null, kept). Rows that share a doc_id are linked each by its own
+    text; all of them are kept if theirs is the smallest.
     """
+    plain, others = _own_keys(docs)
+    if others is None:
+        return _linked_keys(docs, width, percent)
+    found = _linked_keys(_keyed(plain, others), width, percent).withColumnRenamed("doc_id", "_row")
+    named = found.join(others.select("_key", F.col("doc_id").cast("long").alias("_doc")), F.col("_row") == F.col("_key"), "left")
+    named = store(named.select(F.when(F.col("_key").isNull(), F.col("_row")).otherwise(F.col("_doc")).alias("doc_id"), "n_shingles", F.col("component_id").alias("_component")), "named")
+    least = named.groupBy("_component").agg(F.min("doc_id").alias("_least"))
+    known = F.when(F.col("doc_id").isNotNull(), F.col("_least"))
+    return named.join(least, "_component").select("doc_id", "n_shingles", known.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_least"))).alias("kept"))
+
+
+def _linked_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows with a doc_id each."""
     spark = docs.sparkSession
     bands = bands_for(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -303,7 +337,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id represents its component; of repeated rows of one doc_id all or none stay."""
-    lost = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    lost = store(lost, "lost")
-    return docs.join(small(lost, lost.count()), F.col("doc_id") == F.col("_lost"), "left_anti")
+    """One row of ``docs`` for each component, also where rows share a doc_id or have none."""
+    plain, others = _own_keys(docs)
+    found = _linked_keys(docs if others is None else _keyed(plain, others), width, percent)
+    lost = store(found.where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    n = lost.count()
+    kept = plain.join(small(lost, n), F.col("doc_id") == F.col("_lost"), "left_anti")
+    return kept if others is None else kept.unionByName(others.join(small(lost, n), F.col("_key") == F.col("_lost"), "left_anti").drop("_key"))

@@ -70,6 +70,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert neardup.keep_one(odd_docs, 3, 85).columns == odd_docs.columns
 
 
+def test_rows_that_share_or_lack_an_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    near_b = b.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, a), (None, a), (5, b), (5, c), (7, near_b), (8, c), (None, d), (None, d), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [r.text for r in neardup.keep_one(docs).collect()]
+    assert kept.count(a) == kept.count(c) == kept.count(d) == 1 and kept.count(b) + kept.count(near_b) == 1 and kept.count("") == 2
+    found = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()]
+    assert len(found) == len(rows) and {x for x in found if x[0] in (5, 7, 8)} == {(5, 5, True), (7, 5, False), (8, 5, False)}
+
+
 def test_long_chain_is_one_component(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
     got = neardup.components(chain).collect()
