@@ -137,6 +137,8 @@ SQL["knn_one_point"] = f"with {EVT}, p as (select id, (x-0.05::double)*(x-0.05::
 SQL["range_join_count"] = f"with {EVT}, {near('0.05::double')} select id, count(*) as n from nbr group by id"
 SQL["find_point"] = f"""with {FLAT}, t as (select id, x+4e-6::double as x, y, z+case when id%2 = 0 then 0.0 else 0.5 end as z from cloud where id%7 = 0)
 select t.id, min(c.id) as nid from t join cloud c on not ({apart("t", "c")}) group by t.id"""
+SQL["find_every_point"] = f"""with {FLAT}, t as materialized (select id, x+4e-6::double as x, y, z+case when id%2 = 0 then 0.0 else 0.5 end as z from cloud)
+select t.id, min(c.id) as nid from t join cloud c on not ({apart("t", "c")}) group by t.id"""
 _BOX = " and ".join(f"{n} between -0.1::double and 0.15::double" for n in "xyz")
 SQL["insert_reject_outside"] = f"with {EMB}, new as (select id+1000000 as id, 2*x as x, 2*y as y, 2*z as z from cloud where id%3 = 0) select id, {r6s('x', 'y', 'z')} from (select id, x, y, z from cloud union all select * from new where {_BOX})"
 SQL["insert_counts"] = f"with {EMB} select (count(*) filter ({_BOX}))::bigint as inserted, (count(*) filter (not ({_BOX})))::bigint as rejected from cloud"

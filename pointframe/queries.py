@@ -270,6 +270,14 @@ def find_point(spark, sf_dir):
     return neighbors.find(c, targets)
 
 
+@query
+def find_every_point(spark, sf_dir):
+    """Every point as a target, while the SQL of ``find_point`` has those divisible by seven."""
+    c = pc_part(spark, sf_dir, flat=True)
+    targets = c.select("id", (F.col("x") + 4e-6).alias("x"), "y", (F.col("z") + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.5)).alias("z"))
+    return neighbors.find(c, targets)
+
+
 @query
 def insert_reject_outside(spark, sf_dir):
     c = pc_emb(spark, sf_dir)

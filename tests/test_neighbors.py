@@ -165,3 +165,11 @@ def test_figure_intersections_against_brute_force(spark):
     for a in rows:
         assert got[a[0]] == tuple(sum(t) for t in zip(*(touch(a, b) for b in rows if b is not a), strict=True)), a
     assert got[300] == got[301] == (1, 1, 1) and got[302] == (0, 0, 0)
+
+
+def test_every_point_is_looked_up(spark, monkeypatch):
+    from pointframe import queries
+
+    cloud = spark.range(1, 51).selectExpr("id", "double(id) x", "0D y", "0D z")
+    monkeypatch.setattr(queries, "pc_part", lambda *_, **__: cloud)
+    assert sorted(tuple(r) for r in queries.queries()["find_every_point"](spark, "").collect()) == [(i, i) for i in range(2, 51, 2)]
