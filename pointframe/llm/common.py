@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a two-column table may be broadcast (about 50 MB once hashed).
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of strings up to which a table may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
 #: Pattern of a white-space separated word; ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,20 +30,48 @@ _POLY = np.uint64(0x5851F42D4C957F2D)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fixed one where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; only a local session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/pointframe/{spark.sparkContext.applicationId}"
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it again: lineage ends here and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/pointframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """A broadcast hint for a table whose rows, and the bytes of its strings (``size``), have been counted; larger
+    tables are left to shuffle joins."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a table whose row count has been checked; larger tables are left to shuffle joins."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, size: int = 0, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join on ``keys``, of which ``right`` has each combination once: by broadcast while ``right`` is small, else with
+    every row of ``right`` repeated for each salt, so that one hot key of ``left`` spreads over many tasks."""
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), keys, how)
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
 
 
 def trim() -> None:

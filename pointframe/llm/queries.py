@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointframe.llm import fingerprints, htmltext, langid, licenses, mixing, neardup, packing, quality, simple8b, urlrep
+from pointframe.llm import fingerprints, htmltext, langid, licenses, mixing, neardup, oracle, packing, quality, simple8b, urlrep
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and bad, from the labels of the document that a page shows (the number that ends its path)."""
     path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
-    shown = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(path, r"/(\d{1,18})(?:\.html)?/?$", 1).try_cast("long").alias("doc_id"))
+    shown = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(path, r"/(\d{1,18})(?:\.html)?/?\z", 1).try_cast("long").alias("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return shown.where(F.col("doc_id").isNotNull()).join(labels, "doc_id").select("page_id", "bad")
 
@@ -86,5 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these is expressible in SQL as a whole; tests/llm holds them against brute force."""
-    return {}
+    """What SQL can express as a whole; tests/llm holds the others against brute force."""
+    return {"op9_url_filter": oracle.op9(URL_RULES)}
