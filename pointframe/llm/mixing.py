@@ -7,7 +7,7 @@ expectation, until one of the two is whole; the other goes on. Mass is counted
 in words, so a source's words keep their sum exactly until the last residual.
 
 The reduction is a tree. Documents of one source and size class are dealt to
-blocks of about ``block`` by a hash; each block folds to one residual, residuals
+blocks of about ``block`` by a hash of doc_id, size and, for repeated rows, the occurrence; each block folds to one residual, residuals
 are dealt anew, until one block a class is left. A block of every class is held
 back, and the last fold of a source goes from its largest documents to its
 smallest. What then remains of one document is rounded, and smaller documents of
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointframe.llm.common import BROADCAST_ROWS, store
+from pointframe.llm.common import BROADCAST_ROWS, small, store
 
 _DOC = "struct<size:long,h:long,doc_id:long,row:long,whole:int,p:double>"
 _DONE = "struct<size:long,row:long,whole:int,copies:int>"
@@ -131,16 +131,38 @@ def _settle(folded: Column) -> Column:
     return F.concat(last["out"], F.when(c.isNotNull(), F.array(own)).otherwise(empty))
 
 
+def with_occurrence(sizes: DataFrame) -> DataFrame:
+    """Adds ``nth``: 0, 1, ... among the rows that agree in doc_id, source and size.
+
+    Rows are numbered within the partition that wrote them (the high bits of ``row``)
+    and counts of the partitions before are added, so a document that repeats through
+    a third of the table is never in one task.
+    """
+    keyed = sizes.withColumn("g", F.xxhash64("doc_id", "source", "size")).withColumn("part", F.shiftright("row", 33))
+    counts = store(keyed.groupBy("g", "part").agg(F.count("*").alias("n")), "occurrences")
+    repeated = counts.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
+    n = repeated.count()
+    if not n:
+        return sizes.withColumn("nth", F.lit(0).cast("long"))
+    repeated = store(repeated, "repeated")
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(small(repeated, n), "g", "left_semi").select("g", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    mine = keyed.join(small(repeated, n), "g", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("g", "part").orderBy("row")) - 1)
+    numbered = mine.join(offsets, ["g", "part"]).withColumn("nth", F.col("before") + F.col("k"))
+    alone = keyed.join(small(repeated, n), "g", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    return store(alone.select(*sizes.columns, "nth").unionByName(numbered.select(*sizes.columns, "nth")), "numbered")
+
+
 def copies(sizes: DataFrame, targets: DataFrame, block: int = 32) -> DataFrame:
     """row, copies of every row with words, from sizes (row, doc_id, source, size)."""
     many = targets.count()
     side = targets.select(F.col("source").alias("s"), "source_size", "target")
-    joined = sizes.where("size > 0").join(F.broadcast(side) if many <= BROADCAST_ROWS // 4 else side, F.col("source").eqNullSafe(F.col("s")))
+    joined = with_occurrence(sizes.where("size > 0")).join(F.broadcast(side) if many <= BROADCAST_ROWS // 4 else side, F.col("source").eqNullSafe(F.col("s")))
     ratio = F.col("target") / F.col("source_size")
     whole = F.floor(ratio + 1e-12).cast("int")
-    rated = joined.select("row", "doc_id", "size", "source", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"))
+    rated = joined.select("row", "doc_id", "nth", "size", "source", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"))
     settled = rated.where("p <= 1e-12").select("row", F.col("whole").alias("copies"))
-    open_ = rated.where("p > 1e-12").select("source", "row", "doc_id", "size", "whole", "p", F.xxhash64("doc_id", "size").alias("h"), F.floor(F.log2("size")).cast("int").alias("class"))
+    open_ = rated.where("p > 1e-12").select("source", "row", "doc_id", "size", "whole", "p", F.xxhash64("doc_id", "size", "nth").alias("h"), F.floor(F.log2("size")).cast("int").alias("class"))
     per_class = open_.groupBy("source", "class").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     per_class = store(per_class, "classes")
     largest = per_class.agg(F.max("blocks")).first()[0] or 0

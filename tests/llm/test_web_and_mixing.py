@@ -3,8 +3,10 @@ import math
 import os
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointframe.llm import htmltext, mixing, urlrep
@@ -264,6 +266,22 @@ def test_mix_many_blocks(spark):
     assert copies == collections.Counter({d: n for d, n in taken.items() if n})
 
 
+@pytest.mark.parametrize("doc_id", ["7L", "cast(null as long)"])
+def test_mix_one_document_repeated(spark, doc_id):
+    """A hundred thousand rows of one document are dealt to many blocks and numbered without gaps."""
+    docs = spark.range(100_000, numPartitions=5).selectExpr(f"{doc_id} as doc_id", "'a b c' as text", "'s' as source").unionByName(spark.createDataFrame([(i, "w " * (i % 50 + 1), "t") for i in range(2000)], "doc_id long, text string, source string"))
+    started = time.perf_counter()
+    taken = collections.Counter()
+    for r in mixing.mix(docs).groupBy("source", "target", "taken", "size").count().collect():
+        taken[r.source, r.target] += r.taken * r["count"]
+        assert r.taken <= 2 * r.size
+    assert all(abs(n - target) < 60 for (_, target), n in taken.items()) and len(taken) == 2
+    assert time.perf_counter() - started < 90
+    sizes = docs.selectExpr("doc_id", "source", "3L as size").withColumn("row", F.monotonically_increasing_id())
+    seen = mixing.with_occurrence(sizes).where("source = 's'").selectExpr("count(distinct nth) n", "max(nth) m").first()
+    assert (seen.n, seen.m) == (100_000, 99_999)
+
+
 def test_mix_odd_rows(odd_docs, no_docs):
     check_mix(mixing.mix(odd_docs).collect(), odd_docs.collect(), lambda s: 40_000)
     assert mixing.mix(no_docs).count() == 0
