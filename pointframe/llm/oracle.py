@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pointframe.llm.licenses import BASE, templates
 from pointframe.llm.urlrep import SECOND_LEVEL, STEPS
 
 
@@ -50,3 +51,35 @@ select page_id, host, path, case {" ".join(fits)} end as rule,
   round(bad_rate, 9) as bad_rate, round(bad_low, 9) as bad_low
 from parts join rates using (host), lim
 """
+
+
+def op5(min_score: float = 0.75) -> str:
+    """SQL of the licence scan: every template word votes for its alignment, without anchors."""
+    known = templates()
+    rows, keys = [], []
+    for t, (label, key, text) in enumerate(known):
+        words, phrase = text.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        rows += [f"({t}, {i}, '{w}', {int(at <= i < at + len(phrase))})" for i, w in enumerate(words)]
+        keys.append(f"({t}, '{label}', {len(phrase)}, {str(t < len(BASE)).lower()})")
+    return f"""
+with files as materialized (
+  select row_number() over () as f, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words
+  from documents),
+template(t, i, w, k) as materialized (values {", ".join(rows)}),
+kind(t, label, len, base) as (values {", ".join(keys)}),
+hits as materialized (select f, i, w from (select f, unnest(words) as w, unnest(range(len(words))) as i from files) where w in (select w from template)),
+idf as (select v.w, ln(((select count(*) from files) + 1) / (coalesce(n, 0) + 1)) + 1 as idf
+  from (select distinct w from template) v left join (select w, count(distinct f) as n from hits group by w) using (w)),
+total as (select t, sum(idf) as total from template join idf using (w) group by t),
+aligned as (
+  select f, t, h.i - p.i as place, sum(idf / total) as score, sum(k) as held
+  from hits h join template p using (w) join idf using (w) join total using (t) group by 1, 2, 3),
+found as (select a.*, label, base from aligned a join kind using (t) where held = len and score >= {min_score} - 1e-9),
+per as (
+  select f, count(*) filter (where base) as n_base, min(place) filter (where base) as first_word, max(place) filter (where base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, round(least(1.0::double, max(score)), 9) as score
+  from found group by f)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+from files left join per using (f)
+"""

@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express as a whole; tests/llm holds the others against brute force."""
-    return {"op9_url_filter": oracle.op9(URL_RULES)}
+    return {"op5_license_scan": oracle.op5(), "op9_url_filter": oracle.op9(URL_RULES)}

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -256,18 +257,39 @@ def licence_base(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def licence_labels(texts, min_score=0.75):
+    """Labels and score of each text, from every alignment of every template."""
+    cut = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    known = [(label, key.split(), text.split()) for label, key, text in licenses.templates()]
+    idf = {w: math.log((len(cut) + 1) / (sum(w in set(c) for c in cut) + 1)) + 1 for *_, text in known for w in text}
+    for words in cut:
+        labels, best = set(), 0.0
+        for label, key, text in known:
+            at = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
+            for off in range(-len(text), len(words)):
+                same = [0 <= off + i < len(words) and words[off + i] == w for i, w in enumerate(text)]
+                score = sum(idf[w] for w, x in zip(text, same, strict=True) if x) / sum(idf[w] for w in text)
+                if score >= min_score - 1e-9 and all(same[at : at + len(key)]):
+                    labels.add(label)
+                    best = max(best, score)
+        yield ",".join(sorted(labels)), min(1.0, best)
+
+
 def test_licences(spark, odd_docs, no_docs):
-    texts = [r.text for r in odd_docs.collect()]
+    texts = [r.text for r in odd_docs.collect() if len(r.text or "") < 50_000]
     texts += ["MIT-License, and the Apache\nLicense! mit license", "general PUBLIC license general public", "licenseé mit licence", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "x " * 40 + "Licensed under CC BY-NC 4.0.", "license " * 500, "0 1 mit license 2"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts += ["m\u0131t l\u0130cense M\u0130T \u212aey MIT L\u0130CENSE", "you may redistribute: THE ORIGIN OF THIS SOFTWARE MUST NOT BE MISREPRESENTED; you must not claim that you wrote the original program. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. " * 3, "mit license " * 40]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string")
     rows = licenses.scan(df.repartition(3)).collect()
     assert len(rows) == len(texts)
+    want = list(licence_labels(texts))
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == licence_base(texts[r.doc_id])
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+        assert r.labels == want[r.doc_id][0] and math.isclose(r.score, want[r.doc_id][1], abs_tol=1e-8), texts[r.doc_id]
     by = {r.doc_id - len(texts): r for r in rows}
-    assert by[-4].labels == "mit" and by[-4].n_base == 0 and by[-3].labels == "cc-by-nc" and by[-2].labels == ""
+    assert by[-7].labels == "mit" and by[-7].n_base == 0 and by[-6].labels == "cc-by-nc" and by[-5].labels == "" and by[-2].labels == "zlib" and by[-1].n_base == 40
     assert licenses.scan(no_docs).count() == 0
+    assert licenses.scan(odd_docs).count() == odd_docs.count()
 
 
 # --- fingerprints
