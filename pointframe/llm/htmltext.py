@@ -5,18 +5,23 @@ it and, halved, to the one above, less what lies in links. From the best contain
 it climbs to the outermost article or main around it, or else to the body, so that
 titles, leads and smaller sections beside the best container stay. That element's
 generalised path (tags with their classes, digits removed) is a vote weighted by
-the container's characters. Votes are summed per host in Spark, and every page of
+the container's characters. A path is carried as a digest of its parent's digest
+and its own step, of one size at any depth. Votes are summed per host in Spark, and every page of
 the host is extracted again from the winning path and from its own choice; a page
 without any container gives its whole body.
 
 Inside the chosen elements everything is kept except elements that are not
 article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments), found by tag, role, or a word of class or id, and, where there is no
-article or main, blocks of links outside the best container.
+comments), found by tag, role, or class and id, and, where there is no article or
+main, blocks of links outside the best container. Outside an article or main one
+such word in a class or id is enough; inside, all words of one of its names must be
+such or say nothing ("ad-box", but not "social-facts"), and a name of a header is
+none, for it may hold the title.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -25,36 +30,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import BROADCAST_ROWS, store
+from pointframe.llm.common import salted_join, store
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg math object select canvas audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg annotation object select canvas audio video".split())
 MAIN = ("article", "main")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav aside footer form button input label menu dialog head search".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of a class or id that mark an element as not part of the article.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social comment comments disqus respond reply replies footer header masthead copyright pagination pager toolbar skip".split())
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset("area bar block box button buttons container content entry inner item items link links list module page panel post posts row section site slot top bottom unit user wrap wrapper".split())
+#: Words that do not count inside an article.
+TITLES = frozenset("header masthead banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
+def step(above: str, label: str) -> str:
+    """Digest of the path that goes on from ``above`` with one element."""
+    return hashlib.blake2b(f"{above}>{label}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 class Page:
     """Blocks of text with the elements around them, from one pass over the markup."""
 
     def __init__(self, source: str):
-        self.path: list[str] = [""]  # generalised path by element
+        self.path: list[str] = [""]  # digest of the generalised path by element
         self.above: list[int] = [0]
         self.tag: list[str] = [""]
         self.blocks: list[tuple[int, str, int, bool]] = []  # element, text, characters in links, dropped
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, element, dropped, in link
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, element, dropped, in link, in article
         parts: list[str] = []
         links = 0
 
@@ -119,29 +133,35 @@ class Page:
                 continue
             top = stack[-1]
             known = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs else {}
-            dropped = top[2] or self._boilerplate(name, known, stack)
+            dropped = top[2] or self._boilerplate(name, known, top[4])
             element = top[1]
             if name in BLOCK:
                 element = len(self.path)
                 label = name + "".join(f".{w}" for w in sorted(re.sub(r"\d+", "", known["class"]).split())) if known.get("class") else name
-                self.path.append(f"{self.path[top[1]]}>{label}" if len(self.path[top[1]]) < 2000 else self.path[top[1]])
+                self.path.append(step(self.path[top[1]], label))
                 self.above.append(top[1])
                 self.tag.append(name)
-            stack.append((name, element, dropped, top[3] or name == "a"))
+            stack.append((name, element, dropped, top[3] or name == "a", top[4] or name in MAIN))
         flush()
 
     @staticmethod
-    def _boilerplate(name: str, attrs: dict[str, str], stack: list) -> bool:
-        if name in DROPPED or name == "header" and not any(t[0] in ("article", "main") for t in stack):
+    def _boilerplate(name: str, attrs: dict[str, str], inside: bool) -> bool:
+        if name in DROPPED or name == "header" and not inside:
             return True
-        if name in ("html", "body", "article", "main"):
+        if name in ("html", "body", *MAIN):
             return False
         if not attrs:
             return False
         if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
             return True
         marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        return len(marks) > 1 and not BOILERPLATE.isdisjoint(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks).lower()))
+        if len(marks) < 2:
+            return False
+        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower().split()
+        if not inside:
+            return any(not BOILERPLATE.isdisjoint(_WORDS.findall(x)) for x in names)
+        said = [set(_WORDS.findall(x)) - NEUTRAL for x in names]
+        return any(x and x <= BOILERPLATE - TITLES for x in said)
 
     def container(self) -> tuple[str, int] | None:
         """Path and score of the best container."""
@@ -228,24 +248,23 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and its winning path (most votes, then the first in order)."""
+    """host and the digest of its winning path (most votes, then the first in order)."""
     rows = pages.select(host_of().alias("host"), "html")
     votes = rows.mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = F.max_by(F.struct("path"), F.struct("votes", F.transform(F.split("path", ""), lambda c: -F.ascii(c))))
-    return votes.groupBy("host").agg(best["path"].alias("path"))
+    return votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("n"), "path"))["path"].alias("path"))
 
 
-def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """page_id, url, text, n_chars and path of every page (null html: empty text; null url: the host without a name).
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars and path (its host's) of every page.
 
-    Winning paths are broadcast while there are few hosts; beyond that pages are
-    joined on host and a salt, so that one host's pages spread over many tasks.
+    Null html or html without text gives an empty text, a null url belongs to the
+    host without a name, repeated rows are extracted one by one, other columns are
+    ignored, and an empty table gives no rows. Winning paths are broadcast while
+    hosts are few and short; beyond that pages meet them on host and a salt, so that
+    one host's pages spread over many tasks.
     """
     paths = store(host_paths(pages), "paths")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), "html")
-    if paths.count() <= BROADCAST_ROWS // 10:
-        joined = rows.join(F.broadcast(paths), "host", "left")
-    else:
-        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    seen = paths.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0)).alias("b")).first()
+    joined = salted_join(rows, paths, ["host"], seen["n"], seen["b"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")

@@ -23,11 +23,19 @@ goes on</p><ul><li>one<li>two</ul><aside>related</aside><form><input><button>Sen
 <div class="sidebar"><p>Side text that is long enough to matter a little.</p></div></div><footer>&copy; me</footer></body></html>"""
 
 
+def path(*labels):
+    """Digest of a path."""
+    out = ""
+    for label in labels:
+        out = htmltext.step(out, label)
+    return out
+
+
 def test_page_text():
     want = "Head & shoulders\n\nFirst paragraph with bold\n\nSecond's link text goes on\n\none\n\ntwo\n\ncell a\n\ncell b\n\nx < y &am"
     assert htmltext.main_text(PAGE, None) == want
-    assert htmltext.main_text(PAGE, ">html>body>div>article.post.post-") == want
-    assert htmltext.main_text(PAGE, ">no>such>path") == want
+    assert htmltext.main_text(PAGE, path("html", "body", "div", "article.post.post-")) == want
+    assert htmltext.main_text(PAGE, path("no", "such")) == want
 
 
 def test_text_around_the_best_container():
@@ -45,10 +53,24 @@ def test_text_around_the_best_container():
     assert htmltext.main_text(two, None) == f"{long.strip()}\n\n{short}"
 
 
+def test_articles_keep_titles_lists_and_formulas():
+    source = """<html><body><div class="header">site</div><article><div class="entry-header"><h1>Title</h1></div><div class="articleHeader">Sub</div>
+    <div class="post-content"><p>Text with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> inside.</p><ul class="social-facts"><li>fact one</li><li>fact two</li></ul>
+    <div class="notice-of-motion"><p>Motion.</p></div><div class="ad-box">Buy</div><div class="share-buttons">Share</div><div class="site-notice">Old page</div><div id="postComments"><p>Reader!</p></div>
+    <div class="wrap"><div class="sidebar-widget">Side</div><section class="results"><table class="data"><tr><td>cell</td></tr></table></section></div></div></article>
+    <div class="promo-text">Promo</div></body></html>"""
+    assert htmltext.main_text(source, None) == "Title\n\nSub\n\nText with x=2 inside.\n\nfact one\n\nfact two\n\nMotion.\n\ncell"
+
+
+def test_paths_differ_at_any_depth():
+    page = htmltext.Page("<div class=abcdefghij>" * 3000 + "<p>deep</p><section>x</section>")
+    assert len(set(page.path)) == len(page.path) == 3003 and max(map(len, page.path)) == 24
+
+
 def test_host_path_with_little_text():
     long = "Long text of the body. " * 30
     source = f"<html><body><article class=teaser><p>Tiny.</p></article><div class=entry><p>{long}</p></div></body></html>"
-    assert htmltext.main_text(source, ">html>body>article.teaser") == f"Tiny.\n\n{long.strip()}"
+    assert htmltext.main_text(source, path("html", "body", "article.teaser")) == f"Tiny.\n\n{long.strip()}"
 
 
 @pytest.mark.parametrize("html", ["", "<", "<p", "a<b", "<script>never ends", "<!-- open", "<p class='x>text</p>", "</p></div>x", "<div " * 50, "&", "<a b=\"c>d\">e</a>", "<p>" * 3000 + "x"])
