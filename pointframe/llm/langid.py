@@ -1,12 +1,12 @@
 """Language identification by prediction by partial matching (PPM).
 
-One tree of byte contexts (up to ``order`` preceding bytes) is grown from a
-bounded sample of labelled documents. Every language keeps its own symbol counts
-at every node; counts are then frozen and turned, with escape probabilities of
-method C and exclusion of the symbols already seen in longer contexts, into
-exact code lengths ``bits[node, symbol, language]``. A document's code length
-under a language is the sum over its bytes, found by walking the tree backwards
-from each byte for all positions at once.
+Every language has its own tree of byte contexts (up to ``order`` preceding bytes)
+with symbol counts, grown from a bounded sample of its labelled documents. Counts
+are frozen and turned, with escape probabilities of method C and exclusion of the
+symbols already seen in longer contexts, into exact code lengths
+``bits[node, symbol]``. A document's code length under a language is the sum over
+its bytes, found by walking the language's tree backwards from each byte for all
+positions at once.
 
 Null text, or text without a letter: ``und`` with score 0. Ties go to the
 language that sorts first. Without a labelled document every text is ``und``.
@@ -29,14 +29,22 @@ ORDER = 4
 _LETTER = regex.compile(r"\p{L}")
 
 
+@dataclass
+class Tree:
+    """Frozen statistics of one language: child links and code lengths."""
+
+    child: np.ndarray  # nodes * symbols -> node; node 0 is the dead end, node 1 the root
+    bits: np.ndarray  # nodes * symbols, float32
+
+
 @dataclass
 class Model:
-    """Frozen statistics: languages, byte classes, child links and code lengths."""
+    """Languages with their trees, and the byte classes that they share."""
 
     langs: list[str]
     sym: np.ndarray  # 256 -> symbol; symbol 0 stands for all bytes never seen in training
-    child: np.ndarray  # (nodes, symbols) -> node; node 0 is the dead end, node 1 the root
-    bits: np.ndarray  # (nodes * symbols, languages) float32
+    n_sym: int
+    trees: list[Tree]
     order: int
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
@@ -46,25 +54,24 @@ class Model:
         pad = b"\x00" * self.order
         buf = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
         sym = self.sym[buf].astype(np.int32)
-        n_sym, flat = self.child.shape[1], self.child.ravel()
         step = 1 << 18
         total = len(buf) - self.order
         starts = ends - np.array([len(t) + self.order for t in texts])
         stops = ends - self.order
         for lo in range(0, total, step):
             hi = min(total, lo + step)
-            node = np.ones(hi - lo, np.int32)
-            best = node
-            for d in range(1, self.order + 1):
-                node = flat[node * n_sym + sym[lo + self.order - d : hi + self.order - d]]
-                best = np.maximum(best, node)
-            cost = self.bits[best * n_sym + sym[lo + self.order : hi + self.order]]
-            run = np.zeros((hi - lo + 1, len(self.langs)))
-            np.cumsum(cost, axis=0, dtype=np.float64, out=run[1:])
             first, last = np.searchsorted(stops, lo, "right"), np.searchsorted(starts, hi, "left")
             a = np.clip(starts[first:last], lo, hi) - lo
             b = np.clip(stops[first:last], lo, hi) - lo
-            out[first:last] += run[b] - run[a]
+            here = sym[lo + self.order : hi + self.order]
+            run = np.zeros(hi - lo + 1)
+            for k, tree in enumerate(self.trees):
+                node = best = np.ones(hi - lo, np.int32)
+                for d in range(1, self.order + 1):
+                    node = tree.child[node * self.n_sym + sym[lo + self.order - d : hi + self.order - d]]
+                    best = np.maximum(best, node)
+                np.cumsum(tree.bits[best * self.n_sym + here], dtype=np.float64, out=run[1:])
+                out[first:last, k] += run[b] - run[a]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -127,94 +134,89 @@ def _contexts(order: int):
     return count
 
 
-def fit(docs: DataFrame, order: int = ORDER, docs_per_lang: int = 150, max_langs: int = 256, max_nodes: int = 8192, min_count: int = 12, seed: int = 17) -> Model:
+def fit(docs: DataFrame, order: int = ORDER, docs_per_lang: int = 150, min_count: int = 12, seed: int = 17) -> Model:
     """Learn from text and lang of the documents that are not held out.
 
-    Bounds of the training sample: about ``docs_per_lang`` whole documents of each
-    of the ``max_langs`` most frequent languages, chosen by a hash of doc_id; the
-    ``max_nodes`` most frequent contexts seen ``min_count`` times become nodes.
+    Bound of the training sample: about ``docs_per_lang`` whole documents of each
+    language, chosen by a hash of doc_id; repeated rows count once. A context becomes
+    a node of a language's tree when that language's sample shows it ``min_count``
+    times, however rare the language is. Null texts, langs and doc_ids do not teach.
     """
-    train = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    train = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros(256, np.uint16), np.zeros((2, 1), np.int32), np.zeros((2, 0), np.float32), order)
+        return _freeze([], [], order)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, float(docs_per_lang) / sizes[k])])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    sample = train.where(F.col("text").isNotNull() & F.col("lang").isin(langs)).where(draw < share[F.col("lang")])
+    sample = train.where(F.col("text").isNotNull()).where(draw < share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
     counts = sample.select("lang", "text").mapInArrow(_contexts(order), "lang string, depth int, ctx long, sym int, n long")
-    grams = counts.groupBy("lang", "depth", "ctx", "sym").agg(F.sum("n").alias("n")).groupBy("depth", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "sym", "n")).alias("seen"))
-    rows = grams.where((F.col("total") >= min_count) | (F.col("depth") == 0)).orderBy("depth", F.desc("total"), "ctx").select("*", F.lit(1).alias("one"))
-    top = rows.orderBy(F.desc(F.when(F.col("depth") == 0, F.lit(1 << 60)).otherwise(F.col("total"))), "depth", "ctx").limit(max_nodes).collect()
-    return _freeze([(r["depth"], r["ctx"], [(s["lang"], s["sym"], s["n"]) for s in r["seen"]]) for r in top], langs, order)
+    grams = counts.groupBy("lang", "depth", "ctx", "sym").agg(F.sum("n").alias("n")).groupBy("lang", "depth", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("seen"))
+    top = grams.where((F.col("total") >= min_count) | (F.col("depth") == 0)).collect()  # at most the sample's bytes / min_count rows
+    return _freeze([(r["depth"], r["ctx"], [(r["lang"], s["sym"], s["n"]) for s in r["seen"]]) for r in top], langs, order)
 
 
 def _freeze(grams: list[tuple[int, int, list[tuple[str, int, int]]]], langs: list[str], order: int) -> Model:
-    """Build the tree and its code lengths from context counts."""
-    nodes: dict[tuple[int, int], int] = {}
-    kept = []
-    for depth, ctx, seen in sorted(grams, key=lambda g: (g[0], g[1])):
-        if depth == 0 or (depth - 1, ctx & ((1 << (8 * (depth - 1))) - 1)) in nodes:
-            nodes[depth, ctx] = len(nodes) + 1
-            kept.append((depth, ctx, seen))
-    if not kept:
-        return Model([], np.zeros(256, np.uint16), np.zeros((2, 1), np.int32), np.zeros((2, 0), np.float32), order)
-    root_bytes = sorted({s for d, _, seen in kept if d == 0 for _, s, _ in seen} | {0})
+    """Build the trees and their code lengths from context counts."""
+    root_bytes = sorted({s for d, _, seen in grams if d == 0 for _, s, _ in seen} | {0})
     sym = np.zeros(256, np.uint16)
     for i, b in enumerate(root_bytes):
         sym[b] = i + 1
-    n_sym, n_nodes, n_lang = len(root_bytes) + 1, len(kept) + 1, len(langs)
-    lang_at = {x: i for i, x in enumerate(langs)}
-    count = np.zeros((n_lang, n_nodes, n_sym))
+    n_sym, unseen = len(root_bytes) + 1, 256 - len(root_bytes)
+    own: dict[str, dict[tuple[int, int], list[tuple[int, int]]]] = {}
+    for depth, ctx, seen in grams:
+        for lang, s, n in seen:
+            own.setdefault(lang, {}).setdefault((depth, ctx), []).append((int(sym[s]), n))
+    taught = [x for x in langs if x in own]
+    return Model(taught, sym, n_sym, [_tree(own[x], sym, n_sym, unseen, order) for x in taught], order)
+
+
+def _tree(grams: dict[tuple[int, int], list[tuple[int, int]]], sym: np.ndarray, n_sym: int, unseen: int, order: int) -> Tree:
+    """One language's tree from its counts: (depth, context) to (symbol, count) pairs."""
+    nodes: dict[tuple[int, int], int] = {}
+    for depth, ctx in sorted(grams):
+        if depth == 0 or (depth - 1, ctx & ((1 << (8 * (depth - 1))) - 1)) in nodes:
+            nodes[depth, ctx] = len(nodes) + 1
+    n_nodes = len(nodes) + 1
+    count = np.zeros((n_nodes, n_sym))
     child = np.zeros((n_nodes, n_sym), np.int32)
     parent = np.ones(n_nodes, np.int64)
     depth_of = np.zeros(n_nodes, np.int64)
-    for depth, ctx, seen in kept:
-        v = nodes[depth, ctx]
+    for (depth, ctx), v in nodes.items():
         depth_of[v] = depth
-        for lang, s, n in seen:
-            count[lang_at[lang], v, sym[s]] = n
+        for s, n in grams[depth, ctx]:
+            count[v, s] = n
         if depth:
             parent[v] = nodes[depth - 1, ctx & ((1 << (8 * (depth - 1))) - 1)]
             child[parent[v], sym[ctx >> (8 * (depth - 1))]] = v
-    prob = np.zeros((n_lang, n_nodes, n_sym))
-    after = np.zeros((n_lang, n_nodes, n_sym))  # probabilities below a node once its own symbols are excluded
-    unseen = 256 - len(root_bytes)
-    for k in range(n_lang):
-        for depth in range(order + 1):
-            at = np.flatnonzero((depth_of == depth) & (np.arange(n_nodes) > 0))
-            if not len(at):
-                continue
-            n, seen = count[k, at], count[k, at] > 0
-            if depth == 0:
-                # order -1: bytes not in the root are alike; symbol 0 is one of the bytes that no language has
-                left = np.maximum(1, n_sym - 1 - seen[:, 1:].sum(1) + unseen)
-                below = np.repeat(1 / left[:, None], n_sym, 1)
-            else:
-                p = parent[at]
-                pn = np.where(seen, 0, count[k, p])
-                size, kinds = pn.sum(1, keepdims=True), (pn > 0).sum(1, keepdims=True)
-                own = pn / np.maximum(1, size + kinds)
-                esc = np.where(size + kinds > 0, kinds / np.maximum(1, size + kinds), 1.0)
-                below = np.where(pn > 0, own, esc * after[k, p])
-            after[k, at] = below
-            size, kinds = n.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            esc = np.where(size > 0, kinds / np.maximum(1, size + kinds), 1.0)
-            own = np.where(size > 0, n / np.maximum(1, size + kinds), 0)
-            empty = (size == 0)[:, 0]
-            prob[k, at] = np.where(seen, own, esc * below)
-            if depth and empty.any():  # this language has never been here: its shorter context decides, at no cost
-                prob[k, at[empty]] = prob[k, parent[at[empty]]]
-                after[k, at[empty]] = after[k, parent[at[empty]]]
-    bits = -np.log2(np.maximum(prob, 1e-12))
-    bits = np.ascontiguousarray(bits.transpose(1, 2, 0).reshape(n_nodes * n_sym, n_lang), np.float32)
-    return Model(langs, sym, child, bits, order)
+    prob = np.zeros((n_nodes, n_sym))
+    after = np.zeros((n_nodes, n_sym))  # probabilities below a node once its own symbols are excluded
+    for depth in range(order + 1):
+        at = np.flatnonzero((depth_of == depth) & (np.arange(n_nodes) > 0))
+        if not len(at):
+            continue
+        n, seen = count[at], count[at] > 0
+        if depth == 0:
+            # order -1: bytes not in the root are alike; symbol 0 is one of the bytes that no language has
+            left = np.maximum(1, n_sym - 1 - seen[:, 1:].sum(1) + unseen)
+            below = np.repeat(1 / left[:, None], n_sym, 1)
+        else:
+            p = parent[at]
+            pn = np.where(seen, 0, count[p])
+            size, kinds = pn.sum(1, keepdims=True), (pn > 0).sum(1, keepdims=True)
+            esc = np.where(size + kinds > 0, kinds / np.maximum(1, size + kinds), 1.0)
+            below = np.where(pn > 0, pn / np.maximum(1, size + kinds), esc * after[p])
+        after[at] = below
+        size, kinds = n.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+        esc = np.where(size > 0, kinds / np.maximum(1, size + kinds), 1.0)
+        prob[at] = np.where(seen, n / np.maximum(1, size + kinds), esc * below)
+    return Tree(child.ravel(), -np.log2(np.maximum(prob, 1e-12)).astype(np.float32).ravel())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) with doc_id, held_out, lang_pred and score."""
+    """doc_id, held_out, lang_pred and score of every row of ``docs``; other columns are ignored."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most max_nodes * 256 * languages floats
+    shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +227,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a known language; ``und`` and undecided ones (score under ``min_score``) go."""
+    """The rows of ``docs`` in a known language; ``und`` and undecided ones (score under ``min_score``) go.
+
+    Rows are judged one by one, repeated ones and those without a doc_id too; all
+    columns stay as they are, and an empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")

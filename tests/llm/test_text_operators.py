@@ -71,6 +71,25 @@ def test_code_lengths_by_a_plain_walk():
     assert np.allclose(sum(2.0 ** -m.code_lengths([b"ab" + bytes([x])])[0] for x in range(256)), 2.0 ** -m.code_lengths([b"ab"])[0], rtol=1e-4)
 
 
+def test_rare_language_among_many(spark):
+    """Three hundred languages, one of them with four documents: each keeps its own contexts."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def made(lang, n):
+        own = random.Random(f"words of {lang}")
+        words = ["".join(own.choice(letters) for _ in range(own.randint(3, 8))) for _ in range(30)]
+        return [" ".join(rng.choice(words) for _ in range(80)) for _ in range(n)]
+
+    rows = [(f"l{k:03}", t) for k in range(300) for t in made(f"l{k:03}", 12)] + [("rare", t) for t in made("rare", 9)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(8)
+    model = langid.fit(docs)
+    assert len(model.langs) == 301
+    got = langid.identify(docs, model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+    assert all(r.lang_pred == "rare" for r in got if r.lang == "rare") and any(r.lang == "rare" for r in got)
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.fit(odd_docs)
     rows = langid.identify(odd_docs, model).collect()
