@@ -74,6 +74,20 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, s
     return left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, most: int, keys: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, which ``right`` has once: where ``left`` has more than ``most`` rows of a key, they are dealt
+    by a hash of ``by`` to tasks of about that many, and the key's row of ``right`` goes to each. ``keys`` has the keys
+    of ``left``'s rows, if it is cheaper to count."""
+    hot = store((left if keys is None else keys).groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where("_salts > 1"), "hot")
+    n = hot.count()
+    if not n:
+        return left.join(right, key)
+    one = F.lit(0)
+    dealt = left.join(small(hot, n), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), one)).drop("_salts")
+    spread = right.join(small(hot, n), key, "left").withColumn("_salt", F.explode(F.sequence(one, F.coalesce(F.col("_salts") - 1, one)))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def trim() -> None:
     """Give memory that earlier tasks of this worker process left unused back to the system."""
     gc.collect()

@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import WordHashes, mix64, shingle_set, small, store, trim
+from pointframe.llm.common import WordHashes, forget, hot_join, mix64, shingle_set, small, store, trim
 
 ROWS = 5
 SKETCH_BITS = 1024
 BLOCK_ROWS = 384
 BLOCK_BYTES = 8 << 20
+#: Pairs of one hub, and links of one node, that one task joins.
+HUB_ROWS = 512
+NODE_ROWS = 1 << 17
 
 
 def bands_for(percent: int) -> int:
@@ -224,25 +227,30 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of an edge list (u, v), by alternating large and small stars; the
     smallest nodes themselves have no row.
 
-    Every round is written to the shared folder; minima are pre-aggregated, so a
-    node with very many edges costs no more than its rows.
+    Every round is written to the shared folder and deleted after the next; minima
+    are pre-aggregated, and a node of very many edges is dealt to many tasks.
     """
     e = store(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)
-    if e.isEmpty():
+    n_edges = e.count()
+    if not n_edges:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        up = both.where("v > u")
+        # A root may have very many leaves; with fewer links than that in all, none has.
+        met = hot_join(up, least, "u", "v", NODE_ROWS) if n_edges > NODE_ROWS else up.join(least, "u")
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(down, "u")
         new = kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        e = store(new, tag)
+        old, e = e, store(new, tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        forget(old)
         if now == before:
             break
-        before = now
+        before, n_edges = now, now[0]
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
@@ -253,13 +261,14 @@ def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, width: int,
     weight = buckets.groupBy("rep").agg(F.sum(F.log2("members")).alias("weight"))
     hubs = buckets.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
     pairs = buckets.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
-    both = pairs.join(mark, "rep").join(mark.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("n").alias("hub_n")), "hub")
+    pairs = store(pairs, "hub-pairs")
+    both = hot_join(pairs.join(mark, "rep"), mark.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("n").alias("hub_n")), "hub", "rep", HUB_ROWS)
     likely = store(both.mapInArrow(_sketched(percent, flips), "rep long, hub long"), "pairs")
     n_pairs = likely.count()
     mine = texts.join(small(likely, n_pairs), F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("u"), F.col("hub").alias("v"), "text").mapInArrow(_sets(width), "u long, v long, set binary")
     ids = likely.select("hub").distinct()
     theirs = texts.join(small(ids, n_pairs), F.col("doc_id") == F.col("hub")).select(F.col("hub").alias("v"), "text").mapInArrow(_sets(width, "hub_set"), "v long, hub_set binary")
-    star = store(mine.join(theirs, "v").mapInArrow(_confirm(percent), "u long, v long"), "stars")
+    star = store(hot_join(mine, theirs, "v", "u", HUB_ROWS, likely.select(F.col("hub").alias("v"))).mapInArrow(_confirm(percent), "u long, v long"), "stars")
 
     comp = components(star)
     now = store(buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")).join(mark, "rep"), "now")

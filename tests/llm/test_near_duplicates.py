@@ -1,4 +1,6 @@
+import collections
 import itertools
+import os
 import random
 
 import numpy as np
@@ -7,6 +9,8 @@ import pytest
 from pointframe.llm import neardup
 from pointframe.llm.common import WordHashes, shingle_set
 
+SF = "/root/testdata/sf0.01"
+
 
 def shingles(text, k):
     w = text.encode().lower().split() if text else []
@@ -43,6 +47,8 @@ def family(rng, n, edits, size=80):
 @pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)  # many blocks
+    monkeypatch.setattr(neardup, "HUB_ROWS", 9)  # hubs and nodes are dealt to several tasks
+    monkeypatch.setattr(neardup, "NODE_ROWS", 11)
     rng = random.Random(k)
     texts = [t for n, e in ((40, 6), (25, 3), (30, 9), (5, 0)) for t in family(rng, n, e)]
     texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 40))) for _ in range(60)]
@@ -57,6 +63,31 @@ def test_components_equal_brute_force(spark, monkeypatch, k, percent):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in want.items() if c == d}
 
 
+def test_one_hub_of_many_copies(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(50_000, numPartitions=8).selectExpr("id as doc_id", f"concat('{base} e', id) as text")
+    got = neardup.near_duplicates(docs, 3, 85).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 50_000)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
+def test_recall_on_documents(spark, k, percent):
+    """Linked pairs of the whole table found, of all by brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text, k) for r in docs.collect()}
+    owners, inter = collections.defaultdict(list), collections.Counter()
+    for d in sorted(sets):
+        for x in sets[d]:
+            inter.update((e, d) for e in owners[x])
+            owners[x].append(d)
+    links = [p for p, n in inter.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, k, percent).collect()}
+    joined = sum(found[a] == found[b] for a, b in links)
+    assert links and joined >= 0.9 * len(links)
+    assert sum(c != d for d, c in found.items()) <= len({b for _, b in links})
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = neardup.near_duplicates(odd_docs, 3, 85).collect()
     assert len(rows) == odd_docs.count()
