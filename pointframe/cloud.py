@@ -25,21 +25,26 @@ def points(df: DataFrame, id_: str = "id", x="x", y="y", z="z") -> DataFrame:
     return df.select(col(id_).cast("long").alias("id"), *(col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/pointframe"
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that all machines share, named by ``spark.checkpoint.dir``; only a local
+    session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/pointframe/{spark.sparkContext.applicationId}"
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: written to the session's shared folder and read again, so lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> bool:
-    """Delete everything stored in the shared folder; call it when no result is read any more."""
-    jvm, path = spark.sparkContext._jvm, _folder(spark)
+    """Delete all rounds that this application has stored; call it when no result is read any more."""
+    jvm, path = spark.sparkContext._jvm, shared_folder(spark)
     where = jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
 

@@ -97,14 +97,15 @@ def density_filter(cloud: DataFrame, k: int = 15, multiplier: float = 1.0, thres
 def add_noise(cloud: DataFrame, k: int = 15, multiplier: float = 0.01, seed: int = 0, neighbours: DataFrame | None = None) -> DataFrame:
     """Gaussian noise on every coordinate, scaled by the spread (a sum of squares) of mean neighbour distances.
 
-    Each offset is a Box-Muller transform of two hashes of id, axis and seed, so a
-    rerun or a recomputed task gives the same cloud.
+    Each offset is a Box-Muller transform of two md5 digests of id, axis and seed, so
+    a rerun or a recomputed task gives the same cloud.
     """
     near = knn(cloud, k) if neighbours is None else neighbours
     sigma = multiplier * (knn_distance_spread(near).first()["sum_sq_dev"] or 0.0)
 
     def uniform(axis: int, part: int):
-        return (F.pmod(F.xxhash64(F.col("id"), F.lit(axis), F.lit(part), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        text = F.concat_ws("-", F.col("id").cast("string"), F.lit(axis), F.lit(part), F.lit(seed))
+        return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
     moved = [(F.col(n) + sigma * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * F.pi() * uniform(i, 1))).alias(n) for i, n in enumerate("xyz")]
     return cloud.select("id", *moved, *(c for c in cloud.columns if c not in ("id", "x", "y", "z")))

@@ -5,13 +5,17 @@ coordinates. A kNN search never returns points that coincide with the query
 (1e-5 on every axis); a range search returns boundaries and the query itself.
 Ties are broken by id.
 
-Many queries: points are bucketed into cubic cells and joined on cell indices, so
-no plan grows with the product of the two sides. Only below ``BRUTE_PAIRS``
-candidate pairs is a broadcast nested loop planned instead.
+Many queries: a range search buckets points into cubic cells and joins on cell
+indices; a kNN search joins the cells of a capacity-bounded octree. No plan grows
+with the product of the two sides. Only below ``BRUTE_PAIRS`` candidate pairs is a
+broadcast nested loop planned instead.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +27,13 @@ BRUTE_PAIRS = 5_000_000
 #: Rows of the other side below which a nested loop may broadcast it.
 BRUTE_ROWS = 20_000
 
+#: Levels of the octree.
+DEPTH = 20
+#: Cell numbers up to which a list of cells is broadcast (8 MB).
+BROADCAST_KEYS = 1_000_000
+#: Pairs of boxes and nodes with which a descent begins.
+START_PAIRS = 2_000_000
+
 NEIGHBOURS = "id long, nid long, rank long, d2 double, x double, y double, z double"
 
 
@@ -53,50 +64,192 @@ def _spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS) -> DataFrame:
+def _codes(df: DataFrame, frame: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+    """Adds ix, iy, iz: places on 2**DEPTH cells an axis, evenly spaced in asinh of the distance from the median."""
+    for n, (mid, scale, low, high) in frame.items():
+        t = F.asinh((F.col(n) - mid) / scale)
+        u = (t - low) / (high - low) if high > low else F.lit(0.0)
+        df = df.withColumn(f"i{n}", F.greatest(F.lit(0), F.least(F.floor(u * (1 << DEPTH)), F.lit((1 << DEPTH) - 1))).cast("long"))
+    return df
+
+
+def _node(level: Column) -> Column:
+    """Number of the cell of a level that holds a point: its level's mark bit, then the cell's place on each axis."""
+    level = level.cast("int")
+    back = F.lit(DEPTH) - level
+    x, y, z = (F.call_function("shiftright", F.col(f"i{n}"), back) for n in "xyz")
+    one = F.lit(1).cast("long")
+    left = lambda v, by: F.call_function("shiftleft", v, by)
+    return left(one, 3 * level) + left(x, 2 * level) + left(y, level) + z
+
+
+def _frame(cloud: DataFrame) -> tuple[int, dict[str, tuple[float, float, float, float]]]:
+    """Number of points, and by axis the median, the spread of the middle half, and the ends on the asinh scale."""
+    parts = [e for n in "xyz" for e in (F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"p{n}"), F.min(n).alias(f"lo{n}"), F.max(n).alias(f"hi{n}"))]
+    r = cloud.agg(F.count("*").alias("n"), *parts).first()
+    out = {}
+    for n in "xyz" if r["n"] else "":
+        q1, mid, q3 = r[f"p{n}"]
+        low, high = r[f"lo{n}"], r[f"hi{n}"]
+        scale = (q3 - q1) or (high - low) or 1.0
+        out[n] = (mid, scale, math.asinh((low - mid) / scale), math.asinh((high - mid) / scale))
+    return r["n"], out
+
+
+class Octree(NamedTuple):
+    """``nodes`` (key, parent, l, n, leaf, box xmin..zmax), ``points`` (id, x, y, z, key of their leaf), both stored, and
+    for each level its numbers of nodes and leaves and its fullest node."""
+
+    nodes: DataFrame
+    points: DataFrame
+    levels: dict[int, tuple[int, int, int]]
+
+
+def octree(cloud: DataFrame, capacity: int = 16) -> Octree:
+    """Capacity-bounded cells of a cloud (id, x, y, z).
+
+    A cell that holds more than ``capacity`` points is split in eight, down to level
+    ``DEPTH``. Axes are scaled by asinh around the median, so that far outliers cost
+    a few levels and not the resolution of the rest. Boxes are those of the points
+    themselves. All levels of a stage are counted in one aggregation that combines
+    before its shuffle; only points of cells still too full go on to deeper levels.
+    """
+    n, frame = _frame(cloud)
+    if not n:
+        empty = cloud.sparkSession.createDataFrame([], "key long, parent long, l int, n long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, leaf boolean")
+        return Octree(empty, cloud.withColumn("key", F.lit(1).cast("long")), {})
+    points = store(_codes(cloud.select("id", "x", "y", "z"), frame), "coded")
+    sums = [F.count("*").alias("n"), *(f(n).alias(f"{n}{a}") for n in "xyz" for a, f in (("min", F.min), ("max", F.max)))]
+    top, bottom, some, cells = -1, min(DEPTH, max(1, math.ceil(math.log(max(1.0, n / capacity), 8)) + 2)), points, None
+    while True:
+        at = some.withColumn("l", F.explode(F.sequence(F.lit(top + 1), F.lit(bottom))))
+        keyed = at.withColumn("key", _node(F.col("l"))).withColumn("parent", F.when(F.col("l") == 0, F.lit(0).cast("long")).otherwise(_node(F.greatest(F.col("l") - 1, F.lit(0)))))
+        new = store(keyed.groupBy("key", "parent", "l").agg(*sums), "cells")
+        cells = new if cells is None else cells.unionByName(new)
+        full = new.where((F.col("l") == bottom) & (F.col("n") > capacity)).select("key")
+        many = full.count() if bottom < DEPTH else 0
+        if not many:
+            break
+        deep = points.withColumn("key", _node(F.lit(bottom)))
+        some = deep.join(F.broadcast(full) if many <= BROADCAST_KEYS else full, "key", "left_semi").drop("key")
+        top, bottom = bottom, min(DEPTH, bottom + 4)
+    held = F.sum("n").over(Window.partitionBy("parent"))
+    kept = cells.withColumn("held", held).where((F.col("l") == 0) | (F.col("held") > capacity)).drop("held")
+    nodes = store(kept.withColumn("leaf", (F.col("n") <= capacity) | (F.col("l") == DEPTH)), "nodes")
+    leaves = nodes.where("leaf").select("key")
+    levels = {r["l"]: (r["n"], r["m"], r["most"]) for r in nodes.groupBy("l").agg(F.count("*").alias("n"), F.count_if("leaf").alias("m"), F.max("n").alias("most")).collect()}  # at most DEPTH + 1 rows
+    placed = points.withColumn("l", F.explode(F.array(*(F.lit(x) for x in sorted(levels) if levels[x][1])))).withColumn("key", _node(F.col("l")))
+    few = sum(m for _, m, _ in levels.values()) <= BROADCAST_KEYS
+    return Octree(nodes, store(placed.join(F.broadcast(leaves) if few else leaves, "key", "left_semi").select("id", "x", "y", "z", "key"), "placed"), levels)
+
+
+def _box_distances() -> tuple[Column, Column]:
+    """Least and greatest squared distance between the boxes a... (of queries) and xmin... (of points)."""
+    gap, span = F.lit(0.0), F.lit(0.0)
+    for n in "xyz":
+        lo, hi, a, b = (F.col(c) for c in (f"{n}min", f"{n}max", f"a{n}min", f"a{n}max"))
+        d = F.greatest(lo - b, a - hi, F.lit(0.0))
+        e = F.greatest(hi - a, b - lo)
+        gap, span = gap + d * d, span + e * e
+    return gap, span
+
+
+def _frontier(boxes: DataFrame, count: int, tree: Octree, need: int) -> DataFrame:
+    """q, key, bound: the leaves that can hold one of the ``need`` nearest points of any query in each of ``count`` boxes
+    (q, a...).
+
+    Boxes descend the tree together: of the nodes that each still has, those with the
+    least greatest distance that hold ``need`` points bound the search, and nodes
+    beyond that bound are dropped. ``bound`` is squared; null where fewer points exist.
+    """
+    fields = ["q", *(f"a{n}{e}" for n in "xyz" for e in ("min", "max"))]
+    own = ["key", "n", "leaf", *(f"{n}{e}" for n in "xyz" for e in ("min", "max"))]
+    nodes = tree.nodes
+    start, above = 0, 0
+    for level, (n, m, _) in sorted(tree.levels.items()):  # the deepest cut of the tree that all boxes can be held against
+        if (above + n) * count > START_PAIRS and above + n > 8:
+            break
+        start, above = level, above + m
+    gap, span = _box_distances()
+    inclusive = Window.partitionBy("q").orderBy("far", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def pruned(df: DataFrame) -> DataFrame:
+        held = df.withColumn("near", gap).withColumn("far", span).withColumn("held", F.sum("n").over(inclusive))
+        bound = F.min(F.when(F.col("held") >= need, F.col("far"))).over(Window.partitionBy("q"))
+        live = held.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12)))
+        return store(live.select(*fields, *own, "bound"), "frontier")
+
+    cut = nodes.where((F.col("l") == start) | (F.col("leaf") & (F.col("l") < start))).select(*own)
+    front = pruned(boxes.crossJoin(F.broadcast(cut)))
+    children = nodes.select(F.col("parent").alias("up"), *own)
+    while not front.where("not leaf").isEmpty():
+        inner = front.where("not leaf").select(*fields, F.col("key").alias("up")).join(children, "up").drop("up")
+        front = pruned(front.where("leaf").select(*fields, *own).unionByName(inner.select(*fields, *own)))
+    return front
+
+
+def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, capacity: int = 16) -> DataFrame:
     """The k nearest points of ``cloud`` to each query that do not coincide with it.
 
-    Exact. Cells start at about k points in reach; a query is settled once it has
-    k candidates nearer than one cell size, which no point outside its 27 cells can
-    be; the others repeat with cells twice as wide.
+    Exact. Both sides are cut into capacity-bounded cells; each cell of queries gets
+    the cells of points that can matter, by counts and boxes (``_frontier``), and only
+    those meet. A query is settled when its k-th neighbour is within the proven
+    bound; others (many coinciding points) repeat with a bound for four times as
+    many points. Where a smallest cell is still too full, positions repeat: then each
+    position is asked once, and offers its k least ids, which are all that can win.
     """
     q, c = _sides(queries, cloud)
     spark = queries.sparkSession
     if k <= 0:
         return spark.createDataFrame([], NEIGHBOURS)
-    box = c.agg(F.count("*").alias("n"), *(f(n).alias(f"{a}{n}") for n in "xyz" for a, f in (("lo", F.min), ("hi", F.max)))).first()
-    m = q.count()
-    if box["n"] == 0 or m == 0:
+    n = c.count()
+    m = n if queries is cloud else q.count()
+    if n == 0 or m == 0:
         return spark.createDataFrame([], NEIGHBOURS)
     here, there = g.vec("q"), g.vec()
     far = F.when(~g.are_vectors_equal(here, there, eps), g.squared_distance(here, there))
-    if box["n"] * m <= BRUTE_PAIRS and min(m, box["n"]) <= BRUTE_ROWS:
-        small = q.crossJoin(F.broadcast(c)) if box["n"] <= m else F.broadcast(q).crossJoin(c)
+    if n * m <= BRUTE_PAIRS and min(m, n) <= BRUTE_ROWS:
+        small = q.crossJoin(F.broadcast(c)) if n <= m else F.broadcast(q).crossJoin(c)
         return _top_k(small.withColumn("d2", far).where(F.col("d2").isNotNull()), k)
-    sides = [box[f"hi{n}"] - box[f"lo{n}"] for n in "xyz"]
-    wide = [s for s in sides if s > 0] or [1.0]
-    volume = 1.0
-    for s in wide:
-        volume *= s
-    cell = max((volume * max(k, 4) / box["n"]) ** (1 / len(wide)), max(wide) * 1e-6, 2 * eps)
-    reach = box.asDict()
-    span = q.agg(*(f(f"q{n}").alias(f"{a}{n}") for n in "xyz" for a, f in (("lo", F.min), ("hi", F.max)))).first()
-    whole = max(max(reach[f"hi{n}"], span[f"hi{n}"]) - min(reach[f"lo{n}"], span[f"lo{n}"]) for n in "xyz")
-    found: DataFrame | None = None
+    targets = cloud.select("id", "x", "y", "z")
+    tree = octree(targets, capacity)
+    if tree.levels.get(DEPTH, (0, 0, 0))[2] > capacity:
+        least = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("id"))
+        tree = octree(targets.withColumn("_k", least).where(F.col("_k") <= k).drop("_k"), capacity)
+        places = store(queries.groupBy("x", "y", "z").agg(F.min("id").alias("rep")), "places")
+        found = _search(places.select(F.col("rep").alias("id"), "x", "y", "z"), places.count(), tree, k, far, capacity)
+        named = queries.select("id", "x", "y", "z").join(places, ["x", "y", "z"]).select(F.col("id").alias("_q"), F.col("rep").alias("id"))
+        return found.join(named, "id").select(F.col("_q").alias("id"), "nid", "rank", "d2", "x", "y", "z")
+    return _search(queries.select("id", "x", "y", "z"), m, tree, k, far, capacity, queries is cloud)
+
+
+def _search(queries: DataFrame, count: int, tree: Octree, k: int, far: Column, capacity: int, same: bool = False) -> DataFrame:
+    """The k nearest points of each of ``count`` queries (id, x, y, z); ``same``: they are the tree's own points."""
+    boxes = [f"{n}{e}" for n in "xyz" for e in ("min", "max")]
+    members = tree.points.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("nid"), "x", "y", "z")).alias("points"))  # a cell holds at most its capacity
+    need, found = k + 1, None
     while True:
-        every = cell >= whole  # 27 cells then hold everything
-        near = _spread(_with_cells(q, cell, "q")).join(_with_cells(c, cell), ["cx", "cy", "cz"]).withColumn("d2", far).where(F.col("d2").isNotNull())
-        top = store(_top_k(near, k), "knn")
-        if every:
-            return top if found is None else found.unionByName(top)
-        limit = cell * (1 - 1e-9)
-        done = top.groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") < limit * limit)).select("id")
-        settled = top.join(done, "id", "left_semi")
+        asked_of = tree if same and found is None else octree(queries, capacity)
+        q_cells = asked_of.nodes.where("leaf").select(F.col("key").alias("q"), *(F.col(b).alias(f"a{b}") for b in boxes))
+        front = _frontier(q_cells, sum(m for _, m, _ in asked_of.levels.values()), tree, need)
+        asked = asked_of.points.select(F.col("key").alias("q"), "id", *(F.col(n).alias(f"q{n}") for n in "xyz"))
+        gap = F.lit(0.0)
+        for n in "xyz":
+            d = F.greatest(F.col(f"{n}min") - F.col(f"q{n}"), F.col(f"q{n}") - F.col(f"{n}max"), F.lit(0.0))
+            gap = gap + d * d
+        met = front.select("q", "key", "bound", *boxes).join(members, "key").join(asked, "q").where(F.col("bound").isNull() | (gap <= F.col("bound") * (1 + 1e-12)))
+        pairs = met.select("q", "id", "bound", "qx", "qy", "qz", F.explode("points").alias("p")).select("q", "id", "bound", "qx", "qy", "qz", "p.*").withColumn("d2", far).where(F.col("d2").isNotNull())
+        order = Window.partitionBy("q", "id").orderBy("d2", "nid")
+        top = store(pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("id", "nid", "rank", "d2", "x", "y", "z", "bound"), "knn")
+        # A full count whose last is within the bound, or no bound: every point was met. Queries that met none have no row.
+        whole = need > tree.levels[0][2]
+        sure = top.where(F.col("bound").isNull() | ((F.col("rank") == k) & (F.col("d2") <= F.col("bound")))).select("id").distinct()
+        done = count if whole else sure.count()
+        settled = top if done == count else top.join(sure, "id", "left_semi")
         found = settled if found is None else found.unionByName(settled)
-        q = store(q.join(done, "id", "left_anti"), "unsettled")
-        if q.isEmpty():
-            return found
-        cell *= 2
+        if done == count:
+            return found.drop("bound")
+        queries, count, need = store(queries.join(sure, "id", "left_anti"), "unsettled"), count - done, need * 4
 
 
 def knn(cloud: DataFrame, k: int, eps: float = g.EPS) -> DataFrame:

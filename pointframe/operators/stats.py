@@ -41,14 +41,14 @@ def _scatter(df: DataFrame, keys: list[str], extra: list[Column] | None = None)
 def scatter_matrix(cloud: DataFrame, *by: str) -> DataFrame:
     """by..., n, mean mx..mz, and cxx..czz = sum of (p - mean)(p - mean)^T.
 
-    Centred in a second pass, so clouds far from the origin lose no digits.
+    One aggregation: covariances are merged around running means, so clouds far from
+    the origin lose no digits and no table of means is joined.
     """
-    mean = cloud.groupBy(*by).agg(*(F.avg(n).alias(f"m{n}") for n in "xyz"))
-    joined = cloud.join(F.broadcast(mean), list(by)) if by else cloud.crossJoin(F.broadcast(mean))
-    d = g.sub(g.vec(), g.vec("m"))
-    x, y, z = d
-    sums = [F.sum(e).alias(f"c{n}") for n, e in (("xx", x * x), ("xy", x * y), ("xz", x * z), ("yy", y * y), ("yz", y * z), ("zz", z * z))]
-    return joined.groupBy(*by, "mx", "my", "mz").agg(F.count("*").alias("n"), *sums)
+    pairs = [("xx", "x", "x"), ("xy", "x", "y"), ("xz", "x", "z"), ("yy", "y", "y"), ("yz", "y", "z"), ("zz", "z", "z")]
+    n = F.count("*")
+    sums = [(F.covar_pop(a, b) * n).alias(f"c{name}") for name, a, b in pairs]
+    out = cloud.groupBy(*by).agg(n.alias("n"), *(F.avg(a).alias(f"m{a}") for a in "xyz"), *sums)
+    return out.where("n > 0").select(*by, "mx", "my", "mz", "n", *(f"c{name}" for name, *_ in pairs))
 
 
 def pca(cloud: DataFrame, *by: str) -> DataFrame:

@@ -101,10 +101,7 @@ def _box_gap(n: str) -> str:
     return f"least(greatest(b.{n}, a.{n}-a.r), a.{n}+a.r)-b.{n}"
 
 
-SQL["intersections"] = f"""with {EMB}, s as materialized (select id, x, y, z, 0.02::double+(id%5)*0.03::double as r from cloud where id < 60)
-select a.id, b.id as nid, {" and ".join(f"(a.{n}-a.r <= b.{n}+b.r and b.{n}-b.r <= a.{n}+a.r)" for n in "xyz")} as boxes, {d2("a", "b")} <= (a.r+b.r)*(a.r+b.r) as balls,
-{"+".join(f"({_box_gap(n)})*({_box_gap(n)})" for n in "xyz")} <= b.r*b.r as box_ball from s a join s b on a.id < b.id"""
-SQL["intersections_all"] = f"""with {EMB}, s as materialized (select id, x, y, z, 0.02::double+(id%5)*0.03::double as r from cloud)
+SQL["intersections"] = f"""with {EMB}, s as materialized (select id, x, y, z, 0.02::double+(id%5)*0.03::double as r from cloud)
 select a.id, count(*) filter ({" and ".join(f"(a.{n}-a.r <= b.{n}+b.r and b.{n}-b.r <= a.{n}+a.r)" for n in "xyz")}) as boxes, count(*) filter ({d2("a", "b")} <= (a.r+b.r)*(a.r+b.r)) as balls,
 count(*) filter ({"+".join(f"({_box_gap(n)})*({_box_gap(n)})" for n in "xyz")} <= b.r*b.r) as box_ball from s a join s b on a.id <> b.id group by a.id"""
 SQL["grid_containing"] = f"""with {EMB}, b as (select min(x) as x0, min(y) as y0, min(z) as z0, (max(x)-min(x))/10 as dx, (max(y)-min(y))/8 as dy, (max(z)-min(z))/6 as dz from cloud)
@@ -130,14 +127,13 @@ _W = "exp(-d2/(2*0.04::double*0.04::double))"
 SQL["kernel_weighted_mean"] = f"with {PART}, {near('0.08::double')} select id, {', '.join(r6(f'sum({_W}*{n})/sum({_W})', n) for n in 'xyz')} from nbr group by id"
 SQL["knn_self"] = f"with {EMB}, {knn(5)} select id, nid, rank, {r6s('d2')} from nbr"
 SQL["knn_foreign"] = f"with {EMB}, odd as (select * from cloud where id%2 = 1), even as (select * from cloud where id%2 = 0), {knn(4, 'odd', 'even')} select id, nid, rank, {r6s('d2')} from nbr"
+SQL["knn_outlier"] = f"with {EMB}, far as materialized (select id, x, y, z from cloud union all select -1, 1000.0, 1000.0, 1000.0), {knn(5, 'far', 'far')} select id, nid, rank, {r6s('d2')} from nbr"
 SQL["knn_coincident"] = f"with {FLAT}, {knn(3)} select id, nid, rank, {r6s('d2')} from nbr"
 SQL["knn_kd"] = f"""with {KD}, p as materialized (select q.id, c.id as nid, list_sum(list_transform(list_zip(q.coords, c.coords), lambda t: (t[2]-t[1])*(t[2]-t[1]))) as d2 from kd q, kd c where q.id <> c.id),
 n as (select *, row_number() over (partition by id order by d2, nid)::bigint as rank from p) select id, nid, rank, {r6s("d2")} from n where rank <= 5"""
 SQL["knn_one_point"] = f"with {EVT}, p as (select id, (x-0.05::double)*(x-0.05::double)+(y-0.5::double)*(y-0.5::double)+(z-0.1::double)*(z-0.1::double) as d2 from cloud) select id, {r6s('d2')} from (select * from p order by d2, id limit 10)"
 SQL["range_join_count"] = f"with {EVT}, {near('0.05::double')} select id, count(*) as n from nbr group by id"
-SQL["find_point"] = f"""with {FLAT}, t as (select id, x+4e-6::double as x, y, z+case when id%2 = 0 then 0.0 else 0.5 end as z from cloud where id%7 = 0)
-select t.id, min(c.id) as nid from t join cloud c on not ({apart("t", "c")}) group by t.id"""
-SQL["find_every_point"] = f"""with {FLAT}, t as materialized (select id, x+4e-6::double as x, y, z+case when id%2 = 0 then 0.0 else 0.5 end as z from cloud)
+SQL["find_point"] = f"""with {FLAT}, t as materialized (select id, x+4e-6::double as x, y, z+case when id%2 = 0 then 0.0 else 0.5 end as z from cloud)
 select t.id, min(c.id) as nid from t join cloud c on not ({apart("t", "c")}) group by t.id"""
 _BOX = " and ".join(f"{n} between -0.1::double and 0.15::double" for n in "xyz")
 SQL["insert_reject_outside"] = f"with {EMB}, new as (select id+1000000 as id, 2*x as x, 2*y as y, 2*z as z from cloud where id%3 = 0) select id, {r6s('x', 'y', 'z')} from (select id, x, y, z from cloud union all select * from new where {_BOX})"
@@ -195,15 +191,14 @@ SQL["bilateral_points"] = f"with {EMB}, {_bilateral('cloud', 'b1')} select id, {
 SQL["bilateral_points_twice"] = f"with {EMB}, {_bilateral('cloud', 'b1')}, {_bilateral('b1', 'b2')} select id, {r6s('x', 'y', 'z')} from b2"
 
 
-def _bilateral_normals() -> str:
-    sf, sg = "0.05::double", "0.02::double"
+def _bilateral_normals(head: str = "with " + EMB, cloud: str = "cloud", sf: str = "0.05::double", sg: str = "0.02::double") -> str:
     jac = {a + b: (f"(1-n{a}*n{b})" if a == b else f"(n{a}*n{b})") for a in "xyz" for b in "xyz"}
     gg = {b: f"hg*(ex*{jac['x' + b]}+ey*{jac['y' + b]}+ez*{jac['z' + b]}-e{b})" for b in "xyz"}
     grads = ", ".join(f"d{b}*hf*wg+wf*({gg[b]}) as g{b}" for b in "xyz")
     sums = ", ".join([f"sum(wf*wg*t{a}) as u{a}" for a in "xyz"] + [f"sum(g{b}) as g{b}" for b in "xyz"] + [f"sum({jac[a + b]}*wf*wg+e{a}*g{b}) as j{a}{b}" for a in "xyz" for b in "xyz"])
     rows = ", ".join("+".join(f"(j{a}{b}*k-u{a}*g{b})/(k*k)*m{b}" for b in "xyz") + f" as r{a}" for a in "xyz")
-    return f"""with {EMB}, {near(f"2*{sf}")},
-p as materialized (select n.*, q.nx as mx, q.ny as my, q.nz as mz, p.nx, p.ny, p.nz, (n.x-n.qx)*p.nx+(n.y-n.qy)*p.ny+(n.z-n.qz)*p.nz as t from nbr n join cloud q on q.id = n.id join cloud p on p.id = n.nid),
+    return f"""{head}, {near(f"2*{sf}", cloud, cloud, "pair")},
+p as materialized (select n.*, q.nx as mx, q.ny as my, q.nz as mz, p.nx, p.ny, p.nz, (n.x-n.qx)*p.nx+(n.y-n.qy)*p.ny+(n.z-n.qz)*p.nz as t from pair n join {cloud} q on q.id = n.id join {cloud} p on p.id = n.nid),
 e as materialized (select *, qx-x as dx, qy-y as dy, qz-z as dz, t*nx as ex, t*ny as ey, t*nz as ez, qx+t*nx as tx, qy+t*ny as ty, qz+t*nz as tz, sqrt(d2) as rf, sqrt((t*nx)*(t*nx)+(t*ny)*(t*ny)+(t*nz)*(t*nz)) as rg from p),
 w as materialized (select *, {_gauss(sf, "rf*rf")} as wf, {_gauss(sg, "rg*rg")} as wg,
   case when rf > 0 then -exp(-rf*rf/(2*{sf}*{sf}))/({sf}*{sf}*{sf}*sqrt(2*pi())) else 0 end as hf, case when rg > 0 then -exp(-rg*rg/(2*{sg}*{sg}))/({sg}*{sg}*{sg}*sqrt(2*pi())) else 0 end as hg from e),
@@ -216,12 +211,12 @@ SQL["bilateral_normals"] = _bilateral_normals()
 SQL["random_sample"] = f"with {EMB} select id from cloud order by md5(concat(id, '-7')), id limit 100"
 
 
-def _wlop(uniform: bool) -> str:
-    t = lambda d: f"exp(-({d})/(0.15::double*0.15::double/16))"
+def _wlop(uniform: bool, h: str = "0.15::double", head: str = "with " + EMB) -> str:
+    t = lambda d: f"exp(-({d})/({h}*{h}/16))"
     far = apart("q", "c", "1e-9")
-    w = lambda c, name: f"{name} as materialized (select c.id, {'1+coalesce(s, 0)' if uniform else '1.0::double'} as w from {c} c left join (select q.id, sum({t(d2('q', 'c'))}) as s from {c} q, {c} c where {d2('q', 'c')} <= 0.15::double*0.15::double and {far} group by q.id) k on k.id = c.id)"
-    return f"""with {EMB}, q0 as materialized (select id, x, y, z from cloud order by md5(concat(id, '-7')), id limit 100), {w("cloud", "v")}, {w("q0", "w")},
-{near("0.15::double", "q0", "cloud", "pq", far)}, {near("0.15::double", "q0", "q0", "qq", far)},
+    w = lambda c, name: f"{name} as materialized (select c.id, {'1+coalesce(s, 0)' if uniform else '1.0::double'} as w from {c} c left join (select q.id, sum({t(d2('q', 'c'))}) as s from {c} q, {c} c where {d2('q', 'c')} <= {h}*{h} and {far} group by q.id) k on k.id = c.id)"
+    return f"""{head}, q0 as materialized (select id, x, y, z from cloud order by md5(concat(id, '-7')), id limit 100), {w("cloud", "v")}, {w("q0", "w")},
+{near(h, "q0", "cloud", "pq", far)}, {near(h, "q0", "q0", "qq", far)},
 med as (select p.id, sum({t("d2")}/sqrt(d2)/v.w) as s, {", ".join(f"sum({t('d2')}/sqrt(d2)/v.w*{n}) as p{n}" for n in "xyz")} from pq p join v on v.id = p.nid group by p.id),
 rep as (select p.id, sum(w.w*{t("d2")}/sqrt(d2)) as k, {", ".join(f"sum(w.w*{t('d2')}/sqrt(d2)*(q{n}-{n})) as f{n}" for n in "xyz")} from qq p join w on w.id = p.nid group by p.id)
 select q0.id, {", ".join(r6(f"(case when coalesce(s, 0) < 1e-9 then q0.{n} else p{n}/s end)+(case when coalesce(k, 0) < 1e-9 then 0 else 0.45::double/k*f{n} end)", n) for n in "xyz")} from q0 left join med on med.id = q0.id left join rep on rep.id = q0.id"""
@@ -291,10 +286,7 @@ select m.i::bigint as i, m.j::bigint as j, m.k::bigint as k, n.crossed::bigint a
 SQL["density_filter"] = f"with {MEANS}, r as materialized (select avg(m) as r from m), n as (select q.id, count(*) as n from cloud q, cloud c, r where {d2('q', 'c')} <= r.r*r.r group by q.id) select id, n from n where n >= 5"
 SQL["density_and_normals"] = f"""with {EMB}, {knn(15)}, {PLANES}, {near("0.1::double", name="ball")}, den as (select id, count(*)/{4 / 3 * math.pi * 0.1**3!r}::double as d from ball group by id)
 select den.id, round(d, 3)+0.0 as density, {r6("abs(vz)", "abs_nz")} from den left join nrm on nrm.id = den.id"""
-SQL["reconstruct_distances"] = f"""with {EMB}, {knn(15)}, {PLANES}, box as materialized (select {", ".join(f"min({n})-(max({n})-min({n}))/8 as {n}0, (max({n})-min({n}))/8 as d{n}" for n in "xyz")} from cloud),
-lat as materialized (select range as id, x0+(range%11)*dx as x, y0+((range//11)%11)*dy as y, z0+(range//121)*dz as z from range(1331), box), {knn(1, "lat", "cloud", "one")}
-select one.id as p, {r6("case when nid = (select id from cloud order by z desc, id limit 1) then abs(l.z-oz) else abs((l.x-ox)*vx+(l.y-oy)*vy+(l.z-oz)*vz) end", "distance")} from one join lat l on l.id = one.id join nrm on nrm.id = one.nid"""
-SQL["reconstruct_distances_fine"] = f"""with {EMB}, {knn(15)}, {PLANES}, box as materialized (select {", ".join(f"min({n})-(max({n})-min({n}))/20 as {n}0, (max({n})-min({n}))/20 as d{n}" for n in "xyz")} from cloud),
+SQL["reconstruct_distances"] = f"""with {EMB}, {knn(15)}, {PLANES}, box as materialized (select {", ".join(f"min({n})-(max({n})-min({n}))/20 as {n}0, (max({n})-min({n}))/20 as d{n}" for n in "xyz")} from cloud),
 lat as materialized (select range as id, x0+(range%23)*dx as x, y0+((range//23)%23)*dy as y, z0+(range//529)*dz as z from range(12167), box), {knn(1, "lat", "cloud", "one")}
 select one.id as p, {r6("case when nid = (select id from cloud order by z desc, id limit 1) then abs(l.z-oz) else abs((l.x-ox)*vx+(l.y-oy)*vy+(l.z-oz)*vz) end", "distance")} from one join lat l on l.id = one.id join nrm on nrm.id = one.nid"""
 _SPREAD = "count(*) as n, avg(m) as mean, var_pop(m)*count(*) as sum_sq_dev, var_pop(m) as var_pop"
@@ -305,3 +297,45 @@ SQL["ply_roundtrip"] = f"with {EMB} select row_number() over (order by id)::bigi
 SQL["ply_ascii_roundtrip"] = f"with {PART} select row_number() over (order by id)::bigint-1 as id, {r6s('x', 'y', 'z')}, true as bare from cloud"
 SQL["obj_roundtrip"] = f"with {EMB} select row_number() over (order by id)::bigint-1 as id, {r6s('x', 'y', 'z', 'nx', 'ny', 'nz')} from cloud"
 SQL["tokenize_words"] = "with w as (select unnest(string_split(p_name, ' ')) as word from part) select word, count(*) as n from w where word <> '' group by word"
+
+# Depth-first: the path from the root as a list, one step down or back a row.
+SQL["dfs_order"] = f"""with recursive {EMB}, {knn(5)}, adj as materialized (select id, list(nid order by nid) as ns from nbr group by id),
+root as (select id from cloud order by z desc, id limit 1),
+walk(step, path, seen, parent, child) as (
+  select 0, [id], [id], null::bigint, null::bigint from root
+  union all
+  select step+1, case when v is null then path[:-2] else list_append(path, v) end, case when v is null then seen else list_append(seen, v) end, case when v is not null then path[-1] end, v
+  from (select w.*, list_filter(a.ns, lambda x: not list_contains(w.seen, x))[1] as v from walk w left join adj a on a.id = w.path[-1] where len(w.path) > 0))
+select (row_number() over (order by step)-1)::bigint as ord, parent, child from walk where child is not null"""
+
+# Kruskal: edges by weight, one a row, with the component of every vertex in a list.
+_KRUSKAL = f"""{EMB}, {knn(5)}, vert as materialized (select id, row_number() over (order by id) as i from cloud),
+edge as materialized (select row_number() over (order by w, a, b) as e, a, b, w, va.i as ia, vb.i as ib
+  from (select least(id, nid) as a, greatest(id, nid) as b, min(sqrt(d2)) as w from nbr group by 1, 2) join vert va on va.id = a join vert vb on vb.id = b),
+pick(e, comp, a, b, w) as (
+  select 0::bigint, (select list(i order by i) from vert), null::bigint, null::bigint, null::double
+  union all
+  select p.e+1, case when ca = cb then comp else list_transform(comp, lambda c: case when c = cb then ca else c end) end, case when ca <> cb then na end, case when ca <> cb then nb end, case when ca <> cb then nw end
+  from (select p.e, p.comp, p.comp[n.ia] as ca, p.comp[n.ib] as cb, n.a as na, n.b as nb, n.w as nw from pick p join edge n on n.e = p.e+1) p)"""
+SQL["mst_edges"] = f"with recursive {_KRUSKAL} select a, b, {r6s('w')} from pick where a is not null"
+SQL["mst_rooted"] = f"""with recursive {_KRUSKAL}, tree as materialized (select a as src, b as dst from pick where a is not null union all select b, a from pick where a is not null),
+walk(level, parent, child) as (select 0::bigint, null::bigint, (select id from cloud order by z desc, id limit 1)
+  union all select w.level+1, w.child, t.dst from walk w join tree t on t.src = w.child where t.dst is distinct from w.parent)
+select level, parent, child from walk where level > 0"""
+
+_UNIFORM = lambda axis, part: f"((('0x' || substr(md5(concat_ws('-', id, {axis}, {part}, 3)), 1, 13))::bigint)::double+0.5)/4503599627370496.0::double"
+SQL["add_noise"] = f"""with {MEANS}, s as (select 0.01::double*var_pop(m)*count(*) as sigma from m)
+select id, {", ".join(r6(f"{n}+sigma*sqrt(-2*ln({_UNIFORM(i, 0)}))*cos(2*pi()*{_UNIFORM(i, 1)})", n) for i, n in enumerate("xyz"))} from cloud, s"""
+
+# Orientation: breadth-first parents (least id of the level before), then signs from the root down.
+_ORIENTED = f"""{EMB}, {knn(10)}, {PLANES},
+root as materialized (select id from cloud order by z desc, id limit 1),
+walk(level, child) as (select 0::bigint, (select id from root) union select w.level+1, n.nid from walk w join nbr n on n.id = w.child where w.level < 60),
+lev as materialized (select child, min(level) as level from walk group by child),
+par as materialized (select l.child, min(p.child) as parent from lev l join nbr n on n.nid = l.child join lev p on p.child = n.id and p.level = l.level-1 where l.level > 0 group by l.child),
+turn(id, tx, ty, tz) as (select id, 0.0::double, 0.0::double, 1.0::double from root
+  union all select id, s*vx, s*vy, s*vz from (select par.child as id, vx, vy, vz, case when vx*tx+vy*ty+vz*tz < 0 and abs(vx*tx+vy*ty+vz*tz) >= 1e-5 then -1.0::double else 1.0::double end as s from turn join par on par.parent = turn.id join nrm on nrm.id = par.child)),
+oriented as materialized (select id, tx as nx, ty as ny, tz as nz from turn union all select id, vx, vy, vz from nrm where id not in (select id from turn))"""
+SQL["orient_normals"] = f"with recursive {_ORIENTED} select id, {r6s('nx', 'ny', 'nz')} from oriented"
+SQL["smoothed_normals"] = _bilateral_normals(f"with recursive {_ORIENTED}, made as materialized (select c.id, x, y, z, o.nx, o.ny, o.nz from cloud c join oriented o on o.id = c.id), sig as materialized (select avg(m) as s from (select avg(sqrt(d2)) as m from nbr group by id))", "made", "(select s from sig)", "(select s from sig)")
+SQL["downsample_wlop"] = _wlop(True, "(select h from wide)", f"with {EMB}, {knn(5)}, wide as materialized (select 8*avg(m) as h from (select avg(sqrt(d2)) as m from nbr group by id))")

@@ -7,7 +7,6 @@ that add in another order agree.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointframe import oracle
-from pointframe.cloud import pc_emb, pc_emb_kd, pc_evt, pc_part, store, table
+from pointframe.cloud import shared_folder, pc_emb, pc_emb_kd, pc_evt, pc_part, store, table
 from pointframe.functions import geometry as g
 from pointframe.functions.geometry import Grid
 from pointframe.operators import filters, graphs, index, isosurface, neighbors, normals, resample, stats
@@ -128,18 +127,6 @@ def kd_nearest_point(spark, sf_dir):
 
 @query
 def intersections(spark, sf_dir):
-    p = pc_emb(spark, sf_dir)
-    a = p.where("id < 60").select("id", "x", "y", "z", (0.02 + F.pmod("id", F.lit(5)) * 0.03).alias("r"))
-    b = a.select(F.col("id").alias("nid"), *(F.col(c).alias(f"b{c}") for c in ("x", "y", "z", "r")))
-    low1, high1 = tuple(c - F.col("r") for c in g.vec()), tuple(c + F.col("r") for c in g.vec())
-    low2, high2 = tuple(c - F.col("br") for c in g.vec("b")), tuple(c + F.col("br") for c in g.vec("b"))
-    pairs = a.join(F.broadcast(b), F.col("id") < F.col("nid"))  # sixty figures on either side
-    return pairs.select("id", "nid", g.boxes_intersect(low1, high1, low2, high2).alias("boxes"), g.balls_intersect(g.vec(), F.col("r"), g.vec("b"), F.col("br")).alias("balls"), g.box_ball_intersect(low1, high1, g.vec("b"), F.col("br")).alias("box_ball"))
-
-
-@query
-def intersections_all(spark, sf_dir):
-    """Every figure, while the SQL of ``intersections`` holds sixty."""
     return neighbors.figure_intersections(pc_emb(spark, sf_dir).select("id", "x", "y", "z", (0.02 + F.pmod("id", F.lit(5)) * 0.03).alias("r")))
 
 
@@ -241,6 +228,15 @@ def knn_foreign(spark, sf_dir):
     return neighbors.knn_join(c.where("id % 2 = 1"), c.where("id % 2 = 0"), 4).select("id", "nid", "rank", r6("d2").alias("d2"))
 
 
+@query
+def knn_outlier(spark, sf_dir):
+    """One far point among the others; octree cells keep it from widening theirs."""
+    c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    far = spark.createDataFrame([(-1, 1000.0, 1000.0, 1000.0)], "id long, x double, y double, z double")
+    all_ = c.unionByName(far)
+    return neighbors.knn(all_, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
 @query
 def knn_coincident(spark, sf_dir):
     return neighbors.knn(pc_part(spark, sf_dir, flat=True), 3).select("id", "nid", "rank", r6("d2").alias("d2"))
@@ -265,14 +261,6 @@ def range_join_count(spark, sf_dir):
 
 @query
 def find_point(spark, sf_dir):
-    c = pc_part(spark, sf_dir, flat=True)
-    targets = c.where("id % 7 = 0").select("id", (F.col("x") + 4e-6).alias("x"), "y", (F.col("z") + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.5)).alias("z"))
-    return neighbors.find(c, targets)
-
-
-@query
-def find_every_point(spark, sf_dir):
-    """Every point as a target, while the SQL of ``find_point`` has those divisible by seven."""
     c = pc_part(spark, sf_dir, flat=True)
     targets = c.select("id", (F.col("x") + 4e-6).alias("x"), "y", (F.col("z") + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.5)).alias("z"))
     return neighbors.find(c, targets)
@@ -463,7 +451,7 @@ def density_and_normals(spark, sf_dir):
 
 @query
 def reconstruct_distances(spark, sf_dir):
-    values, _ = pipelines.surface_distances(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (8, 8, 8))
+    values, _ = pipelines.surface_distances(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (20, 20, 20))
     return values.select("p", r6(F.abs("v")).alias("distance"))
 
 
@@ -473,15 +461,31 @@ def reconstruct_surface(spark, sf_dir):
 
 
 @query
-def reconstruct_distances_fine(spark, sf_dir):
-    """The lattice of reconstruct_surface, while the SQL of ``reconstruct_distances`` has 8 cells a side."""
-    values, _ = pipelines.surface_distances(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 15, (20, 20, 20))
-    return values.select("p", r6(F.abs("v")).alias("distance"))
+def smoothed_normals(spark, sf_dir):
+    return rounded(pipelines.oriented_normals(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 10, smooth=1.0).select("id", "nx", "ny", "nz"), "nx", "ny", "nz")
 
 
 @query
-def smoothed_normals(spark, sf_dir):
-    return rounded(pipelines.oriented_normals(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), 10, smooth=1.0).select("id", "nx", "ny", "nz"), "nx", "ny", "nz")
+def downsample_wlop(spark, sf_dir):
+    """The projection branch, its radius chosen from the mean neighbour distance."""
+    c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    return rounded(pipelines.downsample(c, "wlop", 100, k=5, rounds=1, seed=7), "x", "y", "z")
+
+
+@query
+def downsample_hierarchy(spark, sf_dir):
+    """The hierarchy branch with its default clusters."""
+    c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    return rounded(pipelines.spread_before_after(c, pipelines.downsample(c, "hierarchy"), 5), "mean", "sum_sq_dev", "var_pop")
+
+
+@query
+def mst_rooted(spark, sf_dir):
+    """The spanning tree as seen from its highest point."""
+    near = _near(spark, sf_dir, 5)
+    tree = graphs.minimum_spanning_forest(near.select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("w")))
+    root = pc_emb(spark, sf_dir).orderBy(F.desc("z"), "id").first()["id"]
+    return graphs.rooted_tree(tree, root)
 
 
 @query
@@ -492,8 +496,10 @@ def downsample_spread(spark, sf_dir):
 
 def _file(spark: SparkSession, name: str) -> str:
     """A path for one file where driver and executors see it, if the shared folder is a mounted one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder.removeprefix('file://').rstrip('/')}/pointframe/{uuid.uuid4().hex}-{name}"
+    folder = shared_folder(spark)
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"PLY and OBJ need a mounted shared folder, not {folder}")
+    path = f"{folder.removeprefix('file:').replace('//', '/', 1) if folder.startswith('file:') else folder}/{uuid.uuid4().hex}-{name}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
 

@@ -197,7 +197,9 @@ def _rows(df: DataFrame, order: str, *names: str) -> Iterator:
 def write_ply(cloud: DataFrame, path: str, kind: str = "ascii", scalar: str = "float") -> bool:
     """Write a cloud, and its normals where it has any, to one file in the order of id.
 
-    Nothing is written for an empty cloud or a path without ``.ply``. One file has
+    Nothing is written for an empty cloud or a path without ``.ply``. Normals are
+    matched to points by position in the file, so either all points have one or none
+    has; a cloud in which only some do is refused. One file has
     one writer, so rows stream through the driver a partition at a time; for large
     clouds write Parquet.
     """
@@ -207,6 +209,8 @@ def write_ply(cloud: DataFrame, path: str, kind: str = "ascii", scalar: str = "f
     has = "nx" in cloud.columns
     with_normal = cloud.where(F.col("nx").isNotNull()) if has else None
     m = with_normal.count() if with_normal is not None else 0
+    if 0 < m < n:
+        raise ValueError(f"{n - m} of {n} points have no normal")
     with open(path, "wb") as f:
         f.write(header(kind, n, m, scalar=scalar).encode())
         f.writelines(_body(kind, scalar, _rows(cloud, "id", "x", "y", "z"), 3))

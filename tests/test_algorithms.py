@@ -189,7 +189,7 @@ def test_registered_reconstruction_has_the_whole_lattice(spark, monkeypatch):
     monkeypatch.setattr(queries, "pc_emb", lambda *_: spark.range(1).selectExpr("id", "0D x", "0D y", "0D z"))
     monkeypatch.setattr(pipelines, "reconstruct", lambda c, k, cells: seen.append(cells) or (c, c))
     monkeypatch.setattr(pipelines, "surface_distances", lambda c, k, cells: (seen.append(cells), (c.selectExpr("id p", "x v"), None))[1])
-    for name in ("reconstruct_surface", "reconstruct_distances_fine"):
+    for name in ("reconstruct_surface", "reconstruct_distances"):
         queries.queries()[name](spark, "")
     assert seen == [(20, 20, 20)] * 2
 

@@ -77,3 +77,10 @@ def test_obj(spark, tmp_path):
     assert obj.read_obj(spark, path).count() == 4
     assert not obj.write_obj(rows(spark, True), str(tmp_path / "a.txt"))
     assert obj.read_obj(spark, str(tmp_path / "none.obj")).count() == 0
+
+
+def test_ply_refuses_some_normals(spark, tmp_path):
+    cloud = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0, None, None, None)], "id long, x double, y double, z double, nx double, ny double, nz double")
+    with pytest.raises(ValueError):
+        ply.write_ply(cloud, str(tmp_path / "some.ply"))
+    assert ply.write_ply(cloud.where("id = 1"), str(tmp_path / "none.ply"))

@@ -55,6 +55,38 @@ def test_knn_far_queries(cloud_of, monkeypatch):
     assert got(neighbors.knn_join(cloud_of(q.tolist()), cloud_of(c.tolist()), 3)) == brute_knn(q, c, 3)
 
 
+def test_knn_on_uneven_clouds(spark, monkeypatch):
+    """Outliers, clusters of another scale, and one spot with a third of all points: exact, by octree cells."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(neighbors, "BRUTE_PAIRS", 0)
+    rng = np.random.default_rng(7)
+    flat = rng.uniform(0, 1, (400, 3))
+    clouds = [
+        np.vstack([flat, [[1e3, 1e3, 1e3], [-1e9, 1e9, 0]]]),
+        np.vstack([rng.uniform(0, 1000, (200, 3)), rng.uniform(500, 500.5, (200, 3))]),
+        np.vstack([flat[:200], np.full((100, 3), 0.3), flat[:5] + 4e-6]),
+    ]
+    for x in clouds:
+        cloud = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), **dict(zip("xyz", x.T, strict=True))}))
+        got = {}
+        for r in neighbors.knn(cloud, 6).collect():
+            got.setdefault(r.id, []).append((r.rank, r.nid))
+        for i in range(len(x)):
+            d = x - x[i]
+            d2 = np.where((abs(d) < 1e-5).all(1), np.inf, (d * d).sum(1))
+            assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(len(x)), d2))[:6].tolist()
+
+
+def test_octree_cells_are_bounded(spark):
+    cloud = spark.range(2000).selectExpr("id", "sin(id) as x", "cos(id * 3) as y", "case when id = 7 then 1e6 else sin(id * 7) end as z")
+    tree = neighbors.octree(cloud, 16)
+    sizes = tree.points.groupBy("key").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 16 and tree.points.count() == 2000
+    assert tree.nodes.where("leaf").count() == sizes.count() == sum(m for _, m, _ in tree.levels.values())
+
+
 def test_nearest_order(cloud_of):
     target = (0.5, 0.5, -0.5)
     octants = [(a, b, c) for a in (-0.5, 0.5) for b in (-0.5, 0.5) for c in (-0.5, 0.5) if (a, b, c) != target]
@@ -172,4 +204,4 @@ def test_every_point_is_looked_up(spark, monkeypatch):
 
     cloud = spark.range(1, 51).selectExpr("id", "double(id) x", "0D y", "0D z")
     monkeypatch.setattr(queries, "pc_part", lambda *_, **__: cloud)
-    assert sorted(tuple(r) for r in queries.queries()["find_every_point"](spark, "").collect()) == [(i, i) for i in range(2, 51, 2)]
+    assert sorted(tuple(r) for r in queries.queries()["find_point"](spark, "").collect()) == [(i, i) for i in range(2, 51, 2)]
