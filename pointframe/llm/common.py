@@ -88,6 +88,14 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, most: int, ke
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def tasks_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Shuffle partitions for whole rows of ``df``: one for each ``size`` bytes of its source as the planner knows them,
+    and no fewer than the session sets."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-known // size)) if known < 1 << 60 else max(1, least)
+
+
 def trim() -> None:
     """Give memory that earlier tasks of this worker process left unused back to the system."""
     gc.collect()

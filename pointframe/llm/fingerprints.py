@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import WordHashes, mix64, shingle_set
+from pointframe.llm.common import WordHashes, mix64, shingle_set, tasks_for
 
 BINS = 512
 _BIN_BITS = BINS.bit_length() - 1
@@ -107,16 +107,18 @@ def fingerprint_edits(docs: DataFrame, width: int = 5, buckets: int | None = Non
     """Fingerprints of every text and of its edit with the next document's beginning.
 
     Next: descending doc_id, null ids last, rows of one id by a hash of their
-    texts; after the last comes the first. The rows are range-dealt at quantiles
-    that are ids of the table, so the one row that a bucket needs from its
-    neighbour is known beforehand and sent to both. Null text counts as empty.
+    texts; after the last comes the first. The rows are range-dealt to a bucket for
+    each 64 MB, at bounds that are ids of the table, so the one row that a bucket
+    needs from its neighbour is known beforehand and sent to both. Null text counts
+    as empty; repeated rows follow each other; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    row = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("at"), F.max("doc_id").alias("top")).first()
-    bounds = sorted(set(row["at"] or [])) if n > 1 else []
-    top = row["top"]
+    n = buckets or tasks_for(docs)
+    ends = rows.select("doc_id").where(F.col("doc_id").isNotNull()).repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("at")).collect()  # one row a bucket
+    bounds = sorted(r["at"] for r in ends)[:-1]
+    top = max((r["at"] for r in ends), default=None)
+    # The first row of all, wanted by the last: of the greatest id, the least hash.
+    first = rows.where(F.col("doc_id").eqNullSafe(F.lit(top).cast("long"))).agg(F.min(F.xxhash64("text")).alias("h")).first()["h"]
 
     @F.pandas_udf(T.IntegerType())
     def bucket_of(ids: pd.Series) -> pd.Series:
@@ -128,7 +130,7 @@ def fingerprint_edits(docs: DataFrame, width: int = 5, buckets: int | None = Non
     wrap = F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("role"))
     heads = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
     none = F.array().cast("array<struct<bucket:int,role:int>>")
-    to = F.concat(F.array(own), F.when(heads, F.array(after)).otherwise(none), F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), F.array(wrap)).otherwise(none))
+    to = F.concat(F.array(own), F.when(heads, F.array(after)).otherwise(none), F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("long")) & (F.xxhash64("text") == F.lit(first)), F.array(wrap)).otherwise(none))
     dealt = rows.withColumn("bucket", bucket_of("doc_id")).select("doc_id", "text", F.explode(to).alias("to")).select("to.bucket", "to.role", "doc_id", "text")
     placed = dealt.repartitionById(len(bounds) + 1, F.col("bucket"))
     return placed.sortWithinPartitions("bucket", "role", F.desc_nulls_last("doc_id"), F.xxhash64("text")).mapInArrow(_edited(width), SCHEMA)

@@ -5,7 +5,7 @@ sequences in lists keyed by free space, with one bit for each free space that
 occurs. A piece goes where the least space would be left; when a new sequence
 would be one too many, the fullest open one is closed first. Pieces are dealt to
 packers by a hash, so every packer sees a like mixture, and reach a packer in
-descending length. Only piece lengths are shuffled, never texts or ids.
+descending length, which leaves less space than any order would. Only piece lengths are shuffled, never texts or ids.
 """
 
 from __future__ import annotations
@@ -105,6 +105,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     packers = max(1, math.ceil(made.count() / pieces_per_packer))
     full = made.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = made.where(F.col("length") < size)
-    dealt = rest.repartition(packers, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    dealt = rest.repartition(packers, F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
     packed = dealt.mapInArrow(_pack(size, open_bins), PIECES + ", sequence_id long, offset long")
     return packed.unionByName(full)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import shared_dir, trim
+from pointframe.llm.common import session_dir, tasks_for, trim
 from pointframe.llm.tokens import crc32, encoder, with_end
 
 BLOCK = 1024
@@ -185,12 +185,13 @@ def _shards(path: str, end_id: int):
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> None:
     """Encode whole texts (null: empty), append ``end_id`` to each document and write shards in ascending doc_id order.
 
-    Rows of one doc_id stay side by side, in the order of a hash of their texts;
-    null ids come first. Extra columns are ignored.
+    Null ids come first. Rows that share a doc_id, or have none, follow each other in
+    an order that the table's files fix, and are split over shards where they are
+    many. Extra columns are ignored; an empty table gives no shard.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(_shards(tokenizer, end_id), SCHEMA).write.parquet(folder)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
+    dealt = rows.repartitionByRange(tasks_for(docs), "doc_id", "_row").sortWithinPartitions("doc_id", "_row")
+    dealt.select("doc_id", "text").mapInArrow(_shards(tokenizer, end_id), SCHEMA).write.parquet(folder)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +232,11 @@ def read_digest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Write shards and return what is read back from them."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/pointframe/shards-{uuid.uuid4().hex}"
+    """Write shards and return what is read back from them: doc_id, start, n_tokens and ids_crc32 of every row.
+
+    A null text counts as empty (the end id alone); repeated rows are written as
+    often as they occur; an empty table gives no rows.
+    """
+    folder = folder or f"{session_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, tokenizer, folder, end_id)
     return read_digest(docs.sparkSession, folder)
