@@ -149,7 +149,7 @@ def fit(docs: DataFrame, order: int = ORDER, docs_per_lang: int = 150, min_count
         return _freeze([], [], order)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, float(docs_per_lang) / sizes[k])])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    sample = train.where(F.col("text").isNotNull()).where(draw < share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
+    sample = train.where(F.col("text").isNotNull()).where(draw < share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"]).repartition("lang")  # each context of a language is counted once
     counts = sample.select("lang", "text").mapInArrow(_contexts(order), "lang string, depth int, ctx long, sym int, n long")
     grams = counts.groupBy("lang", "depth", "ctx", "sym").agg(F.sum("n").alias("n")).groupBy("lang", "depth", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("seen"))
     top = grams.where((F.col("total") >= min_count) | (F.col("depth") == 0)).collect()  # at most the sample's bytes / min_count rows
