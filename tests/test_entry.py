@@ -7,11 +7,14 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 CORE = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]
-SLOW = {"bfs_levels", "dfs_order", "orient_normals", "reconstruct_distances", "reconstruct_surface", "smoothed_normals", "surface_nets_hint", "hierarchy_sample", "mst_edges"}
+SLOW = {"bfs_levels", "dfs_order", "orient_normals", "reconstruct_distances", "reconstruct_surface", "smoothed_normals", "surface_nets_hint", "hierarchy_sample", "mst_edges", "mst_rooted", "downsample_hierarchy"}
+#: Loops of eigenvectors over clusters, and a mesh without its orientation in SQL: held against plain Python elsewhere.
+NO_SQL = {"hierarchy_sample", "downsample_hierarchy", "reconstruct_surface"}
 
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(CORE) - set(entry.oracle_sql()) == NO_SQL
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -23,7 +26,7 @@ def test_query_equals_sql(spark, name):
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     if name not in entry.oracle_sql():
-        assert got
+        assert got and name in NO_SQL
         return
     con = duckdb.connect()
     for f in os.listdir(SF):
