@@ -499,7 +499,7 @@ def _file(spark: SparkSession, name: str) -> str:
     folder = shared_folder(spark)
     if "://" in folder and not folder.startswith("file://"):
         raise ValueError(f"PLY and OBJ need a mounted shared folder, not {folder}")
-    path = f"{folder.removeprefix('file:').replace('//', '/', 1) if folder.startswith('file:') else folder}/{uuid.uuid4().hex}-{name}"
+    path = f"{folder.removeprefix('file:').replace('///', '/', 1)}/{uuid.uuid4().hex}-{name}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
 
