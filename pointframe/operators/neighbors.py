@@ -257,49 +257,6 @@ def knn(cloud: DataFrame, k: int, eps: float = g.EPS) -> DataFrame:
     return knn_join(cloud, cloud, k, eps)
 
 
-def knn_kd(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, block: int = 2048) -> DataFrame:
-    """id, nid, rank, d2 of the k nearest arrays ``coords`` in any dimension; exact.
-
-    Queries are dealt to blocks; each block meets each slice of the cloud once in a
-    matrix product that returns only its k best, which are then merged. What moves
-    is k rows a query and slice, never all pairs.
-    """
-    require_columns(queries, "id", "coords")
-    require_columns(cloud, "id", "coords")
-    spark = queries.sparkSession
-    if k <= 0:
-        return spark.createDataFrame([], "id long, nid long, rank long, d2 double")
-    blocks = max(1, -(-queries.count() // block))
-    slices = max(1, -(-cloud.count() // (8 * block)))
-    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "coords").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    c = cloud.select(F.lit(1).alias("side"), "id", "coords", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    both = q.unionByName(c)
-
-    def best(pdf):
-        import numpy as np
-        import pandas as pd
-
-        a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
-        out = {"id": [], "nid": [], "d2": []}
-        if len(a) and len(b):
-            x, y = np.array(a.coords.tolist()), np.array(b.coords.tolist())
-            ids = b.id.to_numpy()
-            for i, row in zip(a.id, x, strict=True):
-                d = y - row
-                d2 = (d * d).sum(1)
-                d2[(np.abs(d) < eps).all(1)] = np.inf
-                order = np.lexsort((ids, d2))[:k]
-                order = order[np.isfinite(d2[order])]
-                out["id"] += [i] * len(order)
-                out["nid"] += ids[order].tolist()
-                out["d2"] += d2[order].tolist()
-        return pd.DataFrame(out).astype({"id": "int64", "nid": "int64", "d2": "float64"})
-
-    some = both.groupBy("b", "s").applyInPandas(best, "id long, nid long, d2 double")
-    w = Window.partitionBy("id").orderBy("d2", "nid")
-    return some.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("id", "nid", "rank", "d2")
-
-
 def range_join(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
     """id, nid, d2, x, y, z of all points within ``radius`` of each query (boundary and itself included)."""
     q, c = _sides(queries, cloud)

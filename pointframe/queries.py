@@ -17,7 +17,7 @@ from pointframe import oracle
 from pointframe.cloud import shared_folder, pc_emb, pc_emb_kd, pc_evt, pc_part, store, table
 from pointframe.functions import geometry as g
 from pointframe.functions.geometry import Grid
-from pointframe.operators import filters, graphs, index, isosurface, neighbors, normals, resample, stats
+from pointframe.operators import filters, graphs, index, isosurface, neighbors, normals, pivots, resample, stats
 from pointframe.plans import pipelines
 from pointframe.sources import obj, ply
 
@@ -245,7 +245,7 @@ def knn_coincident(spark, sf_dir):
 @query
 def knn_kd(spark, sf_dir):
     c = pc_emb_kd(spark, sf_dir)
-    return neighbors.knn_kd(c, c, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+    return pivots.knn_kd(c, c, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
 
 
 @query

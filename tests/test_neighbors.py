@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointframe.operators import index, neighbors
+from pointframe.operators import index, neighbors, pivots
 from pointframe.operators.stats import ball_counts
 
 
@@ -100,7 +100,26 @@ def test_nearest_order(cloud_of):
 def test_knn_kd(spark):
     c = np.random.default_rng(3).normal(size=(50, 7))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(c)], "id long, coords array<double>")
-    assert got(neighbors.knn_kd(df, df, 3, block=16)) == brute_knn(c, c, 3)
+    assert got(pivots.knn_kd(df, df, 3, block=16)) == brute_knn(c, c, 3)
+
+
+@pytest.mark.parametrize("cell", [20, 300])
+def test_knn_kd_prunes_and_stays_exact(spark, cell):
+    rng = np.random.default_rng(5)
+    c = np.concatenate([m + rng.normal(scale=0.1, size=(60, 9)) for m in rng.normal(scale=5, size=(6, 9))])
+    c[40:52] = c[40]  # more copies than neighbours asked for
+    q = np.concatenate([rng.normal(scale=5, size=(40, 9)), c[38:45]])
+    schema = "id long, coords array<double>"
+    cloud, asked = (spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(-1, None)], schema) for x in (c, q))
+    assert got(pivots.knn_kd(cloud, cloud, 4, block=8, cell=cell)) == brute_knn(c, c, 4)
+    assert got(pivots.knn_kd(asked, cloud, 4, block=8, cell=cell)) == brute_knn(q, c, 4)
+
+
+def test_knn_kd_small_tables(spark):
+    schema = "id long, coords array<double>"
+    none, two = spark.createDataFrame([], schema), spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0])], schema)
+    assert pivots.knn_kd(two, none, 3).isEmpty() and pivots.knn_kd(none, two, 3).isEmpty() and pivots.knn_kd(two, two, 0).isEmpty()
+    assert [tuple(r) for r in pivots.knn_kd(two, two, 5, cell=1).orderBy("id").collect()] == [(0, 1, 1, 1.0), (1, 0, 1, 1.0)]
 
 
 @pytest.mark.parametrize("r", [0.0, 0.3, 2.5])
