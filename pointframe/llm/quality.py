@@ -3,11 +3,12 @@
 Every document gets rule statistics from its whole text. Documents that fail a
 base rule are rejected. For the others the statistics become ratios that do not
 depend on length, and an isolation forest gives each an anomaly score from its
-mean path length over random splits. The forest is grown from, and its threshold
-is calibrated on, a bounded sample of labelled rows (``max_labelled``): the
-threshold is the lowest score that rejects at most ``max_loss`` of the good ones,
-moved to the widest gap above it that costs no further bad row. Without good and
-bad labelled rows nothing but the base rules rejects.
+mean path length over random splits. Every labelled row counts: the trees are
+drawn first, in the box of the good rows, and all good rows are then counted in
+their nodes; the threshold comes from the scores of all good and bad rows. It is
+the lowest score that rejects at most ``max_loss`` of the good ones, moved to the
+widest gap above it that costs no further bad row. Without good and bad labelled
+rows nothing but the base rules rejects.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import store, trim
+from pointframe.llm.common import BROADCAST_ROWS, small, store, trim
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -102,6 +103,10 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
+#: Columns of ``features``.
+N_FEATURES = 6
+
+
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     """Ratios free of length."""
     chars, words, lines = np.maximum(1, stats["word_chars"]), np.maximum(1, stats["n_words"]), np.maximum(1, stats["n_lines"])
@@ -110,104 +115,162 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Isolation trees as arrays: split feature (-1: leaf), cut, children, and path length at leaves."""
+    """Binary trees as arrays, nodes numbered as in a heap: split feature (-1: leaf), cut, and path length at leaves."""
 
     feature: np.ndarray
     cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     path: np.ndarray
-    norm: float
+    norm: float = 1.0
     threshold: float = np.inf
 
+    def leaves(self, t: int, x: np.ndarray) -> np.ndarray:
+        """Where rows end in one tree."""
+        f, c = self.feature[t], self.cut[t]
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        while True:
+            k = f[node]
+            if (k < 0).all():
+                return node
+            node = np.where(k < 0, node, 2 * node + 1 + (x[rows, np.maximum(k, 0)] >= c[node]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score, 0 to 1."""
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
         for t in range(len(self.feature)):
-            f, c, lo, hi, p = self.feature[t], self.cut[t], self.left[t], self.right[t], self.path[t]
-            node = np.zeros(len(x), np.int64)
-            while True:
-                k = f[node]
-                if (k < 0).all():
-                    break
-                node = np.where(k < 0, node, np.where(x[rows, np.maximum(k, 0)] < c[node], lo[node], hi[node]))
-            total += p[node]
+            total += self.path[t][self.leaves(t, x)]
         return 2.0 ** (-total / max(1, len(self.feature)) / self.norm)
 
 
-def _average_path(n: float) -> float:
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-
-def grow(x: np.ndarray, trees: int = 128, size: int = 256, seed: int = 11) -> Forest:
-    """Random trees, each on ``size`` rows. Cuts reach past the sample's own range, so that what lies outside parts early."""
+def draw(low: np.ndarray, high: np.ndarray, deep: int, trees: int = 128, seed: int = 11) -> Forest:
+    """Complete trees of random cuts in a box. Cuts reach past the box, so that what lies outside parts early."""
     rng = np.random.default_rng(seed)
-    size = min(size, len(x))
-    deep = int(np.ceil(np.log2(max(2, size)))) + 2
-    low, high = x.min(0), x.max(0)
     pad = np.maximum(high - low, 1e-3) * 0.5 + 1e-6
-    out: list[list[list[float]]] = []
-    for _ in range(trees):
-        rows = x[rng.permutation(len(x))[:size]]
-        nodes: list[list[float]] = [[-1, 0, 0, 0, 0]]
-        todo = [(0, rows, 0, low - pad, high + pad)]
-        while todo:
-            at, r, depth, lo, hi = todo.pop()
-            if len(r) <= 1 or depth >= deep:
-                nodes[at][4] = depth + _average_path(len(r))
-                continue
-            k = int(rng.integers(x.shape[1]))
-            c = rng.uniform(lo[k], hi[k])
-            a, b = len(nodes), len(nodes) + 1
-            nodes[at][:4] = [k, c, a, b]
-            nodes += [[-1, 0, 0, 0, 0], [-1, 0, 0, 0, 0]]
-            below, above = hi.copy(), lo.copy()
-            below[k] = above[k] = c
-            m = r[:, k] < c
-            todo += [(a, r[m], depth + 1, lo, below), (b, r[~m], depth + 1, above, hi)]
-        out.append(nodes)
-    most = max(len(n) for n in out)
-    grid = np.zeros((trees, most, 5))
-    grid[:, :, 0] = -1
-    for i, n in enumerate(out):
-        grid[i, : len(n)] = n
-    return Forest(grid[:, :, 0].astype(np.int64), grid[:, :, 1], grid[:, :, 2].astype(np.int64), grid[:, :, 3].astype(np.int64), grid[:, :, 4], max(1e-9, _average_path(size)))
-
-
-def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, max_loss: float = 0.002) -> float:
-    """Score above which documents are rejected."""
-    if not len(good) or not len(bad):
-        return np.inf
-    g, b = np.sort(forest.score(good)), np.sort(forest.score(bad))
-    start = g[min(len(g) - 1, int(np.ceil((1 - max_loss) * len(g))) - 1)]
-    over = b[b > start]
-    return float((start + over[0]) / 2) if len(over) else np.inf
-
-
-def drawn(labels: DataFrame, max_labelled: int = 8192, seed: int = 5) -> DataFrame:
-    """doc_id and quality of at most about ``max_labelled`` labelled documents, chosen by a hash of doc_id.
+    lo, hi = np.tile(low - pad, (trees, 1, 1)), np.tile(high + pad, (trees, 1, 1))
+    feature, cut = [], []
+    for _ in range(deep):
+        k = rng.integers(len(low), size=(*lo.shape[:2], 1))
+        a, b = np.take_along_axis(lo, k, 2), np.take_along_axis(hi, k, 2)
+        c = a + rng.random(a.shape) * (b - a)
+        below, above = hi.copy(), lo.copy()
+        np.put_along_axis(below, k, c, 2)
+        np.put_along_axis(above, k, c, 2)
+        lo, hi = np.stack([lo, above], 2).reshape(trees, -1, len(low)), np.stack([below, hi], 2).reshape(trees, -1, len(low))
+        feature.append(k[:, :, 0])
+        cut.append(c[:, :, 0])
+    ends = np.zeros((trees, 1 << deep))
+    grid = np.concatenate([*cut, ends], axis=1)
+    return Forest(np.concatenate([*feature, ends - 1], axis=1).astype(np.int8), grid, np.zeros_like(grid))
+
+
+def grown(drawn: Forest, landed: np.ndarray, size: int) -> Forest:
+    """Leaves and path lengths from the number of rows in each deepest node (trees by nodes): of ``size`` rows that fall
+    as all of them do, a leaf expects one at most, or lies deepest."""
+    levels = [landed * (size / landed[0].sum())]
+    while levels[-1].shape[1] > 1:
+        levels.append(levels[-1].reshape(len(landed), -1, 2).sum(2))
+    held = np.concatenate(levels[::-1], axis=1)
+    depth = np.concatenate([np.full(h.shape[1], d) for d, h in enumerate(levels[::-1])])
+    m = np.arange(1, size + 1)
+    average = 2 * (np.cumsum(1 / m) - 1 / m) - 2 * (m - 1) / m  # mean path among m rows
+    return Forest(np.where(held <= 1, -1, drawn.feature).astype(np.int8), drawn.cut, depth + np.interp(held, m, average), max(1e-9, average[-1]))
+
+
+def _features(b: pa.RecordBatch) -> np.ndarray:
+    return features({c: b.column(c).to_numpy() for c in NAMES[1:]})
+
+
+def box(good: DataFrame, tail: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``tail`` and 1 - ``tail`` quantiles of each feature over all rows, rounded outwards to 1 part in 256; a few
+    extreme rows do not widen the box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, x in enumerate(_features(b).T):  # none is negative: leading bits order as values do
+                v, n = np.unique(np.ascontiguousarray(x).view(np.int64) >> 44, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v), pa.array(n)], names=["k", "v", "n"])
+
+    bins = good.mapInArrow(run, "k long, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "v"])
+    ends = []
+    for _, g in bins.groupby("k"):
+        v, upto = g.v.to_numpy(), g.n.cumsum().to_numpy()
+        skip = int(tail * upto[-1])
+        ends.append((v[np.searchsorted(upto, skip, "right")], v[np.searchsorted(upto, upto[-1] - skip, "left")] + 1))
+    low, high = (np.array(ends, np.int64).T << 44).copy().view(np.float64)
+    return low, high
+
+
+def counted(good: DataFrame, drawn: Forest) -> np.ndarray:
+    """Rows in each deepest node of complete trees: trees by nodes."""
+    shared = good.sparkSession.sparkContext.broadcast(drawn)
+    trees, wide = len(drawn.feature), (drawn.feature.shape[1] + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, total = shared.value, np.zeros((trees, wide), np.int64)
+        for b in batches:
+            x = _features(b)
+            for t in range(trees):
+                total[t] += np.bincount(f.leaves(t, x) - (wide - 1), minlength=wide)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    cells = good.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    landed = np.zeros(trees * wide, np.int64)
+    landed[cells["at"].to_numpy()] = cells["n"].to_numpy()
+    return landed.reshape(trees, wide)
+
+
+def nth_largest(values: DataFrame, n: int) -> float:
+    """The ``n``-th largest of the column ``score``, ties counted, by counts in ever narrower ranges."""
+    low, high = values.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        part = F.floor((F.col("score") - F.lit(low)) / F.lit(high - low) * 1024)
+        bins = values.where(F.col("score").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: -r.part):
+            if n <= r.n:
+                low, high = r.low, r.high
+                break
+            n -= r.n
+    return low
+
+
+def calibrate(scores: DataFrame, n_good: int, max_loss: float) -> float:
+    """Score above which documents are rejected, from the scores of all good and bad rows."""
+    start = nth_largest(scores.where("quality = 1"), n_good + 1 - max(1, int(np.ceil((1 - max_loss) * n_good))))
+    over = scores.where((F.col("quality") == 0) & (F.col("score") > F.lit(start))).agg(F.min("score")).first()[0]
+    return np.inf if over is None else (start + over) / 2
+
+
+def best_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and quality of every labelled document, stored.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); nulls are ignored, and of
     several labels of a document the best counts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, max_labelled / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.lit(int((1 << 30) * share)))
-
-
-def fit(rows: DataFrame, max_labelled: int = 8192) -> Forest | None:
-    """Forest and threshold from the statistics and quality of drawn rows that pass the base rules; equal rows of one
-    document count once."""
-    passed = rows.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).dropDuplicates(NAMES)
-    rows = passed.limit(2 * max_labelled).toPandas().sort_values(NAMES)
-    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
-    if len(good) < 8:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    return store(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "labels")
+
+
+def fit(labelled: DataFrame, max_loss: float = 0.002, size: int = 256, task_rows: int = 1 << 14) -> Forest | None:
+    """Forest and threshold from the statistics and quality of all labelled rows that pass the base rules; equal rows of
+    one document count once. The trees stand for ``size`` rows each, by what all rows count in them."""
+    passed = store(labelled.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).where("quality in (0, 1)").dropDuplicates(NAMES), "labelled")
+    found = {r.quality: r.n for r in passed.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    n = found.get(1, 0)
+    if n < 8:
         return None
-    columns = lambda r: features({c: r[c].to_numpy() for c in NAMES})
-    x = columns(good)
-    forest = grow(x)
-    forest.threshold = calibrate(forest, x, columns(bad))
+    rows = passed.repartition(-(-sum(found.values()) // task_rows))
+    good = rows.where("quality = 1")
+    size = min(size, n)
+    drawn = draw(*box(good, max_loss / 2 / N_FEATURES), deep=int(np.ceil(np.log2(size))) + 2)
+    forest = grown(drawn, counted(good, drawn), size)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(shared.value.score(_features(b)))], names=["quality", "score"])
+
+    if found.get(0):
+        forest.threshold = calibrate(store(rows.mapInArrow(run, "quality int, score double"), "scores"), n, max_loss)
     return forest
 
 
@@ -235,18 +298,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows are judged one by one; an empty table gives no rows.
     """
     stats = store(rule_statistics(docs), "statistics")
-    return judge(stats, fit(stats.join(F.broadcast(drawn(labels)), "doc_id")))
+    known = best_labels(labels)
+    return judge(stats, fit(stats.join(small(known, known.count()), "doc_id")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; only labelled rows are read twice.
+    """The rows of ``docs`` that the rules keep, with all their columns; only labelled rows are read twice, or all where
+    there are too many labels to broadcast, rather than moving the texts to them.
 
     Texts are judged where they are, without a join: null texts go, repeated rows
     stay or go together, and an empty table gives no rows.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn(labels)), "doc_id")
-    some = rule_statistics(known).join(F.broadcast(drawn(labels)), "doc_id")
-    forest = fit(some)
+    known = best_labels(labels)
+    n = known.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    forest = fit(rule_statistics(texts).join(small(known, n), "doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = docs.columns.index("text")
 

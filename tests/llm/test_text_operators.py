@@ -266,6 +266,68 @@ def test_quality_verdicts(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(12_000):
+        good = rng.random() < 0.9
+        w = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(60)]
+        for at in rng.sample(range(60), max(0, int(rng.gauss(4 if good else 14, 3)))):
+            w[at] += "#"
+        rows.append((i, " ".join(w), int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    labels = docs.select("doc_id", "quality")
+    judged = {r.doc_id: r for r in quality.quality_rules(docs.drop("quality"), labels).collect()}
+    passed = [(judged[i].anomaly, q) for i, _, q in rows if not judged[i].base_failed]
+    g, b = sorted(a for a, q in passed if q), sorted(a for a, q in passed if not q)
+    start = g[math.ceil(0.998 * len(g)) - 1]
+    limit = (start + next(a for a in b if a > start)) / 2
+    assert len(passed) > 11_000 and 0 < sum(a > limit for a in b) < len(b)
+    assert all(r.kept == (not r.base_failed and r.anomaly <= limit) for r in judged.values())
+    kept = {i for i, r in judged.items() if r.kept}
+    for most in (quality.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        monkeypatch.setattr("pointframe.llm.common.BROADCAST_ROWS", most)
+        assert {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()} == kept
+
+
+def test_quality_trees_count_every_row(spark):
+    rng, n, size, deep = np.random.default_rng(7), 20_000, 16, 6
+    stats = {c: rng.integers(0, 40, n) for c in quality.NAMES} | {"n_words": rng.integers(50, 400, n), "word_chars": rng.integers(400, 900, n), "n_lines": rng.integers(1, 60, n)}
+    x = quality.features(stats)
+    assert x.shape[1] == quality.N_FEATURES
+    rows = spark.createDataFrame(list(zip(*(stats[c].tolist() for c in quality.NAMES), strict=True)), quality.STATS)
+    for tail in (0, 0.01):
+        order, skip = np.sort(x, axis=0), int(tail * n)
+        low, high = quality.box(rows, tail)
+        assert (low <= order[skip]).all() and (low >= order[skip] * (1 - 1 / 256)).all()
+        assert (high >= order[n - 1 - skip]).all() and (high <= order[n - 1 - skip] * (1 + 1 / 256) + 1e-300).all()
+    drawn = quality.draw(low, high, deep, trees=5)
+    forest = quality.grown(drawn, quality.counted(rows, drawn), size)
+    assert forest.norm == pytest.approx(sum(2 / i for i in range(1, size)) - 2 * (size - 1) / size)
+    for t in range(5):
+        left = [(0, 0, np.arange(n))]
+        while left:
+            node, depth, here = left.pop()
+            held = len(here) * size / n
+            if held <= 1 or depth == deep:
+                m, part = int(held), held % 1
+                c = [sum(2 / i for i in range(1, k)) - 2 * (k - 1) / k if k > 1 else 0 for k in (m, m + 1)]
+                assert forest.feature[t, node] == -1 and forest.path[t, node] == pytest.approx(depth + (c[0] * (1 - part) + c[1] * part if held > 1 else 0))
+                assert (forest.leaves(t, x[here]) == node).all()
+            else:
+                less = x[here, forest.feature[t, node]] < forest.cut[t, node]
+                left += [(2 * node + 1, depth + 1, here[less]), (2 * node + 2, depth + 1, here[~less])]
+
+
+def test_nth_largest_with_ties(spark):
+    values = [0.0, 0.25, 0.25, 0.25, 0.25 + 2**-54, 0.5, 0.5, 1.0, *(0.7 + k * 1e-9 for k in range(50))]
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 30, 51, 52, 53, 54, 55, 57, 58):
+        assert quality.nth_largest(df, k) == ordered[k - 1]
+
+
 # --- licences
 
 
