@@ -96,9 +96,28 @@ def tasks_for(df: DataFrame, size: int = 64 << 20) -> int:
     return max(1, least, -(-known // size)) if known < 1 << 60 else max(1, least)
 
 
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, size: int = 2 << 20):
+    """What runs inside sends rows to Python in batches of about ``size`` bytes, if not the session's fewer: 10,000 whole
+    texts would fill large buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    known = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, str(min(size, known) if known > 0 else size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def trim() -> None:
     """Give memory that earlier tasks of this worker process left unused back to the system."""
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """The same without looking for garbage: fit to be called after every batch."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import store, trim
+from pointframe.llm.common import arrow_bytes, release, store, trim
 from pointframe.llm.tokens import crc32, encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,15 +72,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                ids, lengths = with_end(*encoder(tokenizer).encode(b.column("text").slice(lo, 1024)), end_id)
+            for lo in range(0, b.num_rows, 2048):
+                ids, lengths = with_end(*encoder(tokenizer).encode(b.column("text").slice(lo, 2048)), end_id)
                 out: list[tuple] = []
                 at = 0
-                for key, total in zip(b.column("doc_id").slice(lo, 1024).to_pylist(), lengths.tolist(), strict=True):
+                for key, total in zip(b.column("doc_id").slice(lo, 2048).to_pylist(), lengths.tolist(), strict=True):
                     out += [(key, k, i, n, crc32(ids[at + i : at + i + n])) for k, (i, n) in enumerate(cut(total, size))]
                     at += total
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids = lengths = out = cols = None
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -101,7 +103,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     Repeated rows are packed as often as they occur; a null doc_id is kept. An
     empty table gives no rows.
     """
-    made = store(pieces(docs, tokenizer, size, end_id), "pieces")
+    with arrow_bytes(docs.sparkSession):
+        made = store(pieces(docs, tokenizer, size, end_id), "pieces")
     packers = max(1, math.ceil(made.count() / pieces_per_packer))
     full = made.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = made.where(F.col("length") < size)

@@ -139,6 +139,23 @@ def test_ids_equal_the_tokenizer():
     assert e.encode([])[0].size == 0 and e.encode(["", None])[1].tolist() == [0, 0]
 
 
+def test_packing_sends_few_bytes_at_a_time(spark, monkeypatch):
+    def sizes(docs, *_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if i == 1 else pa.int64()) for i, x in enumerate((b.num_rows, 0, b.nbytes, 1, 0))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return docs.select("text").mapInArrow(run, packing.PIECES)
+
+    monkeypatch.setattr(packing, "pieces", sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 800) AS text")
+    rows = packing.pack_documents(docs, "").collect()
+    assert sum(r.doc_id for r in rows) == 2000 and max(r.start for r in rows) < 3 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_queries_encode_as_the_library_does(spark):
     from tokenizers import Tokenizer
 
