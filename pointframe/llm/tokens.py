@@ -2,10 +2,11 @@
 
 A byte-level pre-tokenizer cuts a text at every single space between two words,
 so each distinct " word" of a batch is looked up once, and its ids are gathered
-for all its places. A word that is not remembered is cut by the pre-tokenizer's
-own pattern and its parts go to the file's BPE model. Texts with runs of white
-space or other blanks, or with the content of an added token, are encoded whole
-by the tokenizer.
+for all its places. It also cuts between letters and the marks or line feeds
+after them, so only the letters of such a word are remembered, whatever follows.
+Another word that is not remembered is cut by the pre-tokenizer's own pattern and
+its parts go to the file's BPE model. Texts with runs of white space or other
+blanks, or with the content of an added token, are encoded whole by the tokenizer.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ BLANKS = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _plain(stem: str) -> bool:
+    """Letters only, of blocks where Python and the pre-tokenizer agree on what a letter is: it cuts after them."""
+    return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")
+
+
 def _byte_letters() -> dict[int, str]:
     """Letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -80,11 +86,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and a word."""
-        stem = word.rstrip(MARKS)
-        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):  # letters, then marks: the pre-tokenizer cuts between them
-            if len(stem) < len(word):
-                return self.words[stem] + self.parts[word[len(stem) :]]
-            raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+        if _plain(word):
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in self.tokenize(self.space + raw)]).tobytes()
         return b"".join(map(self.parts.__getitem__, self.cut(" " + word)))
 
@@ -124,6 +127,21 @@ class Encoder:
         out[mine] = np.concatenate(alone)
         return out, every
 
+    def _known(self, words: pa.Array, names: list[str]) -> list[bytes]:
+        """Ids of a space and each of the distinct words."""
+        lines = pc.list_element(pc.split_pattern(words, "\n", max_splits=1), 0)
+        stems = pc.ascii_rtrim(lines, MARKS)
+        stem = stems.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.words.__getitem__, stem))
+        more = pc.less(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(more).tolist():
+            if _plain(stem[i]):
+                rest = names[i][len(stem[i]) :]
+                known[i] += self.piece(rest) if "\n" in rest else self.parts[rest]
+            else:
+                known[i] = self.words[names[i]]
+        return known
+
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
@@ -133,7 +151,7 @@ class Encoder:
         bounds = bounds - bounds[0]
         which = coded.indices.to_numpy().copy()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self.words.__getitem__, names))
+        known = self._known(coded.dictionary, names)
         # The first word of a text has no space before it.
         heads = bounds[:-1]
         first: dict[int, int] = {}

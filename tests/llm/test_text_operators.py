@@ -139,6 +139,14 @@ def test_ids_equal_the_tokenizer():
     assert e.encode([])[0].size == 0 and e.encode(["", None])[1].tolist() == [0, 0]
 
 
+def test_letters_are_remembered_whatever_follows():
+    e = tokens.Encoder(tokenizer_path(), plain=False)
+    texts = ["x foo foo, foo. foo\nBar foo...\n\nBaz don't don't, 12, ### \u2026, \u00c9t\u00e9! '\ns a'\n's", "foo! foo", "\nfoo,\n", None]
+    ids, lengths = e.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [w for w in e.words if w.startswith("foo")] == ["foo"]
+
+
 def test_packing_sends_few_bytes_at_a_time(spark, monkeypatch):
     def sizes(docs, *_):
         def run(batches):
