@@ -42,10 +42,11 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/pointframe/{spark.sparkContext.applicationId}"
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it again: lineage ends here and a lost executor costs nothing."""
+def store(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write ``df`` into the shared folder and read it again: lineage ends here and a lost executor costs nothing. Options
+    go to the writer."""
     path = f"{session_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointframe.llm import fingerprints, htmltext, langid, licenses, mixing, neardup, oracle, packing, quality, simple8b, urlrep
+from pointframe.llm import alignment, centroids, fingerprints, htmltext, langid, licenses, mixing, neardup, oracle, packing, quality, sharding, simple8b, urlrep
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -74,6 +75,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_token_files, op3_near_dedup, op4_quality_rules, op5_license_scan, op6_html_text, op7_mix_sources, op8_pack_sequences, op9_url_filter, op10_fingerprints, pipeline]
+    ops = [op1_language_id, op2_token_files, op3_near_dedup, op4_quality_rules, op5_license_scan, op6_html_text, op7_mix_sources, op8_pack_sequences, op9_url_filter, op10_fingerprints, op11_shard_documents, op12_centroid_clusters, op13_align_tokens, pipeline]
     return {f.__name__: f for f in ops}
 
 

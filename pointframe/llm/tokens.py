@@ -36,7 +36,7 @@ def _plain(stem: str) -> bool:
     return stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -78,8 +78,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.tokenize = self.tokenizer.model.tokenize
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.space = _byte_letters()[32]
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.space = byte_letters()[32]
         self.words = _Memory(limit, self._word)
         self.parts = _Memory(limit // 4, self._part)
         self.cut = regex.compile(PATTERN).findall
