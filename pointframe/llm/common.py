@@ -60,6 +60,16 @@ def forget(*stored: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these, each of which no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
     """A broadcast hint for a table whose rows, and the bytes of its strings (``size``), have been counted; larger
     tables are left to shuffle joins."""

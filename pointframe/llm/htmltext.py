@@ -6,16 +6,21 @@ it climbs to the outermost article or main around it, or else to the body, so th
 titles, leads and smaller sections beside the best container stay. That element's
 generalised path (tags with their classes, digits removed) is a vote weighted by
 the container's characters. A path is carried as a digest of its parent's digest
-and its own step, of one size at any depth. Votes are summed per host in Spark, and every page of
-the host is extracted again from the winning path and from its own choice; a page
-without any container gives its whole body.
+and its own step, of one size at any depth. Votes are summed per host in Spark, and
+every page of the host is extracted again from the elements on the winning path
+alone: what else looks like an article there (teasers, comments) is left out. The page's
+own choice serves where it lacks that path, where the path holds under ``LEAST`` of
+the text of its own choice, and where an article of its own lies within a winning body, so that a page with
+an article never gains what lies around it. A page without any container gives its
+whole body.
 
 Inside the chosen elements everything is kept except elements that are not
 article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments), found by tag, role, or class and id, and, where there is no article or
-main, blocks of links outside the best container. Outside an article or main one
-such word in a class or id is enough; inside, all words of one of its names must be
-such or say nothing ("ad-box", but not "social-facts"), and a name of a header is
+main, blocks of links outside the best container. All words of a class or id must
+be such or say nothing ("ad-box"): then the element goes. Where only some are
+("share-price", "footer-note"), and within an article for quotes, only
+its blocks of links go, and for names of menus those under four words too. The name of a header within an article is
 none, for it may hold the title.
 """
 
@@ -44,8 +49,14 @@ DROPPED = frozenset("nav aside footer form button input label menu dialog head s
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of a class or id that mark an element as not part of the article.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social comment comments disqus respond reply replies footer header masthead copyright pagination pager toolbar skip".split())
+#: Those of them that name lists of links: within an article such an element goes only as far as it is links.
+LINKY = frozenset("nav navbar navigation menu breadcrumb breadcrumbs related recommended share sharing social pagination pager toolbar skip".split())
 #: Words that say nothing about what an element holds.
-NEUTRAL = frozenset("area bar block box button buttons container content entry inner item items link links list module page panel post posts row section site slot top bottom unit user wrap wrapper".split())
+NEUTRAL = frozenset("area bar block body box button buttons cell column container content entry first fixed global group holder inline inner item items label large last left link links list local main mobile desktop module outer page panel post posts primary right row secondary section site slot small sticky sub tab tabs text title top bottom unit user wrap wrapper".split())
+#: Quoted or drawn text: within an article a class alone does not remove it.
+QUOTED = frozenset("blockquote pre figure q".split())
+#: Share of the text of a page's own choice that the winning path must hold.
+LEAST = 0.25
 #: Words that do not count inside an article.
 TITLES = frozenset("header masthead banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
@@ -68,7 +79,7 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, element, dropped, in link, in article
+        stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, element, dropped, in link, in article
         parts: list[str] = []
         links = 0
 
@@ -76,7 +87,9 @@ class Page:
             nonlocal links
             if parts:
                 if text := " ".join("".join(parts).split()):
-                    self.blocks.append((stack[-1][1], text, links, stack[-1][2]))
+                    level = stack[-1][2]
+                    drop = level == 3 or level > 0 and len(text) <= 2 * links or level == 2 and text.count(" ") < 3
+                    self.blocks.append((stack[-1][1], text, links, drop))
                 parts.clear()
                 links = 0
 
@@ -133,7 +146,7 @@ class Page:
                 continue
             top = stack[-1]
             known = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs else {}
-            dropped = top[2] or self._boilerplate(name, known, top[4])
+            dropped = max(top[2], self._boilerplate(name, known, top[4]))
             element = top[1]
             if name in BLOCK:
                 element = len(self.path)
@@ -145,23 +158,27 @@ class Page:
         flush()
 
     @staticmethod
-    def _boilerplate(name: str, attrs: dict[str, str], inside: bool) -> bool:
-        if name in DROPPED or name == "header" and not inside:
-            return True
-        if name in ("html", "body", *MAIN):
-            return False
-        if not attrs:
-            return False
+    def _boilerplate(name: str, attrs: dict[str, str], inside: bool) -> int:
+        """What is no article text of an element: 3 all, 2 links and blocks under four words, 1 links; ``inside``: within an
+        article."""
+        if name in DROPPED and not (inside and name == "aside") or name == "header" and not inside:
+            return 3
+        level = 2 if name == "aside" else 0
+        if name in ("html", "body", *MAIN) or not attrs:
+            return level
         if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
-            return True
+            return 3
         marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         if len(marks) < 2:
-            return False
-        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower().split()
-        if not inside:
-            return any(not BOILERPLATE.isdisjoint(_WORDS.findall(x)) for x in names)
-        said = [set(_WORDS.findall(x)) - NEUTRAL for x in names]
-        return any(x and x <= BOILERPLATE - TITLES for x in said)
+            return level
+        for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", marks).lower().split():
+            said = {w for w in _WORDS.findall(x) if len(w) > 1} - NEUTRAL
+            bad = said & (BOILERPLATE - TITLES if inside else BOILERPLATE)
+            if bad and bad == said:
+                level = max(level, 1 if inside and name in QUOTED else 2 if inside and said <= LINKY else 3)
+            elif bad and not inside:
+                level = max(level, 1)
+        return level
 
     def container(self) -> tuple[str, int] | None:
         """Path and score of the best container."""
@@ -202,12 +219,13 @@ class Page:
             under[e] = under[e] or under[self.above[e]]
         return under
 
-    def text(self, *paths: str) -> str:
-        """Blocks under the elements with these paths (none: all), in page order."""
+    def text(self, path: str | None = None, beside: bool = False) -> str:
+        """Blocks under the elements with this path (None: all), in page order; ``beside``: if they are articles, under the
+        page's other articles too."""
         kept = [b for b in self.blocks if not b[3]]
-        if paths:
-            roots = {e for e, p in enumerate(self.path) if p in paths}
-            if any(self.tag[e] in MAIN for e in roots):  # beside it there may be others
+        if path is not None:
+            roots = {e for e, p in enumerate(self.path) if p == path}
+            if beside and any(self.tag[e] in MAIN for e in roots):
                 roots |= {e for e, t in enumerate(self.tag) if t in MAIN}
             loose = self._under({e for e in roots if self.tag[e] in ("", "html", "body")})
             won = self.container()
@@ -216,6 +234,13 @@ class Page:
             kept = [b for b in kept if under[b[0]] and not (loose[b[0]] and not sure[b[0]] and len(b[1]) <= 2 * b[2])]
         return "\n\n".join(b[1] for b in kept)
 
+    def narrower(self, path: str, own: str) -> bool:
+        """Whether this page's own choice is an article and the path leads to something else around articles."""
+        roots = {e for e, p in enumerate(self.path) if p == path}
+        tops = {e for e, p in enumerate(self.path) if p == own and self.tag[e] in MAIN}
+        under = self._under(roots)
+        return not any(self.tag[e] in MAIN for e in roots) and any(under[e] for e in tops)
+
 
 def host_of(url: str = "url"):
     """Lower-cased host of a url column; empty where there is none."""
@@ -232,13 +257,20 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(source: str | None, path: str | None) -> str:
-    """Text of one page, from the host's path if the page has it, and from the page's own choice."""
+    """Text of one page: from its host's path, or from its own choice where that path does not serve."""
     if not source:
         return ""
     page = Page(source)
-    if own := page.best():
-        return page.text(own[0], *(() if path is None else (path,)))
-    return path and page.text(path) or page.text()
+    own = page.best()
+    voted = page.text(path) if path is not None and path in page.path else ""
+    if not own:
+        return voted or page.text()
+    if own[0] == path:
+        return voted
+    mine = page.text(own[0], beside=True)
+    if not voted or len(voted) < LEAST * len(mine) or page.narrower(path, own[0]):
+        return mine
+    return voted
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import trim
+from pointframe.llm.common import release, trim
 
 ORDER = 4
 _LETTER = regex.compile(r"\p{L}")
@@ -241,5 +241,6 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> Da
         for b in (w.slice(lo, 1024) for w in batches for lo in range(0, w.num_rows, 1024)):
             lang, score = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            release()
 
     return docs.mapInArrow(run, docs.schema)

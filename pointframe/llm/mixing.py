@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointframe.llm.common import BROADCAST_ROWS, small, store
+from pointframe.llm.common import BROADCAST_ROWS, small, store, unused
 
 _DOC = "struct<size:long,h:long,doc_id:long,row:long,whole:int,p:double>"
 _DONE = "struct<size:long,row:long,whole:int,copies:int>"
@@ -195,7 +195,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """doc_id, size, source_size, target, taken and source of every row.
 
     Documents without words (or null text) are taken with 0 words. A null source
-    is a source of its own, the last in order. Repeated rows are rounded one by one.
+    is a source of its own, the last in order. Repeated rows are rounded one by one,
+    other columns are ignored, and an empty table gives no rows.
     """
     sizes = store(_sized(docs), "sizes")
     targets = store(source_targets(sizes, weights, share, most), "targets")
@@ -207,9 +208,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (rows without words: never)."""
-    wide = store(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
-    sizes = store(wide.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "sizes")
-    taken = copies(sizes, store(source_targets(sizes, weights, share, most), "targets")).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    many = wide.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    """The rows of ``docs``, each as often as the mix takes it (rows without words: never), all columns unchanged.
+
+    Null ids and repeated rows are rounded one by one, a null source is a source of
+    its own, and an empty table gives no rows.
+    """
+    row, times, copy = unused(docs, "_row", "_copies", "_copy")
+    wide = store(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    sizes = store(wide.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "sizes")
+    taken = copies(sizes, store(source_targets(sizes, weights, share, most), "targets")).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    many = wide.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return many.select(*docs.columns)

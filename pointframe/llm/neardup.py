@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import WordHashes, forget, hot_join, mix64, shingle_set, small, store, trim
+from pointframe.llm.common import WordHashes, forget, hot_join, mix64, release, shingle_set, small, store, trim, unused
 
 ROWS = 5
 SKETCH_BITS = 1024
@@ -102,6 +102,7 @@ def _signatures(width: int, bands: int):
                 keys.append(acc.view(np.int64))
                 sketch.append(odd_sketch(samples))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "keys", "sketch"])
+            release()
 
     return run
 
@@ -285,24 +286,26 @@ def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, width: int,
     return star.unionByName(sets.groupBy("key", "i", "j").applyInArrow(_forest(percent, flips), "u long, v long"))
 
 
-def _own_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows whose doc_id is theirs alone, and the stored others with a new ``_key`` each (None: there are no others)."""
+def _own_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, str]:
+    """The rows whose doc_id is theirs alone, the stored others with a new key each (None: there are no others), and the
+    name of that key, which no column of ``docs`` has."""
+    id_, key = unused(docs, "_id", "_key")
     own = F.col("doc_id").cast("long")
-    ids = docs.select(own.alias("_id"))
-    shared = store(ids.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select("_id"), "shared-ids")
+    ids = docs.select(own.alias(id_))
+    shared = store(ids.groupBy(id_).agg(F.count("*").alias("n")).where(f"n > 1 or {id_} is null").select(id_), "shared-ids")
     n = shared.count()
     if not n:
-        return docs, None
-    low, high = ids.agg(F.min("_id"), F.max("_id")).first()
+        return docs, None, key
+    low, high = ids.agg(F.min(id_), F.max(id_)).first()
     room = 1 << 60
     base = 0 if high is None else high + 1 if high < (1 << 63) - 1 - room else low - room
-    plain = docs.where(own.isNotNull()).join(small(shared, n), own == F.col("_id"), "left_anti")
-    rest = docs.where(own.isNull()).unionByName(docs.join(small(shared, n), own == F.col("_id"), "left_semi"))
-    return plain, store(rest.withColumn("_key", F.monotonically_increasing_id() + F.lit(base).cast("long")), "own-keys")
+    plain = docs.where(own.isNotNull()).join(small(shared, n), own == F.col(id_), "left_anti")
+    rest = docs.where(own.isNull()).unionByName(docs.join(small(shared, n), own == F.col(id_), "left_semi"))
+    return plain, store(rest.withColumn(key, F.monotonically_increasing_id() + F.lit(base).cast("long")), "own-keys"), key
 
 
-def _keyed(plain: DataFrame, others: DataFrame) -> DataFrame:
-    return plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(others.select(F.col("_key").alias("doc_id"), "text"))
+def _keyed(plain: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    return plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(others.select(F.col(key).alias("doc_id"), "text"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -311,13 +314,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A text without words has no shingles and is linked with nothing. The smallest
     doc_id of a component is kept. A null doc_id is passed through as its own
     component (null, kept). Rows that share a doc_id are linked each by its own
-    text; all of them are kept if theirs is the smallest.
+    text; all of them are kept if theirs is the smallest. Other columns are ignored,
+    and an empty table gives no rows.
     """
-    plain, others = _own_keys(docs)
+    plain, others, key = _own_keys(docs)
     if others is None:
         return _linked_keys(docs, width, percent)
-    found = _linked_keys(_keyed(plain, others), width, percent).withColumnRenamed("doc_id", "_row")
-    named = found.join(others.select("_key", F.col("doc_id").cast("long").alias("_doc")), F.col("_row") == F.col("_key"), "left")
+    found = _linked_keys(_keyed(plain, others, key), width, percent).withColumnRenamed("doc_id", "_row")
+    named = found.join(others.select(F.col(key).alias("_key"), F.col("doc_id").cast("long").alias("_doc")), F.col("_row") == F.col("_key"), "left")
     named = store(named.select(F.when(F.col("_key").isNull(), F.col("_row")).otherwise(F.col("_doc")).alias("doc_id"), "n_shingles", F.col("component_id").alias("_component")), "named")
     least = named.groupBy("_component").agg(F.min("doc_id").alias("_least"))
     known = F.when(F.col("doc_id").isNotNull(), F.col("_least"))
@@ -346,10 +350,15 @@ def _linked_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each component, also where rows share a doc_id or have none."""
-    plain, others = _own_keys(docs)
-    found = _linked_keys(docs if others is None else _keyed(plain, others), width, percent)
-    lost = store(found.where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    """One row of ``docs`` for each component, with all its columns unchanged, also where rows share a doc_id or have none.
+
+    Null texts and texts without words are linked with nothing and all stay. Of rows
+    with one doc_id, each counts by its own text. An empty table gives no rows.
+    """
+    plain, others, key = _own_keys(docs)
+    found = _linked_keys(docs if others is None else _keyed(plain, others, key), width, percent)
+    (gone,) = unused(docs if others is None else others, "_lost")
+    lost = store(found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "lost")
     n = lost.count()
-    kept = plain.join(small(lost, n), F.col("doc_id") == F.col("_lost"), "left_anti")
-    return kept if others is None else kept.unionByName(others.join(small(lost, n), F.col("_key") == F.col("_lost"), "left_anti").drop("_key"))
+    kept = plain.join(small(lost, n), F.col("doc_id") == F.col(gone), "left_anti")
+    return kept if others is None else kept.unionByName(others.join(small(lost, n), F.col(key) == F.col(gone), "left_anti").drop(key))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointframe.llm.common import BROADCAST_ROWS, small, store, trim
+from pointframe.llm.common import BROADCAST_ROWS, release, small, store, trim
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -328,5 +328,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if f and len(rows):
                 kept &= f.score(features(s)) <= f.threshold
             yield b.filter(pa.array(kept))
+            release()
 
     return docs.mapInArrow(run, docs.schema)

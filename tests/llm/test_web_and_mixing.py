@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pointframe.llm import htmltext, mixing, urlrep
-from pointframe.llm.queries import URL_RULES, op9_url_filter, oracle_sql, table
+from pointframe.llm import htmltext, mixing, neardup, quality, urlrep
+from pointframe.llm.common import store
+from pointframe.llm.queries import URL_RULES, op9_url_filter, oracle_sql, table, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -73,6 +74,42 @@ def test_host_path_with_little_text():
     assert htmltext.main_text(source, path("html", "body", "article.teaser")) == f"Tiny.\n\n{long.strip()}"
 
 
+def post(text, extra=""):
+    return f"<html><body><div class=layout><article class=post-17><h1>Post</h1><p>{text}</p></article>{extra}</div></body></html>"
+
+
+def test_the_vote_leaves_teasers_out(spark):
+    """A host's posts outvote what else is an article on its pages; without the vote the teasers are taken for text."""
+    long, short = "A sentence of the post that goes on. " * 12, "A short post of two sentences. Nothing more."
+    teasers = "".join(f"<article class=teaser><h2>Other {i}</h2><p>{'Read the other one. ' * 3}</p></article>" for i in range(2))
+    rows = [(i, f"http://h.net/{i}", post(long, teasers if i % 2 else "")) for i in range(5)] + [(9, "http://h.net/9", post(short, teasers))]
+    rows += [(10, "http://h.net/index", f"<html><body><div class=layout>{teasers}</div></body></html>")]  # lacks the path
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == f"Post\n\n{short}" and got[1] == f"Post\n\n{long.strip()}"
+    assert "Other 1" in htmltext.main_text(rows[5][2], None) and "Other 1" in htmltext.main_text(rows[1][2], None)
+    assert got[10].startswith("Other 0") and "Other 1" in got[10]
+
+
+def test_an_article_never_gains_what_lies_around_it(spark):
+    text = "Words of the page itself, and more of them. " * 8
+    plain = [(i, f"http://b.net/{i}", f"<html><body><h1>T</h1><p>{text}</p></body></html>") for i in range(4)]
+    page = f"<html><body><div class=teaser><p>Teaser before it.</p></div><article><h1>T</h1><p>{text}</p></article><div class=after><p>More from this site.</p></div></body></html>"
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame([*plain, (7, "http://b.net/7", page)], "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {f"T\n\n{text.strip()}"}
+
+
+def test_words_in_classes_lose_to_text():
+    text = "Words of the page itself, and more of them. " * 6
+    kept = ["<p class=share-price>Shares rose by two per cent.</p>", '<p class="footer-note">A note on the method.</p>', '<div class="alert-level-report"><p>The level is at three.</p></div>']
+    gone = ['<div class="cookie-notice"><p>We use cookies.</p></div>', '<p class="ad-slot">Buy now.</p>', '<div class="related-stories"><a href=/1>One</a> <a href=/2>Two</a></div>', '<div class="left sidebar">Side.</div>', "<aside>Beside.</aside>"]
+    want = "\n\n".join([text.strip(), "Shares rose by two per cent.", "A note on the method.", "The level is at three."])
+    assert htmltext.main_text(f"<html><body><div><p>{text}</p>{''.join(kept)}</div>{''.join(gone)}</body></html>", None) == want
+    kept = ['<blockquote class="comment">He said so.</blockquote>', "<aside>A pulled quote of five words.</aside>", '<div class="menu"><p>First soup, then fish, then fruit.</p></div>']
+    gone = ['<div class="comments"><p>First!</p></div>', '<div class="share"><a href=/f>F</a> <a href=/t>T</a></div>', '<aside><a href=/x>See also</a></aside>', '<div class="advert">Buy now.</div>', "<nav>Up</nav>"]
+    want = "\n\n".join([text.strip(), "He said so.", "A pulled quote of five words.", "First soup, then fish, then fruit."])
+    assert htmltext.main_text(f"<html><body><article><p>{text}</p>{''.join(kept)}{''.join(gone)}</article></body></html>", None) == want
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "a<b", "<script>never ends", "<!-- open", "<p class='x>text</p>", "</p></div>x", "<div " * 50, "&", "<a b=\"c>d\">e</a>", "<p>" * 3000 + "x"])
 def test_broken_markup(html):
     assert isinstance(htmltext.main_text(html, None), str)
@@ -310,9 +347,141 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixing.mixed_rows(odd_docs).columns == odd_docs.columns and mixing.mixed_rows(no_docs).count() == 0
 
 
+CLASHES = ("_id", "_key", "_lost", "_row", "_copy", "_copies", "_salt", "_salts", "row", "copies", "nth", "size")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Rows that share ids, with columns named like helpers, whose values must come back."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(30)) for _ in range(12)]
+    rows = [(i % 9 if i % 7 else None, texts[i % 12], ("a", None, "b")[i % 3], *([-7 - i] * len(CLASHES))) for i in range(36)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in CLASHES))
+
+
+def test_helper_names_do_not_clash(clashing):
+    given = {tuple(r) for r in clashing.collect()}
+    mixed = mixing.mixed_rows(clashing)
+    assert mixed.columns == clashing.columns and {tuple(r) for r in mixed.collect()} <= given
+    kept = neardup.keep_one(clashing)
+    rows = [tuple(r) for r in kept.collect()]
+    assert kept.columns == clashing.columns and set(rows) <= given and len(rows) == len({r[1] for r in rows}) == 12
+    assert neardup.near_duplicates(clashing).count() == 36 and len(mixing.mix(clashing).collect()) == 36
+
+
 # --- pipeline
 
 
+def plain_pipeline(docs, decided):
+    """(doc_id, text, source) rows kept at each stage. The two learned verdicts are given by text; the rest is plain Python."""
+    out = [docs]
+    for verdict in decided:
+        out.append([r for r in out[-1] if verdict(r[1])])
+    sets = []
+    for _, text, _ in out[-1]:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(out[-1]):
+        groups[find(i)].append(r)
+    return out, list(groups.values())
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """Four languages of the given tables, with copies, near copies, rows without id, text or source, and repeated rows."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    docs = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()][:120]
+    words_ = docs[3][1].split() + docs[5][1].split() * 3
+    near = " ".join(words_[:150])
+    docs += [(9001, near, "en", "s", 1), (9002, near + " tail", "en", "s", 1), (9003, near.upper(), "en", None, 1), (9004, None, None, None, None), (9005, "", "en", "s", 0), (None, near, None, "s", None), (None, None, None, None, None)]
+    docs += [docs[7], docs[7], docs[8]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    table(spark, SF, "labels").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_against_plain_python(spark, small_corpus):
+    """Every stage's rows, and the packed pieces."""
+    docs = table(spark, small_corpus, "documents")
+    given = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    passed = {r.text for r in corpus_pipeline.STAGES[0][1](spark, docs, small_corpus).collect()}
+    judged = quality.quality_rules(docs, table(spark, small_corpus, "labels")).select("doc_id", "kept").collect()
+    assert {r.doc_id for r in judged if r.kept and r.doc_id} == {d for d, t, _ in given if d and t in passed}  # the pipeline's verdicts are the operator's
+    good = [r for r in given if r[1] in passed]
+    assert all(len((t or "").split()) >= 50 for _, t, _ in good)
+    stage_rows, now = [], docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, small_corpus)
+        assert now.columns == docs.columns
+        now = store(now, "test-stage")
+        stage_rows.append([(r.doc_id, r.text, r.source) for r in now.collect()])
+    spoken = {t for _, t, _ in stage_rows[1]}
+    kept, groups = plain_pipeline(given, [lambda t: t in passed, lambda t: t in spoken])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
+    assert sorted(stage_rows[0], key=key) == sorted(kept[1], key=key) and sorted(stage_rows[1], key=key) == sorted(kept[2], key=key)
+    assert len(stage_rows[2]) == len(groups) < len(stage_rows[1])
+    assert all(sum(r in stage_rows[2] for r in set(g)) == 1 for g in groups)
+    size = collections.Counter()
+    for _, t, s in stage_rows[2]:
+        size[s] += len(t.split())
+    want = plain_targets(size)
+    taken = collections.Counter()
+    for _, t, s in stage_rows[3]:
+        taken[s] += len(t.split())
+    longest = max(len(t.split()) for _, t, _ in stage_rows[2])
+    assert all(abs(taken[s] - want[s]) <= longest for s in want) and set(stage_rows[3]) <= set(stage_rows[2])
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    pieces = corpus_pipeline.run(spark, small_corpus).collect()
+    lengths = collections.Counter()
+    for d, t, _ in stage_rows[3]:
+        lengths[d, len(tok.encode(t, add_special_tokens=False).ids) + 1] += 1
+    whole = collections.Counter()
+    for r in pieces:
+        whole[r.doc_id] += r.length
+    per = collections.Counter()
+    for (d, n), times in lengths.items():
+        per[d] += n * times
+    assert whole == per
+    bins = collections.defaultdict(list)
+    for r in pieces:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
+def test_pipeline_deletes_its_stages(spark, small_corpus):
+    import glob
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/pointframe/**/pipeline-*", recursive=True))
+    assert corpus_pipeline.run(spark, small_corpus).count()
+    assert set(glob.glob(f"{shared}/pointframe/**/pipeline-*", recursive=True)) == before
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    table(spark, SF, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @data
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
