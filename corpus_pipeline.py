@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pointframe.llm import langid, mixing, neardup, packing, quality
-from pointframe.llm.common import shared_dir
+from pointframe.llm.common import forget, store
 from pointframe.llm.queries import table, tokenizer_path
 
 #: No stage is expressible in SQL; tests/llm compares them with brute force.
@@ -50,10 +49,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a row a packed piece.
+
+    Null texts go in the first stage; null ids, null sources and repeated rows are rows
+    like others; an empty table gives no rows. The last stage stores its pieces, after which the stages' own
+    tables are deleted.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pointframe/pipeline-{uuid.uuid4().hex}"
+    made = []
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made.append(docs)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(*made)
+    return out
