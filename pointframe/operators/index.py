@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pointframe.cloud import store
 from pointframe.functions import geometry as g
+from pointframe.operators.kdtree import median_levels
 
 Corner = tuple[float, float, float]
 
@@ -71,17 +72,5 @@ def with_rank(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def kd_median_levels(cloud: DataFrame, depth: int) -> DataFrame:
-    """path, depth, axis, id, n of a kd-tree's nodes: at each level a node keeps the median (position n/2 by
-    coordinate then id) on the level's axis, the lower part goes to path + 0 and the upper to path + 1."""
-    rest = cloud.select("id", "x", "y", "z").withColumn("path", F.lit("r"))
-    out: DataFrame | None = None
-    for level in range(depth):
-        axis = "xyz"[level % 3]
-        ranked = store(with_rank(rest, "path", [axis, "id"]), "levels")
-        middle = F.floor(F.col("n") / 2)
-        nodes = ranked.where(F.col("rank") == middle).select("path", F.lit(level).cast("long").alias("depth"), F.lit(axis).alias("axis"), "id", "n")
-        out = nodes if out is None else out.unionByName(nodes)
-        side = F.when(F.col("rank") < middle, F.lit("0")).otherwise(F.lit("1"))
-        rest = ranked.where(F.col("rank") != middle).select("id", "x", "y", "z", F.concat("path", side).alias("path"))
-    assert out is not None, "depth must be at least 1"
-    return out
+    """path, depth, axis, id, n of a kd-tree's inner nodes; see ``kdtree``."""
+    return median_levels(cloud, depth)

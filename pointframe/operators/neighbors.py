@@ -14,7 +14,6 @@ broadcast nested loop planned instead.
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +21,14 @@ from pyspark.sql.window import Window
 
 from pointframe.cloud import require_columns, store
 from pointframe.functions import geometry as g
+from pointframe.operators.octree import BOX, LEVELS, PART_POINTS, Octree, build, interleaved
 
 BRUTE_PAIRS = 5_000_000
 #: Rows of the other side below which a nested loop may broadcast it.
 BRUTE_ROWS = 20_000
 
-#: Levels of the octree.
-DEPTH = 20
-#: Cell numbers up to which a list of cells is broadcast (8 MB).
-BROADCAST_KEYS = 1_000_000
+#: Exponent of the least scale of a hierarchical grid.
+MIN_SCALE = -40
 #: Pairs of boxes and nodes with which a descent begins.
 START_PAIRS = 2_000_000
 
@@ -64,25 +62,6 @@ def _spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def _codes(df: DataFrame, frame: dict[str, tuple[float, float, float, float]]) -> DataFrame:
-    """Adds ix, iy, iz: places on 2**DEPTH cells an axis, evenly spaced in asinh of the distance from the median."""
-    for n, (mid, scale, low, high) in frame.items():
-        t = F.asinh((F.col(n) - mid) / scale)
-        u = (t - low) / (high - low) if high > low else F.lit(0.0)
-        df = df.withColumn(f"i{n}", F.greatest(F.lit(0), F.least(F.floor(u * (1 << DEPTH)), F.lit((1 << DEPTH) - 1))).cast("long"))
-    return df
-
-
-def _node(level: Column) -> Column:
-    """Number of the cell of a level that holds a point: its level's mark bit, then the cell's place on each axis."""
-    level = level.cast("int")
-    back = F.lit(DEPTH) - level
-    x, y, z = (F.call_function("shiftright", F.col(f"i{n}"), back) for n in "xyz")
-    one = F.lit(1).cast("long")
-    left = lambda v, by: F.call_function("shiftleft", v, by)
-    return left(one, 3 * level) + left(x, 2 * level) + left(y, level) + z
-
-
 def _frame(cloud: DataFrame) -> tuple[int, dict[str, tuple[float, float, float, float]]]:
     """Number of points, and by axis the median, the spread of the middle half, and the ends on the asinh scale."""
     parts = [e for n in "xyz" for e in (F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"p{n}"), F.min(n).alias(f"lo{n}"), F.max(n).alias(f"hi{n}"))]
@@ -96,51 +75,19 @@ def _frame(cloud: DataFrame) -> tuple[int, dict[str, tuple[float, float, float,
     return r["n"], out
 
 
-class Octree(NamedTuple):
-    """``nodes`` (key, parent, l, n, leaf, box xmin..zmax), ``points`` (id, x, y, z, key of their leaf), both stored, and
-    for each level its numbers of nodes and leaves and its fullest node."""
-
-    nodes: DataFrame
-    points: DataFrame
-    levels: dict[int, tuple[int, int, int]]
-
-
 def octree(cloud: DataFrame, capacity: int = 16) -> Octree:
-    """Capacity-bounded cells of a cloud (id, x, y, z).
-
-    A cell that holds more than ``capacity`` points is split in eight, down to level
-    ``DEPTH``. Axes are scaled by asinh around the median, so that far outliers cost
-    a few levels and not the resolution of the rest. Boxes are those of the points
-    themselves. All levels of a stage are counted in one aggregation that combines
-    before its shuffle; only points of cells still too full go on to deeper levels.
-    """
+    """Capacity-bounded cells of a cloud (id, x, y, z), even in asinh of the distance from the median on each axis, so that
+    far outliers cost a few levels and not the resolution of the rest. Boxes are those of the points themselves."""
     n, frame = _frame(cloud)
     if not n:
-        empty = cloud.sparkSession.createDataFrame([], "key long, parent long, l int, n long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, leaf boolean")
+        empty = cloud.sparkSession.createDataFrame([], "key long, parent long, l int, n long, leaf boolean, " + ", ".join(f"{b} double" for b in BOX))
         return Octree(empty, cloud.withColumn("key", F.lit(1).cast("long")), {})
-    points = store(_codes(cloud.select("id", "x", "y", "z"), frame), "coded")
-    sums = [F.count("*").alias("n"), *(f(n).alias(f"{n}{a}") for n in "xyz" for a, f in (("min", F.min), ("max", F.max)))]
-    top, bottom, some, cells = -1, min(DEPTH, max(1, math.ceil(math.log(max(1.0, n / capacity), 8)) + 2)), points, None
-    while True:
-        at = some.withColumn("l", F.explode(F.sequence(F.lit(top + 1), F.lit(bottom))))
-        keyed = at.withColumn("key", _node(F.col("l"))).withColumn("parent", F.when(F.col("l") == 0, F.lit(0).cast("long")).otherwise(_node(F.greatest(F.col("l") - 1, F.lit(0)))))
-        new = store(keyed.groupBy("key", "parent", "l").agg(*sums), "cells")
-        cells = new if cells is None else cells.unionByName(new)
-        full = new.where((F.col("l") == bottom) & (F.col("n") > capacity)).select("key")
-        many = full.count() if bottom < DEPTH else 0
-        if not many:
-            break
-        deep = points.withColumn("key", _node(F.lit(bottom)))
-        some = deep.join(F.broadcast(full) if many <= BROADCAST_KEYS else full, "key", "left_semi").drop("key")
-        top, bottom = bottom, min(DEPTH, bottom + 4)
-    held = F.sum("n").over(Window.partitionBy("parent"))
-    kept = cells.withColumn("held", held).where((F.col("l") == 0) | (F.col("held") > capacity)).drop("held")
-    nodes = store(kept.withColumn("leaf", (F.col("n") <= capacity) | (F.col("l") == DEPTH)), "nodes")
-    leaves = nodes.where("leaf").select("key")
-    levels = {r["l"]: (r["n"], r["m"], r["most"]) for r in nodes.groupBy("l").agg(F.count("*").alias("n"), F.count_if("leaf").alias("m"), F.max("n").alias("most")).collect()}  # at most DEPTH + 1 rows
-    placed = points.withColumn("l", F.explode(F.array(*(F.lit(x) for x in sorted(levels) if levels[x][1])))).withColumn("key", _node(F.col("l")))
-    few = sum(m for _, m, _ in levels.values()) <= BROADCAST_KEYS
-    return Octree(nodes, store(placed.join(F.broadcast(leaves) if few else leaves, "key", "left_semi").select("id", "x", "y", "z", "key"), "placed"), levels)
+    top, at = 1 << LEVELS, []
+    for name, (mid, scale, low, high) in frame.items():
+        u = (F.asinh((F.col(name) - mid) / scale) - low) / (high - low) if high > low else F.lit(0.0)
+        at.append(F.greatest(F.lit(0), F.least(F.floor(u * top), F.lit(top - 1))).cast("long"))
+    share = max(1 << 12, min(PART_POINTS, n // cloud.sparkSession.sparkContext.defaultParallelism))
+    return build(cloud, (0.0,) * 3, (0.0,) * 3, capacity, LEVELS, max(share, capacity), interleaved(*at)).tree()
 
 
 def _box_distances() -> tuple[Column, Column]:
@@ -188,7 +135,7 @@ def _frontier(boxes: DataFrame, count: int, tree: Octree, need: int) -> DataFram
     return front
 
 
-def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, capacity: int = 16) -> DataFrame:
+def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, capacity: int = 16, brute_pairs: int | None = None) -> DataFrame:
     """The k nearest points of ``cloud`` to each query that do not coincide with it.
 
     Exact. Both sides are cut into capacity-bounded cells; each cell of queries gets
@@ -197,6 +144,7 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, c
     bound; others (many coinciding points) repeat with a bound for four times as
     many points. Where a smallest cell is still too full, positions repeat: then each
     position is asked once, and offers its k least ids, which are all that can win.
+    Up to ``brute_pairs`` pairs (None: ``BRUTE_PAIRS``) a nested loop is planned.
     """
     q, c = _sides(queries, cloud)
     spark = queries.sparkSession
@@ -208,12 +156,12 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, eps: float = g.EPS, c
         return spark.createDataFrame([], NEIGHBOURS)
     here, there = g.vec("q"), g.vec()
     far = F.when(~g.are_vectors_equal(here, there, eps), g.squared_distance(here, there))
-    if n * m <= BRUTE_PAIRS and min(m, n) <= BRUTE_ROWS:
+    if n * m <= (BRUTE_PAIRS if brute_pairs is None else brute_pairs) and min(m, n) <= BRUTE_ROWS:
         small = q.crossJoin(F.broadcast(c)) if n <= m else F.broadcast(q).crossJoin(c)
         return _top_k(small.withColumn("d2", far).where(F.col("d2").isNotNull()), k)
     targets = cloud.select("id", "x", "y", "z")
     tree = octree(targets, capacity)
-    if tree.levels.get(DEPTH, (0, 0, 0))[2] > capacity:
+    if tree.levels.get(LEVELS, (0, 0, 0))[2] > capacity:
         least = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("id"))
         tree = octree(targets.withColumn("_k", least).where(F.col("_k") <= k).drop("_k"), capacity)
         places = store(queries.groupBy("x", "y", "z").agg(F.min("id").alias("rep")), "places")
@@ -252,9 +200,9 @@ def _search(queries: DataFrame, count: int, tree: Octree, k: int, far: Column, c
         queries, count, need = store(queries.join(sure, "id", "left_anti"), "unsettled"), count - done, need * 4
 
 
-def knn(cloud: DataFrame, k: int, eps: float = g.EPS) -> DataFrame:
+def knn(cloud: DataFrame, k: int, eps: float = g.EPS, brute_pairs: int | None = None) -> DataFrame:
     """Self-join form of ``knn_join``."""
-    return knn_join(cloud, cloud, k, eps)
+    return knn_join(cloud, cloud, k, eps, brute_pairs=brute_pairs)
 
 
 def range_join(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
@@ -293,29 +241,78 @@ def box_join(boxes: DataFrame, cloud: DataFrame, cell: float) -> DataFrame:
     return boxes.join(_with_cells(cloud, cell), ["cx", "cy", "cz"]).where(hit).select("qid", "id")
 
 
+def _scale(size: Column) -> Column:
+    """Exponent of the least power of two that is not below a size; the smallest for none."""
+    e = F.ceil(F.log2(size * (1 + 1e-9))).cast("int")
+    return F.when(size > 0, F.greatest(e, F.lit(MIN_SCALE))).otherwise(F.lit(MIN_SCALE))
+
+
+def _at_scale(df: DataFrame, low, high, width: Column) -> DataFrame:
+    """Rows repeated into the cells of ``width`` that the box from ``low`` to ``high`` meets."""
+    for n, a, b in zip("xyz", low, high, strict=True):
+        df = df.withColumn(f"c{n}", F.explode(F.sequence(F.floor(a / width), F.floor(b / width))))
+    return df
+
+
+def sized_range_join(queries: DataFrame, cloud: DataFrame) -> DataFrame:
+    """id, nid, d2, x, y, z of all points within each query's own ``r`` (boundary and itself included).
+
+    A hierarchical grid: each ball lies in the cells of its own scale (a half to one
+    radius wide) that it meets, and each point probes one cell for every scale that
+    occurs, so large balls do not widen the search of small ones. About four points
+    are met for each that is within.
+    """
+    q = require_columns(queries, "id", "x", "y", "z", "r").where("r >= 0").select("id", "r", *(F.col(n).alias(f"q{n}") for n in "xyz"))
+    c = require_columns(cloud, "id", "x", "y", "z").select(F.col("id").alias("nid"), "x", "y", "z")
+    q = store(q.withColumn("e", _scale(F.col("r")) - 1), "sized")
+    scales = [r["e"] for r in q.select("e").distinct().collect()]  # at most one for each exponent of a float
+    width = F.pow(F.lit(2.0), F.col("e"))
+    pad = lambda n: F.col("r") + (F.abs(f"q{n}") + F.col("r")) * 1e-12
+    balls = _at_scale(q, [F.col(f"q{n}") - pad(n) for n in "xyz"], [F.col(f"q{n}") + pad(n) for n in "xyz"], width)
+    gap = F.lit(0.0)
+    for n in "xyz":  # corners of the ball's box that the ball itself does not meet
+        d = F.greatest(F.col(f"c{n}") * width - F.col(f"q{n}"), F.col(f"q{n}") - (F.col(f"c{n}") + 1) * width, F.lit(0.0))
+        gap = gap + d * d
+    balls = balls.where(gap <= pad("x") * pad("x") + (F.abs("qx") + F.abs("qy") + F.abs("qz")) * F.col("r") * 1e-9)
+    probes = c.withColumn("e", F.explode(F.array(*map(F.lit, scales)) if scales else F.array().cast("array<int>")))
+    for n in "xyz":
+        probes = probes.withColumn(f"c{n}", F.floor(F.col(n) / width))
+    met = balls.join(probes, ["e", "cx", "cy", "cz"]).withColumn("d2", g.squared_distance(g.vec("q"), g.vec()))
+    return met.where(F.col("d2") <= F.col("r") * F.col("r")).select("id", "nid", "d2", "x", "y", "z")
+
+
 def figure_intersections(figures: DataFrame) -> DataFrame:
     """id, boxes, balls, box_ball for each figure (id, x, y, z, r): how many others touch it, both as boxes of half-width
     r, both as balls, and the other's ball with its box.
 
-    Boxes, widened by the largest r, are spread over cells of that size; each centre has one cell, so a pair meets once.
+    A figure lies in the one cell of its own scale (its size or more) that holds its
+    centre, and probes the cells around it at that and every larger scale that occurs: a pair
+    meets once, at the scale of the larger, whatever the largest of all is.
     """
     require_columns(figures, "id", "x", "y", "z", "r")
     names = ("boxes", "balls", "box_ball")
-    top = figures.agg(F.max("r")).first()[0]
-    if top is None:
+    own = store(figures.select("id", "x", "y", "z", "r").where("r >= 0").withColumn("e", _scale(2 * F.col("r"))), "figures")
+    scales = [r["e"] for r in own.select("e").distinct().collect()]  # at most one for each exponent of a float
+    if not scales:
         return figures.select("id", *(F.lit(0).cast("long").alias(n) for n in names))
-    cell = float(top) * (1 + 1e-9) if top > 0 else 1.0
-    reach = F.col("r") + F.lit(float(top))
-    wide = figures.select("id", "x", "y", "z", "r")
+    width = F.pow(F.lit(2.0), F.col("e"))
+    probes = own.withColumnRenamed("e", "mine").withColumn("e", F.explode(F.array(*map(F.lit, scales)))).where("e >= mine")
+    reach = F.col("r") + width / 2
+    pad = lambda n: reach + (F.abs(n) + reach) * 1e-12
+    probes = _at_scale(probes, [F.col(n) - pad(n) for n in "xyz"], [F.col(n) + pad(n) for n in "xyz"], width)
+    other = own.select(F.col("id").alias("nid"), "e", *(F.col(n).alias(f"b{n}") for n in ("x", "y", "z", "r")))
     for n in "xyz":
-        pad = reach + (F.abs(n) + reach) * 1e-12  # rounding of the exact predicates
-        wide = wide.withColumn(f"c{n}", F.explode(F.sequence(F.floor((F.col(n) - pad) / cell), F.floor((F.col(n) + pad) / cell))))
-    other = _with_cells(figures.select(F.col("id").alias("nid"), *(F.col(n).alias(f"b{n}") for n in ("x", "y", "z", "r"))), cell, "b")
+        other = other.withColumn(f"c{n}", F.floor(F.col(f"b{n}") / width))
+    pairs = probes.join(other, ["e", "cx", "cy", "cz"]).where("id <> nid")
     a, b, r, s = g.vec(), g.vec("b"), F.col("r"), F.col("br")
-    low, high = tuple(c - r for c in a), tuple(c + r for c in a)
-    hits = (g.boxes_intersect(low, high, tuple(c - s for c in b), tuple(c + s for c in b)), g.balls_intersect(a, r, b, s), g.box_ball_intersect(low, high, b, s))
-    pairs = wide.join(other, ["cx", "cy", "cz"]).where("id <> nid")
-    counts = pairs.groupBy("id").agg(*(F.count_if(h).alias(n) for h, n in zip(hits, names, strict=True)))
+    ends = lambda p, w: (tuple(c - w for c in p), tuple(c + w for c in p))
+    box = g.boxes_intersect(*ends(a, r), *ends(b, s))
+    ball = g.balls_intersect(a, r, b, s)
+    met = pairs.where(box).select("id", "nid", (F.col("e") > F.col("mine")).alias("smaller"), ball.alias("ball"), g.box_ball_intersect(*ends(a, r), b, s).alias("here"), g.box_ball_intersect(*ends(b, s), a, r).alias("there"))
+    # A pair of one scale is met from both sides; of two scales it counts for both.
+    sides = F.array(F.struct(F.col("id"), F.col("ball"), F.col("here").alias("box_ball")), F.when(F.col("smaller"), F.struct(F.col("nid").alias("id"), F.col("ball"), F.col("there").alias("box_ball"))))
+    each = met.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("s.*")
+    counts = each.groupBy("id").agg(F.count("*").alias("boxes"), F.count_if("ball").alias("balls"), F.count_if("box_ball").alias("box_ball"))
     return figures.select("id").join(counts, "id", "left").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geometry as g
 from pointframe.functions.linalg import with_eigenvalues, with_eigenvector
-from pointframe.operators.neighbors import range_join
+from pointframe.operators import indexed
+from pointframe.operators.neighbors import octree
 
 
 def bounding_box(cloud: DataFrame, *by: str) -> DataFrame:
@@ -88,8 +89,10 @@ def knn_distance_spread(neighbours: DataFrame) -> DataFrame:
 
 
 def ball_counts(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
-    """id, n: points within ``radius``, itself included."""
-    return range_join(queries, cloud, radius).groupBy("id").agg(F.count("*").alias("n"))
+    """id, n: points within ``radius``, itself included; counted by two octrees without making the pairs."""
+    slim = lambda df: df.select("id", "x", "y", "z")
+    tree = octree(slim(cloud))
+    return indexed.ball_counts(tree if queries is cloud else octree(slim(queries)), tree, radius)
 
 
 def density(cloud: DataFrame, radius: float) -> DataFrame:
