@@ -15,10 +15,12 @@ they are broadcast up to a counted limit and joined with salts beyond it.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +38,79 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
+class Pieces:
+    """Ids of a sentencepiece model, with remembered words.
+
+    Where no piece holds a space mark after another letter, nothing is merged across
+    a space, so the words of a text with single spaces between them are encoded one by one
+    and remembered, as the tokens of a mark and a word. Other texts go through the model whole.
+    """
+
+    def __init__(self, path: str, limit: int = 200_000):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.by_word = not any("\u2581" in n.lstrip("\u2581") for n in self.names)
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.words]
+        fresh = []
+        for w in new:
+            if (held := self.old.get(w)) is not None:
+                self.words[w] = held
+            else:
+                fresh.append(w)
+        for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True):
+            self.words[w] = array("i", ids).tobytes()
+        return list(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text; no text is empty."""
+        if len(self.words) > self.limit:  # what was not used since the generation before is forgotten
+            self.old, self.words = self.words, {}
+        whole = [not self.by_word or t[0] == " " or t[-1] == " " or "  " in t or "\u2581" in t for t in texts]
+        plain = [t for t, w in zip(texts, whole, strict=True) if not w]
+        parts, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        at_plain = np.flatnonzero(~np.array(whole, bool))
+        ids = np.zeros(0, np.int32)
+        if plain:
+            cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+            coded = cut.flatten().dictionary_encode()
+            known = self._known(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            which = coded.indices.to_numpy()
+            table, first = np.frombuffer(b"".join(known), np.int32), np.cumsum(size) - size
+            ids = table[_expand(first[which], size[which])]
+            ends = np.r_[0, np.cumsum(size[which])][cut.offsets.to_numpy()]
+            sizes[at_plain] = np.diff(ends)
+        odd = [t for t, w in zip(texts, whole, strict=True) if w]
+        if not odd:
+            return ids, sizes
+        alone = [np.array(x, np.int32) for x in self.model.encode(odd, num_threads=1)]
+        at_odd = np.flatnonzero(np.array(whole, bool))
+        sizes[at_odd] = [len(x) for x in alone]
+        out = np.empty(int(sizes.sum()), np.int32)
+        mine = np.repeat(np.array(whole, bool), sizes)
+        out[~mine], out[mine] = ids, np.concatenate(alone)
+        return out, sizes
+
+
 class Pair:
     """A byte-level tokenizers file (A) and a sentencepiece model (B), with the bytes of their ids."""
 
     def __init__(self, a_path: str, b_path: str):
-        import sentencepiece
-
         self.a = Encoder(a_path, plain=True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.b = Pieces(b_path)
         back = {c: bytes([b]) for b, c in byte_letters().items()}
         vocab = self.a.tokenizer.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for name, i in vocab.items():
             self.a_bytes[i] = b"".join(back[c] if c in back else c.encode() for c in name)
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.model.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(self.b.names)]
         self.a_size, self.b_size = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
         # An id with the mark that follows it: next of its side, then the end of its side in the group.
         self.written = [f"{i}{mark}" for marks, n in ((",|", len(self.a_bytes)), (",;", len(self.b_bytes))) for mark in marks for i in range(n)]
@@ -64,12 +124,19 @@ def pair(a_path: str, b_path: str) -> Pair:
 
 
 def intervals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of the elementary intervals of two coverings, their owners on both sides, and whether both end there."""
-    ends = np.union1d(a_ends, b_ends)
+    """Ends of the elementary intervals of two coverings (the union of their ends; as both are sorted, a stable sort only
+    merges them), their owners on both sides, and whether both end there."""
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
     a, b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     return ends, a, b, (a_ends[a] == ends) & (b_ends[b] == ends)
 
 
+def groups_of(owner: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Group of each token of a side: the shared ends before its last interval."""
+    return (np.cumsum(shared) - shared)[np.r_[owner[1:] != owner[:-1], True]]
+
+
 def product(a_groups: np.ndarray, b_groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of places that lie in one of ``n`` groups; both lists of groups are sorted."""
     na, nb = np.bincount(a_groups, minlength=n), np.bincount(b_groups, minlength=n)
@@ -83,42 +150,40 @@ def _aligned(pair_: Pair, b: pa.RecordBatch, links: str) -> pa.RecordBatch:
     spaced = pa.array([" " + t if t else None for t in texts], pa.string())
     a_ids, a_n = pair_.a.encode(spaced)
     full = [i for i, t in enumerate(texts) if t]
-    b_lists = dict(zip(full, pair_.b.encode([texts[i] for i in full], num_threads=1), strict=True)) if full else {}
+    b_ids, b_n = pair_.b.encode([texts[i] for i in full]) if full else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     # Texts whose bytes both sides give back.
-    a_list, at = a_ids.tolist(), np.r_[0, np.cumsum(a_n)]
-    good, sizes = [], []
-    for i in full:
-        want = spaced[i].as_py().encode("utf-8", "surrogatepass")
-        if b"".join(map(pair_.a_bytes.__getitem__, a_list[at[i] : at[i + 1]])) == want and b"".join(map(pair_.b_bytes.__getitem__, b_lists[i])) == want:
-            good.append(i), sizes.append(len(want))
+    a_bytes, b_bytes = (list(map(t.__getitem__, ids.tolist())) for t, ids in ((pair_.a_bytes, a_ids), (pair_.b_bytes, b_ids)))
+    at, at_b = np.r_[0, np.cumsum(a_n)], np.r_[0, np.cumsum(b_n)]
+    good, good_b, sizes = [], [], []
+    for k, i in enumerate(full):
+        want = f" {texts[i]}".encode("utf-8", "surrogatepass")
+        if b"".join(a_bytes[at[i] : at[i + 1]]) == want and b"".join(b_bytes[at_b[k] : at_b[k + 1]]) == want:
+            good.append(i), good_b.append(k), sizes.append(len(want))
     n = len(texts)
     n_a, n_b, n_groups, n_links, n_overlaps = (np.zeros(n, np.int64) for _ in range(5))
     digest = [""] * n
     counts = np.zeros(n, np.int64)
     keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if good:
-        A = a_ids[_expand(at[good], a_n[good])].astype(np.int64)
-        lengths_b = np.array([len(b_lists[i]) for i in good])
-        B = np.fromiter((x for i in good for x in b_lists[i]), np.int64, int(lengths_b.sum()))
-        n_a[good], n_b[good] = a_n[good], lengths_b
-        doc_ends = np.cumsum(sizes)
-        a_ends, b_ends = np.cumsum(pair_.a_size[A]), np.cumsum(pair_.b_size[B])
-        ends, own_a, own_b, shared = intervals(a_ends, b_ends)
-        closed = ends[shared]
-        doc = lambda e: np.searchsorted(doc_ends, e)
-        n_overlaps[good] = np.bincount(doc(ends), minlength=len(good))
-        n_groups[good] = np.bincount(doc(closed), minlength=len(good))
-        a_group, b_group = np.searchsorted(closed, a_ends), np.searchsorted(closed, b_ends)
+        A, B = a_ids[_expand(at[good], a_n[good])].astype(np.int64), b_ids[_expand(at_b[good_b], b_n[good_b])].astype(np.int64)
+        n_a[good], n_b[good] = a_n[good], b_n[good_b]
+        ends, own_a, own_b, shared = intervals(np.cumsum(pair_.a_size[A]), np.cumsum(pair_.b_size[B]))
+        stops = np.searchsorted(ends, np.cumsum(sizes), "right")  # a document ends where both sides do
+        n_overlaps[good] = np.diff(np.r_[0, stops])
+        n_groups[good] = np.diff(np.r_[0, np.cumsum(shared)[stops - 1]])
+        a_group, b_group = groups_of(own_a, shared), groups_of(own_b, shared)
         if links == "ends":
             la, lb = own_a[shared], own_b[shared]
         elif links == "overlaps":
             la, lb = own_a, own_b
         else:
-            la, lb = product(a_group, b_group, len(closed))
-        where = doc(a_ends[la])
+            la, lb = product(a_group, b_group, int(shared.sum()))
+        where = np.repeat(np.arange(len(good)), n_a[good])[la]
         n_links[good] = np.bincount(where, minlength=len(good))
         room = len(pair_.a_bytes) * len(pair_.b_bytes)
-        keyed, times = np.unique(where * room + A[la] * len(pair_.b_bytes) + B[lb], return_counts=True)
+        keyed = np.sort(where * room + A[la] * len(pair_.b_bytes) + B[lb])
+        first = np.flatnonzero(np.r_[True, keyed[1:] != keyed[:-1]])
+        keyed, times = keyed[first], np.diff(np.r_[first, len(keyed)])
         counts[good] = np.bincount(keyed // room, minlength=len(good))
         keys = keyed % room
         # A group's ids of A, then those of B, each with the mark after it.

@@ -172,7 +172,7 @@ def plain_alignment(texts):
     for t in texts:
         raw = (" " + t).encode() if t else b""
         a = both.a.tokenizer.encode(" " + t, add_special_tokens=False).ids if t else []
-        b = both.b.encode(t) if t else []
+        b = both.b.model.encode(t) if t else []
         if not t or b"".join(both.a_bytes[i] for i in a) != raw or b"".join(both.b_bytes[i] for i in b) != raw:
             out.append((0, 0, 0, 0, "")), links.append([])
             continue
@@ -231,10 +231,23 @@ def test_intervals_and_products_by_brute_force():
         closed = ends[shared]
         assert closed.tolist() == sorted(set(a) & set(b))
         ga, gb = np.searchsorted(closed, a), np.searchsorted(closed, b)
+        assert (ga == alignment.groups_of(i, shared)).all() and (gb == alignment.groups_of(j, shared)).all()
         x, y = alignment.product(ga, gb, len(closed))
         assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(p, q) for p in range(len(a)) for q in range(len(b)) if ga[p] == gb[q]]
 
 
+def test_remembered_words_are_the_models_own():
+    rng = random.Random(4)
+    some = alignment.Pieces(tokenizer_path(PIECES), limit=50)
+    assert some.by_word
+    letters = ["a", "é", "日", "\n", "\t", ".", "'", "9", "\u00a0", "\u200b", "🙂", "ß", "▁", "the", "ing", "<s>"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(letters) + rng.choice(["", " ", "", "  "] if rng.random() < 0.2 else ["", " "]) for _ in range(rng.randint(1, 30))) for _ in range(8)]
+        ids, sizes = some.encode(texts)
+        want = [some.model.encode(t) for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+
+
 def test_alignment_by_overlaps_and_groups(spark):
     docs = spark.createDataFrame([(1, "unbelievable antidisestablishmentarianism"), (None, None)], "doc_id long, text string")
     ends, over, groups = (alignment.align_tokens(docs, tokenizer_path(), tokenizer_path(PIECES), kind).where("doc_id = 1").first() for kind in ("ends", "overlaps", "groups"))
