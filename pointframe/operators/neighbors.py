@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from pointframe.cloud import require_columns, store
 from pointframe.functions import geometry as g
-from pointframe.operators.octree import BOX, LEVELS, PART_POINTS, Octree, build, interleaved
+from pointframe.operators.octree import BOX, LEVELS, PART_POINTS, Index, Octree, build, interleaved
 
 BRUTE_PAIRS = 5_000_000
 #: Rows of the other side below which a nested loop may broadcast it.
@@ -75,19 +75,33 @@ def _frame(cloud: DataFrame) -> tuple[int, dict[str, tuple[float, float, float,
     return r["n"], out
 
 
-def octree(cloud: DataFrame, capacity: int = 16) -> Octree:
-    """Capacity-bounded cells of a cloud (id, x, y, z), even in asinh of the distance from the median on each axis, so that
-    far outliers cost a few levels and not the resolution of the rest. Boxes are those of the points themselves."""
+def _index(cloud: DataFrame, capacity: int, part_points: int) -> Index | None:
+    """Octree of a cloud, even in asinh of the distance from the median on each axis; None without points."""
     n, frame = _frame(cloud)
     if not n:
-        empty = cloud.sparkSession.createDataFrame([], "key long, parent long, l int, n long, leaf boolean, " + ", ".join(f"{b} double" for b in BOX))
-        return Octree(empty, cloud.withColumn("key", F.lit(1).cast("long")), {})
+        return None
     top, at = 1 << LEVELS, []
     for name, (mid, scale, low, high) in frame.items():
         u = (F.asinh((F.col(name) - mid) / scale) - low) / (high - low) if high > low else F.lit(0.0)
         at.append(F.greatest(F.lit(0), F.least(F.floor(u * top), F.lit(top - 1))).cast("long"))
-    share = max(1 << 12, min(PART_POINTS, n // cloud.sparkSession.sparkContext.defaultParallelism))
-    return build(cloud, (0.0,) * 3, (0.0,) * 3, capacity, LEVELS, max(share, capacity), interleaved(*at)).tree()
+    share = max(1 << 12, n // cloud.sparkSession.sparkContext.defaultParallelism)
+    return build(cloud, (0.0,) * 3, (0.0,) * 3, capacity, LEVELS, max(min(part_points, share), capacity), interleaved(*at))
+
+
+def octree(cloud: DataFrame, capacity: int = 16) -> Octree:
+    """Capacity-bounded cells of a cloud (id, x, y, z), scaled so that far outliers cost a few levels and not the
+    resolution of the rest. Boxes are those of the points themselves."""
+    made = _index(cloud, capacity, PART_POINTS)
+    if made is None:
+        empty = cloud.sparkSession.createDataFrame([], "key long, parent long, l int, n long, leaf boolean, " + ", ".join(f"{b} double" for b in BOX))
+        return Octree(empty, cloud.withColumn("key", F.lit(1).cast("long")), {})
+    return made.tree()
+
+
+def blocks(cloud: DataFrame, most: int = 1 << 15) -> DataFrame:
+    """id and block of every point: octree cells of at most ``most`` points (of any number where they coincide)."""
+    made = _index(cloud.select("id", "x", "y", "z"), most, most)
+    return cloud.select("id", F.lit(1).cast("long").alias("block")) if made is None else made.rows().where("kind = 0").select("id", F.col("key").alias("block"))
 
 
 def _box_distances() -> tuple[Column, Column]:

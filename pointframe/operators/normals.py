@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointframe.cloud import require_columns, store
+from pointframe.operators.graphs import breadth_first_search
 from pointframe.operators.neighbors import knn
 from pointframe.operators.stats import neighbourhood_planes
 
@@ -22,25 +23,33 @@ def estimate_normals(cloud: DataFrame, k: int, neighbours: DataFrame | None = No
     return t.select("id", "nx", "ny", "nz", "l0", F.when(total > 0, F.col("l0") / total).alias("variation"))
 
 
-def orient_normals(oriented: DataFrame, edges: DataFrame) -> DataFrame:
+def orient_normals(oriented: DataFrame, edges: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """id, nx, ny, nz with normals flipped along a breadth-first walk from the highest point.
 
     The highest point (ties: least id) gets (0, 0, 1). A child whose normal opposes
     its parent's by more than 1e-5 is flipped; the parent is the least id of the
     level before. Points that the walk does not reach keep their normals.
+
+    The walk goes by ``blocks`` of vertices (``graphs.graph_levels``). A child's sign is
+    its parent's times that of their product, or plus where they are nearly upright to
+    each other: such steps compose, so signs come down the tree by pointer doubling.
     """
     base = store(require_columns(oriented, "id", "x", "y", "z", "nx", "ny", "nz").select("id", "z", "nx", "ny", "nz"), "orient")
-    links = store(edges.select("src", "dst").distinct(), "orient-links")
-    top = base.orderBy(F.desc("z"), "id").limit(1).select("id", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
-    done = front = store(top, "orient-root")
-    while True:
-        step = links.join(front.withColumnRenamed("id", "src"), "src").join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
-        led = step.groupBy("dst").agg(F.min_by(F.struct("nx", "ny", "nz"), "src").alias("p")).withColumnRenamed("dst", "id")
-        dot = F.col("nx") * F.col("p.nx") + F.col("ny") * F.col("p.ny") + F.col("nz") * F.col("p.nz")
-        sign = F.when((dot < 0) & (F.abs(dot) >= 1e-5), -1.0).otherwise(1.0)
-        front = store(led.join(base, "id").select("id", *((sign * F.col(n)).alias(n) for n in ("nx", "ny", "nz"))), "orient-front")
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    rest = base.select("id", "nx", "ny", "nz").join(done.select("id"), "id", "left_anti")
-    return done.unionByName(rest)
+    top = base.orderBy(F.desc("z"), "id").select("id").first()
+    if top is None:
+        return base.select("id", "nx", "ny", "nz")
+    root = top["id"]
+    tree = breadth_first_search(edges, root, blocks).select("parent", F.col("child").alias("id"))
+    lead = base.select(F.col("id").alias("parent"), *(F.when(F.col("id") == root, u).otherwise(F.col(n)).alias(f"p{n}") for n, u in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))))
+    dot = sum((F.col(f"p{n}") * F.col(n) for n in ("nx", "ny", "nz")), F.lit(0.0))
+    both = tree.join(base, "id").join(lead, "parent").withColumn("dot", dot)
+    upright = F.abs("dot") < 1e-5
+    sign = F.when(upright | (F.col("dot") > 0), 1).otherwise(-1)
+    signs = store(both.select("id", F.when(~upright & (F.col("parent") != root), F.col("parent")).alias("up"), sign.alias("sign")), "signs")
+    while not signs.where("up is not null").isEmpty():
+        for _ in range(2):
+            above = signs.select(F.col("id").alias("up"), F.col("up").alias("over"), F.col("sign").alias("more"))
+            signs = signs.join(above, "up", "left").select("id", F.col("over").alias("up"), (F.col("sign") * F.coalesce("more", F.lit(1))).alias("sign"))
+        signs = store(signs, "signs")
+    turned = base.join(signs.select("id", "sign"), "id", "left").withColumn("sign", F.coalesce("sign", F.lit(1)))
+    return turned.select("id", *(F.when(F.col("id") == root, u).otherwise(F.col("sign") * F.col(n)).alias(n) for n, u in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointframe.cloud import store
 from pointframe.functions.geometry import Grid
 from pointframe.operators import filters, graphs, isosurface, normals, resample, stats
-from pointframe.operators.neighbors import knn, knn_join
+from pointframe.operators.neighbors import blocks, knn, knn_join
 from pointframe.sources.ply import read_ply, write_mesh_ply, write_ply
 
 
@@ -26,7 +26,7 @@ def oriented_normals(cloud: DataFrame, k: int = 10, smooth: float | None = None)
     """id, x, y, z, nx, ny, nz: kNN normals, oriented, and smoothed with sigma = ``smooth`` times the mean kNN distance."""
     near = store(knn(cloud, k), "knn")
     raw = cloud.select("id", "x", "y", "z").join(normals.estimate_normals(cloud, k, near).select("id", "nx", "ny", "nz"), "id")
-    turned = normals.orient_normals(raw, graphs.directed_knn_graph(near))
+    turned = normals.orient_normals(raw, graphs.directed_knn_graph(near), store(blocks(cloud), "blocks"))
     out = cloud.select("id", "x", "y", "z").join(turned, "id")
     if smooth is None:
         return out
@@ -40,7 +40,7 @@ def surface_distances(cloud: DataFrame, k: int, cells: tuple[int, int, int]) ->
     near = store(knn(cloud, k), "knn")
     planes = store(normals.tangent_planes(cloud, k, near), "planes")
     raw = cloud.select("id", "x", "y", "z").join(planes.select("id", "nx", "ny", "nz"), "id")
-    turned = normals.orient_normals(raw, graphs.directed_knn_graph(near))
+    turned = normals.orient_normals(raw, graphs.directed_knn_graph(near), store(blocks(cloud), "blocks"))
     oriented = planes.drop("nx", "ny", "nz").join(turned, "id")
     box = stats.bounding_box(cloud).first()
     grid = Grid.containing((box.xmin, box.ymin, box.zmin), (box.xmax, box.ymax, box.zmax), cells)

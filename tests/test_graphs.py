@@ -11,41 +11,103 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src long, dst long")
 
 
+def bag(rng, vertices, n):
+    return [(int(a), int(b)) for a, b in rng.integers(0, vertices, (n, 2))]
+
+
 def test_edge_bag(spark):
-    e = edges(spark, [(0, d) for d in (1, 3, 4, 6)] + [(1, d) for d in (0, 3, 6, 7)] + [(6, d) for d in (2, 3, 4, 4, 6, 8, 9)])
-    v = spark.range(10)
-    assert graphs.counts(v, e).first() == (10, 15)
-    assert {r.src: (r.edges, r.dst_sum) for r in graphs.out_degree(e).collect()} == {0: (4, 14), 1: (4, 16), 6: (7, 36)}
-    assert graphs.remove_edges(e, edges(spark, [(6, 4)])).where("src = 6").count() == 6
-    assert graphs.add_edges(e, edges(spark, [(6, 4)])).count() == 16
-    assert graphs.out_edges_of(e, 1).count() == 4
-    assert graphs.add_vertices(v, spark.range(8, 12)).count() == 12
+    pairs = bag(np.random.default_rng(3), 12, 60)
+    e, v = edges(spark, pairs), spark.range(12)
+    assert graphs.counts(v, e).first() == (12, 60)
+    out = {u: [d for s, d in pairs if s == u] for u in {s for s, _ in pairs}}
+    assert {r.src: (r.edges, r.dst_sum) for r in graphs.out_degree(e).collect()} == {u: (len(d), sum(d)) for u, d in out.items()}
+    some = next(u for u, d in out.items() if len(d) > len(set(d)))
+    twice = next(d for d in out[some] if out[some].count(d) > 1)
+    left = graphs.remove_edges(e, edges(spark, [(some, twice)])).where(f"src = {some} and dst = {twice}").count()
+    assert left == out[some].count(twice) - 1
+    assert graphs.add_edges(e, edges(spark, pairs[:1])).count() == 61
+    assert graphs.out_edges_of(e, some).count() == len(out[some])
+    assert graphs.add_vertices(v, spark.range(10, 15)).count() == 15
 
 
 def test_undirected_knn_graph(cloud_of):
-    pts = [tuple(c + s * 0.1 for c in (a, b, d)) for a in (-0.5, 0.5) for b in (-0.5, 0.5) for d in (-0.5, 0.5) for s in (-1, 0, 1)]
+    pts = np.random.default_rng(4).uniform(0, 1, (30, 3)).tolist()
     e = graphs.undirected_knn_graph(knn(cloud_of(pts), 2))
-    assert e.count() == 96 and e.where("src = dst").count() == 0
+    assert e.count() == 120 and e.where("src = dst").count() == 0
 
 
-SEARCH = [(0, 1), (0, 2), (0, 3), (2, 4), (4, 5), (4, 6), (4, 7), (4, 8), (7, 9), (7, 10), (5, 6), (8, 3)]
+def levels_of(pairs, root):
+    level, queue = {root: 0}, deque([root])
+    while queue:
+        u = queue.popleft()
+        for a, b in pairs:
+            if a == u and b not in level:
+                level[b] = level[u] + 1
+                queue.append(b)
+    return level
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 4, 11])
+def test_breadth_first_by_blocks(spark, blocks):
+    """Levels and least parents are those of a queue, whatever the blocks."""
+    rng = np.random.default_rng(11)
+    pairs = bag(rng, 60, 90) + [(i, i + 1) for i in range(60, 90)] + [(5, 60), (5, 5)]
+    homes = None if blocks is None else spark.createDataFrame([(i, int(b)) for i, b in enumerate(rng.integers(0, blocks, 85))], "id long, block long")  # some without a block
+    level = levels_of(pairs, 5)
+    want = {v: (n, min(a for a, b in pairs if b == v and level.get(a) == n - 1)) for v, n in level.items() if n}
+    assert {r.child: (r.level, r.parent) for r in graphs.breadth_first_search(edges(spark, pairs), 5, homes).collect()} == want
+    assert graphs.breadth_first_search(edges(spark, pairs), 777, homes).count() == 0
+
+
+def test_rounds_are_blocks_not_levels(spark, monkeypatch):
+    """A path of five hundred vertices in four blocks is walked in four rounds."""
+    stored = []
+    keep = graphs.store
+    monkeypatch.setattr(graphs, "store", lambda df, tag: (stored.append(tag), keep(df, tag))[1])
+    homes = spark.range(500).selectExpr("id", "id div 125 as block")
+    got = graphs.breadth_first_search(edges(spark, [(i, i + 1) for i in range(499)]), 0, homes)
+    assert {r.child: r.level for r in got.collect()} == {i: i for i in range(1, 500)} and stored.count("relaxed") == 4
+
+
+def test_depth_first_matches_recursion(spark):
+    pairs = bag(np.random.default_rng(12), 25, 60)
+    want, seen = [], {3}
+
+    def walk(u):
+        for v in sorted({b for a, b in pairs if a == u}):
+            if v not in seen:
+                seen.add(v)
+                want.append((u, v))
+                walk(v)
+
+    walk(3)
+    assert [(r.parent, r.child) for r in graphs.depth_first_search(edges(spark, pairs), 3).orderBy("ord").collect()] == want
+    with pytest.raises(ValueError):
+        graphs.depth_first_search(edges(spark, pairs), 3, max_edges=3)
 
 
-def test_breadth_and_depth_first(spark):
-    rows = graphs.breadth_first_search(edges(spark, SEARCH), 0).collect()
-    assert {r.child: r.level for r in rows} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 3, 6: 3, 7: 3, 8: 3, 9: 4, 10: 4}
-    order = [r.child for r in graphs.depth_first_search(edges(spark, SEARCH), 0).orderBy("ord").collect()]
-    assert sorted(order) == list(range(1, 11)) and order == [1, 2, 4, 5, 6, 7, 9, 10, 8, 3]
-    with pytest.raises(ValueError):
-        graphs.depth_first_search(edges(spark, SEARCH), 0, max_edges=3)
+def test_rooted_tree(spark):
+    """Random trees, a star and a second component against a queue."""
+    rng = np.random.default_rng(13)
+    tree = [(int(rng.integers(0, i)), i) for i in range(1, 80)] + [(7, 100 + i) for i in range(30)]
+    other = [(500, 501), (501, 502)]
+    df = spark.createDataFrame([(b, a) if i % 2 else (a, b) for i, (a, b) in enumerate(tree + other)], "a long, b long")
+    both = tree + [(b, a) for a, b in tree]
+    for root in (0, 41, 105):
+        level = levels_of(both, root)
+        got = {r.child: (r.level, r.parent) for r in graphs.rooted_tree(df, root).collect()}
+        assert {v: n for v, (n, _) in got.items()} == {v: n for v, n in level.items() if n}
+        assert all((p, v) in both and level[p] == n - 1 for v, (n, p) in got.items())
+    assert graphs.rooted_tree(df, 999).count() == 0 and graphs.rooted_tree(df.limit(0), 0).count() == 0
 
 
-def test_minimum_spanning_tree(spark):
-    known = [(0, 1, 4.0), (0, 2, 8.0), (0, 3, 3.0), (0, 4, 4.0), (1, 2, 5.0), (2, 3, 2.0), (3, 4, 11.0)]
-    df = spark.createDataFrame(known + [(b, a, w) for a, b, w in known], "src long, dst long, w double")
-    tree = graphs.minimum_spanning_forest(df)
-    assert {(r.a, r.b) for r in tree.collect()} == {(0, 1), (0, 3), (0, 4), (2, 3)}
-    assert {(r.parent, r.child) for r in graphs.rooted_tree(tree, 4).collect()} == {(4, 0), (0, 1), (0, 3), (3, 2)}
+def test_a_long_path_is_rooted_in_few_rounds(spark, monkeypatch):
+    stored = []
+    keep = graphs.store
+    monkeypatch.setattr(graphs, "store", lambda df, tag: (stored.append(tag), keep(df, tag))[1])
+    n = 100_000
+    got = graphs.rooted_tree(spark.range(n - 1).selectExpr("id as a", "id + 1 as b"), 0).selectExpr("count(*) n", "sum(level) s", "count_if(parent + 1 = child and level = child) ok").first()
+    assert tuple(got) == (n - 1, n * (n - 1) // 2, n - 1) and stored.count("tour") < 25
 
 
 def test_spanning_forest_against_kruskal(spark):
@@ -65,17 +127,3 @@ def test_spanning_forest_against_kruskal(spark):
             total, n = total + w, n + 1
     got = graphs.minimum_spanning_forest(spark.createDataFrame(rows, "src long, dst long, w double")).collect()
     assert (sum(r.w for r in got), len(got)) == (total, n)
-
-
-def test_bfs_matches_a_queue(spark):
-    rng = np.random.default_rng(8)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 30, (50, 2))]
-    level, queue = {0: 0}, deque([0])
-    while queue:
-        u = queue.popleft()
-        for a, b in pairs:
-            if a == u and b not in level:
-                level[b] = level[u] + 1
-                queue.append(b)
-    del level[0]
-    assert {r.child: r.level for r in graphs.breadth_first_search(edges(spark, pairs), 0).collect()} == level
