@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from pointframe.cloud import store
 from pointframe.functions import geometry as g
 from pointframe.functions.geometry import Grid
+from pointframe.operators.graphs import graph_levels
 from pointframe.operators.index import with_rank
+from pointframe.operators.neighbors import knn_join
 
 Implicit = Callable[[Column, Column, Column], Column]
 
+#: Cells on a side of the blocks by which a component is followed.
+BLOCK = 32
 #: Corners of a cell, in axis steps.
 CORNERS = [(a, b, c) for c in (0, 1) for b in (0, 1) for a in (0, 1)]
 #: Edges of a cell: numbers of the corners at their ends.
@@ -38,6 +42,13 @@ def sampled(spark: SparkSession, grid: Grid, f: Implicit) -> DataFrame:
     return lattice(spark, grid).withColumn("v", f(F.col("x"), F.col("y"), F.col("z")))
 
 
+def ball_union(cloud: DataFrame, grid: Grid, radius: float) -> DataFrame:
+    """Lattice points with v: distance to the nearest point of a cloud less ``radius``."""
+    points = lattice(cloud.sparkSession, grid)
+    near = knn_join(points.withColumnRenamed("p", "id"), cloud, 1).select(F.col("id").alias("p"), (F.sqrt("d2") - radius).alias("v"))
+    return points.join(near, "p")
+
+
 def _steps(grid: Grid) -> tuple[int, int, int]:
     return 1, grid.sx + 1, (grid.sx + 1) * (grid.sy + 1)
 
@@ -104,14 +115,14 @@ def component_of_hint(cells: DataFrame, crossed: DataFrame, grid: Grid, hint: tu
     """The active cells that share crossed edges, in chains, with the one nearest to the hint (by steps, then key)."""
     home = [int((h - o) // s) for h, o, s in zip(hint, (grid.x, grid.y, grid.z), (grid.dx, grid.dy, grid.dz), strict=True)]
     steps = sum((F.abs(F.col(n) - h) for n, h in zip("ijk", home, strict=True)), F.lit(0))
-    links = store(adjacent_cells(crossed, grid), "cells")
-    front = done = store(cells.orderBy(steps, "c").limit(1).select("c"), "flood")
-    while True:
-        step = links.join(front.withColumnRenamed("c", "a"), "a").select(F.col("b").alias("c")).distinct()
-        front = store(step.join(done, "c", "left_anti").join(cells.select("c"), "c", "left_semi"), "flood")
-        if front.isEmpty():
-            return cells.join(done, "c", "left_semi")
-        done = done.unionByName(front)
+    first = cells.orderBy(steps, "c").select("c").first()
+    if first is None:
+        return cells
+    own = cells.select(F.col("c").alias("id"), (F.floor(F.col("i") / BLOCK) + (F.floor(F.col("j") / BLOCK) + F.floor(F.col("k") / BLOCK) * (grid.sy // BLOCK + 1)) * (grid.sx // BLOCK + 1)).cast("long").alias("block"))
+    active = cells.select("c")
+    links = adjacent_cells(crossed, grid).join(active.withColumnRenamed("c", "a"), "a", "left_semi").join(active.withColumnRenamed("c", "b"), "b", "left_semi")
+    reached, _ = graph_levels(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), first["c"], own)
+    return cells.join(reached.select(F.col("id").alias("c")), "c", "left_semi")
 
 
 def adjacent_cells(crossed: DataFrame, grid: Grid) -> DataFrame:

@@ -9,12 +9,28 @@ from pointframe.cloud import store
 from pointframe.functions import geometry as g
 from pointframe.functions.linalg import with_eigenvalues, with_eigenvector
 from pointframe.operators.neighbors import range_join
+from pointframe.operators.selection import select
 from pointframe.operators.stats import scatter_matrix
 
 
 def random_sample(cloud: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """``size`` rows without replacement (all, if there are fewer): the first by a hash of id and seed."""
-    return cloud.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}"))), "id").limit(max(0, size))
+    """``size`` rows without replacement (all, if there are fewer): the first by a hash of id and seed, then by id.
+
+    The last of them is found by counts of hashes, and the others by a filter: nothing is sorted or gathered.
+    """
+    if size <= 0:
+        return cloud.limit(0)
+    name = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}")))
+    keys = [F.conv(F.substr(name, F.lit(at), F.lit(n)), 16, 10).cast("long") for at, n in ((1, 15), (16, 15), (31, 2))] + [F.col("id").cast("long")]
+    names = ["h1", "h2", "h3", "id"]
+    rows = store(cloud.select(F.lit(1).cast("long").alias("node"), *(k.alias(n) for k, n in zip(keys, names, strict=True))), "hashes")
+    last = select(rows, names, {1: size - 1})
+    if not last:
+        return cloud
+    first = F.lit(True)
+    for key, value in zip(reversed(keys), reversed(last[1].keys), strict=True):
+        first = (key < F.lit(value)) | ((key == F.lit(value)) & first)
+    return cloud.where(first)
 
 
 def hierarchy_sample(cloud: DataFrame, cluster_size: int, var_max: float = 1 / 3) -> DataFrame:
@@ -47,40 +63,67 @@ def hierarchy_sample(cloud: DataFrame, cluster_size: int, var_max: float = 1 / 3
             return out
 
 
-def _kernel(queries: DataFrame, cloud: DataFrame, h: float) -> DataFrame:
-    """Range join without coincident pairs (1e-9), with the kernel t = theta(r2)."""
-    q = queries.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz"))
-    near = range_join(queries, cloud, h).join(q, "id")
-    return near.where(~g.are_vectors_equal(g.vec("q"), g.vec(), 1e-9)).withColumn("t", g.theta(h, F.col("d2")))
+def _moved(near: DataFrame, cloud: DataFrame, names: str, key: str) -> DataFrame:
+    """Pairs with the present place of one of their ends, as ``names`` + x, y, z."""
+    return near.join(cloud.select(F.col("id").alias(key), *(F.col(n).alias(f"{names}{n}") for n in "xyz")), key)
+
 
+def _kernels(pairs: DataFrame, h: float) -> DataFrame:
+    """Pairs (qx.., x..) within h that do not coincide (1e-9), with d2 and the kernel t = theta(r2)."""
+    d2 = g.squared_distance(g.vec("q"), g.vec())
+    near = pairs.withColumn("d2", d2).where((F.col("d2") <= h * h) & ~g.are_vectors_equal(g.vec("q"), g.vec(), 1e-9))
+    return near.withColumn("t", g.theta(h, F.col("d2")))
 
-def _weights(cloud: DataFrame, h: float, name: str, uniform: bool) -> DataFrame:
+
+def _density(pairs: DataFrame, cloud: DataFrame, h: float, name: str, uniform: bool) -> DataFrame:
     """id and 1 + the sum of kernels over the other points (1 everywhere without ``uniform``)."""
-    ids = cloud.select("id")
     if not uniform:
-        return ids.select("id", F.lit(1.0).alias(name))
-    sums = _kernel(cloud, cloud, h).groupBy("id").agg(F.sum("t").alias("s"))
-    return ids.join(sums, "id", "left").select("id", (1 + F.coalesce("s", F.lit(0.0))).alias(name))
+        return cloud.select("id", F.lit(1.0).alias(name))
+    sums = _kernels(pairs, h).groupBy("id").agg(F.sum("t").alias("s"))
+    return cloud.select("id").join(sums, "id", "left").select("id", (1 + F.coalesce("s", F.lit(0.0))).alias(name))
 
 
-def wlop(cloud: DataFrame, size: int | None = None, h: float = 1.0, mu: float = 0.45, rounds: int = 10, uniform: bool = True, seed: int = 0, initial: DataFrame | None = None) -> DataFrame:
+def wlop(cloud: DataFrame, size: int | None = None, h: float = 1.0, mu: float = 0.45, rounds: int = 10, uniform: bool = True, seed: int = 0, initial: DataFrame | None = None, skin: float = 0.25) -> DataFrame:
     """id, x, y, z of ``size`` points moved to the weighted local median of the cloud and pushed off each other.
 
-    Starts from ``initial`` or a random sample. ``uniform`` weighs by local density
+    Starts from ``initial`` or a random sample; ids are unique. ``uniform`` weighs by local density
     on both sides. Points without neighbours within h stay where they are.
+
+    Neighbours are joined within h and a skin (``skin`` of h) and kept over the
+    rounds; only points that moved beyond half the skin from where their lists were made are
+    joined anew. The result is that of a join in every round.
     """
-    p = cloud.select("id", "x", "y", "z")
+    p = store(cloud.select("id", "x", "y", "z"), "wlop-cloud")
     q = store((initial if initial is not None else random_sample(p, size or 0, seed)).select("id", "x", "y", "z"), "wlop")
-    v = store(_weights(p, h, "v", uniform), "wlop-density").withColumnRenamed("id", "nid")
-    for _ in range(rounds):
-        w = _weights(q, h, "w", uniform).withColumnRenamed("id", "nid")
+    plain = p.select(F.col("id"), *(F.col(n).alias(f"q{n}") for n in "xyz"))
+    v = store(_density(range_join(p, p, h).select("id", "nid", "x", "y", "z").join(plain, "id"), p, h, "v", uniform), "wlop-density").withColumnRenamed("id", "nid")
+    wide = h * (1 + max(0.0, skin))
+    list_of = lambda at: range_join(at, p, wide).select("id", "nid", "x", "y", "z").join(v, "nid")
+    anchor = q  # where each point was when its lists were made
+    pulls = store(list_of(q), "wlop-lists")
+    pushes = store(range_join(q, q, wide).where("id <> nid").select("id", "nid"), "wlop-lists")
+    for turn in range(rounds):
+        here = _moved(_moved(pushes, q, "q", "id"), q, "", "nid")
+        w = _density(here, q, h, "w", uniform).withColumnRenamed("id", "nid")
         r = F.sqrt("d2")
-        pull = _kernel(q, p, h).join(v, "nid").withColumn("c", F.when(F.abs(r) < 1e-9, 0.0).otherwise(F.col("t") / r / F.col("v")))
+        pull = _kernels(_moved(pulls, q, "q", "id"), h).withColumn("c", F.when(F.abs(r) < 1e-9, 0.0).otherwise(F.col("t") / r / F.col("v")))
         median = pull.groupBy("id").agg(F.sum("c").alias("s"), *(F.sum(F.col("c") * F.col(n)).alias(f"p{n}") for n in "xyz"))
-        push = _kernel(q, q, h).join(w, "nid").withColumn("c", F.when(F.abs(r) < 1e-9, 0.0).otherwise(F.col("w") * F.col("t") / r))
+        push = _kernels(here, h).join(w, "nid").withColumn("c", F.when(F.abs(r) < 1e-9, 0.0).otherwise(F.col("w") * F.col("t") / r))
         force = push.groupBy("id").agg(F.sum("c").alias("k"), *(F.sum(F.col("c") * (F.col(f"q{n}") - F.col(n))).alias(f"f{n}") for n in "xyz"))
         moved = q.join(median, "id", "left").join(force, "id", "left")
         at = [F.when(F.abs(F.coalesce("s", F.lit(0.0))) < 1e-9, F.col(n)).otherwise(F.col(f"p{n}") / F.col("s")) for n in "xyz"]
         off = [F.when(F.abs(F.coalesce("k", F.lit(0.0))) < 1e-9, 0.0).otherwise(mu / F.col("k") * F.col(f"f{n}")) for n in "xyz"]
         q = store(moved.select("id", *((a + o).alias(n) for a, o, n in zip(at, off, "xyz", strict=True))), "wlop")
+        if turn == rounds - 1:
+            break
+        gone = _moved(q.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz")), anchor, "", "id")
+        far = store(gone.where(g.squared_distance(g.vec("q"), g.vec()) > (wide - h) * (wide - h) / 4 * (1 - 1e-9)).select("id", *(F.col(f"q{n}").alias(n) for n in "xyz")), "wlop-far")
+        if far.isEmpty():
+            continue
+        anchor = store(anchor.join(far.select("id"), "id", "left_anti").unionByName(far), "wlop-anchors")
+        pulls = store(pulls.join(far.select("id"), "id", "left_anti").select("id", "nid", "x", "y", "z", "v").unionByName(list_of(far).select("id", "nid", "x", "y", "z", "v")), "wlop-lists")
+        kept = pushes.join(far.select("id"), "id", "left_anti").join(far.select(F.col("id").alias("nid")), "nid", "left_anti").select("id", "nid")
+        new = range_join(far, anchor, wide).where("id <> nid").select("id", "nid")
+        back = new.join(far.select(F.col("id").alias("nid")), "nid", "left_anti").select(F.col("nid").alias("id"), F.col("id").alias("nid"))  # two moved ones are met from both sides
+        pushes = store(kept.unionByName(new).unionByName(back), "wlop-lists")
     return q

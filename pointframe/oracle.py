@@ -211,15 +211,18 @@ SQL["bilateral_normals"] = _bilateral_normals()
 SQL["random_sample"] = f"with {EMB} select id from cloud order by md5(concat(id, '-7')), id limit 100"
 
 
-def _wlop(uniform: bool, h: str = "0.15::double", head: str = "with " + EMB) -> str:
+def _wlop(uniform: bool, h: str = "0.15::double", head: str = "with " + EMB, rounds: int = 10) -> str:
     t = lambda d: f"exp(-({d})/({h}*{h}/16))"
     far = apart("q", "c", "1e-9")
     w = lambda c, name: f"{name} as materialized (select c.id, {'1+coalesce(s, 0)' if uniform else '1.0::double'} as w from {c} c left join (select q.id, sum({t(d2('q', 'c'))}) as s from {c} q, {c} c where {d2('q', 'c')} <= {h}*{h} and {far} group by q.id) k on k.id = c.id)"
-    return f"""{head}, q0 as materialized (select id, x, y, z from cloud order by md5(concat(id, '-7')), id limit 100), {w("cloud", "v")}, {w("q0", "w")},
-{near(h, "q0", "cloud", "pq", far)}, {near(h, "q0", "q0", "qq", far)},
-med as (select p.id, sum({t("d2")}/sqrt(d2)/v.w) as s, {", ".join(f"sum({t('d2')}/sqrt(d2)/v.w*{n}) as p{n}" for n in "xyz")} from pq p join v on v.id = p.nid group by p.id),
-rep as (select p.id, sum(w.w*{t("d2")}/sqrt(d2)) as k, {", ".join(f"sum(w.w*{t('d2')}/sqrt(d2)*(q{n}-{n})) as f{n}" for n in "xyz")} from qq p join w on w.id = p.nid group by p.id)
-select q0.id, {", ".join(r6(f"(case when coalesce(s, 0) < 1e-9 then q0.{n} else p{n}/s end)+(case when coalesce(k, 0) < 1e-9 then 0 else 0.45::double/k*f{n} end)", n) for n in "xyz")} from q0 left join med on med.id = q0.id left join rep on rep.id = q0.id"""
+    parts = [f"{head}, q0 as materialized (select id, x, y, z from cloud order by md5(concat(id, '-7')), id limit 100), {w('cloud', 'v')}"]
+    for n in range(rounds):
+        q = f"q{n}"
+        parts.append(f"""{w(q, f"w{n}")}, {near(h, q, "cloud", f"pq{n}", far)}, {near(h, q, q, f"qq{n}", far)},
+med{n} as materialized (select p.id, sum({t("d2")}/sqrt(d2)/v.w) as s, {", ".join(f"sum({t('d2')}/sqrt(d2)/v.w*{a}) as p{a}" for a in "xyz")} from pq{n} p join v on v.id = p.nid group by p.id),
+rep{n} as materialized (select p.id, sum(w.w*{t("d2")}/sqrt(d2)) as k, {", ".join(f"sum(w.w*{t('d2')}/sqrt(d2)*(q{a}-{a})) as f{a}" for a in "xyz")} from qq{n} p join w{n} w on w.id = p.nid group by p.id),
+q{n + 1} as materialized (select {q}.id, {", ".join(f"(case when coalesce(s, 0) < 1e-9 then {q}.{a} else p{a}/s end)+(case when coalesce(k, 0) < 1e-9 then 0 else 0.45::double/k*f{a} end) as {a}" for a in "xyz")} from {q} left join med{n} m on m.id = {q}.id left join rep{n} r on r.id = {q}.id)""")
+    return ", ".join(parts) + f" select id, {r6s('x', 'y', 'z')} from q{rounds}"
 
 
 SQL["wlop"] = _wlop(True)
@@ -255,7 +258,12 @@ cell as materialized (select i+j*{w}+k*{w * h} as c, i, j, k, {world[0]} as x, {
 vert as materialized (select row_number() over (order by c)-1 as vid, * from cell)"""
 
 
-_BALL = _nets((-1.0,) * 3, (1.0,) * 3, (10, 10, 10), "sqrt({x}*{x}+{y}*{y}+{z}*{z})-1")
+def _union(radius: str, cloud: str = "cloud") -> str:
+    """Distance to the nearest point less a radius."""
+    return f"sqrt((select min((c.x-{{x}})*(c.x-{{x}})+(c.y-{{y}})*(c.y-{{y}})+(c.z-{{z}})*(c.z-{{z}})) from {cloud} c))-{radius}::double"
+
+
+_BALL = EMB + ", " + _nets((-0.6,) * 3, (0.6,) * 3, (12, 12, 12), _union("0.1"))
 SQL["surface_nets_sphere_vertices"] = f"with {_BALL} select vid::bigint as vid, {r6s('x', 'y', 'z')} from vert"
 
 
@@ -269,13 +277,13 @@ def _triangles(w: int, h: int) -> str:
 select v0::bigint as v0, a::bigint as v1, b::bigint as v2 from ring union all select v0, b, c from ring"""
 
 
-SQL["surface_nets_sphere_triangles"] = f"with {_BALL}, {_triangles(13, 13)}"
+SQL["surface_nets_sphere_triangles"] = f"with {_BALL}, {_triangles(15, 15)}"
 SQL["mesh_ply_roundtrip"] = SQL["surface_nets_sphere_triangles"]
-_PAIR = "least(sqrt(({x}+1.6::double)*({x}+1.6::double)+{y}*{y}+{z}*{z})-1, sqrt(({x}-1.6::double)*({x}-1.6::double)+{y}*{y}+{z}*{z})-1)"
-_PAIR_NETS = _nets((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8), _PAIR).replace("vert as materialized (select row_number() over (order by c)-1 as vid, * from cell)", "vert as materialized (select row_number() over (order by c)-1 as vid, * from cell where x < 0)")
+_APART = f"{EMB}, two as materialized (select id, x+case when id%2 = 0 then -1.6::double else 1.6::double end as x, y, z from cloud), "
+_PAIR_NETS = _APART + _nets((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8), _union("0.3", "two")).replace("vert as materialized (select row_number() over (order by c)-1 as vid, * from cell)", "vert as materialized (select row_number() over (order by c)-1 as vid, * from cell where x < 0)")
 SQL["surface_nets_hint"] = f"with {_PAIR_NETS} select vid::bigint as vid, {r6s('x', 'y', 'z')} from vert"
 
-_SMALL = _nets((-1.0,) * 3, (1.0,) * 3, (5, 5, 5), "sqrt({x}*{x}+{y}*{y}+{z}*{z})-1")
+_SMALL = EMB + ", " + _nets((-0.6,) * 3, (0.6,) * 3, (5, 5, 5), _union("0.25"))
 _CORNER = "(select range%2 as oi, (range//2)%2 as oj, range//4 as ok from range(8))"
 SQL["voxel_activity"] = f"""with {_SMALL}, box as materialized (select p, i, j, k from lat where i < 7 and j < 7 and k < 7),
 corner as materialized (select b.p as c, b.i, b.j, b.k, o.oi, o.oj, o.ok, b.p+o.oi+o.oj*8+o.ok*64 as q from box b, {_CORNER} o), cv as materialized (select c.*, l.v from corner c join lat l on l.p = c.q),
@@ -339,3 +347,18 @@ oriented as materialized (select id, tx as nx, ty as ny, tz as nz from turn unio
 SQL["orient_normals"] = f"with recursive {_ORIENTED} select id, {r6s('nx', 'ny', 'nz')} from oriented"
 SQL["smoothed_normals"] = _bilateral_normals(f"with recursive {_ORIENTED}, made as materialized (select c.id, x, y, z, o.nx, o.ny, o.nz from cloud c join oriented o on o.id = c.id), sig as materialized (select avg(m) as s from (select avg(sqrt(d2)) as m from nbr group by id))", "made", "(select s from sig)", "(select s from sig)")
 SQL["downsample_wlop"] = _wlop(True, "(select h from wide)", f"with {EMB}, {knn(5)}, wide as materialized (select 8*avg(m) as h from (select avg(sqrt(d2)) as m from nbr group by id))")
+
+# Kept octree: what is left of the events after the inserts and erases; every twentieth event asks, with its own range.
+_IN_ONE = " and ".join(f"{n} between 0 and 1" for n in "xyz")
+_ASKED = "asked as materialized (select id, x, y, z, [0.5::double, 0.05::double, 0.005::double, 0.0005::double, 0.00005::double][(id//20)%5+1] as r from cloud where id%20 = 0)"
+_KEPT = f"{EVT}, {_ASKED}, kept as materialized (select * from (select id, x, y, case when id%4 = 0 then z/2 else z end as z from cloud where id%4 = 0 or id%5 <> 2) where {_IN_ONE})"
+_TOTALS = "count(*) as n, min({i}) as first_id, sum({i})::bigint as sum_id"
+SQL["octree_kept_knn"] = f"with {_KEPT}, {knn(4, 'asked', 'kept')} select id, nid, rank, {r6s('d2')} from nbr"
+SQL["octree_kept_boxes"] = f"with {_KEPT} select q.id as qid, {_TOTALS.format(i='c.id')} from asked q join kept c on {' and '.join(f'c.{n} between q.{n}-q.r and q.{n}+q.r' for n in 'xyz')} group by q.id"
+SQL["octree_kept_balls"] = f"with {_KEPT} select q.id as qid, {_TOTALS.format(i='c.id')} from asked q join kept c on {d2('q', 'c')} <= q.r*q.r group by q.id"
+SQL["sized_range_join"] = f"with {EVT}, {_ASKED} select q.id, {_TOTALS.format(i='c.id')} from asked q join cloud c on {d2('q', 'c')} <= q.r*q.r group by q.id"
+SQL["kd_tree_balls"] = SQL["sized_range_join"].replace("select q.id, ", "select q.id as qid, ")
+SQL["sized_intersections"] = SQL["intersections"].replace("0.02::double+(id%5)*0.03::double as r", "[0.4::double, 0.04::double, 0.004::double, 0.0004::double, 0.00004::double][id%5+1] as r")
+SQL["kd_leaves"] = f"with {', '.join(_KD)} select path, count(*) as n, {', '.join(r6(f'{f}({n})', f'{f}_{n}') for f in ('min', 'max') for n in 'xyz')} from lev3 group by path"
+SQL["kd_tree_boxes"] = f"""with {KD} select q.id as qid, c.id from kd q join kd c on q.id%20 = 0 and
+list_bool_and(list_transform(list_zip(q.coords, c.coords), lambda t: t[2] >= t[1]-0.36::double and t[2] <= t[1]+0.36::double))"""

@@ -17,7 +17,7 @@ from pointframe import oracle
 from pointframe.cloud import shared_folder, pc_emb, pc_emb_kd, pc_evt, pc_part, store, table
 from pointframe.functions import geometry as g
 from pointframe.functions.geometry import Grid
-from pointframe.operators import filters, graphs, index, isosurface, neighbors, normals, pivots, resample, stats
+from pointframe.operators import filters, graphs, index, indexed, isosurface, kdtree, neighbors, normals, octree, pivots, resample, stats
 from pointframe.plans import pipelines
 from pointframe.sources import obj, ply
 
@@ -45,17 +45,13 @@ def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return store(neighbors.knn(pc_emb(spark, sf_dir), k), "near")
 
 
-def _ball(x, y, z) -> Column:
-    return F.sqrt(x * x + y * y + z * z) - 1.0
-
+BALL_GRID = Grid.containing((-0.6,) * 3, (0.6,) * 3, (12, 12, 12))
+PAIR_GRID = Grid.containing((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8))
 
-def _two_balls(x, y, z) -> Column:
-    d = lambda cx: F.sqrt((x - cx) * (x - cx) + y * y + z * z) - 1.0
-    return F.least(d(-1.6), d(1.6))
 
-
-BALL_GRID = Grid.containing((-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), (10, 10, 10))
-PAIR_GRID = Grid.containing((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8))
+def _balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice values of the union of balls around all points."""
+    return isosurface.ball_union(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), BALL_GRID, 0.1)
 
 
 # --- scalar functions and predicates
@@ -234,18 +230,18 @@ def knn_outlier(spark, sf_dir):
     c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
     far = spark.createDataFrame([(-1, 1000.0, 1000.0, 1000.0)], "id long, x double, y double, z double")
     all_ = c.unionByName(far)
-    return neighbors.knn(all_, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+    return neighbors.knn(all_, 5, brute_pairs=0).select("id", "nid", "rank", r6("d2").alias("d2"))
 
 
 @query
 def knn_coincident(spark, sf_dir):
-    return neighbors.knn(pc_part(spark, sf_dir, flat=True), 3).select("id", "nid", "rank", r6("d2").alias("d2"))
+    return neighbors.knn(pc_part(spark, sf_dir, flat=True), 3, brute_pairs=0).select("id", "nid", "rank", r6("d2").alias("d2"))
 
 
 @query
 def knn_kd(spark, sf_dir):
     c = pc_emb_kd(spark, sf_dir)
-    return pivots.knn_kd(c, c, 5).select("id", "nid", "rank", r6("d2").alias("d2"))
+    return pivots.knn_kd(c, c, 5, cell=64).select("id", "nid", "rank", r6("d2").alias("d2"))
 
 
 @query
@@ -295,6 +291,73 @@ def octant_path(spark, sf_dir):
     return index.octant_path(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), *HALF, 3).select("id", "path")
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> octree.Octree:
+    """A kept octree of the events, three quarters built in one go, the rest inserted at half the value, a fifth erased."""
+    c = pc_evt(spark, sf_dir)
+    built = octree.build(c.where("id % 4 <> 0"), (0.0,) * 3, (1.0,) * 3, capacity=32, depth=21, part_points=2048)
+    grown = built.insert(c.where("id % 4 = 0").select("id", "x", "y", (F.col("z") / 2).alias("z")))
+    return grown.erase(c.where("id % 5 = 2 and id % 4 <> 0")).tree()
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth event with a range of its own, over four orders of magnitude."""
+    return pc_evt(spark, sf_dir).where("id % 20 = 0").withColumn("r", F.element_at(F.array(*map(F.lit, (0.5, 0.05, 0.005, 0.0005, 0.00005))), (F.floor(F.col("id") / 20) % 5 + 1).cast("int")))
+
+
+@query
+def octree_kept_knn(spark, sf_dir):
+    return indexed.knn(_kept(spark, sf_dir), _asked(spark, sf_dir), 4).select("id", "nid", "rank", r6("d2").alias("d2"))
+
+
+@query
+def octree_kept_boxes(spark, sf_dir):
+    q = _asked(spark, sf_dir)
+    boxes = q.select(F.col("id").alias("qid"), *((F.col(n) - F.col("r")).alias(f"a{n}min") for n in "xyz"), *((F.col(n) + F.col("r")).alias(f"a{n}max") for n in "xyz"))
+    return indexed.box_search(_kept(spark, sf_dir), boxes).groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("sum_id"))
+
+
+@query
+def octree_kept_balls(spark, sf_dir):
+    balls = _asked(spark, sf_dir).select(F.col("id").alias("qid"), "r", *(F.col(n).alias(f"q{n}") for n in "xyz"))
+    return indexed.ball_search(_kept(spark, sf_dir), balls).groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("sum_id"))
+
+
+@query
+def sized_range_join(spark, sf_dir):
+    met = neighbors.sized_range_join(_asked(spark, sf_dir), pc_evt(spark, sf_dir))
+    return met.groupBy("id").agg(F.count("*").alias("n"), F.min("nid").alias("first_id"), F.sum("nid").alias("sum_id"))
+
+
+@query
+def sized_intersections(spark, sf_dir):
+    """Figures of sizes over four orders of magnitude."""
+    r = F.element_at(F.array(*map(F.lit, (0.4, 0.04, 0.004, 0.0004, 0.00004))), (F.col("id") % 5 + 1).cast("int"))
+    return neighbors.figure_intersections(pc_emb(spark, sf_dir).select("id", "x", "y", "z", r.alias("r")))
+
+
+@query
+def kd_leaves(spark, sf_dir):
+    """Leaves below three levels of medians, two of which are found by selection."""
+    c = pc_emb(spark, sf_dir).select("id", F.array("x", "y", "z").alias("coords"))
+    leaves = kdtree.kd_tree(c, depth=3, local=200).nodes.where("not inner")
+    return leaves.select("path", "n", *(r6(F.element_at(e, i)).alias(f"{a}{n}") for e, a in (("low", "min_"), ("high", "max_")) for i, n in enumerate("xyz", 1)))
+
+
+@query
+def kd_tree_boxes(spark, sf_dir):
+    """Boxes in all dimensions around every twentieth array."""
+    c = pc_emb_kd(spark, sf_dir)
+    around = c.where("id % 20 = 0").select(F.col("id").alias("qid"), F.transform("coords", lambda v: v - 0.36).alias("qlow"), F.transform("coords", lambda v: v + 0.36).alias("qhigh"))
+    return kdtree.box_search(kdtree.kd_tree(c, local=256), around)
+
+
+@query
+def kd_tree_balls(spark, sf_dir):
+    c = pc_evt(spark, sf_dir).select("id", F.array("x", "y", "z").alias("coords"))
+    balls = _asked(spark, sf_dir).select(F.col("id").alias("qid"), F.array("x", "y", "z").alias("center"), "r")
+    return kdtree.ball_search(kdtree.kd_tree(c, local=2048), balls).groupBy("qid").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("sum_id"))
+
+
 @query
 def kd_median_levels(spark, sf_dir):
     return index.kd_median_levels(pc_emb(spark, sf_dir), 3)
@@ -334,7 +397,8 @@ def graph_edit(spark, sf_dir):
 def bfs_levels(spark, sf_dir):
     c = pc_emb(spark, sf_dir)
     root = c.orderBy(F.desc("z"), "id").first()["id"]
-    return graphs.breadth_first_search(graphs.directed_knn_graph(_near(spark, sf_dir, 5)), root)
+    blocks = store(neighbors.blocks(c), "blocks")
+    return graphs.breadth_first_search(graphs.directed_knn_graph(_near(spark, sf_dir, 5)), root, blocks)
 
 
 @query
@@ -397,33 +461,36 @@ def hierarchy_sample(spark, sf_dir):
 
 @query
 def wlop(spark, sf_dir):
-    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, rounds=1, seed=7), "x", "y", "z")
+    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, seed=7), "x", "y", "z")
 
 
 @query
 def lop(spark, sf_dir):
-    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, rounds=1, uniform=False, seed=7), "x", "y", "z")
+    return rounded(resample.wlop(pc_emb(spark, sf_dir), 100, 0.15, uniform=False, seed=7), "x", "y", "z")
 
 
 @query
 def surface_nets_sphere_vertices(spark, sf_dir):
-    return rounded(isosurface.surface_nets(spark, _ball, BALL_GRID)[0], "x", "y", "z")
+    return rounded(isosurface.surface_nets(spark, _balls(spark, sf_dir), BALL_GRID)[0], "x", "y", "z")
 
 
 @query
 def surface_nets_sphere_triangles(spark, sf_dir):
-    return isosurface.surface_nets(spark, _ball, BALL_GRID)[1]
+    return isosurface.surface_nets(spark, _balls(spark, sf_dir), BALL_GRID)[1]
 
 
 @query
 def surface_nets_hint(spark, sf_dir):
-    return rounded(isosurface.surface_nets(spark, _two_balls, PAIR_GRID, hint=(-1.6, 0.0, 0.9))[0], "x", "y", "z")
+    """Two clumps of balls, of the points with even and odd ids; the hint lies above the first."""
+    apart = pc_emb(spark, sf_dir).select("id", (F.col("x") + F.when(F.col("id") % 2 == 0, -1.6).otherwise(1.6)).alias("x"), "y", "z")
+    values = isosurface.ball_union(apart, PAIR_GRID, 0.3)
+    return rounded(isosurface.surface_nets(spark, values, PAIR_GRID, hint=(-1.6, 0.0, 0.9))[0], "x", "y", "z")
 
 
 @query
 def voxel_activity(spark, sf_dir):
-    grid = Grid.containing((-1.0,) * 3, (1.0,) * 3, (5,) * 3)
-    values = isosurface.sampled(spark, grid, _ball)
+    grid = Grid.containing((-0.6,) * 3, (0.6,) * 3, (5,) * 3)
+    values = store(isosurface.ball_union(pc_emb(spark, sf_dir).select("id", "x", "y", "z"), grid, 0.25), "lattice")
     cells = values.where((F.col("i") < grid.sx) & (F.col("j") < grid.sy) & (F.col("k") < grid.sz)).select("i", "j", "k")
     v = isosurface.corner_values(cells, values, grid)
     crossed = F.size(F.filter(isosurface.edge_bipolarity(F.col("v")), lambda b: b)).cast("long")
@@ -469,7 +536,7 @@ def smoothed_normals(spark, sf_dir):
 def downsample_wlop(spark, sf_dir):
     """The projection branch, its radius chosen from the mean neighbour distance."""
     c = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
-    return rounded(pipelines.downsample(c, "wlop", 100, k=5, rounds=1, seed=7), "x", "y", "z")
+    return rounded(pipelines.downsample(c, "wlop", 100, k=5, seed=7), "x", "y", "z")
 
 
 @query
@@ -530,7 +597,7 @@ def obj_roundtrip(spark, sf_dir):
 @query
 def mesh_ply_roundtrip(spark, sf_dir):
     path = _file(spark, "mesh.ply")
-    ply.write_mesh_ply(*isosurface.surface_nets(spark, _ball, BALL_GRID), path, "binary_little_endian")
+    ply.write_mesh_ply(*isosurface.surface_nets(spark, _balls(spark, sf_dir), BALL_GRID), path, "binary_little_endian")
     return ply.read_mesh_ply(spark, path)[1]
 
 
