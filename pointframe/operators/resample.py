@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from pointframe.operators.neighbors import range_join
 from pointframe.operators.selection import select
 from pointframe.operators.stats import scatter_matrix
 
+#: Points of a cluster whose recursion one task finishes.
+LOCAL_POINTS = 1 << 16
+
 
 def random_sample(cloud: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``size`` rows without replacement (all, if there are fewer): the first by a hash of id and seed, then by id.
@@ -33,34 +38,65 @@ def random_sample(cloud: DataFrame, size: int, seed: int = 0) -> DataFrame:
     return cloud.where(first)
 
 
-def hierarchy_sample(cloud: DataFrame, cluster_size: int, var_max: float = 1 / 3) -> DataFrame:
+def _local_end(cluster_size: int, var_max: float):
+    """Finishes the recursion of one cluster: the point nearest to the mean of each final part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, p = rows.column("id").to_numpy(), np.stack([rows.column(n).to_numpy() for n in "xyz"], axis=1)
+        best, stack = [], [np.lexsort((ids,))]
+        while stack:
+            mine = stack.pop()
+            q = p[mine] - p[mine].mean(0)
+            lam, v = np.linalg.eigh(q.T @ q)
+            total = max(0.0, float(lam.sum()))
+            if total > 0 and (len(mine) > cluster_size or max(0.0, float(lam[0])) / total > var_max):
+                left = q @ v[:, 2] <= 0
+                if left.any() and not left.all():
+                    stack += [mine[left], mine[~left]]
+                    continue
+            best.append(mine[np.lexsort((ids[mine], (q * q).sum(1)))[0]])
+        at = np.array(best)
+        return pa.table({"id": pa.array(ids[at]), **{n: pa.array(p[at, i]) for i, n in enumerate("xyz")}})
+
+    return run
+
+
+def hierarchy_sample(cloud: DataFrame, cluster_size: int, var_max: float = 1 / 3, local: int = LOCAL_POINTS) -> DataFrame:
     """One point a cluster, the nearest to its mean.
 
-    All clusters of a level are split at once, by the plane through the mean across
-    the largest eigenvector, while they hold more than ``cluster_size`` points or
-    their least eigenvalue's share exceeds ``var_max``. A cluster that does not part
-    (coincident points) ends. Null coordinates are not supported.
+    A cluster is split by the plane through the mean across the largest eigenvector,
+    while it holds more than ``cluster_size`` points or its least eigenvalue's share
+    exceeds ``var_max``; one that does not part (coincident points) ends. Clusters of
+    more than ``local`` points are split all at once, a level in a stored round; those of fewer
+    finish their recursion in one Arrow group each, so rounds grow with log2(n / local).
+    Null coordinates are not supported.
     """
-    live = store(cloud.select("id", "x", "y", "z", F.lit("r").alias("path")), "hierarchy")
+    live = store(cloud.select(F.col("id").cast("long").alias("id"), *(F.col(n).cast("double").alias(n) for n in "xyz"), F.lit("r").alias("path")), "hierarchy")
     out: DataFrame | None = None
+
+    def also(more: DataFrame) -> DataFrame:
+        return more if out is None else out.unionByName(more)
+
     while True:
-        sums = with_eigenvector(with_eigenvalues(scatter_matrix(live, "path")), "l2", ("ax", "ay", "az"))
+        sums = store(scatter_matrix(live, "path"), "hierarchy-sums")
+        small = sums.where(F.col("n") <= max(1, local)).select("path")
+        ends = live.join(small, "path", "left_semi").groupBy("path").applyInArrow(_local_end(cluster_size, var_max), "id long, x double, y double, z double")
+        out = also(store(ends, "hierarchy-ends"))
+        big = with_eigenvector(with_eigenvalues(sums.where(F.col("n") > max(1, local))), "l2", ("ax", "ay", "az"))
         total = F.col("l0") + F.col("l1") + F.col("l2")
         share = F.when(total > 0, F.col("l0") / total).otherwise(0.0)
         split = (total > 0) & ((F.col("n") > cluster_size) | (share > var_max))
-        facts = sums.select("path", "mx", "my", "mz", "ax", "ay", "az", split.alias("split"))
-        near = live.join(facts, "path")
+        facts = store(big.select("path", "mx", "my", "mz", "ax", "ay", "az", split.alias("split")), "hierarchy-facts")
+        if facts.isEmpty():
+            return out
         side = g.inner_product(g.sub(g.vec(), g.vec("m")), g.vec("a")) <= 0
-        near = store(near.withColumn("left", side), "hierarchy-split")
+        near = store(live.join(facts, "path").withColumn("left", side), "hierarchy-split")
         parts = near.groupBy("path").agg(F.bool_and("left").alias("one"), (~F.bool_or("left")).alias("other"))
         ended = (~F.col("split")) | F.col("one") | F.col("other")
         near = near.join(parts, "path")
         done = near.where(ended).withColumn("d2", g.squared_distance(g.vec("m"), g.vec()))
-        ends = done.groupBy("path").agg(F.min_by(F.struct("id", "x", "y", "z"), F.struct("d2", "id")).alias("p")).select("p.id", "p.x", "p.y", "p.z")
-        out = ends if out is None else out.unionByName(ends)
+        out = also(store(done.groupBy("path").agg(F.min_by(F.struct("id", "x", "y", "z"), F.struct("d2", "id")).alias("p")).select("p.id", "p.x", "p.y", "p.z"), "hierarchy-ends"))
         live = store(near.where(~ended).select("id", "x", "y", "z", F.concat("path", F.when(F.col("left"), "0").otherwise("1")).alias("path")), "hierarchy")
-        if live.isEmpty():
-            return out
 
 
 def _moved(near: DataFrame, cloud: DataFrame, names: str, key: str) -> DataFrame:

@@ -40,24 +40,57 @@ def test_degenerate_neighbourhoods(cloud_of):
 
 
 def test_orientation(spark):
-    rows = [(-1, -1, -0.1, 0, 0, -1), (-0.9, -1, 0.2, 0, 0, 1), (0.9, 0.9, 0.1, 0, 0, 1), (1.1, 1.1, -0.2, 0, 0, -1), (1.1, 1.1, -0.3, 0, 0, -1)]
-    c = oriented(spark, rows)
-    e = graphs.directed_knn_graph(knn(c, 2))
-    reached = {r.child for r in graphs.breadth_first_search(e, 1).collect()} | {1}
-    got = {r.id: r.nz for r in normals.orient_normals(c, e).collect()}
-    assert len(got) == 5 and all(got[i] == 1.0 for i in reached)
+    """Signs against a walk in plain Python, over a wavy sheet with normals of any sign, some of them upright to each other."""
+    rng = np.random.default_rng(15)
+    p = rng.uniform(-1, 1, (120, 2))
+    n = np.c_[-np.cos(3 * p[:, 0]), np.zeros(120), np.ones(120)]
+    n[::17] = [0, 1, 0]
+    n = n / np.linalg.norm(n, axis=1)[:, None] * rng.choice([-1, 1], 120)[:, None]
+    x = np.c_[p, np.sin(3 * p[:, 0]) / 3]
+    c = oriented(spark, np.hstack([x, n]).tolist())
+    e = store(graphs.directed_knn_graph(knn(c, 4)), "edges")
+    near: dict[int, list] = {}
+    for r in e.collect():
+        near.setdefault(r.src, []).append(r.dst)
+    root = int(np.lexsort((np.arange(120), -x[:, 2]))[0])
+    want, front = {root: np.array([0.0, 0, 1])}, [root]
+    while front:
+        lead: dict[int, int] = {}
+        for u in sorted(front):
+            for v in near[u]:
+                if v not in want:
+                    lead.setdefault(v, u)
+        for v, u in lead.items():
+            dot = want[u] @ n[v]
+            want[v] = -n[v] if dot < 0 and abs(dot) >= 1e-5 else n[v]
+        front = list(lead)
+    homes = spark.createDataFrame([(i, int(x[i, 0] > 0) + 2 * int(x[i, 1] > 0)) for i in range(120)], "id long, block long")
+    for blocks in (None, homes):
+        got = {r.id: (r.nx, r.ny, r.nz) for r in normals.orient_normals(c, e, blocks).collect()}
+        assert len(got) == 120 and all(np.allclose(got[i], want.get(i, n[i]), atol=1e-12) for i in range(120))
+    assert normals.orient_normals(c.limit(0), e).count() == 0
 
 
 def test_bilateral_points(spark):
-    rows = [(-0.1 + 0.025 * i, 0, 0, 0, 0, 1) for i in range(9)]
-    rows[2] = (rows[2][0], 0, 0.01, -0.19611614, 0, 0.98058068)
-    rows[6] = (rows[6][0], 0, -0.01, 0.19611614, 0, 0.98058068)
-    c = oriented(spark, rows)
-    sigma = stats.average_knn_distance(knn(c, 2)).first().m
-    assert math.isclose(sigma, 0.028743721, abs_tol=2e-4)
-    out = {r.id: r for r in filters.bilateral_points(c, sigma, sigma / 8, 2).collect()}
-    assert len(out) == 9 and abs(out[2].z) < 0.01 and abs(out[6].z) < 0.01
-    assert {r.id: (r.nx, r.nz) for r in c.collect()} == {k: (r.nx, r.nz) for k, r in out.items()}
+    """Two rounds against NumPy, on a bumpy sheet."""
+    rng = np.random.default_rng(16)
+    x = np.c_[rng.uniform(0, 1, (50, 2)), rng.normal(0, 0.02, 50)]
+    n = np.c_[rng.normal(0, 0.1, (50, 2)), np.ones(50)]
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    sf, sg = 0.2, 0.05
+    gauss = lambda s, r2: np.exp(-r2 / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
+    now = x
+    for _ in range(2):
+        made = []
+        for q in now:
+            d2 = ((now - q) ** 2).sum(1)
+            m = d2 <= 4 * sf * sf
+            off = ((now[m] - q) * n[m]).sum(1)[:, None] * n[m]
+            w = gauss(sf, d2[m]) * gauss(sg, (off**2).sum(1))
+            made.append((w[:, None] * (q + off)).sum(0) / w.sum())
+        now = np.array(made)
+    out = {r.id: (r.x, r.y, r.z) for r in filters.bilateral_points(oriented(spark, np.hstack([x, n]).tolist()), sf, sg, 2).collect()}
+    assert len(out) == 50 and all(np.allclose(out[i], now[i], atol=1e-9) for i in range(50))
 
 
 @pytest.mark.parametrize("mode", ["reference", "corrected"])
@@ -121,7 +154,9 @@ def test_hierarchy_against_a_recursion(cloud_of, random_rows):
                 return split(ids[left]) + split(ids[~left])
         return [int(ids[np.lexsort((ids, (d * d).sum(1)))[0]])]
 
-    assert sorted(r.id for r in resample.hierarchy_sample(cloud_of(p.tolist()), 7, 0.2).collect()) == sorted(split(np.arange(150)))
+    want = sorted(split(np.arange(150)))
+    for local in (0, 40, 1000):  # all in rounds, both, all in one group
+        assert sorted(r.id for r in resample.hierarchy_sample(cloud_of(p.tolist()), 7, 0.2, local).collect()) == want
 
 
 def test_wlop(cloud_of, random_rows):
@@ -133,6 +168,35 @@ def test_wlop(cloud_of, random_rows):
     assert sorted(r.x for r in resample.wlop(alone, 2, 1.0, rounds=1).collect()) == [0, 100]
 
 
+@pytest.mark.parametrize(("uniform", "skin"), [(True, 0.25), (False, 0.0)])
+def test_wlop_ten_rounds_against_numpy(cloud_of, uniform, skin):
+    rng = np.random.default_rng(17)
+    p, h, mu = rng.uniform(0, 1, (70, 3)), 0.5, 0.45
+    start = rng.permutation(70)[:15]
+    theta = lambda r2: np.exp(-r2 / (h * h / 16))
+
+    def sums(q, c):
+        d2 = ((q[:, None] - c[None]) ** 2).sum(-1)
+        t = np.where((d2 <= h * h) & ~(np.abs(q[:, None] - c[None]) < 1e-9).all(-1), theta(d2), 0)
+        return t, np.where(t > 0, np.sqrt(d2), 1)
+
+    v = 1 + sums(p, p)[0].sum(1) if uniform else np.ones(70)
+    q = p[start]
+    for _ in range(10):
+        t, r = sums(q, p)
+        a = t / r / v
+        s = a.sum(1)
+        to = np.where(s[:, None] < 1e-9, q, a @ p / np.where(s < 1e-9, 1, s)[:, None])
+        t, r = sums(q, q)
+        b = (1 + t.sum(1) if uniform else np.ones(15)) * t / r
+        k = b.sum(1)
+        force = k[:, None] * q - b @ q
+        q = to + np.where(k[:, None] < 1e-9, 0, mu / np.where(k < 1e-9, 1, k)[:, None] * force)
+    c = cloud_of(p.tolist())
+    got = {r.id: (r.x, r.y, r.z) for r in resample.wlop(c, h=h, mu=mu, uniform=uniform, initial=c.where(F.col("id").isin(start.tolist())), skin=skin).collect()}
+    assert len(got) == 15 and all(np.allclose(got[int(i)], q[n], atol=1e-6) for n, i in enumerate(start))
+
+
 def ball(x, y, z):
     return F.sqrt(x * x + y * y + z * z) - 1.0
 
