@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointframe.llm import langid, mixing, neardup, packing, quality
-from pointframe.llm.common import forget, store
+from pointframe.llm.common import arrow_bytes, forget, store
 from pointframe.llm.queries import table, tokenizer_path
 
 #: No stage is expressible in SQL; tests/llm compares them with brute force.
@@ -57,9 +57,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     made = []
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        made.append(docs)
-    out = STAGES[-1][1](spark, docs, sf_dir)
+    with arrow_bytes(spark):  # whole texts in small batches, in every stage
+        for name, stage in STAGES[:-1]:
+            docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.append(docs)
+        out = STAGES[-1][1](spark, docs, sf_dir)
     forget(*made)
     return out
