@@ -18,7 +18,7 @@ from pointframe.operators import neighbors
 from pointframe.operators.octree import BOX, Octree
 
 #: Pairs of nodes with which two trees start.
-START_PAIRS = 1 << 17
+START_PAIRS = 1 << 20
 #: Relative rounding of distances between boxes: what is nearer to the border is decided point by point.
 ROUNDING = 1e-12
 
@@ -91,7 +91,6 @@ def ball_counts(asked: Octree, tree: Octree, radius: float) -> DataFrame:
     mine = ["q", "q_leaf", *(f"a{b}" for b in BOX)]
     theirs = ["key", "n", "leaf", *BOX]
     named = lambda df: df.select(F.col("key").alias("q"), F.col("leaf").alias("q_leaf"), *(F.col(b).alias(f"a{b}") for b in BOX))
-    wide = lambda prefix: F.greatest(*(F.col(f"{prefix}{n}max") - F.col(f"{prefix}{n}min") for n in "xyz"))
     children = tree.nodes.select(F.col("parent").alias("up"), *theirs)
     q_children = asked.nodes.select(F.col("parent").alias("q_up"), F.col("key").alias("q"), F.col("leaf").alias("q_leaf"), *(F.col(b).alias(f"a{b}") for b in BOX))
     side = int(START_PAIRS**0.5)
@@ -101,12 +100,13 @@ def ball_counts(asked: Octree, tree: Octree, radius: float) -> DataFrame:
         met = store(pairs.withColumn("near", gap).withColumn("far", span).where(F.col("near") <= reach * (1 + ROUNDING)).withColumn("within", F.col("far") <= reach * (1 - ROUNDING)), "dual")
         inside.append(met.where("within").select("q", "n"))
         border.append(met.where("not within and q_leaf and leaf").select("q", F.col("key").alias("p")))
-        open_ = met.where("not within and not (q_leaf and leaf)").withColumn("down", F.when(F.col("q_leaf"), True).when(F.col("leaf"), False).otherwise(wide("") >= wide("a")))
+        open_ = met.where("not within and not (q_leaf and leaf)")
         if open_.isEmpty():
             break
-        lower = open_.where("down").select(*mine, F.col("key").alias("up")).join(children, "up").select(*mine, *theirs)
-        upper = open_.where("not down").select(F.col("q").alias("q_up"), *theirs).join(q_children, "q_up").select(*mine, *theirs)
-        pairs = lower.unionByName(upper)
+        both = open_.where("not q_leaf and not leaf").select(F.col("q").alias("q_up"), F.col("key").alias("up"))
+        upper = open_.where("not q_leaf and leaf").select(F.col("q").alias("q_up"), *theirs).join(q_children, "q_up").select(*mine, *theirs)
+        lower = open_.where("q_leaf and not leaf").select(*mine, F.col("key").alias("up")).join(children, "up").select(*mine, *theirs)
+        pairs = both.join(q_children, "q_up").join(children, "up").select(*mine, *theirs).unionByName(lower).unionByName(upper)
     every = lambda parts: parts[0] if len(parts) == 1 else every([parts[0].unionByName(parts[1]), *parts[2:]])
     sums = store(every(inside).groupBy("q").agg(F.sum("n").alias("n")), "within")
     # What a node's points all have, its leaves have; a leaf's nodes above it are shifts of its key.
@@ -115,9 +115,8 @@ def ball_counts(asked: Octree, tree: Octree, radius: float) -> DataFrame:
     above = leaves.withColumn("up", F.explode(F.array(*map(F.lit, ups)) if ups else F.array().cast("array<int>"))).where("up <= l").withColumn("q", F.expr("shiftrightunsigned(key, cast(3 * (l - up) as int))"))
     by_leaf = above.join(sums, "q").groupBy("key").agg(F.sum("n").alias("whole"))
     # Equal positions are one with a number, so that a leaf of many of them stays short.
-    held = tree.points.groupBy("key", "x", "y", "z").agg(F.count("*").alias("m")).groupBy(F.col("key").alias("p")).agg(F.collect_list(F.struct("x", "y", "z", "m")).alias("points"))
-    edge = every(border).join(held, "p").join(asked.points.select(F.col("key").alias("q"), "id", *(F.col(n).alias(f"q{n}") for n in "xyz")), "q")
-    hits = F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + F.when(g.squared_distance(g.vec("q"), tuple(p[n] for n in "xyz")) <= reach, p["m"]).otherwise(0))
-    near = edge.select("id", hits.alias("n")).groupBy("id").agg(F.sum("n").alias("some"))
+    held = tree.points.groupBy(F.col("key").alias("p"), "x", "y", "z").agg(F.count("*").alias("m"))
+    edge = every(border).join(asked.points.select(F.col("key").alias("q"), "id", *(F.col(n).alias(f"q{n}") for n in "xyz")), "q").join(held, "p")
+    near = edge.where(g.squared_distance(g.vec("q"), g.vec()) <= reach).groupBy("id").agg(F.sum("m").alias("some"))
     out = asked.points.select("id", "key").join(by_leaf, "key", "left").join(near, "id", "left")
     return out.select("id", (F.coalesce("whole", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n")).where("n > 0")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointframe.functions.geometry import tokenize
 from pointframe.operators.index import with_rank
+from pointframe.sources import hadoop
 
 SCHEMA = "id long, x double, y double, z double, nx double, ny double, nz double"
 
@@ -19,7 +18,7 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
     Lines are read in parallel; ids come from their order by distributed ranking. A
     path that does not exist or does not end in ``.obj`` is an empty cloud.
     """
-    if not path.endswith(".obj") or not os.path.isfile(path.removeprefix("file://")):
+    if not path.endswith(".obj") or not hadoop.is_file(spark, path):
         return spark.createDataFrame([], SCHEMA)
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
     words = lines.select("line", tokenize(F.col("value")).alias("w")).where(F.get("w", F.lit(0)).isin("v", "vn"))
@@ -40,14 +39,12 @@ def obj_lines(cloud: DataFrame) -> DataFrame:
 
 
 def write_obj(cloud: DataFrame, path: str) -> bool:
-    """Write one OBJ file in the order of id; nothing if only some points have normals, or the path lacks ``.obj``."""
+    """Write one OBJ file on any store, in the order of id; nothing if only some points have normals, or the path lacks ``.obj``."""
     if not path.endswith(".obj") or cloud.isEmpty():
         return False
     if "nx" in cloud.columns:
         n = cloud.agg(F.count("*").alias("all"), F.count("nx").alias("normals")).first()
         if n["normals"] not in (0, n["all"]):
             return False
-    with open(path, "w") as f:
-        for r in obj_lines(cloud).orderBy("id", "part").select("value").toLocalIterator(prefetchPartitions=True):
-            f.write(r["value"] + "\n")
+    hadoop.write_lines(obj_lines(cloud), ["id", "part"], path)
     return True

@@ -84,3 +84,39 @@ def test_ply_refuses_some_normals(spark, tmp_path):
     with pytest.raises(ValueError):
         ply.write_ply(cloud, str(tmp_path / "some.ply"))
     assert ply.write_ply(cloud.where("id = 1"), str(tmp_path / "none.ply"))
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("normals", [True, False])
+def test_paths_that_only_hadoop_reaches(spark, tmp_path, kind, normals):
+    """A folder behind a view file system: no task and no driver can open it as a file."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{tmp_path.name.replace('_', '-')}.link./data", f"file://{tmp_path}")
+    base = f"viewfs://{tmp_path.name.replace('_', '-')}/data"
+    cloud = spark.range(500).selectExpr("id", "id * 0.5 as x", "cast(-id as double) as y", "1.25D as z", *(["0D as nx", "0D as ny", "1D as nz"] if normals else ["cast(null as double) nx", "cast(null as double) ny", "cast(null as double) nz"])).repartition(3)
+    want = sorted(tuple(float(v) if v is not None else None for v in r) for r in cloud.collect())
+    assert obj.write_obj(cloud, f"{base}/a.obj") and (tmp_path / "a.obj").is_file()
+    assert sorted(tuple(r) for r in obj.read_obj(spark, f"{base}/a.obj").collect()) == want
+    if kind == "ascii":
+        assert ply.write_ply(cloud, f"{base}/a.ply", kind)
+    else:
+        with pytest.raises(ValueError, match="mounted"):
+            ply.write_ply(cloud, f"{base}/a.ply", kind)
+        assert ply.write_ply(cloud, f"file://{tmp_path}/a.ply", kind, "double")
+    assert sorted(tuple(r) for r in ply.read_ply(spark, f"{base}/a.ply").collect()) == want
+    assert ply.read_ply(spark, f"{base}/none.ply").count() == 0 and obj.read_obj(spark, f"{base}/none.obj").count() == 0
+    assert not list(tmp_path.glob("*.parts"))
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from pointframe.sources import hadoop
+
+    path = tmp_path / "long.txt"
+    path.write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        lines = hadoop.numbered_lines(spark, str(path))
+        assert lines.selectExpr("count(*)", "count_if(value like concat('line ', line, ' %'))", "count(distinct line)").first() == (3000, 3000, 3000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
