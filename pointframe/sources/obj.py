@@ -32,8 +32,8 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
 def obj_lines(cloud: DataFrame) -> DataFrame:
     """id, part, value: the file's lines, in the order of id and part."""
     has = "nx" in cloud.columns
-    v = F.struct(F.lit(0).alias("part"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("value"))
-    parts = [v, F.struct(F.lit(1).alias("part"), F.format_string("vn %.6f %.6f %.6f", "nx", "ny", "nz").alias("value"))] if has else [v]
+    v = F.struct(F.lit(0).alias("part"), F.format_string("v %.6f %.6f %.6f", *(F.col(n).cast("double") for n in "xyz")).alias("value"))
+    parts = [v, F.struct(F.lit(1).alias("part"), F.format_string("vn %.6f %.6f %.6f", *(F.col(f"n{n}").cast("double") for n in "xyz")).alias("value"))] if has else [v]
     lines = cloud.select("id", F.explode(F.array(*parts)).alias("l"), *(["nx"] if has else [])).select("id", "l.*", *(["nx"] if has else []))
     return lines.where((F.col("part") == 0) | F.col("nx").isNotNull()).select("id", "part", "value") if has else lines
 

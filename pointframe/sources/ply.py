@@ -257,10 +257,14 @@ def write_ply(cloud: DataFrame, path: str, kind: str = "ascii", scalar: str = "f
         return True
     path = _writable(path)
     parts = [(cloud, ("x", "y", "z"))] + ([(cloud, ("nx", "ny", "nz"))] if m else [])
-    _write_records(path, first.encode(), [(df.select(F.col("id").alias("at"), *names), n, kind, scalar) for df, names in parts])
+    _write_records(path, first.encode(), [(_numbers(df, "id", *names), n, kind, scalar) for df, names in parts])
     return True
 
 
+def _numbers(df: DataFrame, order: str, *names: str) -> DataFrame:
+    return df.select(F.col(order).alias("at"), *(F.col(n).cast("double").alias(n) for n in names))
+
+
 def _writable(path: str) -> str:
     if not hadoop.is_mounted(path):
         raise ValueError(f"binary files are written at their places, which needs a mounted path, not {path}; write ascii there")
@@ -322,7 +326,7 @@ def write_mesh_ply(vertices: DataFrame, triangles: DataFrame, path: str, kind: s
         return True
     path = _writable(path)
     ordered = faces.withColumn("at", F.struct("v0", "v1", "v2"))
-    _write_records(path, first.encode(), [(vertices.select(F.col("vid").alias("at"), "x", "y", "z"), n, kind, scalar), (ordered, m, kind, "face")])
+    _write_records(path, first.encode(), [(_numbers(vertices, "vid", "x", "y", "z"), n, kind, scalar), (ordered, m, kind, "face")])
     return True
 
 
