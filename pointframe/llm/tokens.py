@@ -11,6 +11,7 @@ blanks, or with the content of an added token, are encoded whole by the tokenize
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -43,6 +44,16 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+def _cuts_at_spaces(path: str) -> bool:
+    """Whether a file's pre-tokenizer is the byte-level one with this module's pattern, before a plain BPE model: only then
+    may words be encoded one by one."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE" and plain
+
+
 class _Memory(dict):
     """Ids of pieces of text, made on demand and remembered for two generations of ``limit`` pieces."""
 
@@ -66,7 +77,8 @@ class _Memory(dict):
 
 
 class Encoder:
-    """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them; with ``plain``, special-token strings in a
+    """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them (of files with another normalizer or
+    pre-tokenizer by the tokenizer itself, text by text); with ``plain``, special-token strings in a
     text are ordinary text. Needs a little-endian machine."""
 
     def __init__(self, path: str, limit: int = 200_000, plain: bool = True):
@@ -76,6 +88,7 @@ class Encoder:
         assert sys.byteorder == "little"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.by_words = _cuts_at_spaces(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
@@ -109,6 +122,9 @@ class Encoder:
         self.words.age()
         self.parts.age()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            every = [np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *every]), np.array([len(x) for x in every], np.int64)
         odd = pc.match_substring_regex(texts, BLANKS)
         for pattern in ("  ", " \n", "\n "):
             odd = pc.or_(odd, pc.match_substring(texts, pattern))

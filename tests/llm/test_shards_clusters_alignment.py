@@ -262,3 +262,18 @@ def test_alignment_of_no_documents(no_docs):
 
 def test_new_queries_are_registered():
     assert {"op11_shard_documents", "op12_centroid_clusters", "op13_align_tokens"} <= set(queries.queries())
+
+
+def test_other_tokenizer_files_are_encoded_whole():
+    """Lower-casing or word ends rule out remembered words; the ids are still the library's."""
+    from tokenizers import Tokenizer
+
+    from pointframe.llm.tokens import Encoder
+
+    texts = ["Some Words, and  MORE of them.", None, "", "naïve 日本 don't"]
+    for name, by_words in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        own, plain = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+        plain.encode_special_tokens = True
+        ids, sizes = own.encode(texts)
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert own.by_words == by_words and ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
