@@ -137,34 +137,54 @@ def kd_tree(cloud: DataFrame, depth: int | None = None, leaf: int = LEAF, local:
     return KdTree(nodes.unionByName(above), points.unionByName(upper), width, depth)
 
 
-def _search(tree: KdTree, ranges: DataFrame, touch: Column) -> DataFrame:
-    """Ranges (qid, ...) with the points of the nodes that they touch."""
+def _touched(tree: KdTree, ranges: DataFrame, touch: Column) -> DataFrame:
+    """qid and path of the nodes that a range touches; only these go from level to level."""
     own = ["path", "inner", "low", "high"]
     start = min(tree.depth, 6)
-    cut = tree.nodes.where((F.col("depth") == start) | (F.col("depth") < start)).select(*own, "depth")  # at most 2**7 nodes
-    keep = ranges.columns
-    front = store(ranges.crossJoin(F.broadcast(cut)).where(touch).select(*keep, "path", "inner", (F.col("depth") == start).alias("open")), "kd-front")
-    done = front.select(*keep, "path")
+    cut = tree.nodes.where(F.col("depth") <= start).select(*own, "depth")  # at most 2**7 nodes
+    front = store(ranges.crossJoin(F.broadcast(cut)).where(touch).select("qid", "path", "inner", (F.col("depth") == start).alias("open")), "kd-front")
+    done = front.select("qid", "path")
     open_ = front.where("inner and open")
     while not open_.isEmpty():
-        down = open_.select(*keep, F.explode(F.array(F.concat("path", F.lit("0")), F.concat("path", F.lit("1")))).alias("path"))
-        met = store(down.join(tree.nodes.select(*own), "path").where(touch).select(*keep, "path", "inner"), "kd-front")
-        done, open_ = done.unionByName(met.select(*keep, "path")), met.where("inner")
-    return done.join(tree.points, "path")
-
-
-def box_search(tree: KdTree, boxes: DataFrame) -> DataFrame:
-    """qid, id of the points in each closed box (qid, qlow, qhigh: arrays)."""
-    ranges = require_columns(boxes, "qid", "qlow", "qhigh").select("qid", "qlow", "qhigh")
-    met = _search(tree, ranges, g.boxes_intersect_kd(F.col("low"), F.col("high"), F.col("qlow"), F.col("qhigh")))
-    return met.where(g.in_box_kd(F.col("coords"), F.col("qlow"), F.col("qhigh"))).select("qid", "id")
+        down = open_.select("qid", F.explode(F.array(F.concat("path", F.lit("0")), F.concat("path", F.lit("1")))).alias("path"))
+        met = store(down.join(tree.nodes.select(*own), "path").join(ranges, "qid").where(touch).select("qid", "path", "inner"), "kd-front")
+        done, open_ = done.unionByName(met.select("qid", "path")), met.where("inner")
+    return done
+
+
+def _in_boxes(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """qid, id of the points of one node in some of the boxes that touch it."""
+    wide = lambda t, c: np.stack([np.asarray(v, float) for v in t.column(c).to_pylist()])
+    if not asked.num_rows or not held.num_rows:
+        return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
+    low, high, x = wide(asked, "qlow"), wide(asked, "qhigh"), wide(held, "coords")
+    hits = np.ones((len(low), len(x)), bool)
+    for k in range(x.shape[1]):
+        hits &= (x[:, k] >= low[:, k, None]) & (x[:, k] <= high[:, k, None])
+    q, i = np.nonzero(hits)
+    return pa.table({"qid": asked.column("qid").combine_chunks().take(pa.array(q)), "id": held.column("id").combine_chunks().take(pa.array(i))})
+
+
+def box_search(tree: KdTree, boxes: DataFrame, block: int = 2048) -> DataFrame:
+    """qid, id of the points in each closed box (qid, qlow, qhigh: arrays; qids are unique).
+
+    A node's points meet the boxes that touch it in blocks of about ``block`` boxes; where many dimensions leave nothing to
+    prune, that is the work of all pairs, but no pair is shuffled.
+    """
+    ranges = store(require_columns(boxes, "qid", "qlow", "qhigh").select(F.col("qid").cast("long").alias("qid"), "qlow", "qhigh"), "kd-boxes")
+    met = store(_touched(tree, ranges, g.boxes_intersect_kd(F.col("low"), F.col("high"), F.col("qlow"), F.col("qhigh"))), "kd-touched")
+    cut = store(met.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("slices")), "kd-slices")
+    asked = met.join(cut, "path").join(ranges, "qid").select("path", F.pmod(F.xxhash64("qid"), F.col("slices")).cast("int").alias("slice"), "qid", "qlow", "qhigh")
+    held = tree.points.join(cut, "path").select("path", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "id", "coords")
+    return asked.groupBy("path", "slice").cogroup(held.groupBy("path", "slice")).applyInArrow(_in_boxes, "qid long, id long")
 
 
 def ball_search(tree: KdTree, balls: DataFrame) -> DataFrame:
     """qid, id, d2 of the points in each closed ball (qid, center: array, r)."""
     ranges = require_columns(balls, "qid", "center", "r").where("r >= 0").select("qid", "center", "r")
     near = g.nearest_in_box_kd(F.col("center"), F.col("low"), F.col("high"))
-    met = _search(tree, ranges, g.squared_distance_kd(F.col("center"), near) <= F.col("r") * F.col("r") * (1 + 1e-12))
+    met = _touched(tree, ranges, g.squared_distance_kd(F.col("center"), near) <= F.col("r") * F.col("r") * (1 + 1e-12))
+    met = met.join(ranges, "qid").join(tree.points, "path")
     return met.withColumn("d2", g.squared_distance_kd(F.col("center"), F.col("coords"))).where(F.col("d2") <= F.col("r") * F.col("r")).select("qid", "id", "d2")
 
 
