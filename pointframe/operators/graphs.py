@@ -88,8 +88,9 @@ def _relax(links: pa.Table, seeds: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(x) for k, x in cols.items()})
 
 
-def graph_levels(edges: DataFrame, root: int, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, level) of all that the root reaches, and the different links (src, dst); both stored.
+def graph_levels(edges: DataFrame, root: int | DataFrame, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, level) of all that the root, or any of a frame of roots (id), reaches, and the different links (src, dst);
+    both stored.
 
     Vertices lie in blocks (id, block). A task takes a block's links to a fixpoint
     from the levels that entered it, and only offers to vertices of other blocks are
@@ -101,14 +102,15 @@ def graph_levels(edges: DataFrame, root: int, blocks: DataFrame | None = None) -
     links = store(require_columns(edges, "src", "dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct(), "links")
     n = max(1, -(-links.count() // BLOCK_LINKS))
     dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    first = root.select(F.col("id").cast("long").alias("id")).distinct() if isinstance(root, DataFrame) else spark.range(1).select(F.lit(root).cast("long").alias("id"))
     if blocks is None:
         placed = links.withColumn("block", dealt("src")).withColumn("other", dealt("dst"))
-        first = spark.range(1).select(F.lit(root).cast("long").alias("id")).withColumn("block", dealt("id"))
+        first = first.withColumn("block", dealt("id"))
     else:
         home = blocks.select("id", F.col("block").cast("long").alias("block"))
         placed = links.join(home.withColumnRenamed("id", "src"), "src", "left").withColumn("block", F.coalesce("block", -1 - dealt("src")))
         placed = placed.join(home.select(F.col("id").alias("dst"), F.col("block").alias("other")), "dst", "left").withColumn("other", F.coalesce("other", -1 - dealt("dst"))).select("src", "dst", "block", "other")
-        first = spark.range(1).select(F.lit(root).cast("long").alias("id")).join(home, "id", "left").withColumn("block", F.coalesce("block", -1 - dealt("id")))
+        first = first.join(home, "id", "left").withColumn("block", F.coalesce("block", -1 - dealt("id")))
     placed = store(placed, "block-links")
     want = store(first.withColumn("level", F.lit(0).cast("long")), "offers")
     known = want.limit(0)

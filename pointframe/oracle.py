@@ -283,6 +283,22 @@ _APART = f"{EMB}, two as materialized (select id, x+case when id%2 = 0 then -1.6
 _PAIR_NETS = _APART + _nets((-3.0, -1.0, -1.0), (3.0, 1.0, 1.0), (24, 8, 8), _union("0.3", "two")).replace("vert as materialized (select row_number() over (order by c)-1 as vid, * from cell)", "vert as materialized (select row_number() over (order by c)-1 as vid, * from cell where x < 0)")
 SQL["surface_nets_hint"] = f"with {_PAIR_NETS} select vid::bigint as vid, {r6s('x', 'y', 'z')} from vert"
 
+SQL["surface_hint_followed"] = SQL["surface_nets_hint"]
+
+
+def _reached(low: float, step: float, w: int, h: int) -> str:
+    """Active cells in chains of crossed edges from those that hold a point, with dense ids."""
+    s = (1, w, w * h)
+    sides = " union all ".join(f"select p, axis, p-{u * s[m]}-{v * s[n]} as c from crossed where axis = {ax}" for ax, m, n in ((0, 1, 2), (1, 0, 2), (2, 0, 1)) for u in (0, 1) for v in (0, 1))
+    home = "+".join(f"floor(({n}-({low!r}::double))/{step!r}::double)::bigint*{q}" for n, q in zip("xyz", s, strict=True))
+    return f"""side as materialized (select t.* from ({sides}) t semi join cell on cell.c = t.c), link as materialized (select distinct a.c as a, b.c as b from side a join side b on b.p = a.p and b.axis = a.axis),
+home as materialized (select distinct {home} as c from cloud), root as materialized (select home.c from home semi join cell on cell.c = home.c),
+reach as (select c from root union select link.b from reach join link on link.a = reach.c),
+vert as materialized (select row_number() over (order by c)-1 as vid, * from cell where c in (select c from reach))"""
+
+
+SQL["surface_near_samples"] = f"with recursive {_BALL.rsplit('vert as', 1)[0]}{_reached(-0.6 - 1.2 / 12, 1.2 / 12, 15, 15)}, {_triangles(15, 15)}"
+
 _SMALL = EMB + ", " + _nets((-0.6,) * 3, (0.6,) * 3, (5, 5, 5), _union("0.25"))
 _CORNER = "(select range%2 as oi, (range//2)%2 as oj, range//4 as ok from range(8))"
 SQL["voxel_activity"] = f"""with {_SMALL}, box as materialized (select p, i, j, k from lat where i < 7 and j < 7 and k < 7),

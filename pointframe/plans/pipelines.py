@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pointframe.cloud import store
 from pointframe.functions.geometry import Grid
-from pointframe.operators import filters, graphs, isosurface, normals, resample, stats
-from pointframe.operators.neighbors import blocks, knn, knn_join
+from pointframe.operators import filters, graphs, indexed, isosurface, normals, resample, stats
+from pointframe.operators.neighbors import blocks, knn, knn_join, octree
 from pointframe.sources.ply import read_ply, write_mesh_ply, write_ply
 
 
@@ -34,25 +34,55 @@ def oriented_normals(cloud: DataFrame, k: int = 10, smooth: float | None = None)
     return filters.bilateral_normals(store(out, "oriented"), sigma, sigma)
 
 
-def surface_distances(cloud: DataFrame, k: int, cells: tuple[int, int, int]) -> tuple[DataFrame, Grid]:
-    """Lattice values (p, i, j, k, x, y, z, v): signed distance to the oriented tangent plane of the nearest sample."""
-    spark = cloud.sparkSession
+def _sampled_surface(cloud: DataFrame, k: int, cells: tuple[int, int, int]) -> tuple[DataFrame, Grid]:
+    """Oriented tangent planes of the samples, stored, and the grid around them."""
     near = store(knn(cloud, k), "knn")
     planes = store(normals.tangent_planes(cloud, k, near), "planes")
     raw = cloud.select("id", "x", "y", "z").join(planes.select("id", "nx", "ny", "nz"), "id")
     turned = normals.orient_normals(raw, graphs.directed_knn_graph(near), store(blocks(cloud), "blocks"))
-    oriented = planes.drop("nx", "ny", "nz").join(turned, "id")
     box = stats.bounding_box(cloud).first()
-    grid = Grid.containing((box.xmin, box.ymin, box.zmin), (box.xmax, box.ymax, box.zmax), cells)
-    points = isosurface.lattice(spark, grid).withColumnRenamed("p", "id")
+    return planes.drop("nx", "ny", "nz").join(turned, "id"), Grid.containing((box.xmin, box.ymin, box.zmin), (box.xmax, box.ymax, box.zmax), cells)
+
+
+def surface_distances(cloud: DataFrame, k: int, cells: tuple[int, int, int]) -> tuple[DataFrame, Grid]:
+    """Lattice values (p, i, j, k, x, y, z, v): signed distance to the oriented tangent plane of the nearest sample."""
+    oriented, grid = _sampled_surface(cloud, k, cells)
+    points = isosurface.lattice(cloud.sparkSession, grid).withColumnRenamed("p", "id")
     nearest = knn_join(points, cloud, 1)
     return isosurface.plane_distance(points, oriented, nearest).withColumnRenamed("id", "p"), grid
 
 
-def reconstruct(cloud: DataFrame, k: int = 15, cells: tuple[int, int, int] = (20, 20, 20), hint: tuple[float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Mesh (vertices, triangles) of the surface that the cloud samples."""
-    values, grid = surface_distances(cloud, k, cells)
-    return isosurface.surface_nets(cloud.sparkSession, store(values.select("p", "i", "j", "k", "v"), "sdf"), grid, hint=hint)
+def surface_field(cloud: DataFrame, k: int, cells: tuple[int, int, int]) -> tuple[isosurface.Field, Grid]:
+    """The same distances for any lattice points; the samples' octree and planes are made once."""
+    oriented, grid = _sampled_surface(cloud, k, cells)
+    oriented, tree = store(oriented, "oriented"), octree(cloud.select("id", "x", "y", "z"))
+
+    def values(points: DataFrame) -> DataFrame:
+        at = store(points.withColumnRenamed("p", "id"), "at")
+        return isosurface.plane_distance(at, oriented, indexed.knn(tree, at, 1)).withColumnRenamed("id", "p")
+
+    return values, grid
+
+
+def cells_of(cloud: DataFrame, grid: Grid) -> DataFrame:
+    """i, j, k of the grid's cells that hold a sample."""
+    at = grid.cell_of((F.col("x"), F.col("y"), F.col("z")))
+    return cloud.select(*(e.alias(n) for e, n in zip(at, "ijk", strict=True))).distinct()
+
+
+def reconstruct(cloud: DataFrame, k: int = 15, cells: tuple[int, int, int] = (20, 20, 20), hint: tuple[float, float, float] | None = None, band: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Mesh (vertices, triangles) of the surface that the cloud samples.
+
+    ``band``: distances are evaluated along the surfaces that pass a sample's cell
+    (with a hint: along the one next to it) and nowhere else; other surfaces, which
+    tangent planes form far from all samples, are left out.
+    """
+    spark = cloud.sparkSession
+    if not band:
+        values, grid = surface_distances(cloud, k, cells)
+        return isosurface.surface_nets(spark, store(values.select("p", "i", "j", "k", "v"), "sdf"), grid, hint=hint)
+    field, grid = surface_field(cloud, k, cells)
+    return isosurface.surface_along(field, grid, cells_of(cloud, grid)) if hint is None else isosurface.surface_from_hint(field, grid, hint, spark)
 
 
 def reconstruct_to(cloud: DataFrame, path: str, k: int = 15, cells: tuple[int, int, int] = (20, 20, 20)) -> bool:

@@ -487,6 +487,21 @@ def surface_nets_hint(spark, sf_dir):
     return rounded(isosurface.surface_nets(spark, values, PAIR_GRID, hint=(-1.6, 0.0, 0.9))[0], "x", "y", "z")
 
 
+@query
+def surface_hint_followed(spark, sf_dir):
+    """The same clump, evaluated around the hint and then along its surface alone."""
+    apart = pc_emb(spark, sf_dir).select("id", (F.col("x") + F.when(F.col("id") % 2 == 0, -1.6).otherwise(1.6)).alias("x"), "y", "z")
+    field = isosurface.ball_field(apart, 0.3)
+    return rounded(isosurface.surface_from_hint(field, PAIR_GRID, (-1.6, 0.0, 0.9), spark)[0], "x", "y", "z")
+
+
+@query
+def surface_near_samples(spark, sf_dir):
+    """Triangles of the balls' surfaces that pass a cell with a point; others, as those around hollows, are left out."""
+    cloud = pc_emb(spark, sf_dir).select("id", "x", "y", "z")
+    return isosurface.surface_along(isosurface.ball_field(cloud, 0.1), BALL_GRID, pipelines.cells_of(cloud, BALL_GRID))[1]
+
+
 @query
 def voxel_activity(spark, sf_dir):
     grid = Grid.containing((-0.6,) * 3, (0.6,) * 3, (5,) * 3)

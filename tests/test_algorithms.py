@@ -228,6 +228,65 @@ def test_surface_nets_variants(spark):
     assert none[0].count() == 0 and none[1].count() == 0
 
 
+def two_balls(x, y, z):
+    """Balls of radius 0.5 around x = -1 and x = 1, the second hollow."""
+    far = lambda cx: F.sqrt((x - cx) * (x - cx) + y * y + z * z)
+    return F.least(far(-1.0) - 0.5, F.abs(far(1.0) - 0.35) - 0.15)
+
+
+def corners_of(mesh):
+    """Triangles as their corners' places, in turn from the least."""
+    at = {r.vid: (round(r.x, 9), round(r.y, 9), round(r.z, 9)) for r in mesh[0].collect()}
+    turns = [tuple(at[v] for v in t) for t in mesh[1].collect()]
+    return sorted(t[n:] + t[:n] for t in turns for n in [t.index(min(t))])
+
+
+PAIR = Grid.containing((-2.0, -1.0, -1.0), (2.0, 1.0, 1.0), (32, 16, 16))
+
+
+@pytest.mark.parametrize("hint, strict", [((-1.0, 0.0, 0.0), True), ((0.7, 0.0, 0.0), False), ((40.0, 0.3, -9.0), True)])
+def test_surface_followed_from_a_hint_equals_the_whole_lattice(spark, hint, strict):
+    whole = isosurface.sampled(spark, PAIR, two_balls).select("p", "i", "j", "k", "v")
+    want = corners_of(isosurface.surface_nets(spark, whole, PAIR, hint=hint, strict=strict))
+    assert want and corners_of(isosurface.surface_nets(spark, two_balls, PAIR, hint=hint, strict=strict)) == want
+
+
+@pytest.mark.parametrize("width", [3, 40])
+def test_surfaces_of_seeds_are_whole_and_others_are_left_out(spark, width):
+    field = lambda at: at.withColumn("v", two_balls(F.col("x"), F.col("y"), F.col("z")))
+    every = corners_of(isosurface.surface_nets(spark, two_balls, PAIR))
+    inner = [t for t in every if all(math.dist(c, (1.0, 0.0, 0.0)) < 0.35 for c in t)]
+    left = [t for t in every if all(c[0] < 0 for c in t)]
+    assert inner and left and len(inner) + len(left) < len(every)
+    cells = isosurface.surface_nets(spark, two_balls, PAIR)[0]
+    seeds = pipelines.cells_of(cells.where("x < -1.4 or (x between 0.75 and 0.95 and abs(y) < 0.1 and abs(z) < 0.1)"), PAIR)
+    odd = spark.createDataFrame([(None, 1, 1), (-1, 3, 3), (900, 0, 0), (0, 0, 0)], "i long, j long, k long")
+    assert corners_of(isosurface.surface_along(field, PAIR, seeds.unionByName(odd), width=width)) == sorted(inner + left)
+    if width == 3:
+        assert corners_of(isosurface.surface_along(field, PAIR, odd)) == [] == corners_of(isosurface.surface_along(field, PAIR, odd.limit(0)))
+        none = isosurface.surface_from_hint(lambda at: at.withColumn("v", F.lit(1.0)), PAIR, (0.0, 0.0, 0.0), spark)
+        assert none[0].count() == 0 and none[1].count() == 0
+
+
+def test_a_followed_surface_evaluates_little_of_a_fine_lattice(spark):
+    grid = Grid.containing((-1.0,) * 3, (1.0,) * 3, (200,) * 3)
+    asked = []
+
+    def field(at):
+        asked.append(at.count())
+        return at.withColumn("v", ball(F.col("x"), F.col("y"), F.col("z")))
+
+    steps = np.linspace(-1, 1, 60)
+    u = np.array([(a, b, c) for a in steps for b in steps for c in (-1, 1)])
+    u = np.concatenate([np.roll(u, n, axis=1) for n in range(3)])
+    u *= 0.999 / np.linalg.norm(u, axis=1)[:, None]
+    seeds = pipelines.cells_of(spark.createDataFrame(u.tolist(), "x double, y double, z double"), grid)
+    _, crossed = isosurface.follow(field, grid, seeds)
+    assert sum(asked) < 0.1 * 203**3 and len(asked) <= 4
+    whole = isosurface.crossings(isosurface.sampled(spark, grid, ball).select("p", "i", "j", "k", "v"), grid)
+    assert crossed.count() == whole.count()
+
+
 def test_density_filter_and_noise(cloud_of):
     rng = np.random.default_rng(5)
     rows = [*(rng.normal(size=(80, 3)) * 0.1).tolist(), (5, 5, 5), (-6, 4, 2)]
@@ -246,6 +305,38 @@ def test_reconstruction(spark, cloud_of):
     assert triangles.count() > 100 and 0.8 < np.median(r) < 1.2
 
 
+def test_reconstruction_along_samples_is_the_dense_mesh_where_it_touches_them(spark, cloud_of):
+    u = np.random.default_rng(7).normal(size=(300, 3))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    cloud, cells = cloud_of(u.tolist()), (9, 9, 9)
+    values, grid = pipelines.surface_distances(cloud, 8, cells)
+    lattice = {(r.i, r.j, r.k): r.v for r in values.collect()}
+    step = {a: tuple(int(n == a) for n in range(3)) for a in range(3)}
+    add = lambda p, q, f=1: tuple(a + f * b for a, b in zip(p, q, strict=True))
+    around: dict = {}
+    for p, v in lattice.items():
+        for a in range(3):
+            to = lattice.get(add(p, step[a]))
+            if to is not None and (v >= 0) != (to >= 0):
+                m, n = (step[o] for o in range(3) if o != a)
+                ring = [add(add(p, m, -x), n, -y) for x in (0, 1) for y in (0, 1)]
+                ring = [c for c in ring if all(0 <= x < s for x, s in zip(c, (grid.sx, grid.sy, grid.sz), strict=True))]
+                for c in ring:
+                    around.setdefault(c, set()).update(ring)
+    homes = {(r.i, r.j, r.k) for r in pipelines.cells_of(cloud, grid).collect()} & set(around)
+    reached, todo = set(homes), list(homes)
+    while todo:
+        fresh = around[todo.pop()] - reached
+        reached |= fresh
+        todo += fresh
+    cell = lambda c: tuple(math.floor((x - o) / d) for x, o, d in zip(c, (grid.x, grid.y, grid.z), (grid.dx, grid.dy, grid.dz), strict=True))
+    dense = corners_of(isosurface.surface_nets(spark, values.select("p", "i", "j", "k", "v"), grid))
+    want = [t for t in dense if cell(t[0]) in reached]
+    assert want and corners_of(pipelines.reconstruct(cloud, 8, cells, band=True)) == want
+    hint = tuple(u[0])
+    assert corners_of(pipelines.reconstruct(cloud, 8, cells, hint=hint, band=True)) == corners_of(pipelines.reconstruct(cloud, 8, cells, hint=hint))
+
+
 def test_registered_reconstruction_has_the_whole_lattice(spark, monkeypatch):
     from pointframe import queries
 

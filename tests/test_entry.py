@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 CORE = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]
-SLOW = {"dfs_order", "reconstruct_distances", "reconstruct_surface", "smoothed_normals", "surface_nets_hint", "hierarchy_sample", "mst_edges", "downsample_hierarchy"}
+SLOW = {"dfs_order", "reconstruct_distances", "reconstruct_surface", "smoothed_normals", "surface_nets_hint", "surface_hint_followed", "surface_near_samples", "hierarchy_sample", "mst_edges", "downsample_hierarchy"}
 #: Loops of eigenvectors over clusters, and a mesh without its orientation in SQL: held against plain Python elsewhere.
 NO_SQL = {"hierarchy_sample", "downsample_hierarchy", "reconstruct_surface"}
 
