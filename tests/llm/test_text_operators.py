@@ -441,6 +441,20 @@ def test_fingerprint_odd_rows(odd_docs, no_docs):
     assert fingerprints.fingerprint_edits(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [(5,), (None,), (9, 0), (None, 0, 1), (3, None, 9)])
+def test_fingerprints_of_crowded_ids_do_not_depend_on_the_buckets(spark, crowd):
+    rows = [(i % 10, f"plain text number {i} of a few words {i * i} here") for i in range(0, 30, 1 + (0 in crowd))]
+    rows += [(i, f"crowded {n % 40} has words of its own {n % 40} and more {i}") for i in crowd for n in range(60)]
+    rows += [(crowd[0], "the same row again and again in one id")] * 70 + [(crowd[-1], None)] * 50
+    if None not in crowd:
+        rows.append((None, "one row without an id"))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, at int").repartition(3)
+    one, many = (collections.Counter(fingerprints.fingerprint_edits(docs, buckets=b).collect()) for b in (1, 12))
+    assert sum(one.values()) == len(rows) and one == many
+    bounds, _, repeats = fingerprints._bounds(docs, 12)
+    assert set(bounds.hashes) >= set(crowd) and any(r[0] == crowd[0] for r in repeats)
+
+
 def test_densification_is_unbiased():
     rng = np.random.default_rng(0)
     for size in (3, 40, 2000):
