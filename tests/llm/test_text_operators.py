@@ -40,10 +40,10 @@ def test_code_lengths_by_a_plain_walk():
             for d in range(3):
                 ctx = sum(text[i - 1 - j] << (8 * j) for j in range(d))
                 grams[d, ctx, lang, text[i]] += 1
-    by = collections.defaultdict(list)
+    by = collections.defaultdict(lambda: collections.defaultdict(dict))
     for (d, ctx, lang, s), n in grams.items():
-        by[d, ctx].append((lang, s, n))
-    m = langid._freeze([(d, c, seen) for (d, c), seen in by.items()], ["a", "b"], 2)
+        by[lang][d, ctx][s] = n
+    m = langid.Model(["a", "b"], [langid.Tree.load(langid.tree(by[k], 2).dump()) for k in "ab"], 2)
 
     def count(lang, ctx):
         c = {s: n for (g, x, k, s), n in grams.items() if k == lang and g == len(ctx) and x == sum(v << (8 * j) for j, v in enumerate(reversed(ctx)))}
@@ -83,13 +83,40 @@ def test_rare_language_among_many(spark):
 
     rows = [(f"l{k:03}", t) for k in range(300) for t in made(f"l{k:03}", 12)] + [("rare", t) for t in made("rare", 9)]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(8)
-    model = langid.fit(docs)
-    assert len(model.langs) == 301
-    got = langid.identify(docs, model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    trees = langid.fit(docs)
+    assert trees.count() == 301 and trees.agg({"size": "sum"}).first()[0] < langid.MODEL_BYTES == 200 << 20
+    got = langid.identify(docs, trees).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
     assert all(r.lang_pred == "rare" for r in got if r.lang == "rare") and any(r.lang == "rare" for r in got)
 
 
+def test_interleaved_rows():
+    rng = random.Random(8)
+    rows = [([], [])]
+    for _ in range(900):
+        at = sorted(rng.sample(range(256), rng.choice((0, 1, 1, 2, 5, 30, 256) if len(rows) < 200 else (1, 2, 3))))
+        rows.append((at, [rng.randint(1, 99) for _ in at]))
+    t = langid.interleaved(rows, np.int32)
+    node, byte = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(256), indexing="ij"))
+    slot, known = t.find(node, byte.astype(np.uint8))
+    want = [dict(zip(*r)) for r in rows]
+    assert [v if k else None for v, k in zip(t.value[slot].tolist(), known.tolist())] == [w.get(b) for w in want for b in range(256)]
+    assert len(t.owner) < 1.3 * sum(len(a) for a, _ in rows) + 512
+
+
+@data
+def test_languages_by_groups(spark, odd_docs):
+    """Trees over the bound go by groups, in one pass each, and give the same."""
+    docs = table(spark, SF, "documents")
+    trees = langid.fit(docs)
+    most = trees.agg({"size": "max"}).first()[0] + 1
+    assert len(langid.groups(trees, most)) >= 3 and len(langid.groups(trees, 1)) == trees.count()
+    for frame in (docs, odd_docs):
+        one, many = (sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.identify(frame, trees, m).collect()), key=repr) for m in (langid.MODEL_BYTES, most))
+        assert one == many
+        assert sorted(map(repr, langid.keep_identified(frame, trees).collect())) == sorted(map(repr, langid.keep_identified(frame, trees, most=most).collect()))
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.fit(odd_docs)
     rows = langid.identify(odd_docs, model).collect()
