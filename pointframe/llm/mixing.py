@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointframe.llm.common import BROADCAST_ROWS, small, store, unused
+from pointframe.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, small, store, unused
+from pointframe.operators.index import with_rank
 
 _DOC = "struct<size:long,h:long,doc_id:long,row:long,whole:int,p:double>"
 _DONE = "struct<size:long,row:long,whole:int,copies:int>"
@@ -39,21 +40,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     """source, n, source_size, target. Sources by code point, null last, weigh ``weights`` in turn; together they
     get ``share`` of all words, none over ``most`` times its own size, the excess going to the others by weight.
 
-    One row a source reaches the window's single task.
+    The words that one unit of weight gets rise from round to round, each an aggregation
+    over the sources: those that reach their most leave the rest to the others, until
+    no more do. Sources may be as many as documents: none of it goes through one task.
     """
-    w = Window.orderBy(F.asc_nulls_last("source"))
-    base = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    ranked = base.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(w) - 1, F.lit(len(weights))) + 1).cast("int")))
-    # Sources are full in the order of most * size / weight: with the first k full, the rest share what is left by weight.
+    base = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
+    ranked = with_rank(base.withColumn("all", F.lit(0)).withColumn("none", F.col("source").isNull()), "all", ["none", "source"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
     cap = most * F.col("source_size")
-    order = Window.orderBy(cap / F.col("weight"), F.asc_nulls_last("source"))
-    all_ = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = share * F.sum("source_size").over(all_) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = ranked.withColumn("level", left / weight_left).withColumn("full", F.col("level") * F.col("weight") >= cap)
-    free = level.withColumn("level", F.min(F.when(~F.col("full"), F.struct(cap / F.col("weight"), "level"))).over(all_)["level"])
-    return free.select("source", "n", "source_size", F.when(F.col("full"), cap).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    known = store(ranked.select("source", F.col("rows").alias("n"), "source_size", weight.alias("weight"), cap.alias("cap")), "sources")
+    words, weight_left = known.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, full, before = share * (words or 0), F.lit(False), 0
+    while weight_left:
+        level = left / weight_left
+        full = level * F.col("weight") >= F.col("cap")
+        n, taken, rest = known.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == before:
+            break
+        before, left, weight_left = n, share * words - taken, rest
+    else:  # all are full, or there is none
+        return known.select("source", "n", "source_size", F.col("cap").alias("target"))
+    return known.select("source", "n", "source_size", F.when(full, F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
+
+
+def _met(rows: DataFrame, side: DataFrame, on: Column, salts: int = 32) -> DataFrame:
+    """Rows with the one row of ``side`` (by a source ``s``) that they meet: by broadcast while its rows and the bytes of
+    its sources are few, else with ``side`` repeated for each salt, as one source may hold a third of the rows."""
+    n, size = side.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("s")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS // 4 and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), on)
+    spread = side.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, on & (F.col("_salt") == F.col("_slot"))).drop("_salt", "_slot")
 
 
 def _fold(docs: Column) -> Column:
@@ -155,10 +172,9 @@ def with_occurrence(sizes: DataFrame) -> DataFrame:
 
 def copies(sizes: DataFrame, targets: DataFrame, block: int = 32) -> DataFrame:
     """row, copies of every row with words, from sizes (row, doc_id, source, size)."""
-    many = targets.count()
     side = targets.select(F.col("source").alias("s"), "source_size", "target")
-    joined = with_occurrence(sizes.where("size > 0")).join(F.broadcast(side) if many <= BROADCAST_ROWS // 4 else side, F.col("source").eqNullSafe(F.col("s")))
-    ratio = F.col("target") / F.col("source_size")
+    joined = _met(with_occurrence(sizes.where("size > 0")), side, F.col("source").eqNullSafe(F.col("s")))
+    ratio = F.try_divide("target", "source_size")  # a source without words may be computed before its rows are dropped
     whole = F.floor(ratio + 1e-12).cast("int")
     rated = joined.select("row", "doc_id", "nth", "size", "source", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"))
     settled = rated.where("p <= 1e-12").select("row", F.col("whole").alias("copies"))
@@ -167,8 +183,7 @@ def copies(sizes: DataFrame, targets: DataFrame, block: int = 32) -> DataFrame:
     per_class = store(per_class, "classes")
     largest = per_class.agg(F.max("blocks")).first()[0] or 0
     names = per_class.select(F.col("source").alias("s"), F.col("class").alias("c"), "blocks")
-    one = F.broadcast(names) if per_class.count() <= BROADCAST_ROWS // 4 else names
-    dealt = open_.join(one, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
+    dealt = _met(open_, names, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")))
     fields = ["source", "class", "size", "h", "doc_id", "row", "whole", "p"]
     last = dealt.where("block = 0").select(*fields)
     level, parts, turn = dealt.where("block > 0"), [settled], 1
@@ -202,8 +217,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     targets = store(source_targets(sizes, weights, share, most), "targets")
     taken = copies(sizes, targets)
     side = targets.select(F.col("source").alias("s"), F.col("source_size"), "target")
-    joined = sizes.join(taken, "row", "left")
-    both = joined.join(F.broadcast(side) if targets.count() <= BROADCAST_ROWS // 4 else side, F.col("source").eqNullSafe(F.col("s")))
+    both = _met(sizes.join(taken, "row", "left"), side, F.col("source").eqNullSafe(F.col("s")))
     return both.select("doc_id", "size", "source_size", "target", (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"), "source")
 
 

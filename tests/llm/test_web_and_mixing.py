@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,65 @@ def test_mix_many_blocks(spark):
     assert copies == collections.Counter({d: n for d, n in taken.items() if n})
 
 
+def test_mix_many_sources(spark, monkeypatch):
+    """Sources as many as hosts, of very different sizes: levels by rounds, and the same mix where sources are joined
+    without a broadcast."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(0, 9), rng.choice([None, *"ab"]) if i % 3 == 0 else f"h{int(rng.paretovariate(0.6)) % 500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    one = mixing.mix(docs).collect()
+    check_mix(one, docs.collect(), lambda s: 9)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted((r.doc_id, r.taken, r.target) for r in mixing.mix(docs).collect()) == sorted((r.doc_id, r.taken, r.target) for r in one)
+
+
+def test_mix_targets_when_all_are_full(spark):
+    sizes = spark.createDataFrame([("a", 4), ("b", 6), (None, 0)], "source string, size long")
+    got = {r.source: (r.n, r.source_size, r.target) for r in mixing.source_targets(sizes, share=3.0, most=2.0).collect()}
+    assert got == {"a": (1, 4, 8.0), "b": (1, 6, 12.0), None: (1, 0, 0.0)}
+    assert mixing.source_targets(sizes.limit(0)).count() == 0
+
+
+def plain_pivotal(rng, docs):
+    """Copies of (size, expected copies) by pairwise rounding of words, one after the other; the last one at random."""
+    out = [math.floor(p) for _, p in docs]
+    carry = None
+    for i, (size, p) in enumerate(docs):
+        p -= out[i]
+        if carry is None:
+            carry = (i, size, p)
+            continue
+        j, other, q = carry
+        up, down = min((1 - q) * other, p * size), min(q * other, (1 - p) * size)
+        move = up if rng.random() * (up + down) < down else -down
+        q, p = q + move / other, p - move / size
+        ends = [(k, v) for k, v in ((j, q), (i, p)) if min(v, 1 - v) < 1e-9]
+        for k, v in ends:
+            out[k] += round(v)
+        rest = [(k, s, v) for k, s, v in ((j, other, q), (i, size, p)) if k not in dict(ends)]
+        carry = rest[0] if rest else None
+    if carry:
+        out[carry[0]] += rng.random() < carry[2]
+    return out
+
+
+def test_mix_expected_copies(spark):
+    """Over many sources of the same documents, small and large ones are copied as often as a plain pivotal run does."""
+    sizes, sources = [3 + 7 * j % 50 for j in range(80)], 240
+    rows = [(s * 1000 + j, "w " * n, f"s{s:03}") for s in range(sources) for j, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    rng, got, want = random.Random(4), collections.defaultdict(list), collections.defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        got[r.target, r.size // 10].append(r.taken / r.size - r.target / r.source_size)
+    for target in {t for t, _ in got}:
+        ratio = target / sum(sizes)
+        for _ in range(sources // 3):
+            for n, c in zip(sizes, plain_pivotal(rng, [(n, ratio) for n in sizes]), strict=True):
+                want[target, n // 10].append(c - ratio)
+    for key, off in got.items():
+        assert abs(np.mean(want[key])) < 0.05 and abs(np.mean(off)) < 0.05, (key, np.mean(off), np.mean(want[key]), len(off))
+
+
 @pytest.mark.parametrize("doc_id", ["7L", "cast(null as long)"])
 def test_mix_one_document_repeated(spark, doc_id):
     """A hundred thousand rows of one document are dealt to many blocks and numbered without gaps."""
