@@ -27,12 +27,13 @@ def with_eigenvalues(df: DataFrame, prefix: str = "c") -> DataFrame:
     return df.withColumn("l1", 3 * q - F.col("l0") - F.col("l2")).drop("_q", "_p", "_phi")
 
 
-def with_eigenvector(df: DataFrame, value: str, names: tuple[str, str, str], prefix: str = "c") -> DataFrame:
+def with_eigenvector(df: DataFrame, value: str, names: tuple[str, str, str], prefix: str = "c", turned: bool = True) -> DataFrame:
     """Adds the unit eigenvector of an eigenvalue column.
 
     It is the longest cross product of two rows of C - lambda I. Where all vanish
     (a repeated eigenvalue) it is an axis perpendicular to the longest row, or z
-    if there is none. The sign makes z positive, else y, else x.
+    if there is none. The sign makes z positive, else y, else x; without ``turned``
+    it stays that of the cross product (rows 1 x 2, 1 x 3 or 2 x 3).
     """
     xx, xy, xz, yy, yz, zz = (F.col(f"{prefix}{n}") for n in ("xx", "xy", "xz", "yy", "yz", "zz"))
     v = F.col(value)
@@ -60,7 +61,7 @@ def with_eigenvector(df: DataFrame, value: str, names: tuple[str, str, str], pre
     length = F.sqrt(x * x + y * y + z * z)
     tiny = 1e-12
     sign = F.when(F.abs(z) > tiny * length, F.signum(z)).when(F.abs(y) > tiny * length, F.signum(y)).otherwise(F.signum(x))
-    df = df.withColumn("_s", sign / length)
+    df = df.withColumn("_s", (sign if turned else F.lit(1.0)) / length)
     for name, n in zip(names, "xyz", strict=True):
         df = df.withColumn(name, F.col(f"_v.{n}") * F.col("_s"))
     return df.drop("_size", "_k0", "_k1", "_k2", "_n0", "_n1", "_n2", "_best", "_most", "_row", "_v", "_s")

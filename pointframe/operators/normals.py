@@ -11,14 +11,14 @@ from pointframe.operators.neighbors import knn
 from pointframe.operators.stats import neighbourhood_planes
 
 
-def tangent_planes(cloud: DataFrame, k: int, neighbours: DataFrame | None = None) -> DataFrame:
+def tangent_planes(cloud: DataFrame, k: int, neighbours: DataFrame | None = None, turned: bool = True) -> DataFrame:
     """id, n, centroid ox..oz, eigenvalues l0..l2, unit normal nx..nz of each point's k neighbours."""
-    return neighbourhood_planes(knn(cloud, k) if neighbours is None else neighbours, cloud)
+    return neighbourhood_planes(knn(cloud, k) if neighbours is None else neighbours, cloud, turned)
 
 
-def estimate_normals(cloud: DataFrame, k: int, neighbours: DataFrame | None = None) -> DataFrame:
-    """id, nx, ny, nz, l0, variation (least eigenvalue over their sum)."""
-    t = tangent_planes(cloud, k, neighbours)
+def estimate_normals(cloud: DataFrame, k: int, neighbours: DataFrame | None = None, turned: bool = True) -> DataFrame:
+    """id, nx, ny, nz, l0, variation (least eigenvalue over their sum). ``turned`` as in ``with_eigenvector``."""
+    t = tangent_planes(cloud, k, neighbours, turned)
     total = F.col("l0") + F.col("l1") + F.col("l2")
     return t.select("id", "nx", "ny", "nz", "l0", F.when(total > 0, F.col("l0") / total).alias("variation"))
 

@@ -60,16 +60,17 @@ def pca(cloud: DataFrame, *by: str) -> DataFrame:
     return df
 
 
-def neighbourhood_planes(neighbours: DataFrame, queries: DataFrame) -> DataFrame:
+def neighbourhood_planes(neighbours: DataFrame, queries: DataFrame, turned: bool = True) -> DataFrame:
     """id, n, centroid ox..oz, l0..l2 and normal nx..nz of each query's neighbours.
 
     Moments are taken relative to the query point, so one aggregation is enough.
+    ``turned`` as in ``with_eigenvector``.
     """
     q = queries.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz"))
     near = neighbours.select("id", "x", "y", "z").join(q, "id")
     sums = near.groupBy("id", "qx", "qy", "qz").agg(*_moments(g.sub(g.vec(), g.vec("q"))))
     df = with_eigenvalues(_scatter(sums, ["id", "qx", "qy", "qz"]))
-    df = with_eigenvector(df, "l0", ("nx", "ny", "nz"))
+    df = with_eigenvector(df, "l0", ("nx", "ny", "nz"), turned=turned)
     return df.select("id", "n", *((F.col(f"q{n}") + F.col(f"m{n}")).alias(f"o{n}") for n in "xyz"), "l0", "l1", "l2", "nx", "ny", "nz")
 
 
