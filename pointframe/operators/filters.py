@@ -44,7 +44,8 @@ def bilateral_normals(cloud: DataFrame, sigmaf: float = 1.0, sigmag: float = 0.1
     ``mode="reference"`` has the off-diagonal terms of the projection's Jacobian
     positive and uses the projected offset in the product rule; ``"corrected"`` uses
     I - n n^T and the projected point. Neighbour pairs do not move, so they are
-    joined once and reused.
+    joined once and reused. A normal that the Jacobian turns to zero (in the first mode
+    that of a lone point along an axis) has no direction: NaN.
     """
     if mode not in ("reference", "corrected"):
         raise ValueError(mode)
@@ -79,7 +80,7 @@ def bilateral_normals(cloud: DataFrame, sigmaf: float = 1.0, sigmag: float = 0.1
         row = {a: sum(((F.col(f"J{a}{b}") * k - F.col(f"u{a}") * F.col(f"g{b}")) / (k * k)) * F.col(f"m{b}") for b in "xyz") for a in "xyz"}
         raw = total.select("id", *(F.col(f"q{a}").alias(a) for a in "xyz"), *(row[a].alias(f"r{a}") for a in "xyz"))
         length = g.norm(g.vec("r"))
-        now = raw.select("id", "x", "y", "z", *((F.col(f"r{a}") / length).alias(f"n{a}") for a in "xyz"))
+        now = raw.select("id", "x", "y", "z", *(F.when(length > 0, F.col(f"r{a}") / length).otherwise(float("nan")).alias(f"n{a}") for a in "xyz"))
     return now
 
 

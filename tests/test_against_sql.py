@@ -33,3 +33,10 @@ def test_normals_off_the_walk_keep_the_sign_of_their_cross_product(spark, tmp_pa
     rng = np.random.default_rng(3)
     got = same(spark, embeddings(tmp_path, np.vstack([rng.normal(0, 0.1, (15, 3)), rng.normal(-30, 0.1, (15, 3))])), "orient_normals")
     assert any(r["nz"] < 0 for r in got if r["id"] >= 15)
+
+
+def test_smoothed_normals_where_the_highest_point_stands_alone(spark, tmp_path):
+    """Its normal is (0, 0, 1), its own neighbourhood is itself, and the filter leaves it no direction."""
+    cloud = np.vstack([np.random.default_rng(3).normal(0, 0.1, (30, 3)), [[0, 0, 5]]])
+    got = {r["id"]: r for r in same(spark, embeddings(tmp_path, cloud), "smoothed_normals")}
+    assert np.isnan(got[30]["nz"]) and not np.isnan([got[i]["nz"] for i in range(30)]).any()
