@@ -224,3 +224,12 @@ def test_every_point_is_looked_up(spark, monkeypatch):
     cloud = spark.range(1, 51).selectExpr("id", "double(id) x", "0D y", "0D z")
     monkeypatch.setattr(queries, "pc_part", lambda *_, **__: cloud)
     assert sorted(tuple(r) for r in queries.queries()["find_point"](spark, "").collect()) == [(i, i) for i in range(2, 51, 2)]
+
+
+def test_joins_of_cells_are_never_broadcast(spark, tmp_path):
+    """A packed file of many equal rows looks small to the planner."""
+    spark.range(200_000).selectExpr("id", "id % 2 + 0.5 as x", "0.0D as y", "0.0D as z").write.parquet(f"{tmp_path}/cloud")
+    c = spark.read.parquet(f"{tmp_path}/cloud")
+    for df in (neighbors.coincident_pairs(c), neighbors.range_join(c, c, 0.1), neighbors.find(c, c), neighbors.sized_range_join(c.withColumn("r", F.lit(0.1)), c)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
