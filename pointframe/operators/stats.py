@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geometry as g
 from pointframe.functions.linalg import with_eigenvalues, with_eigenvector
-from pointframe.operators import indexed
-from pointframe.operators.neighbors import octree
+from pointframe.operators import folds
 
 
 def bounding_box(cloud: DataFrame, *by: str) -> DataFrame:
@@ -90,10 +89,8 @@ def knn_distance_spread(neighbours: DataFrame) -> DataFrame:
 
 
 def ball_counts(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
-    """id, n: points within ``radius``, itself included; counted by two octrees without making the pairs."""
-    slim = lambda df: df.select("id", "x", "y", "z")
-    tree = octree(slim(cloud))
-    return indexed.ball_counts(tree if queries is cloud else octree(slim(queries)), tree, radius)
+    """id, n: points within ``radius``, itself included; folded over blocks without making the pairs."""
+    return folds.ball_sums(queries.select("id", "x", "y", "z", F.lit(float(radius)).alias("r")), cloud).select("id", "n")
 
 
 def density(cloud: DataFrame, radius: float) -> DataFrame:
