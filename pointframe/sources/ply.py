@@ -5,7 +5,8 @@ missing normals are null. ASCII and both binary formats are read with the types
 that the header declares; properties with other names are skipped, and normals may
 stand in an element of their own or in the vertices. A path that does not exist or
 does not end in ``.ply`` is an empty cloud. Binary files are read in slices by
-several tasks; ASCII files by one task a file.
+several tasks, one ASCII file by splits, the ASCII files of a folder by one task each,
+a bounded number of lines at once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2"
 FORMATS = ("ascii", "binary_little_endian", "binary_big_endian")
 SCHEMA = "id long, x double, y double, z double, nx double, ny double, nz double"
 
+#: Lines of an ASCII file that a task parses at once.
+ASCII_ROWS = 20_000
+
 
 @dataclass
 class Element:
@@ -109,8 +113,11 @@ class PlyReader(DataSourceReader):
             return
         with open(part.path, "rb") as f:
             kind, elements, start = parse_header(f)  # type: ignore[misc]
-            got = _ascii(f, elements) if kind == "ascii" else _binary(f, kind, elements, start, part.first, part.rows)
-        yield _batch(got, part.first, part.rows)
+            if kind != "ascii":
+                yield _batch(_binary(f, kind, elements, start, part.first, part.rows), part.first, part.rows)
+                return
+        for points, normals, first in _ascii(part.path, elements, start, ASCII_ROWS):
+            yield _batch((points, normals), first, len(points))
 
 
 def _batch(got: tuple[np.ndarray, np.ndarray | None], first: int, n: int) -> pa.RecordBatch:
@@ -126,18 +133,30 @@ def _batch(got: tuple[np.ndarray, np.ndarray | None], first: int, n: int) -> pa.
     return pa.RecordBatch.from_arrays(cols, names=["id", "x", "y", "z", "nx", "ny", "nz"])
 
 
-def _ascii(f, elements: list[Element]) -> tuple[np.ndarray, np.ndarray | None]:
-    points, normals = np.zeros((0, 3)), None
+def _ascii(path: str, elements: list[Element], start: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray | None, int]]:
+    """Points, normals and first row of stretches of at most ``rows`` lines; the file is open at both elements."""
+    where, at = {}, 0
     for e in elements:
-        rows = [f.readline().split() for _ in range(e.count)]
         for names in (("x", "y", "z"), ("nx", "ny", "nz")):
-            if e.name in ("vertex", "normal") and (at := _columns(e, names)) and rows:
-                values = np.array([[float(r[i]) for i in at] for r in rows])
-                if names[0] == "x" and e.name == "vertex":
-                    points = values
-                elif names[0] == "nx":
-                    normals = values
-    return points, normals
+            if e.name in ("vertex", "normal") and (cols := _columns(e, names)) and not (names[0] == "x" and e.name == "normal"):
+                where[names[0]] = (at, e.count, cols)
+        at += e.count
+    with open(path, "rb") as f, open(path, "rb") as h:
+        lines = {"x": f, "nx": h}
+        for name, (line, _, _) in where.items():
+            lines[name].seek(start)
+            for _ in range(line):
+                lines[name].readline()
+
+        def some(name: str, first: int) -> np.ndarray | None:
+            if name not in where:
+                return None
+            _, count, cols = where[name]
+            words = [lines[name].readline().split() for _ in range(max(0, min(rows, count - first)))]
+            return np.array([[float(r[i]) for i in cols] for r in words]).reshape(-1, 3)
+
+        for first in range(0, where["x"][1] if "x" in where else 0, rows):
+            yield some("x", first), some("nx", first), first
 
 
 def _binary(f, kind: str, elements: list[Element], start: int, first: int, rows: int) -> tuple[np.ndarray, np.ndarray | None]:
@@ -178,11 +197,17 @@ class PlySource(DataSource):
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """The cloud in a PLY file on any store, or in all of a mounted folder (ids then start anew in each file).
 
-    On a store that is not mounted, ASCII files are read by splits, and binary files
-    (of up to 2 GB) by one task each.
+    One ASCII file is read by splits, on any store. On a store that is not mounted,
+    binary files (of up to 2 GB) are read by one task each.
     """
     if not hadoop.is_mounted(path):
         return _read_remote(spark, path)
+    own = hadoop.local(path)
+    if own.endswith(".ply") and os.path.isfile(own):
+        with open(own, "rb") as f:
+            found = parse_header(f)
+        if found and found[0] == "ascii":
+            return _read_remote(spark, f"file://{os.path.abspath(own)}")
     spark.dataSource.register(PlySource)
     return spark.read.format("pointframe_ply").load(path)
 

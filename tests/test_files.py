@@ -120,3 +120,20 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
         assert lines.selectExpr("count(*)", "count_if(value like concat('line ', line, ' %'))", "count(distinct line)").first() == (3000, 3000, 3000)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ascii_is_read_by_splits_and_in_stretches(spark, tmp_path, monkeypatch):
+    """One file by splits, never by a single task's reader; a folder's files in stretches of bounded length."""
+    rows = [(i, i / 7, -i / 3, i * 1.5, 0.0, 0.6, 0.8) for i in range(1000)]
+    cloud = spark.createDataFrame(rows, ply.SCHEMA)
+    one = f"{tmp_path}/one.ply"
+    ply.write_ply(cloud, one, "ascii")
+    values = lambda found: [tuple(round(v, 5) for v in r) for r in sorted(found)]
+    want = values(rows)
+    assert values(ply.read_ply(spark, str(tmp_path)).collect()) == want
+    with open(one, "rb") as f:
+        _, elements, start = ply.parse_header(f)
+    stretches = list(ply._ascii(one, elements, start, 300))
+    assert [(len(p), len(n), first) for p, n, first in stretches] == [(300, 300, 0), (300, 300, 300), (300, 300, 600), (100, 100, 900)]
+    monkeypatch.setattr(ply, "PlySource", None)
+    assert values(ply.read_ply(spark, one).collect()) == want
