@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pointframe.cloud import store
 from pointframe.functions import geometry as g
 from pointframe.functions.linalg import with_eigenvalues, with_eigenvector
+from pointframe.operators import folds
 from pointframe.operators.neighbors import range_join
 from pointframe.operators.selection import select
 from pointframe.operators.stats import scatter_matrix
@@ -131,8 +132,8 @@ def wlop(cloud: DataFrame, size: int | None = None, h: float = 1.0, mu: float =
     """
     p = store(cloud.select("id", "x", "y", "z"), "wlop-cloud")
     q = store((initial if initial is not None else random_sample(p, size or 0, seed)).select("id", "x", "y", "z"), "wlop")
-    plain = p.select(F.col("id"), *(F.col(n).alias(f"q{n}") for n in "xyz"))
-    v = store(_density(range_join(p, p, h).select("id", "nid", "x", "y", "z").join(plain, "id"), p, h, "v", uniform), "wlop-density").withColumnRenamed("id", "nid")
+    weights = p.select("id", F.lit(1.0).alias("v")) if not uniform else p.select("id").join(folds.theta_sums(p, h).hint("merge"), "id", "left").select("id", (1 + F.coalesce("s", F.lit(0.0))).alias("v"))
+    v = store(weights, "wlop-density").withColumnRenamed("id", "nid")
     wide = h * (1 + max(0.0, skin))
     list_of = lambda at: range_join(at, p, wide).select("id", "nid", "x", "y", "z").join(v, "nid")
     anchor = q  # where each point was when its lists were made
