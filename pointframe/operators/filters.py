@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from pointframe.cloud import require_columns, store
 from pointframe.functions import geometry as g
-from pointframe.operators.neighbors import knn, range_join
+from pointframe.operators import folds
+from pointframe.operators.neighbors import knn
 from pointframe.operators.stats import average_knn_distance, ball_counts, knn_distance_spread
 
 ORIENTED = ("id", "x", "y", "z", "nx", "ny", "nz")
 
 
-def _pairs(cloud: DataFrame, radius: float) -> DataFrame:
-    """Range self-join with s (query: qx.., and its normal mx..) and p (x.., nx..)."""
-    near = range_join(cloud, cloud, radius)
-    q = cloud.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz"), *(F.col(f"n{n}").alias(f"m{n}") for n in "xyz"))
-    return near.join(q, "id").join(cloud.select(F.col("id").alias("nid"), "nx", "ny", "nz"), "nid")
-
-
 def bilateral_points(cloud: DataFrame, sigmaf: float = 1.0, sigmag: float = 0.1, rounds: int = 1) -> DataFrame:
     """id, x, y, z, nx, ny, nz after ``rounds`` of moving each point to the weighted mean of its projections on the
     tangent planes of the points within 2 sigmaf; normals stay."""
@@ -27,14 +21,10 @@ def bilateral_points(cloud: DataFrame, sigmaf: float = 1.0, sigmag: float = 0.1,
     for r in range(rounds):
         if r:
             now = store(now, "bilateral")
-        near = _pairs(now, 2 * sigmaf)
-        s, p, n = g.vec("q"), g.vec(), g.vec("n")
-        to = g.projection(p, n, s)
-        near = near.select("id", "mx", "my", "mz", "d2", *(e.alias(f"t{a}") for e, a in zip(to, "xyz", strict=True)), *(F.col(f"q{a}") for a in "xyz"))
-        w = g.gaussian(sigmaf, F.sqrt("d2")) * g.gaussian(sigmag, g.norm(g.sub(g.vec("t"), s)))
-        near = near.withColumn("w", w)
-        sums = near.groupBy("id", "mx", "my", "mz").agg(*((F.sum(F.col("w") * F.col(f"t{a}")) / F.sum("w")).alias(a) for a in "xyz"))
-        now = sums.select("id", "x", "y", "z", *(F.col(f"m{a}").alias(f"n{a}") for a in "xyz"))
+        sums = folds.bilateral_point_sums(now, sigmaf, sigmag)
+        own = now.select("id", *(F.col(a).alias(f"q{a}") for a in "xyz"), "nx", "ny", "nz")
+        at = [F.when(F.col("k") > 0, F.col(f"q{a}") + F.col(f"u{a}") / F.col("k")).alias(a) for a in "xyz"]
+        now = own.join(sums.hint("merge"), "id").select("id", *at, "nx", "ny", "nz")
     return now
 
 
@@ -43,40 +33,19 @@ def bilateral_normals(cloud: DataFrame, sigmaf: float = 1.0, sigmag: float = 0.1
 
     ``mode="reference"`` has the off-diagonal terms of the projection's Jacobian
     positive and uses the projected offset in the product rule; ``"corrected"`` uses
-    I - n n^T and the projected point. Neighbour pairs do not move, so they are
-    joined once and reused. A normal that the Jacobian turns to zero (in the first mode
-    that of a lone point along an axis) has no direction: NaN.
+    I - n n^T and the projected point. Sums are folded over blocks, no pair leaves its
+    task. A normal that the Jacobian turns to zero (in the first mode that of a lone
+    point along an axis) has no direction: NaN.
     """
     if mode not in ("reference", "corrected"):
         raise ValueError(mode)
     now = require_columns(cloud, *ORIENTED).select(*ORIENTED)
-    pairs = store(range_join(now, now, 2 * sigmaf).select("id", "nid", "d2"), "pairs")
     for r in range(rounds):
         if r:
             now = store(now, "bilateral-normals")
-        q = now.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz"), *(F.col(f"n{n}").alias(f"m{n}") for n in "xyz"))
-        near = pairs.join(q, "id").join(now.withColumnRenamed("id", "nid"), "nid")
-        s, p, n = g.vec("q"), g.vec(), g.vec("n")
-        t = g.projection(p, n, s)
-        near = near.select("id", "qx", "qy", "qz", "mx", "my", "mz", *(F.col(f"n{a}") for a in "xyz"), F.sqrt("d2").alias("rf"), *(e.alias(f"t{a}") for e, a in zip(t, "xyz", strict=True)), *(e.alias(f"d{a}") for e, a in zip(g.sub(s, p), "xyz", strict=True)))
-        near = near.select("*", *((F.col(f"t{a}") - F.col(f"q{a}")).alias(f"e{a}") for a in "xyz"))
-        near = near.withColumn("rg", g.norm(g.vec("e")))
-        rf, rg = F.col("rf"), F.col("rg")
-        near = near.withColumn("wf", g.gaussian(sigmaf, rf)).withColumn("wg", g.gaussian(sigmag, rg)).withColumn("hf", F.when(rf > 0, g.dgaussian(sigmaf, rf) / rf).otherwise(0.0)).withColumn("hg", F.when(rg > 0, g.dgaussian(sigmag, rg) / rg).otherwise(0.0))
-        sign = 1.0 if mode == "reference" else -1.0
-        jpi = {a + b: (1 - F.col(f"n{a}") * F.col(f"n{b}")) if a == b else sign * F.col(f"n{a}") * F.col(f"n{b}") for a in "xyz" for b in "xyz"}
-        near = near.select("*", *(e.alias(f"j{k}") for k, e in jpi.items()))
-        e = g.vec("e")
-        grad_g = {b: F.col("hg") * (e[0] * F.col(f"jx{b}") + e[1] * F.col(f"jy{b}") + e[2] * F.col(f"jz{b}") - F.col(f"e{b}")) for b in "xyz"}
-        near = near.select("*", *((F.col(f"d{b}") * F.col("hf") * F.col("wg") + F.col("wf") * grad_g[b]).alias(f"g{b}") for b in "xyz"))
-        arm = "e" if mode == "reference" else "t"
-        w = F.col("wf") * F.col("wg")
-        sums = [F.sum(w).alias("k")]
-        sums += [F.sum(w * F.col(f"t{a}")).alias(f"u{a}") for a in "xyz"]
-        sums += [F.sum(f"g{b}").alias(f"g{b}") for b in "xyz"]
-        sums += [F.sum(F.col(f"j{a}{b}") * w + F.col(f"{arm}{a}") * F.col(f"g{b}")).alias(f"J{a}{b}") for a in "xyz" for b in "xyz"]
-        total = near.groupBy("id", "qx", "qy", "qz", "mx", "my", "mz").agg(*sums)
-        k = F.col("k")
+        sums = folds.bilateral_normal_sums(now, sigmaf, sigmag, mode == "reference")
+        total = now.select("id", *(F.col(n).alias(f"q{n}") for n in "xyz"), *(F.col(f"n{n}").alias(f"m{n}") for n in "xyz")).join(sums.hint("merge"), "id")
+        k = F.when(F.col("k") > 0, F.col("k"))
         row = {a: sum(((F.col(f"J{a}{b}") * k - F.col(f"u{a}") * F.col(f"g{b}")) / (k * k)) * F.col(f"m{b}") for b in "xyz") for a in "xyz"}
         raw = total.select("id", *(F.col(f"q{a}").alias(a) for a in "xyz"), *(row[a].alias(f"r{a}") for a in "xyz"))
         length = g.norm(g.vec("r"))
