@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geometry as g
 from pointframe.functions.linalg import with_eigenvalues, with_eigenvector
-from pointframe.operators import folds
+from pointframe.operators import counts
 
 
 def bounding_box(cloud: DataFrame, *by: str) -> DataFrame:
@@ -89,8 +89,8 @@ def knn_distance_spread(neighbours: DataFrame) -> DataFrame:
 
 
 def ball_counts(queries: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
-    """id, n: points within ``radius``, itself included; folded over blocks without making the pairs."""
-    return folds.ball_sums(queries.select("id", "x", "y", "z", F.lit(float(radius)).alias("r")), cloud).select("id", "n")
+    """id, n: points within ``radius``, itself included; counted in blocks without making the pairs."""
+    return counts.ball_counts(queries, cloud, radius)
 
 
 def density(cloud: DataFrame, radius: float) -> DataFrame:
